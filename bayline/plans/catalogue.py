@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from bayline.plans import runs
+from bayline.plans import observations, runs
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (runs,):
+for _module in (runs, observations):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
