@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 MIN_AREA = 1e-5
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often use mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def point(x: Column, y: Column) -> Column:
     """A point."""
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
@@ -36,8 +42,8 @@ def _cross(a: Column, b: Column, c: Column) -> Column:
 
 def signed_area(p: Column) -> Column:
     """Shoelace area, positive for points in the order of rising angles; 0 below three points."""
-    total = F.aggregate(_edges(p), F.lit(0.0), lambda s, e: s + (e.a.x * e.b.y - e.b.x * e.a.y))
-    return F.when(F.size(p) < 3, 0.0).otherwise(total / 2)
+    total = lambda q: F.aggregate(_edges(q), F.lit(0.0), lambda s, e: s + (e.a.x * e.b.y - e.b.x * e.a.y)) / 2
+    return let(p, lambda q: F.when(F.size(q) < 3, 0.0).otherwise(total(q)))
 
 
 def area(p: Column) -> Column:
@@ -47,42 +53,44 @@ def area(p: Column) -> Column:
 
 def self_intersects(p: Column) -> Column:
     """Whether two edges that share no point properly cross."""
-    n = F.size(p)
-    e = _edges(p)
-    at = lambda i: F.element_at(e, i + 1)
 
-    def crosses(i: Column, j: Column) -> Column:
-        a, b, c, d = at(i).a, at(i).b, at(j).a, at(j).b
-        return (_cross(a, b, c) * _cross(a, b, d) < 0) & (_cross(c, d, a) * _cross(c, d, b) < 0)
+    def crosses(e: Column, g: Column) -> Column:
+        return (_cross(e.a, e.b, g.a) * _cross(e.a, e.b, g.b) < 0) & (_cross(g.a, g.b, e.a) * _cross(g.a, g.b, e.b) < 0)
 
-    apart = lambda i, j: (j - i >= 2) & ((j + 1) % n != i)
-    every = F.sequence(F.lit(0), n - 1)
-    found = F.exists(every, lambda i: F.exists(F.filter(every, lambda j: apart(i, j)), lambda j: crosses(i, j)))
-    return F.when(n < 4, False).otherwise(found)
+    def found(e: Column) -> Column:
+        numbered = F.transform(e, lambda x, i: F.struct(i.alias("i"), x.a.alias("a"), x.b.alias("b")))
+        # edges that share a point never cross properly, so they need no test of their own
+        return let(numbered, lambda n: F.exists(n, lambda x: F.exists(n, lambda y: (y.i > x.i) & crosses(x, y))))
+
+    return F.when(F.size(p) < 4, False).otherwise(let(_edges(p), found))
 
 
 def canonical(p: Column) -> Column:
     """Points by angle about their mean, from the one of least x + y on."""
+
+    def ordered(c: Column) -> Column:
+        keyed = F.transform(p, lambda q, i: F.struct(F.atan2(q.y - c.y, q.x - c.x).alias("angle"), i.alias("i"), q.alias("q")))
+        return F.transform(F.array_sort(keyed), lambda k: k.q)
+
+    def started(o: Column) -> Column:
+        sums = F.transform(o, lambda q: q.x + q.y)
+        return let(sums, lambda s: rotate(o, (F.array_position(s, F.array_min(s)) - 1).cast("int")))
+
     n = F.size(p)
-    mean = lambda part: F.aggregate(p, F.lit(0.0), lambda s, q: s + q[part]) / n
-    keyed = F.transform(p, lambda q, i: F.struct(F.atan2(q.y - mean("y"), q.x - mean("x")).alias("angle"), i.alias("i"), q.alias("q")))
-    ordered = F.transform(F.array_sort(keyed), lambda k: k.q)
-    sums = F.transform(ordered, lambda q: q.x + q.y)
-    start = (F.array_position(sums, F.array_min(sums)) - 1).cast("int")
-    return F.when(n < 3, p).otherwise(rotate(ordered, start))
+    total = F.aggregate(p, point(F.lit(0.0), F.lit(0.0)), lambda s, q: point(s.x + q.x, s.y + q.y))
+    return F.when(n < 3, p).otherwise(let(let(let(total, lambda t: point(t.x / n, t.y / n)), ordered), started))
 
 
 def validity(pairs: Column) -> Column:
     """Null for sound geometry, else the first reason against it; pairs is array<array<double>>."""
-    ordered = canonical(from_pairs(pairs))
     any_value = lambda test: F.exists(pairs, lambda p: F.exists(p, test))
+    shape = lambda o: F.when(self_intersects(o), "self_intersection").when(area(o) < MIN_AREA, "area_too_small")
     return (
         F.when(pairs.isNull() | (F.size(pairs) < 3), "fewer_than_three_points")
         .when(F.exists(pairs, lambda p: p.isNull() | (F.size(p) != 2)), "invalid_point")
         .when(any_value(lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), "non_finite_coordinate")
         .when(any_value(lambda v: (v < 0) | (v > 1)), "coordinate_out_of_bounds")
-        .when(self_intersects(ordered), "self_intersection")
-        .when(area(ordered) < MIN_AREA, "area_too_small")
+        .otherwise(let(canonical(from_pairs(pairs)), shape))
     )
 
 
@@ -101,32 +109,35 @@ def clip(subject: Column, window: Column) -> Column:
     """The part of one convex polygon inside another: one half-plane cut for each edge of window."""
 
     def cut(poly: Column, edge: Column) -> Column:
-        side = lambda q: _cross(edge.a, edge.b, q)
+        sided = F.transform(poly, lambda q: F.struct(q.x.alias("x"), q.y.alias("y"), _cross(edge.a, edge.b, q).alias("side")))
 
         def step(e: Column) -> Column:
-            u, v = side(e.a), side(e.b)
-            t = F.try_divide(u, u - v)
+            t = F.try_divide(e.a.side, e.a.side - e.b.side)
             met = point(e.a.x + t * (e.b.x - e.a.x), e.a.y + t * (e.b.y - e.a.y))
-            here = F.when(u >= 0, F.array(e.a)).otherwise(F.slice(F.array(e.a), 1, 0))
-            return F.when((u >= 0) != (v >= 0), F.concat(here, F.array(met))).otherwise(here)
+            here = point(e.a.x, e.a.y)
+            inside, leaves = e.a.side >= 0, (e.a.side >= 0) != (e.b.side >= 0)
+            return F.when(inside & leaves, F.array(here, met)).when(inside, F.array(here)).when(leaves, F.array(met)).otherwise(F.slice(F.array(here), 1, 0))
 
-        return F.flatten(F.transform(_edges(poly), step))
+        return let(sided, lambda s: F.flatten(F.transform(_edges(s), step)))
 
     return F.aggregate(_edges(_upright(window)), _upright(subject), cut)
 
 
 def iou(a: Column, b: Column) -> Column:
     """Common over joint area of two convex polygons; zero where that is empty."""
-    common = area(clip(a, b))
-    return F.coalesce(F.try_divide(common, area(a) + area(b) - common), F.lit(0.0))
+    joint = lambda common: F.coalesce(F.try_divide(common, area(a) + area(b) - common), F.lit(0.0))
+    return let(area(clip(a, b)), joint)
 
 
 def coverage(a: Column, b: Column) -> Column:
     """Shares of a and of b that the other covers; zeros where either is empty."""
-    common = area(clip(a, b))
-    fine = (area(a) > 0) & (area(b) > 0)
-    share = lambda x: F.when(fine, F.try_divide(common, area(x))).otherwise(0.0)
-    return F.struct(share(a).alias("first"), share(b).alias("second"))
+
+    def shares(v: Column) -> Column:
+        fine = (v.a > 0) & (v.b > 0)
+        share = lambda x: F.when(fine, F.try_divide(v.common, x)).otherwise(0.0)
+        return F.struct(share(v.a).alias("first"), share(v.b).alias("second"))
+
+    return let(F.struct(area(clip(a, b)).alias("common"), area(a).alias("a"), area(b).alias("b")), shares)
 
 
 def contains(p: Column, x: Column, y: Column) -> Column:

@@ -91,10 +91,32 @@ def confirm_tracks(detections: DataFrame, camera: str, frame_no: str, at: float
 
 # ---- grouped steps -------------------------------------------------------------------------
 
+EDGES = ("x1", "y1", "x2", "y2")
+
+
+def _flat(rows: DataFrame, frame: str) -> DataFrame:
+    """Long ids, the edges as columns of their own, and the batch of frames a row belongs to."""
+    batches = 16 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    batch = F.pmod(F.xxhash64(frame), F.lit(batches)).cast("int").alias("batch")
+    edges = [F.col("box")[e].alias(e) for e in EDGES]
+    return rows.select(batch, F.col(frame).cast("long").alias(frame), F.col("box_id").cast("long"), F.col("score").cast("double"), *edges)
+
+
+def _frames(table: pa.Table, frame: str) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, scores, boxes) of each frame of a batch, ids ascending."""
+    if not table.num_rows:
+        return {}
+    table = table.sort_by([(frame, "ascending"), ("box_id", "ascending")])
+    keys, edges = table[frame].to_numpy(), np.stack([table[e].to_numpy() for e in EDGES], axis=1)
+    ids, scores = table["box_id"].to_numpy(), table["score"].to_numpy()
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0]))
+    spans = zip(begins.tolist(), np.append(begins[1:], len(keys)).tolist(), strict=True)
+    return {int(keys[a]): (ids[a:b], scores[a:b], edges[a:b]) for a, b in spans}
+
 
 def _boxes(table: pa.Table, column: str = "box") -> np.ndarray:
     boxes_ = table[column].combine_chunks()
-    return np.stack([boxes_.field(n).to_numpy(zero_copy_only=False) for n in ("x1", "y1", "x2", "y2")], axis=1) if len(boxes_) else np.empty((0, 4))
+    return np.stack([boxes_.field(n).to_numpy(zero_copy_only=False) for n in EDGES], axis=1) if len(boxes_) else np.empty((0, 4))
 
 
 def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -111,18 +133,22 @@ def suppress(boxes_: DataFrame, frame: str, threshold: float) -> DataFrame:
     """Greedy suppression: by falling score, ties by box_id, a box goes if a kept one overlaps it by threshold."""
 
     def keep(group: pa.Table) -> pa.Table:
-        order = np.lexsort((group["box_id"].to_numpy(), -group["score"].to_numpy()))
-        overlap = iou_matrix(_boxes(group), _boxes(group)) >= threshold
-        alive, kept = np.ones(len(order), bool), []
-        for i in order:
-            if alive[i]:
-                kept.append(i)
-                alive &= ~overlap[i]
-        return group.select([frame, "box_id", "score"]).take(pa.array(np.sort(kept)))
+        out: list[tuple] = []
+        for key, (ids, scores, edges) in _frames(group, frame).items():
+            overlap = iou_matrix(edges, edges) >= threshold
+            alive = np.ones(len(ids), bool)
+            for i in np.argsort(-scores, kind="stable").tolist():
+                if alive[i]:
+                    out.append((key, int(ids[i]), float(scores[i])))
+                    alive &= ~overlap[i]
+        return _columns(out, [(frame, pa.int64()), ("box_id", pa.int64()), ("score", pa.float64())])
 
-    rows = boxes_.select(frame, "box_id", "score", "box")
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(frame).applyInArrow(keep, f"{frame} {kinds[frame]}, box_id {kinds['box_id']}, score double")
+    return _flat(boxes_, frame).groupBy("batch").applyInArrow(keep, f"{frame} long, box_id long, score double")
+
+
+def _columns(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [[] for _ in kinds]
+    return pa.table([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
 
 
 def match(predicted: DataFrame, truth: DataFrame, frame: str, at: float, order: str = "by_prediction", tie: str = "first") -> DataFrame:
@@ -132,36 +158,43 @@ def match(predicted: DataFrame, truth: DataFrame, frame: str, at: float, order:
     pairs by falling overlap. tie says which of equal truths is taken, "first" or "last". Returns
     (frame, predicted_id, truth_id, overlap), one id null for those without a partner.
     """
+    nothing = (np.empty(0, np.int64), np.empty(0), np.empty((0, 4)))
 
-    def pair(p: pa.Table, t: pa.Table) -> pa.Table:
-        pid, tid = p["box_id"].to_numpy(), t["box_id"].to_numpy()
-        p_order, t_order = np.lexsort((pid, -p["score"].to_numpy())), np.argsort(tid)
-        overlap = iou_matrix(_boxes(p)[p_order], _boxes(t)[t_order])
-        pid, tid = pid[p_order], tid[t_order]
-        found: dict[int, tuple[int, float]] = {}
-        free = np.ones(len(tid), bool)
+    def partners(overlap: np.ndarray) -> dict[int, int]:
+        found: dict[int, int] = {}
+        free = np.ones(overlap.shape[1], bool)
         if order == "by_overlap":
-            i, j = np.unravel_index(np.argsort(-overlap, axis=None, kind="stable"), overlap.shape)
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            for k in np.argsort(-overlap, axis=None, kind="stable").tolist():
+                a, b = divmod(k, overlap.shape[1])
                 if overlap[a, b] >= at and a not in found and free[b]:
-                    found[a], free[b] = (b, overlap[a, b]), False
-        else:
-            for a in range(len(pid)):
-                left = np.flatnonzero(free)
-                if not len(left):
-                    break
-                row = overlap[a, left]
-                b = left[row.argmax()] if tie == "first" else left[len(row) - 1 - row[::-1].argmax()]
-                if overlap[a, b] >= at and overlap[a, b] > 0:
-                    found[a], free[b] = (int(b), overlap[a, b]), False
-        key = (p if p.num_rows else t)[frame][0].as_py()
-        rows = [(key, int(pid[a]), int(tid[found[a][0]]) if a in found else None, float(found[a][1]) if a in found else None) for a in range(len(pid))]
-        rows += [(key, None, int(tid[b]), None) for b in np.flatnonzero(free)]
-        columns = list(zip(*rows, strict=True)) or [[]] * 4
-        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=[frame, "predicted_id", "truth_id", "overlap"])
-
-    long_ids = lambda df: df.select(F.col(frame).cast("long"), F.col("box_id").cast("long"), F.col("score").cast("double"), "box")
-    left, right = long_ids(predicted).groupBy(frame), long_ids(truth).groupBy(frame)
+                    found[a], free[b] = b, False
+            return found
+        for a in range(len(overlap)):
+            left = np.flatnonzero(free)
+            if not len(left):
+                break
+            row = overlap[a, left]
+            b = int(left[row.argmax()] if tie == "first" else left[len(row) - 1 - row[::-1].argmax()])
+            if overlap[a, b] >= at and overlap[a, b] > 0:
+                found[a], free[b] = b, False
+        return found
+
+    def pair(p: pa.Table, t: pa.Table) -> pa.Table:
+        ours, theirs = _frames(p, frame), _frames(t, frame)
+        out: list[tuple] = []
+        for key in ours.keys() | theirs.keys():
+            pid, scores, a = ours.get(key, nothing)
+            tid, _, b = theirs.get(key, nothing)
+            by_score = np.argsort(-scores, kind="stable")
+            pid, overlap = pid[by_score], iou_matrix(a[by_score], b)
+            found = partners(overlap)
+            for i, one in enumerate(pid.tolist()):
+                j = found.get(i)
+                out.append((key, one, None if j is None else int(tid[j]), None if j is None else float(overlap[i, j])))
+            out += [(key, None, int(tid[j]), None) for j in range(len(tid)) if j not in set(found.values())]
+        return _columns(out, [(frame, pa.int64()), ("predicted_id", pa.int64()), ("truth_id", pa.int64()), ("overlap", pa.float64())])
+
+    left, right = _flat(predicted, frame).groupBy("batch"), _flat(truth, frame).groupBy("batch")
     return left.cogroup(right).applyInArrow(pair, f"{frame} long, predicted_id long, truth_id long, overlap double")
 
 

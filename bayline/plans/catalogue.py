@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from bayline.plans import observations, runs
+from bayline.plans import catalogues, observations, runs, scenes
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (runs, observations):
+for _module in (runs, observations, catalogues, scenes):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
