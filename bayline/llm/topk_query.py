@@ -18,7 +18,7 @@ QUERIES = {"op4_threshold_topk": op4_threshold_topk}
 ORACLES = {
     "op4_threshold_topk": """
 WITH v AS (
-  SELECT vec_id, unnest(list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT))) AS x,
+  SELECT vec_id, unnest([CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding]) AS x,
          unnest(range(len(embedding))) AS i
   FROM embeddings),
 s AS (
