@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from bayline.functions import polygons
 from bayline.functions.text import capture_stem, occupancy_label
 
 CORNERS = "array<array<double>>"
 SLOT = f"struct<id:string,polygon:{CORNERS},occupied:boolean,geometry_area:double>"
-SCENARIO = T.StructType.fromDDL(
+SCENARIO = (
     "schema_version int, id string, dataset string, lot string, condition string, split string, image_path string, image_width int, image_height int,"
     f" total_spaces int, occupied_spaces int, vacant_spaces int, source_sha256 string, perceptual_hash string, slots array<{SLOT}>"
 )
@@ -19,7 +18,7 @@ SCENARIO = T.StructType.fromDDL(
 CAMERA_WIDTH, CAMERA_HEIGHT = 2592.0, 1944.0
 
 
-def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row for each line that is not blank; malformed lines fail."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
@@ -29,9 +28,9 @@ def catalogue(spark: SparkSession, path: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-        return spark.createDataFrame([], T.StructType([T.StructField("position", T.IntegerType()), *SCENARIO.fields]))
-    document = T.StructType([T.StructField("schema_version", T.IntegerType()), T.StructField("scenarios", T.ArrayType(SCENARIO))])
-    rows = spark.read.schema(document).option("multiLine", True).json(path)
+        return spark.createDataFrame([], f"position int, {SCENARIO}")
+    fields = ",".join(f.strip().replace(" ", ":", 1) for f in SCENARIO.split(", "))
+    rows = spark.read.schema(f"schema_version int, scenarios array<struct<{fields}>>").option("multiLine", True).json(path)
     return rows.select(F.posexplode("scenarios").alias("position", "s")).select("position", "s.*")
 
 
