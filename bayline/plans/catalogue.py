@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from bayline.plans import catalogues, observations, runs, scenes
+from bayline.plans import catalogues, comparisons, observations, runs, scenes
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (runs, observations, catalogues, scenes):
+for _module in (runs, observations, catalogues, scenes, comparisons):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
