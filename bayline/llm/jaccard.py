@@ -32,16 +32,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bayline.llm.components import connected_components
+from bayline.llm.frequent import most_frequent
 from bayline.llm.hashing import mix, shingle_hashes, text_buffers, word_hashes
 from bayline.llm.store import materialise
 
 HOT, HOT_LIST = 32, 500_000
 BUCKET = 64
-TILE = 1024
+TILE = 512
 #: Bits of the filter that keeps the sets of nodes without candidates from being sent.
 FILTER_BITS = 1 << 24
 REMEMBERED = 500_000
-_CELLS = 1 << 25
+_CELLS = 1 << 22
+#: Bytes of sets that a task gathers before it hands them on.
+_PIECE = 4 << 20
 
 
 class Similarity:
@@ -132,7 +135,7 @@ def hot_shingles(sets: DataFrame) -> np.ndarray:
     """The shingles that stand among the least hashes of more than HOT nodes, ascending."""
     lows = sets.where("low is not null").groupBy("node").agg(F.first("low").alias("low"))
     counts = lows.select("low").mapInArrow(_unpack([]), "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
-    top = counts.where(F.col("n") > HOT).orderBy(F.desc("n"), "shingle").limit(HOT_LIST).select("shingle").toArrow()
+    top = most_frequent(counts.where(F.col("n") > HOT), HOT_LIST).select("shingle").toArrow()
     return np.sort(top["shingle"].to_numpy().view(np.uint64))
 
 
@@ -225,13 +228,24 @@ def verified_edges(docs: DataFrame, members: DataFrame, rule: Similarity, text:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = _Sent()
+        nodes, packed, size = [], [], 0
+
+        def rows() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], ["node", "shingles"])
+            nodes.clear()
+            packed.clear()
+            return out
+
         for batch in batches:
-            nodes, packed = [], []
             for s in _sets(batch.column(0), rule.n):
                 if len(s) and sent.first(node := set_key(s)):
                     nodes.append(node)
                     packed.append(s.tobytes())
-            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], ["node", "shingles"])
+                    size += s.nbytes
+                    if size > _PIECE:
+                        yield rows()
+                        size = 0
+        yield rows()
 
     @F.arrow_udf("boolean")
     def kept(*bits: pa.Array) -> pa.Array:
