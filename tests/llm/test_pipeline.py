@@ -1,0 +1,83 @@
+"""Each stage of the pipeline against a plain version of what it decides."""
+
+import collections
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from bayline.llm import secrets
+from tests.llm.test_queries import brute_components
+
+
+@pytest.fixture(scope="module")
+def stages(spark, sf_dir, tmp_path_factory):
+    """(rows in, rows out) of every stage, written and read again in between."""
+    folder = tmp_path_factory.mktemp("stages")
+    docs, out = spark.read.parquet(f"{sf_dir}/documents.parquet"), {}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        found = stage(spark, docs, sf_dir)
+        if i + 1 < len(corpus_pipeline.STAGES):
+            assert found.columns == docs.columns, name
+        found.write.parquet(f"file://{folder}/{i}")
+        after = spark.read.parquet(f"file://{folder}/{i}")
+        out[i] = ({r.doc_id: r for r in docs.collect()}, {r.doc_id: r for r in after.collect()})
+        docs = after
+    return out
+
+
+def test_the_stages_are_five():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "secret scans", "mixing sources to target weights", "BPE encoding and decoding"]
+
+
+def test_quality_drops_what_is_labelled_poor(spark, sf_dir, stages):
+    before, after = stages[0]
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    good = [i for i in before if i in labels and labels[i].quality == 1]
+    poor = [i for i in before if i in labels and labels[i].quality == 0]
+    assert sum(i in after for i in good) >= 0.98 * len(good) and sum(i in after for i in poor) <= 0.1 * len(poor)
+
+
+def test_one_document_of_each_component_stays(stages):
+    before, after = stages[1]
+    rows = [(i, r.text) for i, r in sorted(before.items())]
+    expected = {i for i, n, c in brute_components(rows, 5, 80, 100) if i == c}
+    assert set(after) == expected and all(after[i] == before[i] for i in after)
+
+
+def test_no_secret_is_left(stages):
+    before, after = stages[2]
+    assert set(before) == set(after)
+    import pyarrow as pa
+
+    left = secrets.scan_column(pa.array([r.text for r in after.values()]))
+    assert not any(k in ("access", "hex", "forge") for spans in left for _, _, k in spans)
+    changed = [i for i in before if before[i].text != after[i].text]
+    found = dict(zip(before, secrets.scan_column(pa.array([r.text for r in before.values()])), strict=True))
+    assert set(changed) == {i for i, spans in found.items() if spans}
+    assert all(after[i].n_chars == len(after[i].text) for i in changed)
+
+
+def test_the_mixture_keeps_clean_documents(spark, sf_dir, stages):
+    before, after = stages[3]
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    clean = [i for i in before if i in labels and labels[i].toxic == 0 and labels[i].quality == 1]
+    toxic = [i for i in before if i in labels and labels[i].toxic == 1]
+    assert sum(i in after for i in clean) >= 0.98 * len(clean)
+    assert sum(i in after for i in toxic) <= 0.5 * len(toxic)
+
+
+def test_ids_are_those_of_the_library(stages):
+    before, after = stages[4]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert set(before) == set(after)
+    for i, r in after.items():
+        assert r.ids == library.encode(before[i].text, add_special_tokens=False).ids and r.n_tokens == len(r.ids)
+
+
+def test_odd_rows_and_empty_tables_pass(spark, odd_dir, empty_dir):
+    found = corpus_pipeline.run(spark, odd_dir).collect()
+    kept = collections.Counter(r.doc_id for r in found if r.doc_id is not None)
+    assert all(n == 1 for n in kept.values())
+    assert corpus_pipeline.run(spark, empty_dir).count() == 0
