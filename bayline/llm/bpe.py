@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import tempfile
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -29,12 +31,16 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from bayline.llm import transducer
+from bayline.llm.frequent import most_frequent
 
 LEXICON = 1 << 16
 #: Words a worker remembers or counts before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Texts encoded at once.
+ROWS = 512
 NO_RANK = np.iinfo(np.int32).max
 #: White space as the tokenizer's own engine knows it.
 _SPACE = r"[\t-\r \x85\xa0  -     　]"
@@ -73,23 +79,30 @@ class Vocabulary:
         self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.pattern = regex.compile(word_pattern())
+        self.narrow = re.compile(narrow_pattern())
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
     def words(self, text: str) -> list[str]:
         """The words of a text; an added token's text is one word."""
+        find = self.pattern.findall
+        try:
+            text.encode("latin-1")
+            find = self.narrow.findall
+        except UnicodeEncodeError:
+            pass
         if self.cut is None or not any(t in text for t in self.added):
-            return self.pattern.findall(text)
+            return find(text)
         out: list[str] = []
         for part in self.cut.split(text):
-            out += [part] if part in self.added else self.pattern.findall(part)
+            out += [part] if part in self.added else find(part)
         return out
 
-    def merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of each word by merging pairs in the order of the merge list, all words at once."""
-        out: list = [()] * len(words)
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Merge pairs in the order of the merge list, in all words at once: (ids, ids of each word)."""
         lengths = np.array([len(w) for w in words], np.int64)
         symbols = self.first[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), lengths)
+        finished: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
             key = symbols[:-1] << 32 | symbols[1:]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -97,23 +110,21 @@ class Vocabulary:
             known = (self.keys[at] == key) & (word[:-1] == word[1:])
             rank[:-1][known] = self.ranks[at[known]]
             begins = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            best = np.minimum.reduceat(rank, begins)
-            sizes = np.diff(np.append(begins, len(word)))
-            done = best == NO_RANK
-            for b, n in zip(begins[done].tolist(), sizes[done].tolist(), strict=True):
-                out[word[b]] = tuple(symbols[b : b + n].tolist())
-            low = np.repeat(best, sizes)
-            hit = (rank == low) & (low != NO_RANK)
-            # of pairs that overlap, as in aaa, every second one from the left
-            i = np.flatnonzero(hit)
-            run = np.flatnonzero(np.concatenate([[True], np.diff(i) != 1])) if len(i) else i
-            place = np.arange(len(i)) - np.repeat(run, np.diff(np.append(run, len(i)))) if len(i) else i
-            i = i[place % 2 == 0]
-            symbols[i] = self.merged[rank[i]]
-            keep = low != NO_RANK
+            low = np.repeat(np.minimum.reduceat(rank, begins), np.diff(np.append(begins, len(word))))
+            done = low == NO_RANK
+            finished.append((word[done], symbols[done]))
+            i = np.flatnonzero((rank == low) & ~done)
+            if len(i):  # of pairs that overlap, as in aaa, every second one from the left
+                run = np.flatnonzero(np.concatenate([[True], np.diff(i) != 1]))
+                place = np.arange(len(i)) - np.repeat(run, np.diff(np.append(run, len(i))))
+                i = i[place % 2 == 0]
+                symbols[i] = self.merged[rank[i]]
+            keep = ~done
             keep[i + 1] = False
             symbols, word = symbols[keep], word[keep]
-        return out
+        owner = np.concatenate([np.empty(0, np.int64), *(w for w, _ in finished)])
+        ids = np.concatenate([np.empty(0, np.int64), *(x for _, x in finished)])
+        return ids[np.argsort(owner, kind="stable")].astype(np.int32), np.bincount(owner, minlength=len(words))
 
 
 def word_pattern() -> str:
@@ -122,6 +133,13 @@ def word_pattern() -> str:
     return rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{inner}\p{{L}}\p{{N}}]+|{_SPACE}+(?![^{inner}])|{_SPACE}+"
 
 
+def narrow_pattern() -> str:
+    """The same for texts whose code points lie below 256, letters and numbers spelled out."""
+    kinds = lambda kind: "".join(rf"\x{i:02x}" for i in range(256) if unicodedata.category(chr(i))[0] == kind)
+    letter, number, inner = kinds("L"), kinds("N"), r"\t-\r \x85\xa0"
+    return rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{inner}{letter}{number}]+|[{inner}]+(?![^{inner}])|[{inner}]+"
+
+
 _vocabularies: dict[str, Vocabulary] = {}
 _lexicons: dict[str, transducer.Transducer] = {}
 
@@ -159,12 +177,13 @@ def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 def compile_lexicon(docs: DataFrame, path: str, size: int = LEXICON, text: str = "text") -> str:
     """Compile the size most frequent words and hand the file to Spark, which gives it to every executor."""
     voc = vocabulary(path)
-    top = word_counts(docs, path, text).orderBy(F.desc("n"), "word").limit(size).select("word").collect()
+    top = most_frequent(word_counts(docs, path, text), size).select("word").collect()
     words = sorted(r.word.encode() for r in top if r.word not in voc.added)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     file = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
     with open(file, "wb") as out:
-        out.write(transducer.build(zip(words, voc.merge(words), strict=True)))
+        ids, sizes = voc.merge(words)
+        out.write(transducer.build(zip(words, map(tuple, np.split(ids, np.cumsum(sizes)[:-1])) if words else (), strict=True)))
     docs.sparkSession.sparkContext.addFile(file)
     return name
 
@@ -197,13 +216,16 @@ class Encoder:
         if not fresh:
             return
         words = [w.encode() for w in fresh]
-        found = self.lexicon.lookup(words) if self.lexicon else [None] * len(words)
-        rest = [i for i, (w, x) in enumerate(zip(fresh, found, strict=True)) if x is None and w not in self.voc.added]
-        for i, ids in zip(rest, self.voc.merge([words[i] for i in rest]), strict=True):
-            found[i] = ids
-        found = [(self.voc.added[w],) if x is None else x for w, x in zip(fresh, found, strict=True)]
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.int32)])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in found])])
+        found, ids, sizes = self.lexicon.lookup(words) if self.lexicon else (np.zeros(len(words), bool), np.empty(0, np.int32), np.zeros(len(words), np.int64))
+        added = np.array([self.voc.added.get(w, -1) for w in fresh] if self.voc.added else [-1] * len(fresh))
+        rest = np.flatnonzero(~found & (added < 0))
+        merged, merged_sizes = self.voc.merge([words[i] for i in rest])
+        special = np.flatnonzero(added >= 0)
+        sizes[rest], sizes[special] = merged_sizes, 1
+        owner = np.concatenate([np.repeat(np.flatnonzero(found), sizes[found]), np.repeat(rest, merged_sizes), special])
+        ids = np.concatenate([ids, merged, added[special].astype(np.int32)])[np.argsort(owner, kind="stable")]
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's end)."""
@@ -221,26 +243,24 @@ class Encoder:
         return ids, np.concatenate([[0], ends])[np.cumsum([0, *(len(p) for p in parts)])]
 
 
-_encoders: dict[str, Encoder] = {}
+def _open_encoder(path: str, lexicon: str) -> Encoder:
+    return Encoder(path, transducer.Transducer.map(SparkFiles.get(lexicon)))
 
 
-def _encoder(path: str, name: str) -> Encoder:
-    if name not in _encoders:
-        _encoders.clear()
-        _encoders[name] = Encoder(path, transducer.Transducer.map(SparkFiles.get(name)))
-    return _encoders[name]
+def _encode_array(encoder: Encoder, texts: pa.Array) -> pa.Array:
+    ids, ends = encoder.encode(texts.to_pylist())
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
 
 
 def encode_column(text: Column, path: str, lexicon: str) -> Column:
     """The ids of each text of a column, an array of integers; lexicon comes from compile_lexicon()."""
 
     @F.arrow_udf("array<int>")
-    def encode(column: pa.Array) -> pa.Array:
-        encoder, out = _encoder(path, lexicon), []
-        for at in range(0, len(column), 256):
-            ids, ends = encoder.encode(column[at : at + 256].to_pylist())
-            out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())))
-        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+    def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = _open_encoder(path, lexicon)  # what it remembers goes with the task
+        for column in columns:
+            parts = [_encode_array(encoder, column[at : at + ROWS]) for at in range(0, len(column), ROWS)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return encode(text)
 
@@ -253,24 +273,41 @@ def decode_ids(voc: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return voc.bytes[np.repeat(voc.starts[ids] - (ends - sizes), sizes) + np.arange(total)], ends
 
 
+def _decode_array(voc: Vocabulary, lists: pa.Array) -> pa.Array:
+    offsets = lists.offsets.to_numpy()
+    data, ends = decode_ids(voc, lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]])
+    cuts = np.concatenate([[0], ends])[offsets - offsets[0]]
+    flat = data.tobytes()
+    return pa.array([flat[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.string())
+
+
 def decode_column(ids: Column, path: str) -> Column:
     """The text of each array of ids; bytes that are no UTF-8 become replacement marks."""
 
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
-        voc, out = vocabulary(path), []
-        for row in range(len(column)):
-            flat = column[row].values
-            data, _ = decode_ids(voc, flat.to_numpy(zero_copy_only=False)) if flat is not None else (np.empty(0, np.uint8), None)
-            out.append(data.tobytes().decode("utf-8", "replace"))
-        return pa.array(out, pa.string())
+        return _decode_array(vocabulary(path), column)
 
     return decode(ids)
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, size: int = LEXICON) -> DataFrame:
-    """docs with the columns ids (array<int>) and decoded (string)."""
+    """docs with the columns ids (array<int>) and decoded (string), the text that these ids give.
+
+    Columns of docs with these names are replaced.
+    """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
+    docs = docs.drop("ids", "decoded")
     lexicon = compile_lexicon(docs, path, size)
-    encoded = docs.withColumn("ids", encode_column(F.col("text"), path, lexicon))
-    return encoded.withColumn("decoded", decode_column(F.col("ids"), path))
+    schema = StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
+    at = docs.columns.index("text")
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, names = _open_encoder(path, lexicon), schema.names
+        for batch in batches:
+            for row in range(0, batch.num_rows, ROWS):
+                part = batch.slice(row, ROWS)
+                ids = _encode_array(encoder, part.column(at))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, _decode_array(encoder.voc, ids)], names)
+
+    return docs.mapInArrow(both, schema)

@@ -122,8 +122,8 @@ class Transducer:
         with open(path, "rb") as file:
             return cls(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
 
-    def lookup(self, words: list[bytes]) -> list[Ids | None]:
-        """The ids of each word; None for those that the lexicon lacks."""
+    def lookup(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(found, ids, ids of each word): whether the lexicon has each word, and the ids of those it has."""
         lengths = np.array([len(w) for w in words], np.int64)
         starts = np.cumsum(lengths) - lengths
         data = np.frombuffer(b"".join(words), np.uint8)
@@ -137,18 +137,23 @@ class Transducer:
                 break
             key = state[alive] << 8 | data[starts[alive] + depth]
             arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            found = self.keys[arc] == key
-            state[alive[~found]] = -1
-            alive, arc = alive[found], arc[found]
+            same = self.keys[arc] == key
+            state[alive[~same]] = -1
+            alive, arc = alive[same], arc[same]
             state[alive] = self.targets[arc]
-            given = self.outputs[arc]
-            some = self.ends[given + 1] > self.ends[given]
-            met.append((alive[some], given[some]))
+            met.append((alive, self.outputs[arc]))
             depth += 1
-        out: list = [() if s >= 0 and self.rests[s] >= 0 else None for s in state.tolist()]
-        met.append((np.arange(len(words)), np.where(state >= 0, self.rests[state], -1)))
-        for rows, given in met:
-            for row, g in zip(rows.tolist(), given.tolist(), strict=True):
-                if g >= 0 and out[row] is not None:
-                    out[row] += tuple(self.pool[self.ends[g] : self.ends[g + 1]].tolist())
-        return out
+        if not len(self.keys):
+            state[lengths > 0] = -1
+        rest = np.where(state >= 0, self.rests[state], -1)
+        found = rest >= 0
+        met.append((np.flatnonzero(found), rest[found]))
+        row = np.concatenate([r for r, _ in met])
+        given = np.concatenate([g for _, g in met])
+        order = np.argsort(row, kind="stable")  # ids of a word in the order of its letters
+        row, given = row[order], given[order]
+        row, given = row[found[row]], given[found[row]]
+        sizes = self.ends[given + 1] - self.ends[given]
+        ends = np.cumsum(sizes)
+        ids = self.pool[np.repeat(self.ends[given] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        return found, ids, np.bincount(row, sizes, len(words)).astype(np.int64)
