@@ -22,17 +22,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bayline.llm.hashing import mix, text_buffers
+from bayline.llm.hashing import text_buffers
 from bayline.llm.linear import bounded_sample, fit, sigmoid
 
-SAMPLE, PER_LANGUAGE = 4000, 1000
-BUCKETS = 1 << 12
+SAMPLE, PER_LANGUAGE = 2400, 600
+BUCKET_BITS = 12
+BUCKETS = 1 << BUCKET_BITS
 SIZES = (1, 2, 3)
 AMBIGUOUS = 1.0
-#: Bytes of a long text whose n-grams are hashed at once.
-PIECE = 1 << 20
+#: Bytes whose n-grams are hashed at once, and texts whose counts are weighed at once.
+PIECE, ROWS = 1 << 20, 256
 UNKNOWN = "und"
-_SALT = np.uint64(0x51ED270B9F5A3C1D)
 
 
 def codewords(n: int, seed: int = 9) -> np.ndarray:
@@ -55,11 +55,11 @@ def ngram_buckets(data: np.ndarray, size: int) -> np.ndarray:
     """The bucket of the n-gram that begins at each byte of data."""
     n = len(data) - size + 1
     if n <= 0:
-        return np.empty(0, np.int64)
-    key = np.full(n, size, np.uint64)
+        return np.empty(0, np.uint32)
+    key = np.full(n, size, np.uint32)
     for i in range(size):
-        key = key << np.uint64(8) | data[i : i + n].astype(np.uint64)
-    return (mix(key ^ _SALT) % np.uint64(BUCKETS)).astype(np.int64)
+        key = key << np.uint32(8) | data[i : i + n]
+    return (key * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS)
 
 
 def bucket_counts(data: np.ndarray) -> np.ndarray:
@@ -88,26 +88,23 @@ class LanguageModel:
 
     def margins(self, column: pa.Array) -> np.ndarray:
         """The margin of each bit for each text of a column."""
-        out = []
-        table = self.weights.astype(np.float32)
-        for first, last, data, offsets in text_buffers(column, max(1 << 16, (1 << 23) // table.shape[1])):
-            lengths = np.diff(offsets)
-            if last - first == 1:
-                out.append((frequencies(data) @ self.weights + self.intercepts)[None])
-                continue
-            total = np.zeros((last - first, table.shape[1]))
-            for size in SIZES:
-                bucket = ngram_buckets(data, size)
-                begin = offsets[:-1]
-                inside = lengths >= size  # n-grams that reach into the next text are not counted
-                if not inside.any():
-                    continue
-                running = np.zeros((len(bucket) + 1, table.shape[1]))
-                np.cumsum(table[bucket], axis=0, out=running[1:])
-                total[inside] += running[offsets[1:][inside] - size + 1] - running[begin[inside]]
-            grams = sum(np.maximum(lengths - size + 1, 0) for size in SIZES)
-            out.append(total / np.maximum(grams, 1)[:, None] + self.intercepts)
-        return np.concatenate(out) if out else np.empty((0, table.shape[1]))
+        out = [np.empty((0, len(self.intercepts)))]
+        for _, _, data, offsets in text_buffers(column, PIECE):
+            buckets = [ngram_buckets(data, size) for size in SIZES] if len(offsets) > 2 else []
+            counts = np.zeros((min(ROWS, len(offsets) - 1), BUCKETS))
+            for row, (begin, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                if buckets:  # n-grams that reach into the next text are not counted
+                    total = counts[row % ROWS]
+                    total[:] = 0
+                    for size, found in zip(SIZES, buckets, strict=True):
+                        if end - begin >= size:
+                            total += np.bincount(found[begin : end - size + 1], minlength=BUCKETS)
+                else:
+                    counts[0] = bucket_counts(data)
+                if row % ROWS == ROWS - 1 or row == len(offsets) - 2:
+                    part = counts[: row % ROWS + 1]
+                    out.append(part @ self.weights / np.maximum(part.sum(axis=1), 1)[:, None] + self.intercepts)
+        return np.concatenate(out)
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language number, score, ambiguous) by least logistic loss of the codeword's bits."""
