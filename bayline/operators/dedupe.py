@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bayline.functions.hashing import hamming_hex64, hash_bands
@@ -40,11 +39,15 @@ def hamming_pairs(rows: DataFrame, key: str, hashed: str, most: int = 3) -> Data
 
 
 def first_partition_wins(rows: DataFrame, digest: str, partition: str, rank: Mapping[str, int]) -> DataFrame:
-    """Rows of equal digest stay in their first partition by rank only."""
+    """Rows of equal digest stay in their first partition by rank only; rows without a digest all stay.
+
+    Partitions that rank lacks come last.
+    """
     ranks = [F.lit(x) for pair in rank.items() for x in pair]
-    order = F.try_element_at(F.create_map(*ranks), F.col(partition))
-    ranked = rows.withColumn("__rank", order)
-    return ranked.withColumn("__least", F.min("__rank").over(W.partitionBy(digest))).where("__rank = __least").drop("__rank", "__least")
+    order = F.coalesce(F.try_element_at(F.create_map(*ranks), F.col(partition)), F.lit(max(rank.values()) + 1))
+    ranked = rows.where(F.col(digest).isNotNull()).withColumn("__rank", order)
+    least = ranked.groupBy(digest).agg(F.min("__rank").alias("__rank"))
+    return ranked.join(least, [digest, "__rank"]).select(rows.columns).unionByName(rows.where(F.col(digest).isNull()))
 
 
 def quarantine(rows: DataFrame, key: str, digest: str, hashed: str, partition: str, order: tuple[str, ...] = ("holdout", "validation", "train"), most: int = 3) -> DataFrame:
@@ -71,5 +74,5 @@ def first_source_wins(*sources: DataFrame, key: list[str]) -> DataFrame:
     union = tagged[0]
     for t in tagged[1:]:
         union = union.unionByName(t, allowMissingColumns=True)
-    first = F.row_number().over(W.partitionBy(*key).orderBy("__source"))
-    return union.withColumn("__n", first).where("__n = 1").drop("__n", "__source")
+    first = F.min_by(F.struct(*union.columns), "__source")
+    return union.groupBy(*key).agg(first.alias("__row")).select("__row.*").drop("__source")

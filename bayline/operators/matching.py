@@ -10,7 +10,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bayline.functions import boxes, polygons
@@ -83,8 +82,8 @@ def confirm_tracks(detections: DataFrame, camera: str, frame_no: str, at: float
         part = part.select(f"now.{camera}", f"now.{frame_no}", "now.box_id", F.col(f"then.{frame_no}").alias("seen_in"))
         seen = part if seen is None else seen.unionByName(part)
     counted = seen.groupBy(camera, frame_no, "box_id").agg(F.count_distinct("seen_in").alias("before"))
-    first = F.min(frame_no).over(W.partitionBy(camera))
-    marked = detections.join(counted, [camera, frame_no, "box_id"], "left").withColumn("first", first)
+    first = detections.groupBy(camera).agg(F.min(frame_no).alias("first"))
+    marked = detections.join(counted, [camera, frame_no, "box_id"], "left").join(first, camera)
     sightings = F.coalesce("before", F.lit(0)) + 1
     return marked.select(camera, frame_no, "box_id", ((F.col(frame_no) - F.col("first") < required - 1) | (sightings >= required)).alias("confirmed"))
 
