@@ -47,3 +47,18 @@ def partition_70_15_15(key: Column, seed: str | int) -> Column:
     """train, validation or test by hash in the shares 70, 15 and 15 per cent."""
     m = score_mod(key, seed, 100)
     return F.when(m < 70, "train").when(m < 85, "validation").otherwise("test")
+
+
+def camera_split(dataset: Column, source_id: Column, partition: Column, seed: str | int, held_of_1000: int = 150) -> Column:
+    """One of four splits that keep a camera's images apart from unseen cameras'.
+
+    Validation and holdout sources are of unseen cameras. Every image of ACPDS is a camera of its
+    own, so it trains; of other cameras' images a share by hash is held out.
+    """
+    return (
+        F.when(partition == "validation", "val_unseen")
+        .when(partition == "holdout", "test_unseen")
+        .when(dataset == "ACPDS", "train")
+        .when(score_mod(source_id, seed, 1000) < held_of_1000, "val_known")
+        .otherwise("train")
+    )

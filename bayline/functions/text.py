@@ -12,9 +12,8 @@ def slug(x: Column) -> Column:
 
 
 def safe_name(x: Column, fallback: str = "upload", limit: int = 180) -> Column:
-    """A file name of letters, digits, dots, hyphens and underscores."""
-    leaf = F.element_at(F.split(F.regexp_replace(x, r"\\", "/"), "/"), -1)
-    clean = F.regexp_replace(F.regexp_replace(leaf, "[^A-Za-z0-9._-]+", "_"), "^[._]+|[._]+$", "")
+    """The leaf of a path with anything but letters, digits, dots, spaces, hyphens and underscores replaced."""
+    clean = F.regexp_replace(F.regexp_replace(leaf(x), "[^A-Za-z0-9._ -]+", "_"), "^[ .]+|[ .]+$", "")
     return F.coalesce(F.nullif(F.substring(clean, 1, limit), F.lit("")), F.lit(fallback))
 
 
@@ -34,11 +33,15 @@ def capture_stem(moment: Column) -> Column:
     return F.replace(moment, F.lit("."), F.lit(""))
 
 
-def capture_key(source: Column) -> Column:
-    """A sortable time key from an id like .../2013-02-22_06_15_00; the id itself without one."""
-    found = r"(\d{4}-\d{2}-\d{2})_(\d{2})_(\d{2})_(\d{2})"
-    key = F.concat(F.regexp_extract(source, found, 1), F.lit("-"), *(F.regexp_extract(source, found, i) for i in (2, 3, 4)))
-    return F.when(source.rlike(found), key).otherwise(source)
+#: How ids carry the time of a capture, at their end or anywhere.
+CAPTURE_AT_END = r"(\d{4}-\d{2}-\d{2})_(\d{2})[._-]?(\d{2})(?:[._-]?\d{2})?$"
+CAPTURE_ANYWHERE = r"(\d{4}-\d{2}-\d{2})[_/](\d{2})[._-]?(\d{2})"
+
+
+def capture_key(source: Column, pattern: str = CAPTURE_AT_END) -> Column:
+    """Day, hour and minute of an id as a text that sorts by time; the id itself without them."""
+    key = F.concat(*(F.regexp_extract(source, pattern, i) for i in (1, 2, 3)))
+    return F.when(source.rlike(pattern), key).otherwise(source)
 
 
 def leaf(path: Column) -> Column:

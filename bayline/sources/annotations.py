@@ -95,11 +95,16 @@ def path_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def detector_labels(spark: SparkSession, path: str) -> DataFrame:
-    """file, kind and the corners of label lines: a class and eight numbers, or more of which those follow."""
+    """file, kind and the corners of label lines.
+
+    A line is a class and eight numbers, or a class, a box and four corners with a visibility each;
+    other lines go.
+    """
     lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.split(F.trim("value"), r"\s+").alias("v"))
     number = lambda i: F.col("v")[i].cast("double")
-    corners = F.array(*(polygons.point(number(1 + 2 * i), number(2 + 2 * i)) for i in range(4)))
-    return lines.where(F.size("v") >= 9).select("file", F.col("v")[0].cast("int").alias("kind"), corners.alias("quad"))
+    corners = lambda start, step: F.array(*(polygons.point(number(start + step * i), number(start + 1 + step * i)) for i in range(4)))
+    quad = F.when(F.size("v") == 9, corners(1, 2)).when(F.size("v") == 17, corners(5, 3))
+    return lines.where(F.size("v").isin(9, 17)).select("file", F.col("v")[0].cast("int").alias("kind"), quad.alias("quad"))
 
 
 def coco_boxes(spark: SparkSession, path: str, folded: DataFrame) -> DataFrame:

@@ -43,13 +43,14 @@ def write_label_lines(slots: DataFrame, path: str, style: str = "obb") -> DataFr
 
 
 def label_text(kind: Column, quad: Column, style: str) -> Column:
-    """A label line: obb and seg give the corners, pose the box around them and then the corners."""
+    """A label line: obb and seg give the corners, pose the box around them and then the corners, each marked visible."""
     digits = lambda v: F.format_string("%.6f", v)
     numbers = F.flatten(F.transform(quad, lambda p: F.array(digits(p.x), digits(p.y))))
     if style == "pose":
         b = polygons.bounds(quad)
         around = F.array(*(digits(v) for v in ((b.x1 + b.x2) / 2, (b.y1 + b.y2) / 2, b.x2 - b.x1, b.y2 - b.y1)))
-        numbers = F.concat(around, numbers)
+        seen = F.transform(quad, lambda p: F.array(digits(p.x), digits(p.y), digits(F.lit(2.0))))
+        numbers = F.concat(around, F.flatten(seen))
     return F.concat_ws(" ", kind.cast("string"), F.array_join(numbers, " "))
 
 

@@ -105,7 +105,8 @@ def test_hamming(spark, a, b, bits):
 
 def test_text_keys(spark):
     assert one(spark, text.slug(F.lit("  Hello, World! 42 "))) == "hello-world-42"
-    assert one(spark, text.capture_key(F.lit("UFPR05/Sunny/2013-02-22/2013-02-22_06_15_00"))) == "2013-02-22-061500"
+    assert one(spark, text.capture_key(F.lit("UFPR05/Sunny/2013-02-22/2013-02-22_06_15_00"))) == "2013-02-220615"
+    assert one(spark, text.safe_name(F.lit("a/b c*?.png"))) == "b c_.png" and one(spark, text.safe_name(F.lit("../..."))) == "upload"
     assert one(spark, text.capture_stem(F.lit("2015-11-12_07.09"))) == "2015-11-12_0709"
     assert [one(spark, text.occupancy_label(F.lit(v))) for v in (" 1", "0", "", "x")] == [True, False, None, None]
     assert one(spark, text.safe_relative_path(F.lit("a/b.png"))) and not one(spark, text.safe_relative_path(F.lit("a/../b")))
@@ -164,3 +165,11 @@ def test_frame_verdicts(spark):
 
 def test_calibration_bin_keeps_one_in_the_last_bin(spark):
     assert [one(spark, numbers.calibration_bin(F.lit(c))) for c in (0.0, 0.55, 0.999, 1.0)] == [0, 5, 9, 9]
+
+
+def test_camera_splits(spark):
+    split = lambda d, i, p: hashing.camera_split(F.lit(d), F.col("id").cast("string") if i is None else F.lit(i), F.lit(p), 7)
+    assert one(spark, split("PKLot", "a", "validation")) == "val_unseen" and one(spark, split("PKLot", "a", "holdout")) == "test_unseen"
+    assert one(spark, split("ACPDS", "a", "train")) == "train"
+    held = spark.range(400).select(split("PKLot", None, "train").alias("s")).where("s = 'val_known'").count()
+    assert abs(held / 400 - 0.15) < 0.08

@@ -65,7 +65,9 @@ def test_label_lines_round_trip(spark, tmp_path):
     back = annotations.detector_labels(spark, f"file://{tmp_path}/labels/split=train/image=a").first()
     assert [(p.x, p.y) for p in back.quad] == [tuple(p) for p in quad]
     pose = rows.limit(1).select(reports.label_text(F.col("kind"), F.transform("pairs", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))), "pose").alias("t")).first().t
-    assert pose.split()[:5] == ["0", "0.200000", "0.150000", "0.200000", "0.100000"]
+    assert pose.split()[:8] == ["0", "0.200000", "0.150000", "0.200000", "0.100000", "0.100000", "0.100000", "2.000000"]
+    (tmp_path / "pose.txt").write_text(pose)
+    assert [(p.x, p.y) for p in annotations.detector_labels(spark, f"file://{tmp_path}/pose.txt").first().quad] == [tuple(p) for p in quad]
 
 
 def test_coco_crowds_and_unknown_classes_go(spark, tmp_path):
