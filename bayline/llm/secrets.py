@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -184,16 +183,11 @@ def redact(text: str | None, spans: list) -> str | None:
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """docs with the secrets of text replaced, and n_chars following; other columns as they are."""
-    import pandas as pd
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
-        column = pa.array(texts, pa.string(), from_pandas=True)
-        rows = scan_column(column)
-        return pd.Series(
-            [redact(t, [{"kind": k, "start": a, "end": b} for a, b, k in row]) for t, row in zip(column.to_pylist(), rows, strict=True)],
-            dtype=object,
-        )
+    @F.arrow_udf("string")
+    def cut(column: pa.Array) -> pa.Array:
+        rows = zip(column.to_pylist(), scan_column(column), strict=True)
+        return pa.array([redact(t, [{"kind": k, "start": a, "end": b} for a, b, k in found]) for t, found in rows], pa.string())
 
     out = docs.withColumn("text", cut(F.col("text")))
     if "n_chars" in docs.columns:
@@ -201,7 +195,3 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
         out = out.withColumn("n_chars", F.char_length("text").cast(kind))
     return out
 
-
-def iter_keywords() -> Iterator[str]:
-    """The keywords of the prefilter."""
-    return iter(KEYWORDS)
