@@ -8,7 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,21 +21,27 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Held while a table is written: shuffle files go as soon as the write has ended, and batches for
+#: Python stay small beside what the workers make of them.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
 def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back.
 
-    The written table cuts the lineage: a lost executor costs its running tasks only. Shuffle
-    files of the write go as soon as it has ended.
+    The written table cuts the lineage: a lost executor costs its running tasks only.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/bayline/{uuid.uuid4().hex}"
-    before = spark.conf.get(FILE_CLEANUP, None)
+    before = {key: spark.conf.get(key, None) for key in WHILE_WRITING}
     try:
-        spark.conf.set(FILE_CLEANUP, "true")
+        for key, value in WHILE_WRITING.items():
+            spark.conf.set(key, value)
         df.write.option("compression", codec).parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(FILE_CLEANUP)
-        else:
-            spark.conf.set(FILE_CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
