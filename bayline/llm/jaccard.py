@@ -41,6 +41,7 @@ BUCKET = 64
 TILE = 512
 #: Bits of the filter that keeps the sets of nodes without candidates from being sent.
 FILTER_BITS = 1 << 24
+FILTER_SHIFTS = (0, 20, 40)
 REMEMBERED = 500_000
 _CELLS = 1 << 22
 #: Bytes of sets that a task gathers before it hands them on.
@@ -181,10 +182,29 @@ def candidate_edges(groups: DataFrame, rule: Similarity) -> DataFrame:
     return pairs.where(enough).select("a", "b").unionByName(large)
 
 
+def filter_bits(keys: np.ndarray) -> list[np.ndarray]:
+    """The bits of the filter that 64-bit keys set; the keys are hashes, so parts of them will do."""
+    unsigned = keys.view(np.uint64)
+    return [((unsigned >> np.uint64(i)) % np.uint64(FILTER_BITS)).astype(np.int64) for i in FILTER_SHIFTS]
+
+
 def key_filter(keys: DataFrame, column: str) -> np.ndarray:
-    """A Bloom filter of FILTER_BITS bits over a column of 64-bit keys, put together by Spark."""
-    bits = keys.select(F.explode(F.array(*(F.pmod(F.xxhash64(column, F.lit(i)), F.lit(FILTER_BITS)) for i in range(3)))).alias("bit"))
-    return bits.select((F.col("bit") / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("mask")).groupBy("at").agg(F.bit_or("mask").alias("mask"))
+    """A Bloom filter of FILTER_BITS bits over a column of 64-bit keys, put together by Spark.
+
+    The driver sees at most FILTER_BITS / 64 rows, whatever the number of keys. A filter that is
+    too full lets more sets pass than need be; it holds none back.
+    """
+    bits = keys.select(F.explode(F.array(*(F.shiftrightunsigned(column, i).bitwiseAND(FILTER_BITS - 1) for i in FILTER_SHIFTS))).alias("bit"))
+    words = bits.select((F.col("bit") / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("mask"))
+    found = words.groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[found["at"].to_numpy()] = found["mask"].to_numpy()
+    return out
+
+
+def passes(words: np.ndarray, key: int) -> bool:
+    """Whether the filter may hold a key."""
+    return all((int(words[b[0] >> 6]) >> int(b[0] & 63)) & 1 for b in filter_bits(np.array([key], np.int64)))
 
 
 def _compare(sets: list[np.ndarray], rule: Similarity) -> np.ndarray:
@@ -221,10 +241,7 @@ def verified_edges(docs: DataFrame, members: DataFrame, rule: Similarity, text:
     spark = docs.sparkSession
     counts = materialise(members.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1"))
     members = materialise(members.join(counts, "cluster"))
-    found = key_filter(members, "node").toArrow()  # at most FILTER_BITS / 64 rows
-    words = np.zeros(FILTER_BITS // 64, np.int64)
-    words[found["at"].to_numpy()] = found["mask"].to_numpy()
-    shared = spark.sparkContext.broadcast(words)
+    shared = spark.sparkContext.broadcast(key_filter(members, "node"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = _Sent()
@@ -238,7 +255,7 @@ def verified_edges(docs: DataFrame, members: DataFrame, rule: Similarity, text:
 
         for batch in batches:
             for s in _sets(batch.column(0), rule.n):
-                if len(s) and sent.first(node := set_key(s)):
+                if len(s) and passes(shared.value, node := set_key(s)) and sent.first(node):
                     nodes.append(node)
                     packed.append(s.tobytes())
                     size += s.nbytes
@@ -247,16 +264,7 @@ def verified_edges(docs: DataFrame, members: DataFrame, rule: Similarity, text:
                         size = 0
         yield rows()
 
-    @F.arrow_udf("boolean")
-    def kept(*bits: pa.Array) -> pa.Array:
-        ok = np.ones(len(bits[0]), bool)
-        for b in bits:
-            b = b.to_numpy()
-            ok &= (shared.value[b // 64] >> (b % 64)) & 1 == 1
-        return pa.array(ok)
-
     sets = docs.select(F.col(text).alias("text")).mapInArrow(read, "node long, shingles binary")
-    sets = sets.where(kept(*(F.pmod(F.xxhash64("node", F.lit(i)), F.lit(FILTER_BITS)) for i in range(3))))
     sets = materialise(sets).groupBy("node").agg(F.first("shingles").alias("shingles"))
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     batches = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
