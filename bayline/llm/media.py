@@ -21,6 +21,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ from bayline.llm.store import materialise
 WINDOW = 32
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 4096, 14, 65536
 LEVEL = 6
+TURNS = 2
 MAGIC = b"GEARCHK1"
 UNIT = 64
 #: Digests that a task remembers as already sent.
@@ -94,33 +96,37 @@ def chunks(payload: bytes) -> Iterator[tuple[bytes, bytes]]:
         last = end
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    packer, sent = zstandard.ZstdCompressor(level=LEVEL), set()
+def _chunk_rows(turn: int):
+    """Reads payloads into rows of the chunks whose digests fall to this turn, each chunk once a task."""
     kind = pa.schema([("digest", pa.binary()), ("length", pa.int32()), ("stored", pa.binary()), ("whole", pa.bool_())])
-    rows: list[tuple] = []
-    size = 0
 
-    def flush() -> pa.RecordBatch:
-        out = pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
-        rows.clear()
-        return out
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, sent, size = zstandard.ZstdCompressor(level=LEVEL), set(), 0
+        rows: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
+            rows.clear()
+            return out
+
+        for batch in batches:
+            for value in batch.column(0):
+                found = list(chunks(value.as_py()))
+                for digest, chunk in found:
+                    key = (digest, len(found) == 1)
+                    if digest[0] % TURNS == turn and key not in sent:
+                        if len(sent) >= REMEMBERED:
+                            sent.clear()
+                        sent.add(key)
+                        rows.append((digest, len(chunk), packer.compress(chunk), len(found) == 1))
+                        size += len(rows[-1][2])
+                if size > _PIECE:
+                    yield flush()
+                    size = 0
+        if rows:
+            yield flush()
 
-    for batch in batches:
-        for value in batch.column(0):
-            found = list(chunks(value.as_py()))
-            for digest, chunk in found:
-                key = (digest, len(found) == 1)
-                if key not in sent:
-                    if len(sent) >= REMEMBERED:
-                        sent.clear()
-                    sent.add(key)
-                    rows.append((digest, len(chunk), packer.compress(chunk), len(found) == 1))
-                    size += len(rows[-1][2])
-            if size > _PIECE:
-                yield flush()
-                size = 0
-    if rows:
-        yield flush()
+    return read
 
 
 def _recipe_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +148,9 @@ def _recipe_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
 
 
-def chunk_store(payloads: DataFrame) -> DataFrame:
-    """Each distinct chunk once: digest, length, stored, and whether it is a payload and a part of one."""
-    rows = payloads.mapInArrow(_chunk_rows, "digest binary, length int, stored binary, whole boolean")
+def chunk_rows(payloads: DataFrame, turn: int) -> DataFrame:
+    """The distinct chunks of one turn: digest, length, stored, and whether it is a payload and a part of one."""
+    rows = payloads.mapInArrow(_chunk_rows(turn), "digest binary, length int, stored binary, whole boolean")
     return rows.groupBy("digest").agg(
         F.first("length").alias("length"),
         F.first("stored").alias("stored"),
@@ -153,6 +159,16 @@ def chunk_store(payloads: DataFrame) -> DataFrame:
     )
 
 
+def chunk_store(payloads: DataFrame) -> DataFrame:
+    """Each distinct chunk once, written to the shared folder.
+
+    Digests decide which of TURNS passes a chunk is shuffled and written in, so that only a share
+    of all chunks lies in shuffle files at a time.
+    """
+    turns = [materialise(chunk_rows(payloads, turn)) for turn in range(TURNS)]
+    return reduce(DataFrame.unionByName, turns)
+
+
 def chunk_lists(payloads: DataFrame) -> DataFrame:
     """(payload, seq, digest) of the payloads that have several chunks, each payload once."""
     return payloads.mapInArrow(_recipe_rows, "payload binary, seq int, digest binary").dropDuplicates(["payload", "seq"])
@@ -225,7 +241,7 @@ def media_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     docs = docs.drop(*_MEDIA_NAMES)
     payload = padded_payload(F.col(text))
     payloads = docs.select(payload.alias("payload"))
-    store = materialise(chunk_store(payloads))
+    store = chunk_store(payloads)
     media = read_media(store, chunk_lists(payloads))
     keyed = docs.withColumns({"n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), "payload": F.unhex(F.sha2(payload, 256))}).drop(text)
     return keyed.join(media, "payload").drop("payload")
