@@ -2,16 +2,20 @@
 
 Tokens are the words of a text, A-Z lower-cased, and then one end. Counts are over all training
 texts. The base model is the smoothed unigram, log10((c + 0.1) / (N + 0.1 (V + 1))). The automaton
-adds bigrams to it: a state for every context word that is frequent (its count is at least
-STATE_SHARE of N), an arc for every word that follows it often (at least ARC_SHARE of N), weighted
-by the discounted bigram probability, and a failure arc with the probability left over, scaled so
-that each state's probabilities add up to one, down to the unigram. Since shares of N bound how
-many words and pairs there can be (1 / STATE_SHARE and 1 / ARC_SHARE), the automaton may be
-broadcast at any size of corpus; the unigram counts, which grow with it, are joined.
-
-Texts are written to the shared folder once, packed into blocks of about BLOCK bytes. Each block's
-distinct words are joined with the counts, and each block is then scored beside its own words'
-counts, in one pass from left to right that carries the state. Words are known by 64-bit hashes.
+adds bigrams to it: an arc for every pair of words that follow one another more than once in the
+training texts, weighted by the discounted bigram probability; a state for every word that has an
+arc; and a failure arc with the probability left over, scaled so that each state's probabilities
+add up to one, down to the unigram. The thresholds are counts, so states and arcs grow with the
+corpus. Nobody holds the whole automaton: each block gets the states and arcs of its own words.
+
+Texts are written to the shared folder once, packed into blocks of about BLOCK bytes. A block sends
+its sorted distinct words and pairs, cut into slices by the leading bits of their hashes; the
+slices of all blocks with the same bits meet, are added up, and each goes back to its block as an
+array in the same order. There are about as many slices as blocks, so none grows with the corpus.
+A second round adds up, for each state, its arcs' counts and their words' counts; the first slice
+to name a pair speaks for it there. Each block is then scored beside its own part of the
+automaton, in one pass from left to right that carries the state. Words and pairs are known by
+64-bit hashes.
 
 A null text counts as empty: it has the one token end. Without training rows all counts are zero.
 Repeated rows are scored alike, each by itself. Columns other than the id and the text are not
@@ -25,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -34,7 +39,8 @@ from bayline.llm.hashing import mix, text_buffers, word_hashes
 from bayline.llm.store import materialise
 
 SMOOTHING = 0.1
-STATE_SHARE, ARC_SHARE = 1e-5, 1e-6
+#: A pair of words makes an arc if it occurs so often.
+LEAST_PAIRS = 2
 DISCOUNT = 0.5
 BLOCK = 4 << 20
 #: Stands for the end of a text; a word hashes to it with a chance of 2**-64.
@@ -113,28 +119,110 @@ def block_words(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(count, "block long, word long, n long")
 
 
-def block_pairs(blocks: DataFrame, states: np.ndarray) -> DataFrame:
-    """(left, right, n): how often states (numbers of frequent words) follow one another in training texts of a block."""
-    ordered = np.sort(states)
+@dataclass
+class Grams:
+    """The sorted distinct words and pairs of a block; where each token has them, and where each pair has its words."""
+
+    words: np.ndarray
+    word_at: np.ndarray
+    pairs: np.ndarray
+    pair_at: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+
+def block_grams(block: Block) -> Grams:
+    """The grams of a block; the word before its first token is an end."""
+    words, at = np.unique(block.tokens, return_inverse=True)
+    before = np.concatenate([[np.searchsorted(words, END)], at[:-1]])
+    pairs, first, pair_at = np.unique(pair_hash(words[before], block.tokens), return_index=True, return_inverse=True)
+    return Grams(words, at, pairs, pair_at, before[first], at[first])
+
+
+SLICES = "part long, block long, data binary"
+SUMS = "part long, block long, total long, distinct long, data binary"
+WORDS, PAIRS = 0, 1
+
+
+def slices(number: int, kind: int, keys: np.ndarray, values: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    """Sorted keys and their values, cut by the keys' leading bits, as rows of SLICES."""
+    bucket = keys >> np.uint64(64 - bits)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
+    rows = np.stack([keys.view(np.int64), *(v.astype(np.int64) for v in values)])
+    packer = zstandard.ZstdCompressor(level=1)
+    data = [packer.compress(rows[:, a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    part = bucket[cuts[:-1]].astype(np.int64) | kind << 32
+    return pa.record_batch([pa.array(part), pa.array(np.full(len(data), number)), pa.array(data, pa.binary())], ["part", "block", "data"])
+
+
+def add_up(found: DataFrame, width: int) -> DataFrame:
+    """Slices with width values a key as rows of SUMS, written to the shared folder.
+
+    Each slice's data are the sums over all slices and whether this one is the first with the key,
+    in the order of its keys. total and distinct are those of the first values, once for each key.
+    """
+
+    def add(table: pa.Table) -> pa.Table:
+        opener = zstandard.ZstdDecompressor()
+        parts = [np.frombuffer(opener.decompress(x.as_py()), np.int64).reshape(width + 1, -1) for x in table["data"]]
+        every = np.concatenate(parts, axis=1)
+        _, first, at = np.unique(every[0], return_index=True, return_inverse=True)
+        sums = [np.bincount(at, v).astype(np.int64) for v in every[1:]]
+        own = np.zeros(every.shape[1], np.int64)
+        own[first] = 1
+        rows = np.stack([*(x[at] for x in sums), own])
+        ends = np.cumsum([0] + [p.shape[1] for p in parts])
+        packer = zstandard.ZstdCompressor(level=1)
+        data = [packer.compress(rows[:, a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        once = lambda x: pa.array([int(x)] + [0] * (len(parts) - 1), pa.int64())
+        return pa.table([table["part"], table["block"], once(sums[0].sum()), once((sums[0] > 0).sum()), pa.array(data, pa.binary())], names=[s.split(" ")[0] for s in SUMS.split(", ")])
+
+    return materialise(found.groupBy("part").applyInArrow(add, SUMS))
+
+
+def own_sums(parts: pa.Table, kind: int, width: int) -> np.ndarray:
+    """A block's rows of SUMS of one kind put together again: width sums and whether it is the first, for each key."""
+    rows = sorted((p, x) for p, x in zip(parts["part"].to_pylist(), parts["data"].to_pylist(), strict=True) if p >> 32 == kind)
+    opener = zstandard.ZstdDecompressor()
+    found = [np.frombuffer(opener.decompress(x), np.int64).reshape(width + 1, -1) for _, x in rows]
+    return np.concatenate(found, axis=1) if found else np.empty((width + 1, 0), np.int64)
+
+
+def gram_counts(blocks: DataFrame, bits: int) -> DataFrame:
+    """How often training texts have the words and pairs of each block, as rows of SUMS."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 block = open_block(row)
-                before = np.concatenate([[END], block.tokens[:-1]])
-                keep = np.repeat(block.training, np.diff(block.bounds))
-                known = lambda x: ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
-                keep &= known(before) & known(block.tokens)
-                left, right = np.searchsorted(ordered, before[keep]), np.searchsorted(ordered, block.tokens[keep])
-                pairs, n = np.unique(left << 32 | right, return_counts=True)
-                yield pa.record_batch([pa.array(pairs), pa.array(n)], ["pair", "n"])
+                grams = block_grams(block)
+                weight = np.repeat(block.training, np.diff(block.bounds))
+                yield slices(row["block"], WORDS, grams.words, [np.bincount(grams.word_at, weight, len(grams.words))], bits)
+                yield slices(row["block"], PAIRS, grams.pairs, [np.bincount(grams.pair_at, weight, len(grams.pairs))], bits)
+
+    return add_up(blocks.mapInArrow(count, SLICES), 1)
+
+
+def state_sums(blocks: DataFrame, counts: DataFrame, bits: int) -> DataFrame:
+    """Of each block's words that occur more than once: the arcs' counts, their number and their words' counts, as rows of SUMS."""
+
+    def spread(texts: pa.Table, known: pa.Table) -> pa.Table:
+        out = []
+        for row in texts.to_pylist():
+            grams = block_grams(open_block(row))
+            (c, _), (n, own) = own_sums(known, WORDS, 1), own_sums(known, PAIRS, 1)
+            arc = (n >= LEAST_PAIRS) & (own > 0)
+            left, size = grams.left[arc], len(grams.words)
+            sums = [np.bincount(left, n[arc], size), np.bincount(left, minlength=size), np.bincount(left, c[grams.right[arc]], size)]
+            out.append(slices(row["block"], WORDS, grams.words[c > 1], [x[c > 1] for x in sums], bits))
+        return pa.Table.from_batches(out)
 
-    return blocks.mapInArrow(count, "pair long, n long")
+    return add_up(blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(spread, SLICES), 3)
 
 
 @dataclass
 class Automaton:
-    """States, arcs and failure arcs; weights are log10 probabilities."""
+    """States, arcs and failure arcs, of the whole corpus or a block; weights are log10 probabilities."""
 
     total: int
     distinct: int
@@ -168,33 +256,57 @@ class Automaton:
         return out
 
 
+@dataclass
+class Model:
+    """The counts and sums that each block's part of the automaton is made of."""
+
+    total: int
+    distinct: int
+    parts: DataFrame  # round, block, part, data
+
+
+def automaton_part(total: int, distinct: int, grams: Grams, known: pa.Table) -> tuple[Automaton, np.ndarray]:
+    """The states and arcs of a block's grams, from its rows of Model.parts, and its words' counts."""
+    of = lambda i: known.filter(pc.equal(known["round"], i))
+    (c, _), (n, _) = own_sums(of(1), WORDS, 1), own_sums(of(1), PAIRS, 1)
+    spent, arcs, covered, _ = own_sums(of(2), WORDS, 3)
+    words, counts, state, arc = grams.words[c > 1], c[c > 1], arcs > 0, n >= LEAST_PAIRS
+    left = 1 - (spent - DISCOUNT * arcs)[state] / counts[state]
+    rest = 1 - (covered + SMOOTHING * arcs)[state] / (total + SMOOTHING * (distinct + 1))
+    failure = np.log10(np.maximum(left, 1e-12) / np.maximum(rest, 1e-12))
+    return Automaton(total, distinct, words[state], failure, grams.pairs[arc], np.log10((n[arc] - DISCOUNT) / c[grams.left[arc]])), c
+
+
+def fit_model(blocks: DataFrame) -> Model:
+    """Count all training texts and add up the states' sums."""
+    # about as many slices as blocks of full size
+    size = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    bits = min(31, max(1, (size // BLOCK).bit_length()))
+    counts = gram_counts(blocks, bits)
+    sums = state_sums(blocks, counts, bits)
+    totals = counts.where(F.shiftright("part", 32) == WORDS)
+    total, distinct = totals.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("total", "distinct"))).first()
+    rows = [t.select(F.lit(i).alias("round"), "block", "part", "data") for i, t in ((1, counts), (2, sums))]
+    return Model(total, distinct, rows[0].unionByName(rows[1]))
+
+
 def fit_automaton(blocks: DataFrame, words: DataFrame) -> Automaton:
-    """Build the automaton from all training texts; words is word_totals()."""
+    """The automaton of all blocks in one piece, to look at that of a small corpus; words is word_totals()."""
     total, distinct = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    empty = np.empty(0)
-    automaton = Automaton(total, distinct, empty.astype(np.uint64), empty, empty.astype(np.uint64), empty)
-    if not total:
-        return automaton
-    frequent = words.where((F.col("c") >= STATE_SHARE * total) & (F.col("c") > 1)).toArrow()  # at most 1 / STATE_SHARE rows
-    states = frequent["word"].to_numpy().view(np.uint64)
-    order = np.argsort(states)
-    states, counts = states[order], frequent["c"].to_numpy()[order].astype(float)
-    if not len(states):
-        return automaton
-    pairs = block_pairs(blocks, states).groupBy("pair").agg(F.sum("n").alias("n"))
-    arcs = pairs.where((F.col("n") >= ARC_SHARE * total) & (F.col("n") > 1)).toArrow()  # at most 1 / ARC_SHARE rows
-    pair, n = arcs["pair"].to_numpy(), arcs["n"].to_numpy().astype(float)
-    left, right = pair >> 32, pair & 0xFFFFFFFF
-    probability = (n - DISCOUNT) / counts[left]
-    unigram = 10 ** automaton.unigram(counts)
-    spent = np.bincount(left, probability, len(states))
-    covered = np.bincount(left, unigram[right], len(states))
-    automaton.failure = np.log10(np.maximum(1 - spent, 1e-12) / np.maximum(1 - covered, 1e-12))
-    automaton.states = states
-    hashes = pair_hash(states[left], states[right])
-    order = np.argsort(hashes)
-    automaton.arcs, automaton.weights = hashes[order], np.log10(probability[order])
-    return automaton
+
+    def show(texts: pa.Table, known: pa.Table) -> pa.Table:
+        found = [automaton_part(total, distinct, block_grams(open_block(row)), known)[0] for row in texts.to_pylist()]
+        keys = np.concatenate([x for a in found for x in (a.states, a.arcs)])
+        arc = np.concatenate([np.arange(len(a.states) + len(a.arcs)) >= len(a.states) for a in found])
+        weights = np.concatenate([x for a in found for x in (a.failure, a.weights)])
+        return pa.table([pa.array(arc), pa.array(keys.view(np.int64)), pa.array(weights)], names=["arc", "key", "weight"])
+
+    parts = fit_model(blocks).parts
+    every = blocks.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(show, "arc boolean, key long, weight double").distinct().toArrow()
+    arc, keys, weights = every["arc"].to_numpy(), every["key"].to_numpy().view(np.uint64), every["weight"].to_numpy()
+    order = np.argsort(keys)
+    arc, keys, weights = arc[order], keys[order], weights[order]
+    return Automaton(total, distinct, keys[~arc], weights[~arc], keys[arc], weights[arc])
 
 
 def word_totals(words: DataFrame) -> DataFrame:
@@ -205,35 +317,30 @@ def word_totals(words: DataFrame) -> DataFrame:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_blocks(blocks: DataFrame, words: DataFrame, totals: DataFrame, automaton: Automaton) -> DataFrame:
+def score_blocks(blocks: DataFrame, model: Model) -> DataFrame:
     """A row for each text of the blocks, in columns SCORES."""
-    model = blocks.sparkSession.sparkContext.broadcast(automaton)
-    counts = words.select("block", "word").join(totals, "word").select("block", "word", "c")
+    total, distinct = model.total, model.distinct
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
         rows: list = []
-        a = model.value
-        word, c = known["word"].to_numpy().view(np.uint64), known["c"].to_numpy().astype(np.int64)
-        order = np.argsort(word)
-        word, c = word[order], c[order]
         for row in texts.to_pylist():
             block = open_block(row)
-            count = c[np.searchsorted(word, block.tokens)]
+            grams = block_grams(block)
+            a, c = automaton_part(total, distinct, grams, known)
+            count = c[grams.word_at]
             base = a.unigram(count)
             chain = a.walk(block.tokens, base)
             sums = [np.add.reduceat(x, block.bounds[:-1]) if len(block.ids) else [] for x in (count > 0, base, chain)]
             rows += zip(block.ids, (~block.training).tolist(), np.diff(block.bounds).tolist(), sums[0].tolist(), sums[1].tolist(), sums[2].tolist(), strict=True)
         columns = list(zip(*rows, strict=True)) or [[]] * 6
-        columns.insert(4, [a.total] * len(rows))
+        columns.insert(4, [total] * len(rows))
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=[s.split(" ")[0] for s in SCORES.split(", ")])
 
-    return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(score, SCORES)
+    return blocks.groupBy("block").cogroup(model.parts.groupBy("block")).applyInArrow(score, SCORES)
 
 
 def score_texts(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Learn from the rows that training holds for and score all rows of docs."""
     blocks = text_blocks(docs, training, key, text)
-    words = block_words(blocks)
-    totals = materialise(word_totals(words))
-    return score_blocks(blocks, words, totals, fit_automaton(blocks, totals))
+    return score_blocks(blocks, fit_model(blocks))

@@ -1,5 +1,6 @@
 """The corpus operators' parts on their own."""
 
+import collections
 import itertools
 import random
 
@@ -214,6 +215,36 @@ def test_backoff_probabilities_add_up(spark):
         assert (10**steps).sum() + unseen * 10**failure == pytest.approx(1, abs=1e-6)
 
 
+def test_rare_pairs_count_in_a_large_corpus(spark, monkeypatch):
+    from bayline.llm import backoff
+
+    monkeypatch.setattr(backoff, "BLOCK", 1 << 16)  # many blocks and slices
+    rng = random.Random(4)
+    filler = [" ".join(f"f{rng.randrange(60)}" for _ in range(1500)) for _ in range(300)]
+    texts = [*filler, "rare bird", "other thing", "rare bird", "rare thing", "rare bird"]
+    training = [True] * (len(texts) - 2) + [False] * 2
+    docs = spark.createDataFrame(list(zip(range(len(texts)), texts, training, strict=True)), "doc_id long, text string, training boolean").repartition(3)
+    found = {r.doc_id: r for r in backoff.score_texts(docs, F.col("training")).collect()}
+    c, n = collections.Counter(), collections.Counter()
+    for text, used in zip(texts, training, strict=True):
+        if used:
+            words = [*text.split(), "</s>"]
+            c.update(words)
+            n.update(zip(["</s>", *words], words, strict=False))
+    total, arcs = sum(c.values()), {k: v for k, v in n.items() if v > 1}
+    uni = lambda w: (c[w] + 0.1) / (total + 0.1 * (len(c) + 1))
+    left = lambda h: (1 - sum(v - 0.5 for (a, _), v in arcs.items() if a == h) / c[h]) / (1 - sum(uni(b) for a, b in arcs if a == h))
+    states = {h: left(h) for h in {a for a, _ in arcs}}
+    prob = lambda h, w: (arcs[h, w] - 0.5) / c[h] if (h, w) in arcs else states.get(h, 1.0) * uni(w)
+    assert set(found) == set(range(len(texts)))
+    for i in (0, 150, len(texts) - 4, len(texts) - 2, len(texts) - 1):
+        words = [*texts[i].split(), "</s>"]
+        expected = [np.log10(prob(h, w)) for h, w in zip(["</s>", *words], words, strict=False)]
+        assert found[i].score == pytest.approx(sum(expected), abs=1e-6) and found[i].train_tokens == total
+        assert found[i].base_score == pytest.approx(sum(np.log10(uni(w)) for w in words), abs=1e-6)
+    assert found[len(texts) - 1].score > found[len(texts) - 1].base_score + 3  # "rare bird" is known as a pair
+
+
 def test_mixture_meets_its_targets(spark):
     rng = random.Random(2)
     kinds = {"good": "alpha beta gamma delta", "poor": "zip zap zop zup", "toxic": "grr brr hrr trr"}
