@@ -208,22 +208,24 @@ def calibrate(detections: DataFrame, camera: str, frame_no: str, at: float = 0.4
     def consensus(group: pa.Table) -> pa.Table:
         frames, ids, scores, all_boxes = group[frame_no].to_numpy(), group["box_id"].to_numpy(), group["score"].to_numpy(), _boxes(group)
         tracks: list[list[int]] = []
+        centres = np.empty((len(ids), 4))  # the tracks' mean boxes
         for f in np.unique(frames):
             rows = np.flatnonzero(frames == f)
             rows, claimed = rows[np.argsort(ids[rows])], set()
             for r in rows.tolist():
                 best, most = -1, 0.0
-                for k, track in enumerate(tracks):
-                    if k not in claimed:
-                        overlap = float(iou_matrix(all_boxes[r : r + 1], all_boxes[track].mean(axis=0)[None])[0, 0])
-                        if overlap > most:
-                            best, most = k, overlap
-                if best >= 0 and most >= at:
+                if len(claimed) < len(tracks):
+                    overlap = iou_matrix(all_boxes[r : r + 1], centres[: len(tracks)])[0]
+                    overlap[list(claimed)] = 0
+                    best = int(overlap.argmax())
+                    most = float(overlap[best])
+                if most > 0 and most >= at:
                     tracks[best].append(r)
-                    claimed.add(best)
                 else:
+                    best = len(tracks)
                     tracks.append([r])
-                    claimed.add(len(tracks) - 1)
+                claimed.add(best)
+                centres[best] = all_boxes[tracks[best]].mean(axis=0)
         n = len(np.unique(frames))
         kept = [t for t in tracks if len(t) >= max(2, round(share * n))]
         kept = sorted(kept, key=lambda t: -len(t)) if len(kept) >= least_slots else []

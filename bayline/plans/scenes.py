@@ -193,9 +193,12 @@ def match_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_R.add("calibrated_layouts")
 def calibrated_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slots that recur across the frames of a camera."""
-    rows = items(spark, sf_dir).where("is_slot").select((F.col("frame") % 100).alias("camera"), F.floor(F.col("frame") / 100).alias("no"), "box_id", "score", "box")
-    return matching.calibrate(rows.where("no < 10"), "camera", "no", share=0.2)
+    """Slots that recur across ten frames of a camera, of each run of ten frames; all frames are read."""
+    no = F.floor(F.col("frame") / 100)
+    key = F.floor(no / 10) * 100 + F.col("frame") % 100
+    rows = items(spark, sf_dir).where("is_slot").select(key.alias("key"), no.alias("no"), "box_id", "score", "box")
+    found = matching.calibrate(rows, "key", "no", share=0.2)
+    return found.select((F.col("key") % 100).alias("camera"), F.floor(F.col("key") / 100).alias("run"), *found.columns[1:])
 
 
 @_R.add(

@@ -175,6 +175,17 @@ def test_calibration(spark):
     assert len(found) == 4 and all(r.frames_seen == 5 for r in found)
 
 
+def test_calibrated_layouts_read_all_frames(spark, tmp_path):
+    from bayline.plans.scenes import calibrated_layouts
+
+    # camera 7 at frame numbers 0 to 24: four slots, other ones from frame 10 on
+    rows = [(100 * no + 7, k + 7 * (no >= 10), k, k + 1, 1.0, 0.1, 0.0, "A", "F") for no in range(25) for k in range(4)]
+    columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, columns).write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    found = calibrated_layouts(spark, f"file://{tmp_path}").collect()
+    assert sorted((r.camera, r.run, r.frames_seen, r.frames) for r in found) == [(7, run, n, n) for run, n in ((0, 10), (1, 10), (2, 5)) for _ in range(4)]
+
+
 def test_interval_union_and_islands(spark):
     rows = spark.createDataFrame([(1, 0.0, 2.0), (1, 1.0, 3.0), (1, 5.0, 6.0)], "g int, low double, high double")
     assert temporal.union_length(rows, ["g"], "low", "high").first().covered == 4.0
