@@ -27,15 +27,58 @@ def exposure_guard(rows: DataFrame, exposed: DataFrame, group: list[str], digest
     return rows.join(digests, digest, "left_anti").join(groups, group, "left_anti")
 
 
-def hamming_pairs(rows: DataFrame, key: str, hashed: str, most: int = 3) -> DataFrame:
-    """Pairs of keys whose 64-bit hashes differ in at most 3 bits; found through four bands, so none is missed."""
+def near_hashes(hashes: DataFrame, hashed: str, most: int = 3) -> DataFrame:
+    """(x, y, distance): pairs of distinct 64-bit hashes, x < y, that differ in at most 3 bits; found through four bands, so none is missed."""
     if most > 3:
         raise ValueError("four bands find all pairs up to 3 bits apart only")
-    banded = rows.select(F.col(key), F.col(hashed), F.inline(hash_bands(F.col(hashed))))
-    a = banded.select("band", "value", F.col(key).alias("a"), F.col(hashed).alias("hash_a"))
-    b = banded.select("band", "value", F.col(key).alias("b"), F.col(hashed).alias("hash_b"))
-    near = a.join(b, ["band", "value"]).where("a < b").withColumn("distance", hamming_hex64(F.col("hash_a"), F.col("hash_b")))
-    return near.where(F.col("distance") <= most).select("a", "b", "distance").distinct()
+    banded = hashes.select(hashed).distinct().select(F.col(hashed), F.inline(hash_bands(F.col(hashed))))
+    x, y = (banded.select("band", "value", F.col(hashed).alias(name)) for name in ("x", "y"))
+    near = x.join(y, ["band", "value"]).where("x < y").withColumn("distance", hamming_hex64(F.col("x"), F.col("y")))
+    return near.where(F.col("distance") <= most).select("x", "y", "distance").distinct()
+
+
+def hamming_pairs(rows: DataFrame, key: str, hashed: str, most: int = 3) -> DataFrame:
+    """Pairs of keys whose 64-bit hashes differ in at most 3 bits.
+
+    Distinct hashes meet in the bands; their keys are paired afterwards. The answer has all pairs
+    of a class of equal hashes, the square of its size; hamming_classes() has not.
+    """
+    same = rows.select(F.col(hashed).alias("x"), F.col(hashed).alias("y"), F.lit(0).alias("distance")).distinct()
+    near = near_hashes(rows, hashed, most).unionByName(same.where(hamming_hex64(F.col("x"), F.col("y")) <= most))
+    a, b = (rows.select(F.col(hashed).alias(h), F.col(key).alias(k)) for h, k in (("x", "k"), ("y", "l")))
+    both = near.join(a, "x").join(b, "y").where("k < l or (k > l and x <> y)")
+    return both.select(F.least("k", "l").alias("a"), F.greatest("k", "l").alias("b"), "distance").distinct()
+
+
+def hamming_classes(rows: DataFrame, key: str, hashed: str, most: int = 3) -> DataFrame:
+    """(a, b, distance): for each class of equal hashes its least key with each other member, and pairs of near classes by their least keys.
+
+    Rows without a hash are in no class.
+    """
+    known = rows.where(F.col(hashed).isNotNull()).select(F.col(hashed).alias("h"), F.col(key).alias("b"))
+    least = known.groupBy("h").agg(F.min("b").alias("a"))
+    members = known.join(least, "h").where("a < b").select("a", "b", F.lit(0).alias("distance")).distinct()
+    near = near_hashes(least, "h", most).join(least.select(F.col("h").alias("x"), F.col("a").alias("k")), "x").join(least.select(F.col("h").alias("y"), F.col("a").alias("l")), "y")
+    return members.unionByName(near.select(F.least("k", "l").alias("a"), F.greatest("k", "l").alias("b"), "distance"))
+
+
+def simhash(rows: DataFrame, text: str) -> DataFrame:
+    """(digest, hash): the 64-bit SimHash over the words of each distinct whole text, and the text's SHA-256.
+
+    A bit is set where more than half of a text's words, repeated ones each time, have it set in
+    their hashes. Texts without a word have no row. Two counters share a sum, 32 bits each, which a
+    text would need 2**31 words to overflow.
+    """
+    texts = rows.select(F.sha2(text, 256).alias("digest"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    first = texts.groupBy("digest").agg(F.min("text").alias("text"))
+    words = first.select("digest", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''")
+    counted = words.select("digest", F.xxhash64("word").alias("w")).groupBy("digest").agg(
+        F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("w", i).bitwiseAND((1 << 32) + 1)).alias(f"s{i}") for i in range(32))
+    )
+    half = lambda count: F.lpad(F.lower(F.hex(sum((F.when(2 * count(i) > F.col("n"), 1 << i).otherwise(0) for i in range(32)), F.lit(0).cast("long")))), 8, "0")
+    high = half(lambda i: F.shiftright(f"s{i}", 32))
+    low = half(lambda i: F.col(f"s{i}").bitwiseAND((1 << 32) - 1))
+    return counted.select("digest", F.concat(high, low).alias("hash"))
 
 
 def first_partition_wins(rows: DataFrame, digest: str, partition: str, rank: Mapping[str, int]) -> DataFrame:
@@ -54,18 +97,28 @@ def quarantine(rows: DataFrame, key: str, digest: str, hashed: str, partition: s
     """rows with kept: false where a kept row of an earlier partition has the digest or a hash within most bits.
 
     Rows of one partition never conflict, so a pass for each partition decides as a walk over
-    all rows in order of partition would.
+    all rows in order of partition would. Distinct digests and hashes are compared, never pairs of
+    rows. Rows of partitions that order lacks are not kept.
     """
-    edges = hamming_pairs(rows, key, hashed, most).select("a", "b")
-    same = rows.select(F.col(digest), F.col(key).alias("a")).join(rows.select(F.col(digest), F.col(key).alias("b")), digest).where("a < b").select("a", "b")
-    edges = edges.union(same).distinct()
-    edges = edges.union(edges.select("b", "a"))
-    kept = rows.where(F.col(partition) == order[0]).select(F.col(key).alias("b"))
-    for name in order[1:]:
-        own = rows.where(F.col(partition) == name).select(F.col(key).alias("a"))
-        clear = own.join(edges.join(kept, "b", "left_semi"), "a", "left_anti")
-        kept = kept.union(clear.select(F.col("a").alias("b")))
-    return rows.join(kept.select(F.col("b").alias(key), F.lit(True).alias("kept")), key, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    near = near_hashes(rows, hashed, most)
+    own = rows.select(F.col(hashed).alias("x"), F.col(hashed).alias("y")).distinct().where(hamming_hex64(F.col("x"), F.col("y")) <= most)
+    near = near.select("x", "y").union(near.select("y", "x")).union(own)
+    out = rows.where(~F.coalesce(F.col(partition).isin(*order), F.lit(False))).withColumn("kept", F.lit(False))
+    digests = hashes = None  # of the rows kept so far
+    for name in order:
+        part = rows.where(F.col(partition) == name)
+        if digests is None:
+            part = part.withColumn("kept", F.lit(True))
+        else:
+            taken = digests.where(F.col(digest).isNotNull()).distinct().withColumn("__digest", F.lit(True))
+            close = near.join(hashes.withColumnRenamed(hashed, "y"), "y", "left_semi").select(F.col("x").alias(hashed)).distinct().withColumn("__hash", F.lit(True))
+            marked = part.join(taken, digest, "left").join(close, hashed, "left")
+            part = marked.withColumn("kept", F.col("__digest").isNull() & F.col("__hash").isNull()).select(*rows.columns, "kept")
+        kept = part.where("kept")
+        digests = kept.select(digest) if digests is None else digests.union(kept.select(digest))
+        hashes = kept.select(hashed) if hashes is None else hashes.union(kept.select(hashed))
+        out = out.unionByName(part)
+    return out
 
 
 def first_source_wins(*sources: DataFrame, key: list[str]) -> DataFrame:

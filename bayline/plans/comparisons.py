@@ -69,12 +69,26 @@ SELECT a.id AS a, b.id AS b, CAST(0 AS INTEGER) AS distance FROM h a JOIN h b ON
 """,
 )
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources whose hashes differ in at most one bit."""
+    """Sources whose hashes differ in at most one bit.
+
+    Its SQL hashes the first 60 characters; near_text_classes compares whole texts.
+    """
     hashed = hashing.content_key(F.substring("text", 1, 60), 16)
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), hashed.alias("hash"))
     return dedupe.hamming_pairs(rows, "id", "hash", 1)
 
 
+@_R.add("near_text_classes")
+def near_text_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts at most 3 SimHash bits apart: members of each class of equal hashes with its least id, and near classes.
+
+    Texts without a word are in no class.
+    """
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    hashed = docs.select("id", F.sha2("text", 256).alias("digest")).join(dedupe.simhash(docs, "text"), "digest")
+    return dedupe.hamming_classes(hashed, "id", "hash", 3)
+
+
 @_R.add(
     "paired_models",
     OBS

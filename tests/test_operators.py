@@ -121,6 +121,36 @@ def test_hamming_pairs_are_complete(spark):
     assert found == {(i, j): d for i, v in enumerate(values) for j, w in enumerate(values) if i < j and (d := (v ^ w).bit_count()) <= 3}
 
 
+def test_near_text_classes_see_whole_texts(spark, tmp_path):
+    from bayline.functions import hashing
+    from bayline.plans.comparisons import near_text_classes
+
+    rng = random.Random(8)
+    body = [f"w{rng.randrange(5000)}" for _ in range(2000)]
+    opening = "the same opening of sixty characters and more stands in all of these "
+    texts = [" ".join(body), "Changed " + " ".join(body[1:]), opening + " ".join(body[:900]), opening + " ".join(body[1000:]), " ".join(body), None, " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    words = {w: h % 2**64 for w, h in docs.selectExpr("explode(split(lower(text), ' ')) w").selectExpr("w", "xxhash64(w)").distinct().collect()}
+    expected = {}
+    for t in filter(str.strip, filter(None, texts)):
+        hashes = [words[w] for w in t.lower().split()]
+        expected[t] = f"{sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes)):016x}"
+    found = dedupe.simhash(docs, "text").join(docs.select(hashing.content_key(F.col("text"), 64).alias("digest"), "text"), "digest").collect()
+    assert {r.text: r.hash for r in found} == expected
+    bits = lambda i, j: (int(expected[texts[i]], 16) ^ int(expected[texts[j]], 16)).bit_count()
+    assert bits(0, 1) <= 3 < bits(2, 3)
+    classes = {(r.a, r.b): r.distance for r in near_text_classes(spark, f"file://{tmp_path}").collect()}
+    assert classes == {(0, 4): 0, (0, 1): bits(0, 1)}
+
+
+def test_classes_of_equal_hashes_are_not_paired_off(spark):
+    rows = [(i, f"{i % 2 * 7:016x}") for i in range(60)] + [(60, None)]
+    df = spark.createDataFrame(rows, "id long, hash string")
+    found = {(r.a, r.b): r.distance for r in dedupe.hamming_classes(df, "id", "hash").collect()}
+    assert found == {(i % 2, i): 0 for i in range(2, 60)} | {(0, 1): 3}
+
+
 def test_smoothing(spark):
     rows = spark.createDataFrame([(1, i, p) for i, p in enumerate([0.1, 0.95, 0.95, 0.95, 0.95])], "slot long, at long, p double")
     out = temporal.smooth(rows, "slot", "at", "p").orderBy("at").collect()
