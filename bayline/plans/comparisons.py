@@ -41,11 +41,27 @@ SELECT slot, round(tp * 1.0 / nullif(tp + fp, 0), 6) AS "precision", round(tp *
 """,
 )
 def binary_metrics_nullable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of slots with few readings, many of which have no denominator."""
+    """Metrics of slots over a seventh of their readings, as its SQL says; binary_metrics_by_day takes all readings."""
     rows = observations(spark, sf_dir).where("id % 7 = slot % 7").groupBy("slot").agg(*metrics.confusion(F.col("p") >= 0.9, F.col("truth")))
     return metrics.nullable_metrics(rows).select("slot", "precision", "recall")
 
 
+@_R.add(
+    "binary_metrics_by_day",
+    OBS
+    + """
+, c AS (SELECT slot, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS readings, count(*) FILTER (WHERE p >= 0.9 AND truth) AS tp, count(*) FILTER (WHERE p < 0.9 AND NOT truth) AS tn,
+               count(*) FILTER (WHERE p >= 0.9 AND NOT truth) AS fp, count(*) FILTER (WHERE p < 0.9 AND truth) AS fn FROM obs GROUP BY 1, 2)
+SELECT slot, day, readings, round(tp * 1.0 / nullif(tp + fp, 0), 6) AS "precision", round(tp * 1.0 / nullif(tp + fn, 0), 6) AS recall FROM c
+""",
+)
+def binary_metrics_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of each slot and day over all readings; null where a day has no denominator."""
+    days = observations(spark, sf_dir).groupBy("slot", F.to_date("ts").cast("string").alias("day"))
+    rows = days.agg(F.count("*").alias("readings"), *metrics.confusion(F.col("p") >= 0.9, F.col("truth")))
+    return metrics.nullable_metrics(rows).select("slot", "day", "readings", "precision", "recall")
+
+
 @_R.add(
     "pair_assembly",
     """

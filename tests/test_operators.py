@@ -151,6 +151,13 @@ def test_classes_of_equal_hashes_are_not_paired_off(spark):
     assert found == {(i % 2, i): 0 for i in range(2, 60)} | {(0, 1): 3}
 
 
+def test_daily_metrics_take_all_readings(spark, sf_dir):
+    from bayline.plans.comparisons import binary_metrics_by_day
+
+    found = binary_metrics_by_day(spark, sf_dir).agg(F.sum("readings"), F.count_if(F.col("precision").isNull())).first()
+    assert found[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count() and found[1] > 0
+
+
 def test_smoothing(spark):
     rows = spark.createDataFrame([(1, i, p) for i, p in enumerate([0.1, 0.95, 0.95, 0.95, 0.95])], "slot long, at long, p double")
     out = temporal.smooth(rows, "slot", "at", "p").orderBy("at").collect()
