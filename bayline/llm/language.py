@@ -5,8 +5,10 @@ n-grams of the lower-cased text tells the languages with a 1 from those with a 0
 loss-weighted: the language whose codeword has the least total logistic loss under the bits'
 margins wins. A text is flagged as ambiguous when the runner-up's loss is within AMBIGUOUS.
 
-The models are fitted on at most SAMPLE labelled rows, about PER_LANGUAGE of each language, chosen
-by a hash of the id. Prediction covers whole texts.
+The models are fitted on PER_LANGUAGE labelled rows of each language, chosen by a hash of the id;
+with more than SAMPLE / PER_LANGUAGE languages on SAMPLE / languages of each, but on LEAST at least,
+or all that a language has. Of more than 1,024 languages the most frequent are learned, the rest
+is not. Prediction covers whole texts.
 
 A null text, or one without a letter, is und with score 0. Without any labelled row every text is
 und. Repeated rows get equal answers. Columns other than the id, the text and, for learning, the
@@ -23,9 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bayline.llm.hashing import text_buffers
-from bayline.llm.linear import bounded_sample, fit, sigmoid
+from bayline.llm.linear import fit, sample_each, sigmoid
 
-SAMPLE, PER_LANGUAGE = 2400, 600
+SAMPLE, PER_LANGUAGE, LEAST = 2400, 600, 20
 BUCKET_BITS = 12
 BUCKETS = 1 << BUCKET_BITS
 SIZES = (1, 2, 3)
@@ -125,7 +127,7 @@ def fit_languages(docs: DataFrame, allowed: Column, text: str = "text", lang: st
     def features(column: pa.Array) -> pa.Array:
         return pa.array([frequencies(np.frombuffer(x.as_py().encode(), np.uint8)).astype(np.float32).tobytes() for x in column], pa.binary())
 
-    chosen = bounded_sample(rows, "lang", key, PER_LANGUAGE, SAMPLE).select("lang", features("text").alias("x")).toArrow()
+    chosen = sample_each(rows, "lang", key, PER_LANGUAGE, SAMPLE, LEAST).select("lang", features("text").alias("x")).toArrow()
     if not chosen.num_rows:
         return None
     x = np.frombuffer(b"".join(chosen["x"].to_pylist()), np.float32).reshape(-1, BUCKETS)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,23 @@ def bounded_sample(rows: DataFrame, label: str, key: str, per_label: int, total:
     return chosen.orderBy(F.xxhash64(F.col(key), F.lit(12)), key).limit(total)
 
 
+def sample_each(rows: DataFrame, label: str, key: str, per_label: int, total: int, least: int) -> DataFrame:
+    """The first per_label rows of each label by a hash of key; with many labels total / labels, but never fewer than least.
+
+    A label with fewer rows keeps them all. Only the 1,024 most frequent labels are sampled, so the
+    answer has at most the greater of total and 1,024 times least rows.
+    """
+    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(1024).collect()}
+    if not counts:
+        return rows.limit(0)
+    each = max(least, min(per_label, total // len(counts)))
+    # twice and some more than is wanted, so that too few are left with a chance of less than 1e-9
+    rates = [x for label_, n in counts.items() for x in (F.lit(label_), F.lit(min(1.0, (2 * each + 50) / n)))]
+    likely = rows.where(unit_hash(key, seed=11) < F.element_at(F.create_map(*rates), F.col(label)))
+    place = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(12)), key))
+    return likely.withColumn("__place", place).where(F.col("__place") <= each).drop("__place")
+
+
 def _largest_eigenvalue(x: np.ndarray, steps: int = 20) -> float:
     v = np.random.default_rng(5).standard_normal(x.shape[1]).astype(x.dtype)
     value = 1.0

@@ -215,6 +215,16 @@ def test_backoff_probabilities_add_up(spark):
         assert (10**steps).sum() + unseen * 10**failure == pytest.approx(1, abs=1e-6)
 
 
+def test_every_language_is_sampled(spark):
+    from bayline.llm.linear import sample_each
+
+    rows = spark.range(103_000).selectExpr("id as doc_id", "case when id < 1000 then concat('rare', id div 10) else concat('l', id % 3) end as lang")
+    counts = dict(sample_each(rows, "lang", "doc_id", language.PER_LANGUAGE, language.SAMPLE, language.LEAST).groupBy("lang").count().collect())
+    assert len(counts) == 103 and set(counts.values()) == {10, 23}
+    few = dict(sample_each(rows.where("doc_id >= 1000"), "lang", "doc_id", 600, 2400, 20).groupBy("lang").count().collect())
+    assert few == {"l0": 600, "l1": 600, "l2": 600}
+
+
 def test_rare_pairs_count_in_a_large_corpus(spark, monkeypatch):
     from bayline.llm import backoff
 
