@@ -30,15 +30,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least doc_id, of each component of four fifths common 5-word shingles.
 
-    Documents without words are linked with nothing and stay, as do rows without a doc_id, which
-    no component can be named by.
+    Rows are known by a 64-bit hash of doc_id and text, so each text of a repeated doc_id has its
+    own component; of one doc_id's texts in a component that of the least hash stays. Documents
+    without words are linked with nothing and stay, as do rows without a doc_id, which no component
+    can be named by.
     """
-    found = materialise(similar_components(docs, Similarity(5, 80, 100)))
-    kept = found.where("n_shingles > 0 and doc_id = component_id").select("doc_id").distinct()
-    alone = found.where("n_shingles = 0 and doc_id is not null").select("doc_id").distinct()
+    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    found = materialise(similar_components(rows, Similarity(5, 80, 100), "__row").where("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id").distinct())
+    named = rows.where("doc_id is not null").select("doc_id", "__row").join(found, "__row")
+    kept = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("first")).select("first.__row")
     worded = F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    first = docs.where(worded).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    empty = docs.where(~worded).join(alone, "doc_id", "left_semi")
+    first = rows.where(worded & F.col("doc_id").isNotNull()).join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns)
+    empty = docs.where(~worded & F.col("doc_id").isNotNull())
     return first.unionByName(empty).unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 

@@ -76,6 +76,14 @@ def test_ids_are_those_of_the_library(stages):
         assert r.ids == library.encode(before[i].text, add_special_tokens=False).ids and r.n_tokens == len(r.ids)
 
 
+def test_texts_of_a_repeated_id_are_kept_apart(spark, sf_dir):
+    words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    rows = [(3, words[0]), (5, words[0]), (5, words[1]), (6, words[2]), (6, words[3]), (6, words[3]), (7, ""), (7, words[1])]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    found = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect())
+    assert found == sorted([(3, words[0]), (5, words[1]), (6, words[2]), (6, words[3]), (7, "")])
+
+
 def test_odd_rows_and_empty_tables_pass(spark, odd_dir, empty_dir):
     found = corpus_pipeline.run(spark, odd_dir).collect()
     kept = collections.Counter(r.doc_id for r in found if r.doc_id is not None)
