@@ -1,18 +1,20 @@
 """Content-defined chunking of payloads, a deduplicated chunk store, and verified media read back.
 
-A payload's chunks end where the rolling gear hash of the last WINDOW bytes has its low bits zero,
-not before MIN_CHUNK and at MAX_CHUNK at the latest, so equal passages of long payloads give equal
-chunks wherever they stand. The store holds each distinct chunk once, compressed, under its
-SHA-256. A payload of several chunks is an ordered list of digests; joining the lists with the
-store and putting each payload's chunks in order gives the media back. Every chunk and every
-payload is checked against its digest on the way.
+A payload's chunks end where the top MASK_BITS bits of the rolling gear hash of the last WINDOW
+bytes are zero, not before MIN_CHUNK and at MAX_CHUNK at the latest; with these sizes a chunk has
+about 1.2 KB, so most texts have several and equal passages give equal chunks wherever they stand.
+The store holds each distinct chunk once under its SHA-256. Every payload is an ordered list of
+digests; joining the lists with the store and putting each payload's chunks in order gives the
+media back. Every chunk and every payload is checked against its digest on the way.
 
-The stored form of a payload (its media) is MAGIC and, for each chunk in order, the lengths of
-the chunk and of its compressed form (4 bytes each, little-endian), its digest, and the form.
+The stored form of a payload (its media) is MAGIC and, for each chunk in order, its length (4
+bytes, little-endian), its digest, and its bytes as 8-bit samples; the tables that hold chunks are
+compressed by their file format.
 
 Null and empty texts give a payload of 64 zero bytes. Equal payloads are stored and read back
-once, so copies cost a row of digests each. Repeated rows and null ids each keep their row.
-Columns of docs that are named like a result's column are replaced.
+once, so copies cost a row of one digest each. Repeated rows and null ids each keep their row.
+A very long text is many chunks, of which a task holds those of one payload at a time. Columns of
+docs that are named like a result's column are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,17 +27,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bayline.llm.hot import join_one
 from bayline.llm.store import materialise
 
 WINDOW = 32
-MIN_CHUNK, MASK_BITS, MAX_CHUNK = 4096, 14, 65536
-LEVEL = 6
+MIN_CHUNK, MASK_BITS, MAX_CHUNK = 256, 10, 8192
 TURNS = 2
-MAGIC = b"GEARCHK1"
+MAGIC = b"GEARCHK2"
 UNIT = 64
 #: Digests that a task remembers as already sent.
 REMEMBERED = 500_000
@@ -73,7 +74,7 @@ def cut_points(data: np.ndarray) -> list[int]:
     for at in range(0, n, _PIECE):
         begin = max(0, at - WINDOW + 1)
         h = gear_hashes(data[begin : at + _PIECE])[at - begin :]
-        marks.append(np.flatnonzero((h & np.uint32((1 << MASK_BITS) - 1)) == 0) + at + 1)
+        marks.append(np.flatnonzero(h >> np.uint32(32 - MASK_BITS) == 0) + at + 1)
     marks = np.concatenate(marks)
     ends, last = [], 0
     while last < n:
@@ -96,82 +97,71 @@ def chunks(payload: bytes) -> Iterator[tuple[bytes, bytes]]:
         last = end
 
 
+def _turn(digest: bytes) -> int:
+    return digest[0] % TURNS
+
+
 def _chunk_rows(turn: int):
     """Reads payloads into rows of the chunks whose digests fall to this turn, each chunk once a task."""
-    kind = pa.schema([("digest", pa.binary()), ("length", pa.int32()), ("stored", pa.binary()), ("whole", pa.bool_())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, sent, size = zstandard.ZstdCompressor(level=LEVEL), set(), 0
-        rows: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            out = pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
-            rows.clear()
-            return out
-
+        sent: set[bytes] = set()
+        rows: dict[bytes, bytes] = {}
+        size = 0
         for batch in batches:
             for value in batch.column(0):
-                found = list(chunks(value.as_py()))
-                for digest, chunk in found:
-                    key = (digest, len(found) == 1)
-                    if digest[0] % TURNS == turn and key not in sent:
+                for digest, chunk in chunks(value.as_py()):
+                    if _turn(digest) == turn and digest not in sent:
                         if len(sent) >= REMEMBERED:
                             sent.clear()
-                        sent.add(key)
-                        rows.append((digest, len(chunk), packer.compress(chunk), len(found) == 1))
-                        size += len(rows[-1][2])
+                        sent.add(digest)
+                        rows[digest] = chunk
+                        size += len(chunk)
                 if size > _PIECE:
-                    yield flush()
-                    size = 0
-        if rows:
-            yield flush()
+                    yield pa.record_batch([pa.array(rows.keys(), pa.binary()), pa.array(rows.values(), pa.binary())], ["digest", "chunk"])
+                    rows, size = {}, 0
+        yield pa.record_batch([pa.array(rows.keys(), pa.binary()), pa.array(rows.values(), pa.binary())], ["digest", "chunk"])
 
     return read
 
 
-def _recipe_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _list_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sent: set[bytes] = set()
-    kind = pa.schema([("payload", pa.binary()), ("seq", pa.int32()), ("digest", pa.binary())])
     for batch in batches:
-        rows = []
+        rows: dict[bytes, bytes] = {}
         for value in batch.column(0):
             payload = value.as_py()
-            if len(payload) <= MIN_CHUNK or len(found := [d for d, _ in chunks(payload)]) == 1:
-                continue
             whole = hashlib.sha256(payload).digest()
             if whole not in sent:
                 if len(sent) >= REMEMBERED:
                     sent.clear()
                 sent.add(whole)
-                rows += [(whole, i, d) for i, d in enumerate(found)]
-        if rows:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
-
+                rows[whole] = b"".join(d for d, _ in chunks(payload))
+        yield pa.record_batch([pa.array(rows.keys(), pa.binary()), pa.array(rows.values(), pa.binary())], ["payload", "digests"])
 
-def chunk_rows(payloads: DataFrame, turn: int) -> DataFrame:
-    """The distinct chunks of one turn: digest, length, stored, and whether it is a payload and a part of one."""
-    rows = payloads.mapInArrow(_chunk_rows(turn), "digest binary, length int, stored binary, whole boolean")
-    return rows.groupBy("digest").agg(
-        F.first("length").alias("length"),
-        F.first("stored").alias("stored"),
-        F.bool_or("whole").alias("whole"),
-        F.bool_or(~F.col("whole")).alias("part"),
-    )
 
+def chunk_store(payloads: DataFrame) -> list[DataFrame]:
+    """(digest, chunk): each distinct chunk once, written to the shared folder in TURNS tables.
 
-def chunk_store(payloads: DataFrame) -> DataFrame:
-    """Each distinct chunk once, written to the shared folder.
-
-    Digests decide which of TURNS passes a chunk is shuffled and written in, so that only a share
-    of all chunks lies in shuffle files at a time.
+    Digests decide which turn a chunk is shuffled and written in, so that only a share of all
+    chunks lies in shuffle files at a time.
     """
-    turns = [materialise(chunk_rows(payloads, turn)) for turn in range(TURNS)]
-    return reduce(DataFrame.unionByName, turns)
+    rows = (payloads.mapInArrow(_chunk_rows(turn), "digest binary, chunk binary") for turn in range(TURNS))
+    return [materialise(r.groupBy("digest").agg(F.first("chunk").alias("chunk"))) for r in rows]
 
 
 def chunk_lists(payloads: DataFrame) -> DataFrame:
-    """(payload, seq, digest) of the payloads that have several chunks, each payload once."""
-    return payloads.mapInArrow(_recipe_rows, "payload binary, seq int, digest binary").dropDuplicates(["payload", "seq"])
+    """(payload, seq, digest): the ordered chunk list of each distinct payload, written to the shared folder."""
+    packed = payloads.mapInArrow(_list_rows, "payload binary, digests binary").groupBy("payload").agg(F.first("digests").alias("digests"))
+    cut = F.expr("transform(sequence(0, cast(length(digests) / 32 as int) - 1), i -> substring(digests, 32 * i + 1, 32))")
+    return materialise(packed.select("payload", F.posexplode(cut).alias("seq", "digest")))
+
+
+def chunk_sharing(lists: DataFrame) -> DataFrame:
+    """One row: payloads, those of several chunks, list entries, distinct chunks, and those that several payloads share."""
+    by_payload = lists.groupBy("payload").agg(F.count("*").alias("n")).agg(F.count("*").alias("payloads"), F.count_if(F.col("n") > 1).alias("of_several"), F.sum("n").alias("entries"))
+    by_digest = lists.select("digest", "payload").distinct().groupBy("digest").agg(F.count("*").alias("n")).agg(F.count("*").alias("chunks"), F.count_if(F.col("n") > 1).alias("shared"))
+    return by_payload.crossJoin(by_digest)  # one row beside one row
 
 
 def describe(samples: np.ndarray) -> str:
@@ -186,20 +176,20 @@ def describe(samples: np.ndarray) -> str:
     return f"mean={mean:.4f},deviation={deviation:.4f},peak={int(samples.max())},crossings={crossings},entropy={entropy:.4f}"
 
 
-def restore(parts: Iterable[tuple[bytes, int, bytes]], unpacker: zstandard.ZstdDecompressor) -> tuple[bytes, bytes]:
-    """(payload, media) from the (digest, length, stored) of a payload's chunks in order."""
+def restore(parts: Iterable[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+    """(payload, media) from the (digest, chunk) of a payload's chunks in order."""
     payload, media = [], [MAGIC]
-    for digest, length, stored in parts:
-        chunk = unpacker.decompress(stored, max_output_size=length)
+    for digest, chunk in parts:
         if hashlib.sha256(chunk).digest() != digest:
             raise ValueError(f"chunk {digest.hex()} does not match its digest")
         payload.append(chunk)
-        media += [struct.pack("<II", length, len(stored)), digest, stored]
+        media += [struct.pack("<I", len(chunk)), digest, chunk]
     return b"".join(payload), b"".join(media)
 
 
-def _media_row(whole: bytes, parts: Iterable[tuple[bytes, int, bytes]], unpacker: zstandard.ZstdDecompressor) -> tuple:
-    payload, media = restore(parts, unpacker)
+def media_row(whole: bytes, parts: Iterable[tuple[bytes, bytes]]) -> tuple:
+    """A payload's row of MEDIA from its chunks, checked against its digest."""
+    payload, media = restore(parts)
     found = hashlib.sha256(payload)
     if found.digest() != whole:
         raise ValueError(f"payload {whole.hex()} does not match its digest")
@@ -211,29 +201,38 @@ _MEDIA_TYPES = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa
 _MEDIA_NAMES = [c.strip().split(" ")[0] for c in MEDIA.split(",")]
 
 
-def _media_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [[] for _ in _MEDIA_TYPES]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, _MEDIA_TYPES, strict=True)], _MEDIA_NAMES)
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of MEDIA from (payload, digest, chunk), sorted by payload and place."""
+    whole: bytes | None = None
+    parts: list[tuple[bytes, bytes]] = []
 
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[] for _ in _MEDIA_TYPES]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, _MEDIA_TYPES, strict=True)], _MEDIA_NAMES)
 
-def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpacker = zstandard.ZstdDecompressor()
     for batch in batches:
-        rows = zip(*(batch.column(i) for i in range(3)), strict=True)
-        yield _media_batch([_media_row(d.as_py(), [(d.as_py(), n.as_py(), s.as_py())], unpacker) for d, n, s in rows])
-
-
-def _several(group: pa.Table) -> pa.Table:
-    group = group.sort_by("seq")
-    parts = zip(group["digest"].to_pylist(), group["length"].to_pylist(), group["stored"].to_pylist(), strict=True)
-    return pa.Table.from_batches([_media_batch([_media_row(group["payload"][0].as_py(), parts, zstandard.ZstdDecompressor())])])
-
-
-def read_media(store: DataFrame, lists: DataFrame) -> DataFrame:
-    """Every payload of the store put together again and described, in columns MEDIA."""
-    single = store.where("whole").select("digest", "length", "stored").mapInArrow(_single, MEDIA)
-    parts = lists.join(store.where("part").select("digest", "length", "stored"), "digest")
-    return single.unionByName(parts.groupBy("payload").applyInArrow(_several, MEDIA))
+        rows = []
+        for payload, digest, chunk in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if payload != whole:
+                if parts:
+                    rows.append(media_row(whole, parts))
+                whole, parts = payload, []
+            parts.append((digest, chunk))
+        yield pack(rows)
+    if parts:
+        yield pack([media_row(whole, parts)])
+
+
+def read_media(store: list[DataFrame], lists: DataFrame) -> DataFrame:
+    """Every payload of the lists put together again from the store and described, in columns MEDIA.
+
+    Each turn's chunks meet their list entries by digest; the pieces are then dealt and sorted by
+    payload and place and read in one pass a task.
+    """
+    turn = F.conv(F.hex(F.substring("digest", 1, 1)), 16, 10).cast("int") % TURNS
+    pieces = [materialise(join_one(lists.where(turn == i), part, "digest")) for i, part in enumerate(store)]
+    ordered = reduce(DataFrame.unionByName, pieces).repartition("payload").sortWithinPartitions("payload", "seq")
+    return ordered.select("payload", "digest", "chunk").mapInArrow(_assemble, MEDIA)
 
 
 def media_columns(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -242,6 +241,6 @@ def media_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     payload = padded_payload(F.col(text))
     payloads = docs.select(payload.alias("payload"))
     store = chunk_store(payloads)
-    media = read_media(store, chunk_lists(payloads))
+    media = materialise(read_media(store, chunk_lists(payloads)))
     keyed = docs.withColumns({"n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), "payload": F.unhex(F.sha2(payload, 256))}).drop(text)
-    return keyed.join(media, "payload").drop("payload")
+    return join_one(keyed, media, "payload").drop("payload")

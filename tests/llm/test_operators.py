@@ -68,7 +68,7 @@ def test_similarity_join_against_all_pairs(spark, n, num, den, monkeypatch):
 
 def test_chunks_follow_content():
     rng = np.random.default_rng(0)
-    body = rng.integers(97, 123, 300_000, dtype=np.uint8).tobytes()
+    body = rng.integers(97, 123, 100_000, dtype=np.uint8).tobytes()
     a = dict(media.chunks(body))
     b = dict(media.chunks(b"some words more" + body))
     assert b"".join(c for _, c in media.chunks(body)) == body
@@ -86,10 +86,35 @@ def test_rolling_hash_equals_its_definition():
 
 
 def test_damaged_chunks_are_found_out(spark):
-    store = media.chunk_store(spark.createDataFrame([(bytearray(b"a" * 64),)], "payload binary"))
-    broken = store.withColumn("digest", F.unhex(F.sha2("digest", 256)))
+    payloads = spark.createDataFrame([(bytearray(b"a" * 64),), (bytearray(range(256)) * 40,)], "payload binary")
+    lists, store = media.chunk_lists(payloads), media.chunk_store(payloads)
+    assert media.read_media(store, lists).count() == 2
+    broken = [part.withColumn("chunk", F.concat("chunk", F.lit(b"!"))) for part in store]
     with pytest.raises(Exception, match="does not match its digest"):
-        media.read_media(broken, media.chunk_lists(spark.createDataFrame([], "payload binary"))).collect()
+        media.read_media(broken, lists).collect()
+
+
+def test_texts_of_the_corpus_share_the_chunks_of_a_passage(spark):
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(n))
+    passage = prose(600)  # some 3,900 bytes
+    texts = [prose(60) + " " + passage + " " + prose(90), prose(25) + " " + passage, prose(400)]
+    a, b, c = (dict(media.chunks(t.encode())) for t in texts)
+    shared = sum(len(a[d]) for d in set(a) & set(b))
+    assert shared > 0.5 * len(passage) and not set(a) & set(c)
+    row = media.chunk_sharing(media.chunk_lists(spark.createDataFrame([(bytearray(t.encode()),) for t in texts], "payload binary"))).first()
+    assert (row.payloads, row.of_several) == (3, 3) and row.shared == len(set(a) & set(b)) and row.entries == len(a) + len(b) + len(c)
+
+
+def test_join_with_hot_keys_keeps_every_row(spark):
+    from bayline.llm.hot import hot_keys, join_one
+
+    many = spark.range(30_000).selectExpr("id", "case when id % 3 = 0 then -1 else id % 1000 end as k").union(spark.createDataFrame([(-5, None)], "id long, k long"))
+    one = spark.range(-1, 990).selectExpr("id as k", "id * 2 as v")
+    found = join_one(many, one, "k")
+    assert len(hot_keys(many, "k")) == 1
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, many.join(one, "k").collect()))
+    assert join_one(many.limit(0), one, "k").count() == 0
 
 
 def test_class_deal_equals_the_heap():

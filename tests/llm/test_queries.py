@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from bayline.llm import catalogue
+from bayline.llm import catalogue, media
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 QUERIES = {re.match(r"op(\d+)", name)[1]: query for name, query in catalogue.QUERIES.items()}
@@ -34,15 +34,43 @@ def test_empty_tables_give_no_rows(spark, empty_dir, n):
     assert QUERIES[n](spark, empty_dir).count() == 0
 
 
+def plain_media(payload):
+    """A payload's stored form and its features by their definitions, byte by byte."""
+    h, last, form = 0, 0, [media.MAGIC]
+    ends = []
+    for i, byte in enumerate(payload):
+        h = (h << 1) + int(media._GEAR[byte]) & 0xFFFFFFFF
+        size = i + 1 - last
+        if size == media.MAX_CHUNK or (size >= media.MIN_CHUNK and h >> (32 - media.MASK_BITS) == 0) or i + 1 == len(payload):
+            ends.append(i + 1)
+            last = i + 1
+    for a, b in zip([0, *ends], ends, strict=False):
+        form += [(b - a).to_bytes(4, "little"), hashlib.sha256(payload[a:b]).digest(), payload[a:b]]
+    form = b"".join(form)
+    n, counts = len(payload), collections.Counter(payload)
+    mean = sum(payload) / n
+    deviation = math.sqrt(sum(c * (x - mean) ** 2 for x, c in counts.items()) / n)
+    crossings = sum((a > mean) != (b > mean) for a, b in zip(payload, payload[1:], strict=False))
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    return len(form), hashlib.sha256(form).hexdigest(), (mean, deviation, max(payload), crossings, entropy)
+
+
 def test_media(spark, odd_dir, odd_rows):
-    found = QUERIES["1"](spark, odd_dir).collect()
-    expected = []
+    found = collections.defaultdict(list)
+    for r in QUERIES["1"](spark, odd_dir).collect():
+        found[r.doc_id, r.payload_sha256].append(r)
+    assert sum(map(len, found.values())) == len(odd_rows)
     for i, text, *_ in odd_rows:
         data = (text or "").encode()
         payload = data + b"\0" * (-len(data) % 64 or (0 if data else 64))
-        expected.append((i, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])))
-    assert counted((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in found) == counted(expected)
-    assert len({(r.payload_sha256, r.media_sha256, r.media_bytes, r.feature) for r in found}) == len({r.payload_sha256 for r in found})
+        size, digest, features = plain_media(payload)
+        r = found[i, hashlib.sha256(payload).hexdigest()].pop()
+        assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(data), len(payload), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (size, digest)
+        names = [x.split("=") for x in r.feature.split(",")]
+        assert [k for k, _ in names] == ["mean", "deviation", "peak", "crossings", "entropy"]
+        assert [float(v) for _, v in names] == pytest.approx(features, abs=1e-4)
+    assert sum(len(list(media.chunks(t.encode()))) > 1 for _, t, *_ in odd_rows if t) > len(odd_rows) / 4
 
 
 def test_shards(spark, odd_dir, odd_rows):
