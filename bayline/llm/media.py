@@ -2,7 +2,7 @@
 
 A payload's chunks end where the top MASK_BITS bits of the rolling gear hash of the last WINDOW
 bytes are zero, not before MIN_CHUNK and at MAX_CHUNK at the latest; with these sizes a chunk has
-about 1.2 KB, so most texts have several and equal passages give equal chunks wherever they stand.
+about 640 bytes, so most texts have several and equal passages give equal chunks wherever they stand.
 The store holds each distinct chunk once under its SHA-256. Every payload is an ordered list of
 digests; joining the lists with the store and putting each payload's chunks in order gives the
 media back. Every chunk and every payload is checked against its digest on the way.
@@ -19,6 +19,7 @@ docs that are named like a result's column are replaced. An empty table gives an
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import struct
 import zlib
@@ -27,6 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ from bayline.llm.hot import join_one
 from bayline.llm.store import materialise
 
 WINDOW = 32
-MIN_CHUNK, MASK_BITS, MAX_CHUNK = 256, 10, 8192
+MIN_CHUNK, MASK_BITS, MAX_CHUNK = 128, 9, 8192
 TURNS = 2
 MAGIC = b"GEARCHK2"
 UNIT = 64
@@ -65,89 +67,99 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def cut_points(data: np.ndarray) -> list[int]:
-    """The ends of a payload's chunks."""
+def cut_points(data: np.ndarray, starts: np.ndarray) -> list[list[int]]:
+    """The ends of the chunks of the payloads that begin at starts in data, relative to each start.
+
+    All payloads are hashed in one go: a window that reaches into the payload before ends within
+    the first WINDOW bytes, where no chunk may end.
+    """
     n = len(data)
-    if n <= MIN_CHUNK:
-        return [n]
-    marks = []
+    marks = [np.empty(0, np.int64)]
     for at in range(0, n, _PIECE):
         begin = max(0, at - WINDOW + 1)
         h = gear_hashes(data[begin : at + _PIECE])[at - begin :]
         marks.append(np.flatnonzero(h >> np.uint32(32 - MASK_BITS) == 0) + at + 1)
-    marks = np.concatenate(marks)
-    ends, last = [], 0
-    while last < n:
-        if n - last <= MIN_CHUNK:
-            end = n
-        else:
-            i = int(np.searchsorted(marks, last + MIN_CHUNK))
-            end = min(int(marks[i]) if i < len(marks) else n, last + MAX_CHUNK, n)
-        ends.append(end)
-        last = end
-    return ends
+    marks = np.concatenate(marks).tolist()
+    out, i, bounds = [], 0, [*starts.tolist(), n]
+    for start, stop in zip(bounds[:-1], bounds[1:], strict=True):
+        ends, last = [], start
+        while last < stop:
+            if stop - last <= MIN_CHUNK:
+                end = stop
+            else:
+                i = bisect.bisect_left(marks, last + MIN_CHUNK, i)
+                end = min(marks[i] if i < len(marks) else n, last + MAX_CHUNK, stop)
+            ends.append(end - start)
+            last = end
+        out.append(ends)
+    return out
 
 
 def chunks(payload: bytes) -> Iterator[tuple[bytes, bytes]]:
     """(digest, chunk) of a payload's chunks in order."""
-    last = 0
-    for end in cut_points(np.frombuffer(payload, np.uint8)):
-        chunk = payload[last:end]
-        yield hashlib.sha256(chunk).digest(), chunk
-        last = end
+    return next(payload_chunks(pa.array([payload], pa.binary())))[1]
+
 
+def payload_chunks(column: pa.Array) -> Iterator[tuple[bytes, Iterator[tuple[bytes, bytes]]]]:
+    """Each payload of a binary column with its (digest, chunk) pairs in order."""
 
-def _turn(digest: bytes) -> int:
-    return digest[0] % TURNS
+    def cut(payload: bytes, ends: list[int]) -> Iterator[tuple[bytes, bytes]]:
+        for a, b in zip([0, *ends[:-1]], ends, strict=True):
+            yield hashlib.sha256(payload[a:b]).digest(), payload[a:b]
 
+    payloads = column.to_pylist()
+    starts = np.cumsum([0, *(len(p) for p in payloads[:-1])])
+    for payload, ends in zip(payloads, cut_points(np.frombuffer(b"".join(payloads), np.uint8), starts) if payloads else (), strict=True):
+        yield payload, cut(payload, ends)
 
-def _chunk_rows(turn: int):
-    """Reads payloads into rows of the chunks whose digests fall to this turn, each chunk once a task."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[bytes] = set()
-        rows: dict[bytes, bytes] = {}
-        size = 0
-        for batch in batches:
-            for value in batch.column(0):
-                for digest, chunk in chunks(value.as_py()):
-                    if _turn(digest) == turn and digest not in sent:
-                        if len(sent) >= REMEMBERED:
-                            sent.clear()
-                        sent.add(digest)
-                        rows[digest] = chunk
-                        size += len(chunk)
-                if size > _PIECE:
-                    yield pa.record_batch([pa.array(rows.keys(), pa.binary()), pa.array(rows.values(), pa.binary())], ["digest", "chunk"])
-                    rows, size = {}, 0
-        yield pa.record_batch([pa.array(rows.keys(), pa.binary()), pa.array(rows.values(), pa.binary())], ["digest", "chunk"])
+def _runs(column: pa.Array) -> Iterator[pa.Array]:
+    """A binary column in runs of about _PIECE bytes."""
+    sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _PIECE, side="right")))
+        yield column[at:end]
+        at = end
 
-    return read
+
+def _pairs(rows: dict[bytes, bytes], names: list[str]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(rows.keys(), pa.binary()), pa.array(rows.values(), pa.binary())], names)
+
+
+def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, chunk) of all payloads, each chunk once a task as far as it remembers."""
+    sent: set[bytes] = set()
+    for batch in batches:
+        for run in _runs(batch.column(0)):
+            rows: dict[bytes, bytes] = {}
+            for _, found in payload_chunks(run):
+                rows.update((d, c) for d, c in found if d not in sent)
+            if len(sent) >= REMEMBERED:
+                sent.clear()
+            sent.update(rows)
+            yield _pairs(rows, ["digest", "chunk"])
 
 
 def _list_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(payload, digests): each payload's digest and those of its chunks, put together."""
     sent: set[bytes] = set()
     for batch in batches:
-        rows: dict[bytes, bytes] = {}
-        for value in batch.column(0):
-            payload = value.as_py()
-            whole = hashlib.sha256(payload).digest()
-            if whole not in sent:
-                if len(sent) >= REMEMBERED:
-                    sent.clear()
-                sent.add(whole)
-                rows[whole] = b"".join(d for d, _ in chunks(payload))
-        yield pa.record_batch([pa.array(rows.keys(), pa.binary()), pa.array(rows.values(), pa.binary())], ["payload", "digests"])
-
-
-def chunk_store(payloads: DataFrame) -> list[DataFrame]:
-    """(digest, chunk): each distinct chunk once, written to the shared folder in TURNS tables.
-
-    Digests decide which turn a chunk is shuffled and written in, so that only a share of all
-    chunks lies in shuffle files at a time.
-    """
-    rows = (payloads.mapInArrow(_chunk_rows(turn), "digest binary, chunk binary") for turn in range(TURNS))
-    return [materialise(r.groupBy("digest").agg(F.first("chunk").alias("chunk"))) for r in rows]
+        for run in _runs(batch.column(0)):
+            rows: dict[bytes, bytes] = {}
+            for payload, found in payload_chunks(run):
+                if (whole := hashlib.sha256(payload).digest()) not in sent and whole not in rows:
+                    rows[whole] = b"".join(d for d, _ in found)
+            if len(sent) >= REMEMBERED:
+                sent.clear()
+            sent.update(rows)
+            yield _pairs(rows, ["payload", "digests"])
+
+
+def chunk_store(payloads: DataFrame) -> DataFrame:
+    """(digest, chunk): each distinct chunk once, written to the shared folder."""
+    rows = payloads.mapInArrow(_chunk_rows, "digest binary, chunk binary")
+    return materialise(rows.groupBy("digest").agg(F.first("chunk").alias("chunk")))
 
 
 def chunk_lists(payloads: DataFrame) -> DataFrame:
@@ -223,14 +235,15 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pack([media_row(whole, parts)])
 
 
-def read_media(store: list[DataFrame], lists: DataFrame) -> DataFrame:
+def read_media(store: DataFrame, lists: DataFrame) -> DataFrame:
     """Every payload of the lists put together again from the store and described, in columns MEDIA.
 
-    Each turn's chunks meet their list entries by digest; the pieces are then dealt and sorted by
-    payload and place and read in one pass a task.
+    Chunks meet their list entries by digest, in TURNS turns, so that only a share of them lies in
+    shuffle files at a time; the pieces are then dealt and sorted by payload and place and read in
+    one pass a task.
     """
-    turn = F.conv(F.hex(F.substring("digest", 1, 1)), 16, 10).cast("int") % TURNS
-    pieces = [materialise(join_one(lists.where(turn == i), part, "digest")) for i, part in enumerate(store)]
+    turn = F.pmod(F.xxhash64("digest"), F.lit(TURNS))
+    pieces = [materialise(join_one(lists.where(turn == i), store.where(turn == i), "digest")) for i in range(TURNS)]
     ordered = reduce(DataFrame.unionByName, pieces).repartition("payload").sortWithinPartitions("payload", "seq")
     return ordered.select("payload", "digest", "chunk").mapInArrow(_assemble, MEDIA)
 

@@ -89,7 +89,7 @@ def test_damaged_chunks_are_found_out(spark):
     payloads = spark.createDataFrame([(bytearray(b"a" * 64),), (bytearray(range(256)) * 40,)], "payload binary")
     lists, store = media.chunk_lists(payloads), media.chunk_store(payloads)
     assert media.read_media(store, lists).count() == 2
-    broken = [part.withColumn("chunk", F.concat("chunk", F.lit(b"!"))) for part in store]
+    broken = store.withColumn("chunk", F.concat("chunk", F.lit(b"!")))
     with pytest.raises(Exception, match="does not match its digest"):
         media.read_media(broken, lists).collect()
 
