@@ -3,24 +3,33 @@
 A softmax classifier, fitted on a labelled table, gives each document a posterior over domains. A
 document's rate says how often it is to be read; the expected tokens of a domain are the sum over
 documents of rate, tokens and posterior. Projected-gradient least squares moves all rates, from 1,
-until these sums match the targets, with rates kept at zero or above (and, where max_rate is
-given, at that or below). The error is measured in the metric of the inverse Gram matrix of the
-posteriors, so a full step is safe and a handful of them suffices. Each step is one aggregate over
-the documents, of which the driver sees one number for each domain; since a step moves a document's rate by a
-function of its own posterior only, the steps so far give the rate as a column expression.
+until these sums match the targets: each step goes down the gradient of the squared error and
+projects every rate to zero or above (and, where max_rate is given, to that or below). The error is
+measured in the metric of the inverse Gram matrix of the posteriors of the documents whose rates
+are still free to move, so steps of length one settle fast even when many rates stand at a bound.
+Each step is one aggregate over the documents, of which the driver sees k + k * k numbers for k
+domains; since a step moves a document's rate by a function of its own posterior only, the steps
+so far give the rate as a column expression.
+
+The fit ends when the sums are within CLOSE of all tokens of the targets. Targets that no rates in
+the bounds can meet are not met: the fit then ends after STEPS steps with the best rates it saw,
+Rates.converged is false and a warning is given.
 
 The classifier is fitted on at most SAMPLE labelled rows, about PER_DOMAIN of each domain, chosen
 by a hash of the id. Posteriors, tokens and sums cover all documents and whole texts.
 
 A null or empty text has no tokens and the posterior of the intercepts; it changes no sum. A
 document labelled more than once takes the least of its domains, null labels count for nothing.
-Without labelled rows there is one domain, None, with posterior 1. Repeated rows get equal rates.
+Without labelled rows there is one domain, None, with posterior 1. Repeated rows get equal rates,
+as do equal posteriors (ties). Very long texts count with all their tokens. Of the texts of a
+repeated id the classifier is fitted on the least.
 Columns of docs named as the result's are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import warnings
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -90,7 +99,9 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text:
             shares += [r.astype(np.float32).tobytes() for r in _byte_shares(data, offsets)]
         return pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(shares, pa.binary())], ["words", "bytes"])
 
-    rows = docs.select(key, text).join(F.broadcast(chosen), key).select("domain", features(text).alias("x")).limit(2 * SAMPLE).toArrow()
+    # one text an id, so no more than SAMPLE rows
+    sampled = docs.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key).groupBy(key, "domain").agg(F.min("text").alias("text"))
+    rows = sampled.orderBy(F.xxhash64(key), key).select("domain", features("text").alias("x")).toArrow()
     found = rows["domain"].to_pylist()
     domains = sorted(set(found))
     if len(domains) < 2:
@@ -135,6 +146,17 @@ class Rates:
     max_rate: float | None = None
     targets: list[float] = field(default_factory=list)
     reached: list[float] = field(default_factory=list)
+    total: float = 0.0
+
+    @property
+    def error(self) -> float:
+        """The largest miss of a target, as a share of all tokens."""
+        return max((abs(a - b) for a, b in zip(self.reached, self.targets, strict=True)), default=0.0) / max(self.total, 1.0)
+
+    @property
+    def converged(self) -> bool:
+        """Whether the targets are met."""
+        return self.error <= CLOSE
 
     def column(self, posterior: str = "posterior") -> Column:
         """The rate as an expression over the posterior."""
@@ -147,47 +169,82 @@ class Rates:
         return rate
 
 
-def fit_rates(scored: DataFrame, model: DomainModel, targets: Mapping[str, float | None], max_rate: float | None = None) -> Rates:
-    """Fit rates to target shares of all tokens; a domain without a target, or with None, keeps its tokens.
+def domain_tokens(scored: DataFrame, model: DomainModel, weight: Column | None = None) -> list[float]:
+    """The expected tokens of each domain, documents weighted by weight."""
+    share = F.col("n_tokens").cast("double") * (F.lit(1.0) if weight is None else weight)
+    return list(scored.select((share).alias("w"), "posterior").agg(*(_total(F.col("w") * F.col("posterior")[i]) for i in range(len(model.domains)))).first())
+
+
+def _total(column: Column) -> Column:
+    return F.coalesce(F.sum(column), F.lit(0.0))
+
+
+def fit_rates(scored: DataFrame, model: DomainModel, wanted: list[float], max_rate: float | None = None) -> Rates:
+    """Fit rates so that each domain's expected tokens are those wanted.
 
     scored is a written table with n_tokens and posterior.
     """
     k = len(model.domains)
     p = [F.col("posterior")[i] for i in range(k)]
-    n = F.col("n_tokens")
-    zero = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
-    first = scored.agg(zero(n.cast("double")), *(zero(n * x) for x in p), *(zero(n * x * y) for x in p for y in p)).first()
-    total, natural = first[0], np.array(first[1 : k + 1])
-    gram = np.array(first[k + 1 :]).reshape(k, k)
-    gram += np.eye(k) * max(1e-9 * np.trace(gram), 1e-9)
-    wanted = np.array([natural[i] if targets.get(d) is None else targets[d] * total for i, d in enumerate(model.domains)])
-    out, reached = Rates(max_rate=max_rate, targets=wanted.tolist()), natural
-    for _ in range(STEPS):
-        if not total or np.abs(reached - wanted).max() <= CLOSE * total:
-            break
-        step = np.linalg.solve(gram, reached - wanted)
-        if out.steps and np.abs(step).max() < CLOSE:
-            break
-        out.steps.append([float(g) for g in step])
-        before, reached = reached, np.array(scored.withColumn("r", n * out.column()).agg(*(zero(F.col("r") * x) for x in p)).first())
-        if np.abs(reached - before).max() <= CLOSE * total:
+    n = F.col("n_tokens").cast("double")
+    out = Rates(max_rate=max_rate, targets=[float(x) for x in wanted], total=float(scored.agg(_total(n)).first()[0]))
+    best, tried = np.inf, []
+    for _ in range(STEPS + 1):
+        inside = (F.col("r") > 0) & (F.lit(True) if max_rate is None else F.col("r") < max_rate)
+        free = F.when(inside, n).otherwise(0.0) if tried else n
+        sums = scored.withColumn("r", Rates(tried, max_rate).column()).withColumn("f", free)
+        found = sums.agg(*(_total(F.col("r") * n * x) for x in p), *(_total(F.col("f") * x * y) for x in p for y in p)).first()
+        reached, gram = np.array(found[:k], float), np.array(found[k:], float).reshape(k, k)
+        miss = np.abs(reached - out.targets).max(initial=0.0)
+        if miss < best:
+            best, out.steps, out.reached = miss, list(tried), reached.tolist()
+        if out.converged:
             break
-    out.reached = reached.tolist()
+        gram += np.eye(k) * max(1e-9 * np.trace(gram), 1e-9)
+        tried = [*tried, np.linalg.solve(gram, reached - out.targets).tolist()]
+    if not out.converged:
+        warnings.warn(f"the mixture misses its targets by {out.error:.1e} of all tokens", stacklevel=2)
     return out
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float | None], max_rate: float | None = None, key: str = "doc_id") -> tuple[DataFrame, DomainModel, Rates]:
+Targets = Mapping[str, float | None] | Callable[[DataFrame, DomainModel], list[float]]
+
+
+def mix(docs: DataFrame, labelled: DataFrame, targets: Targets, max_rate: float | None = None, key: str = "doc_id") -> tuple[DataFrame, DomainModel, Rates]:
     """docs with n_tokens, posterior, rate and copies; the model; the fit.
 
+    targets are shares of all tokens by domain (a domain without one, or with None, keeps its
+    tokens) or a function of the scored documents and the model that gives each domain's tokens.
     copies is the rate rounded up or down by a hash of the id, so that its mean is the rate.
     """
     model = fit_domains(docs, labelled, key)
     docs = docs.drop("n_tokens", "posterior", "rate", "copies")
-    rates = fit_rates(materialise(with_posteriors(docs.select("text"), model).select("n_tokens", "posterior")), model, targets, max_rate)
+    scored = materialise(with_posteriors(docs.select("text"), model).select("n_tokens", "posterior"))
+    if callable(targets):
+        wanted = targets(scored, model)
+    else:
+        natural = domain_tokens(scored, model)
+        wanted = [x if targets.get(d) is None else targets[d] * sum(natural) for d, x in zip(model.domains, natural, strict=True)]
+    rates = fit_rates(scored, model, wanted, max_rate)
     scored = with_posteriors(docs, model).withColumn("rate", rates.column())
     return scored.withColumn("copies", F.floor(F.col("rate") + unit_hash(key, seed=17)).cast("int")), model, rates
 
 
+def thinned(domain: str, share: float) -> Callable[[DataFrame, DomainModel], list[float]]:
+    """Targets: the tokens of a corpus in which documents that are likelier of domain than not are read share times, others once.
+
+    Rates between share and 1 that meet them exist, so they can be met under a max_rate of 1.
+    """
+
+    def tokens(scored: DataFrame, model: DomainModel) -> list[float]:
+        if domain not in model.domains:
+            return domain_tokens(scored, model)
+        likely = F.col("posterior")[model.domains.index(domain)] > 0.5
+        return domain_tokens(scored, model, F.when(likely, float(share)).otherwise(1.0))
+
+    return tokens
+
+
 def label_domains(labels: DataFrame) -> DataFrame:
     """(doc_id, domain) of the labels table: toxic, else poor or good by quality."""
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "good")

@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 
 from bayline.llm.mixing import label_domains, mix
 
-TARGETS = {"good": 0.92, "poor": 0.06, "toxic": 0.02}
+#: Shares of all tokens; toxic ones are rare enough for some rates to stand at zero.
+TARGETS = {"good": 0.85, "poor": 0.14, "toxic": 0.01}
 
 
 def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens, posteriors, rate and copies of each row of documents."""
+    """Tokens, posteriors, rate and copies of each row of documents, and how the fit ended.
+
+    fit_error is the largest miss of a target as a share of all tokens, fit_steps how many steps
+    were taken, fit_met whether the targets are met.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labelled = label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    mixed, model, _ = mix(docs, labelled, TARGETS)
+    mixed, model, fit = mix(docs, labelled, TARGETS)
     share = {d: F.col("posterior")[i] for i, d in enumerate(model.domains)}
-    return mixed.select("doc_id", "n_tokens", *(share.get(d, F.lit(0.0)).alias(f"p_{d}") for d in TARGETS), "rate", "copies")
+    return mixed.select("doc_id", "n_tokens", *(share.get(d, F.lit(0.0)).alias(f"p_{d}") for d in TARGETS), "rate", "copies", F.lit(fit.error).alias("fit_error"), F.lit(len(fit.steps)).alias("fit_steps"), F.lit(fit.converged).alias("fit_met"))
 
 
 QUERIES = {"op3_soft_mixing": op3_soft_mixing}

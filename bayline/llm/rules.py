@@ -142,7 +142,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str]) -> RuleModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, y) of at most sample labelled ids; allowed is a condition on doc_id."""
+    """(doc_id, text, y) of at most sample labelled ids, the least text of each; allowed is a condition on doc_id."""
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & allowed)
         .groupBy("doc_id")
@@ -150,13 +150,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
         .orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id")
         .limit(sample)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(4 * sample)
+    # one text an id, so no more than sample rows
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quality") -> RuleModel:
     """Fit the ensemble to a label of the rows that allowed holds for."""
     stats = statistics()
-    rows = labelled_sample(docs, labels, label, allowed).select("y", *(c.alias(n) for n, c in stats.items())).toPandas()
+    rows = labelled_sample(docs, labels, label, allowed).orderBy(F.xxhash64("doc_id"), "doc_id").select("y", *(c.alias(n) for n, c in stats.items())).toPandas()
     x = rows[list(stats)].to_numpy(float)
     return fit_rules(x, (rows["y"].to_numpy(float) >= 0.5).astype(float), list(stats))
 

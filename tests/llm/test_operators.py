@@ -280,19 +280,55 @@ def test_rare_pairs_count_in_a_large_corpus(spark, monkeypatch):
     assert found[len(texts) - 1].score > found[len(texts) - 1].base_score + 3  # "rare bird" is known as a pair
 
 
-def test_mixture_meets_its_targets(spark):
+def kinds_table(spark, n=400):
     rng = random.Random(2)
     kinds = {"good": "alpha beta gamma delta", "poor": "zip zap zop zup", "toxic": "grr brr hrr trr"}
-    rows = [(i, k, " ".join(rng.choice(kinds[k].split()) for _ in range(rng.randint(5, 40)))) for i, k in enumerate(rng.choices(list(kinds), [6, 3, 1], k=400))]
-    df = spark.createDataFrame(rows, "doc_id long, domain string, text string")
-    mixed, model, rates = mixing.mix(df, df.where("doc_id % 2 = 0").select("doc_id", "domain"), {"good": 0.5, "poor": 0.3, "toxic": 0.2})
-    assert np.allclose(rates.reached, rates.targets, rtol=1e-5)
-    total = mixed.agg(F.sum("n_tokens")).first()[0]
-    got = mixed.groupBy("domain").agg(F.sum(F.col("rate") * F.col("n_tokens")).alias("t")).collect()
-    assert {r.domain: round(r.t / total, 1) for r in got} == {"good": 0.5, "poor": 0.3, "toxic": 0.2}
-    held, _, rates = mixing.mix(df, df.select("doc_id", "domain"), {"good": 2.0, "toxic": 0.0}, max_rate=1.0)
-    low, high = held.where("domain = 'good'").agg(F.min("rate"), F.max("rate")).first()
-    assert low > 0.99 and high <= 1.0 and held.where("domain = 'toxic'").agg(F.max("rate")).first()[0] < 0.1
+    rows = []
+    for i, k in enumerate(rng.choices(list(kinds), [6, 3, 1], k=n)):
+        other = rng.choice(list(kinds)) if i % 7 == 0 else k  # some documents are of two kinds
+        words = [rng.choice(kinds[rng.choice([k, other])].split()) for _ in range(rng.randint(5, 40))]
+        rows.append((i, k, " ".join(words)))
+    return spark.createDataFrame(rows, "doc_id long, domain string, text string")
+
+
+def expected_tokens(mixed, model):
+    rows = mixed.collect()
+    return [sum(r.rate * r.n_tokens * r.posterior[i] for r in rows) for i in range(len(model.domains))], rows
+
+
+def test_mixture_meets_its_targets(spark):
+    df = kinds_table(spark)
+    labels = df.where("doc_id % 2 = 0").select("doc_id", "domain")
+    for targets in ({"good": 0.5, "poor": 0.3, "toxic": 0.2}, {"good": 0.7, "poor": 0.29, "toxic": 0.01}):
+        mixed, model, rates = mixing.mix(df, labels, targets)
+        got, rows = expected_tokens(mixed, model)
+        total = sum(r.n_tokens for r in rows)
+        assert rates.converged and got == pytest.approx([targets[d] * total for d in model.domains], abs=1e-6 * total)
+        assert got == pytest.approx(rates.reached, rel=1e-9) and min(r.rate for r in rows) >= 0
+        copies = sum(r.copies * r.n_tokens for r in rows)
+        assert copies == pytest.approx(total, rel=0.1)
+
+
+def test_rates_stand_at_zero_where_the_bound_binds(spark):
+    df = kinds_table(spark)
+    mixed, model, rates = mixing.mix(df, df.select("doc_id", "domain"), {"good": 0.95, "poor": 0.045, "toxic": 0.005})
+    got, rows = expected_tokens(mixed, model)
+    assert rates.converged and len(rates.steps) > 1 and sum(r.rate == 0 for r in rows) > 5
+    assert got == pytest.approx(rates.targets, abs=1e-6 * rates.total)
+
+
+def test_thinning_meets_its_targets_and_impossible_ones_are_flagged(spark):
+    df = kinds_table(spark)
+    labels = df.select("doc_id", "domain")
+    mixed, model, rates = mixing.mix(df, labels, mixing.thinned("toxic", 0.05), max_rate=1.0)
+    got, rows = expected_tokens(mixed, model)
+    likely = [r.posterior[model.domains.index("toxic")] > 0.5 for r in rows]
+    plain = [sum((0.05 if t else 1) * r.n_tokens * r.posterior[i] for r, t in zip(rows, likely, strict=True)) for i in range(3)]
+    assert rates.converged and rates.targets == pytest.approx(plain) and got == pytest.approx(plain, abs=1e-6 * rates.total)
+    assert all(0 <= r.rate <= 1 for r in rows)
+    with pytest.warns(UserWarning, match="misses its targets"):
+        _, _, missed = mixing.mix(df, labels, {"good": 2.0, "toxic": 0.0}, max_rate=1.0)
+    assert not missed.converged and missed.error > 0.1
 
 
 def test_most_frequent_never_exceeds_its_bound(spark):

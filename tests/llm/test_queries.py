@@ -94,6 +94,16 @@ def test_mixing(spark, odd_dir, odd_rows):
     assert all(abs(r.p_good + r.p_poor + r.p_toxic - 1) < 1e-9 and r.rate >= 0 and abs(r.copies - r.rate) <= 1 for r in found)
 
 
+def test_mixing_meets_its_targets_on_the_tables(spark):
+    from bayline.llm.mixing_query import TARGETS
+
+    found = QUERIES["3"](spark, "/root/testdata/sf0.01").collect()
+    total = sum(r.n_tokens for r in found)
+    assert all(r.fit_met for r in found) and any(r.rate == 0 for r in found)
+    for domain, share in TARGETS.items():
+        assert sum(r.rate * r.n_tokens * r[f"p_{domain}"] for r in found) == pytest.approx(share * total, abs=1e-6 * total)
+
+
 def test_topk(spark, odd_dir):
     rows = {r.vec_id: r.embedding for r in spark.read.parquet(f"{odd_dir}/embeddings.parquet").collect()}
     fine = {i: [math.floor(1024 * x) for x in v] + [0] * (8 - len(v)) for i, v in rows.items() if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
