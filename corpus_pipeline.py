@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from bayline.llm.bpe import encode_documents
 from bayline.llm.jaccard import Similarity, similar_components
-from bayline.llm.mixing import label_domains, mix
+from bayline.llm.mixing import label_domains, mix, thinned
 from bayline.llm.rules import learn_quality, score_quality
 from bayline.llm.secrets import redact_secrets
 from bayline.llm.store import materialise
 
-#: Share of all tokens that toxic documents may keep; the other domains keep theirs.
+#: Share of their tokens that likely toxic documents keep; the others keep all of theirs.
 TOXIC_SHARE = 0.01
 
 
@@ -51,12 +51,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by their rates, none more than once, toxic ones down to TOXIC_SHARE of the tokens.
+    """Documents drawn by their rates, none more than once.
 
-    The target of good documents lies a little above what there is, so their rates stay at one.
+    The targets are what each domain would have if likely toxic documents kept TOXIC_SHARE of
+    their tokens, which rates up to one can meet.
     """
     labelled = label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    mixed, _, _ = mix(docs, labelled, {"good": 1.0, "toxic": TOXIC_SHARE}, max_rate=1.0)
+    mixed, _, _ = mix(docs, labelled, thinned("toxic", TOXIC_SHARE), max_rate=1.0)
     return mixed.where("copies > 0").select(docs.columns)
 
 
