@@ -7,9 +7,8 @@ The store holds each distinct chunk once under its SHA-256. Every payload is an
 digests; joining the lists with the store and putting each payload's chunks in order gives the
 media back. Every chunk and every payload is checked against its digest on the way.
 
-The stored form of a payload (its media) is MAGIC and, for each chunk in order, its length (4
-bytes, little-endian), its digest, and its bytes as 8-bit samples; the tables that hold chunks are
-compressed by their file format.
+The stored form of a payload (its media) is MAGIC and, for each chunk in order, the lengths of
+the chunk and of its compressed form (4 bytes each, little-endian), its digest, and the form.
 
 Null and empty texts give a payload of 64 zero bytes. Equal payloads are stored and read back
 once, so copies cost a row of one digest each. Repeated rows and null ids each keep their row.
@@ -29,15 +28,17 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bayline.llm.hot import join_one
-from bayline.llm.store import materialise
+from bayline.llm.store import discard, materialise
 
 WINDOW = 32
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 128, 9, 8192
-TURNS = 2
+LEVEL = 3
+TURNS = 4
 MAGIC = b"GEARCHK2"
 UNIT = 64
 #: Digests that a task remembers as already sent.
@@ -123,13 +124,10 @@ def _runs(column: pa.Array) -> Iterator[pa.Array]:
         at = end
 
 
-def _pairs(rows: dict[bytes, bytes], names: list[str]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(rows.keys(), pa.binary()), pa.array(rows.values(), pa.binary())], names)
-
-
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, chunk) of all payloads, each chunk once a task as far as it remembers."""
+    """(digest, length, stored) of all payloads' chunks, each once a task as far as it remembers."""
     sent: set[bytes] = set()
+    packer = zstandard.ZstdCompressor(level=LEVEL)
     for batch in batches:
         for run in _runs(batch.column(0)):
             rows: dict[bytes, bytes] = {}
@@ -138,7 +136,8 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(sent) >= REMEMBERED:
                 sent.clear()
             sent.update(rows)
-            yield _pairs(rows, ["digest", "chunk"])
+            columns = [pa.array(rows.keys(), pa.binary()), pa.array(map(len, rows.values()), pa.int32()), pa.array(map(packer.compress, rows.values()), pa.binary())]
+            yield pa.record_batch(columns, ["digest", "length", "stored"])
 
 
 def _list_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,13 +152,13 @@ def _list_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(sent) >= REMEMBERED:
                 sent.clear()
             sent.update(rows)
-            yield _pairs(rows, ["payload", "digests"])
+            yield pa.record_batch([pa.array(rows.keys(), pa.binary()), pa.array(rows.values(), pa.binary())], ["payload", "digests"])
 
 
 def chunk_store(payloads: DataFrame) -> DataFrame:
-    """(digest, chunk): each distinct chunk once, written to the shared folder."""
-    rows = payloads.mapInArrow(_chunk_rows, "digest binary, chunk binary")
-    return materialise(rows.groupBy("digest").agg(F.first("chunk").alias("chunk")))
+    """(digest, length, stored): each distinct chunk once, compressed, written to the shared folder."""
+    rows = payloads.mapInArrow(_chunk_rows, "digest binary, length int, stored binary")
+    return materialise(rows.groupBy("digest").agg(F.first("length").alias("length"), F.first("stored").alias("stored")))
 
 
 def chunk_lists(payloads: DataFrame) -> DataFrame:
@@ -188,18 +187,19 @@ def describe(samples: np.ndarray) -> str:
     return f"mean={mean:.4f},deviation={deviation:.4f},peak={int(samples.max())},crossings={crossings},entropy={entropy:.4f}"
 
 
-def restore(parts: Iterable[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
-    """(payload, media) from the (digest, chunk) of a payload's chunks in order."""
-    payload, media = [], [MAGIC]
-    for digest, chunk in parts:
+def restore(parts: Iterable[tuple[bytes, int, bytes]]) -> tuple[bytes, bytes]:
+    """(payload, media) from the (digest, length, stored) of a payload's chunks in order."""
+    unpacker, payload, media = zstandard.ZstdDecompressor(), [], [MAGIC]
+    for digest, length, stored in parts:
+        chunk = unpacker.decompress(stored, max_output_size=length)
         if hashlib.sha256(chunk).digest() != digest:
             raise ValueError(f"chunk {digest.hex()} does not match its digest")
         payload.append(chunk)
-        media += [struct.pack("<I", len(chunk)), digest, chunk]
+        media += [struct.pack("<II", length, len(stored)), digest, stored]
     return b"".join(payload), b"".join(media)
 
 
-def media_row(whole: bytes, parts: Iterable[tuple[bytes, bytes]]) -> tuple:
+def media_row(whole: bytes, parts: Iterable[tuple[bytes, int, bytes]]) -> tuple:
     """A payload's row of MEDIA from its chunks, checked against its digest."""
     payload, media = restore(parts)
     found = hashlib.sha256(payload)
@@ -214,9 +214,9 @@ _MEDIA_NAMES = [c.strip().split(" ")[0] for c in MEDIA.split(",")]
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of MEDIA from (payload, digest, chunk), sorted by payload and place."""
+    """Rows of MEDIA from (payload, digest, length, stored), sorted by payload and place."""
     whole: bytes | None = None
-    parts: list[tuple[bytes, bytes]] = []
+    parts: list[tuple[bytes, int, bytes]] = []
 
     def pack(rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows, strict=True) if rows else [[] for _ in _MEDIA_TYPES]
@@ -224,28 +224,34 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         rows = []
-        for payload, digest, chunk in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for payload, *part in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if payload != whole:
                 if parts:
                     rows.append(media_row(whole, parts))
                 whole, parts = payload, []
-            parts.append((digest, chunk))
+            parts.append(tuple(part))
         yield pack(rows)
     if parts:
         yield pack([media_row(whole, parts)])
 
 
-def read_media(store: DataFrame, lists: DataFrame) -> DataFrame:
-    """Every payload of the lists put together again from the store and described, in columns MEDIA.
+def payload_pieces(store: DataFrame, lists: DataFrame) -> list[DataFrame]:
+    """The entries of the lists with their chunks, written to the shared folder.
 
     Chunks meet their list entries by digest, in TURNS turns, so that only a share of them lies in
-    shuffle files at a time; the pieces are then dealt and sorted by payload and place and read in
-    one pass a task.
+    shuffle files at a time.
     """
     turn = F.pmod(F.xxhash64("digest"), F.lit(TURNS))
-    pieces = [materialise(join_one(lists.where(turn == i), store.where(turn == i), "digest")) for i in range(TURNS)]
+    return [materialise(join_one(lists.where(turn == i), store.where(turn == i), "digest")) for i in range(TURNS)]
+
+
+def read_media(pieces: list[DataFrame]) -> DataFrame:
+    """Every payload put together again from its pieces and described, in columns MEDIA.
+
+    The pieces are dealt and sorted by payload and place and read in one pass a task.
+    """
     ordered = reduce(DataFrame.unionByName, pieces).repartition("payload").sortWithinPartitions("payload", "seq")
-    return ordered.select("payload", "digest", "chunk").mapInArrow(_assemble, MEDIA)
+    return ordered.select("payload", "digest", "length", "stored").mapInArrow(_assemble, MEDIA)
 
 
 def media_columns(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -253,7 +259,10 @@ def media_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     docs = docs.drop(*_MEDIA_NAMES)
     payload = padded_payload(F.col(text))
     payloads = docs.select(payload.alias("payload"))
-    store = chunk_store(payloads)
-    media = materialise(read_media(store, chunk_lists(payloads)))
+    lists, store = chunk_lists(payloads), chunk_store(payloads)
+    pieces = payload_pieces(store, lists)
+    discard(store, lists)
+    media = materialise(read_media(pieces))
+    discard(*pieces)
     keyed = docs.withColumns({"n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), "payload": F.unhex(F.sha2(payload, 256))}).drop(text)
     return join_one(keyed, media, "payload").drop("payload")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,14 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a new temporary one."""
+    """The folder of spark.checkpoint.dir; where it is unset, a new temporary one in local mode.
+
+    A cluster needs the setting: its executors share no temporary folder with the driver.
+    """
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that driver and executors share")
         folder = getattr(spark, "_bayline_shared", None)
     if not folder:
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
@@ -24,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
 #: Held while a table is written: shuffle files go as soon as the write has ended, and batches for
 #: Python stay small beside what the workers make of them.
 WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+#: One table is written at a time, since the settings are the session's.
+_writing = threading.Lock()
 
 
 def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
@@ -33,15 +41,26 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/bayline/{uuid.uuid4().hex}"
-    before = {key: spark.conf.get(key, None) for key in WHILE_WRITING}
-    try:
-        for key, value in WHILE_WRITING.items():
-            spark.conf.set(key, value)
-        df.write.option("compression", codec).parquet(path)
-    finally:
-        for key, value in before.items():
-            if value is None:
-                spark.conf.unset(key)
-            else:
+    with _writing:
+        before = {key: spark.conf.get(key, None) for key in WHILE_WRITING}
+        try:
+            for key, value in WHILE_WRITING.items():
                 spark.conf.set(key, value)
-    return spark.read.schema(df.schema).parquet(path)
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            for key, value in before.items():
+                if value is None:
+                    spark.conf.unset(key)
+                else:
+                    spark.conf.set(key, value)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._bayline_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise() wrote and that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._bayline_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -88,10 +88,11 @@ def test_rolling_hash_equals_its_definition():
 def test_damaged_chunks_are_found_out(spark):
     payloads = spark.createDataFrame([(bytearray(b"a" * 64),), (bytearray(range(256)) * 40,)], "payload binary")
     lists, store = media.chunk_lists(payloads), media.chunk_store(payloads)
-    assert media.read_media(store, lists).count() == 2
-    broken = store.withColumn("chunk", F.concat("chunk", F.lit(b"!")))
+    assert media.read_media(media.payload_pieces(store, lists)).count() == 2
+    broken = store.withColumn("digest", F.unhex(F.sha2("digest", 256)))
+    moved = lists.withColumn("digest", F.unhex(F.sha2("digest", 256)))
     with pytest.raises(Exception, match="does not match its digest"):
-        media.read_media(broken, lists).collect()
+        media.read_media(media.payload_pieces(broken, moved)).collect()
 
 
 def test_texts_of_the_corpus_share_the_chunks_of_a_passage(spark):

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from tokenizers import Tokenizer
 
 from bayline.llm import catalogue, media
@@ -45,7 +46,8 @@ def plain_media(payload):
             ends.append(i + 1)
             last = i + 1
     for a, b in zip([0, *ends], ends, strict=False):
-        form += [(b - a).to_bytes(4, "little"), hashlib.sha256(payload[a:b]).digest(), payload[a:b]]
+        packed = zstandard.compress(payload[a:b], media.LEVEL)
+        form += [(b - a).to_bytes(4, "little"), len(packed).to_bytes(4, "little"), hashlib.sha256(payload[a:b]).digest(), packed]
     form = b"".join(form)
     n, counts = len(payload), collections.Counter(payload)
     mean = sum(payload) / n
