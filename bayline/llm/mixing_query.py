@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bayline.llm.mixing import label_domains, mix
 
 #: Shares of all tokens; toxic ones are rare enough for some rates to stand at zero.
-TARGETS = {"good": 0.85, "poor": 0.14, "toxic": 0.01}
+TARGETS = {"good": 0.95, "poor": 0.048, "toxic": 0.002}
 
 
 def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
