@@ -2,24 +2,31 @@
 
 Tokens are the words of a text, A-Z lower-cased, and then one end. Counts are over all training
 texts. The base model is the smoothed unigram, log10((c + 0.1) / (N + 0.1 (V + 1))). The automaton
-adds bigrams to it: an arc for every pair of words that follow one another more than once in the
-training texts, weighted by the discounted bigram probability; a state for every word that has an
-arc; and a failure arc with the probability left over, scaled so that each state's probabilities
-add up to one, down to the unigram. The thresholds are counts, so states and arcs grow with the
-corpus. Nobody holds the whole automaton: each block gets the states and arcs of its own words.
-
+has three levels. Its root is the unigram. A word with arcs is a state below the root, a pair of
+words with arcs a state below the second word's. An arc stands for every pair, and every triple,
+of words that follow one another more than once in the training texts, weighted by its discounted
+probability; a failure arc leads from a pair to its second word and from a word to the root, with
+the probability left over, scaled so that each state's probabilities add up to one. The thresholds
+are counts, so states and arcs grow with the corpus.
+
+A text is scored in one traversal from left to right that carries the state: an arc on the next
+word gives its weight and the next state; without one the failure arc is taken and the word is
+tried again. A text begins in the state of the end.
+
+Nobody holds the whole automaton: each block of texts gets the states and arcs of its own words.
 Texts are written to the shared folder once, packed into blocks of about BLOCK bytes. A block sends
 its sorted distinct words and pairs, cut into slices by the leading bits of their hashes; the
 slices of all blocks with the same bits meet, are added up, and each goes back to its block as an
 array in the same order. There are about as many slices as blocks, so none grows with the corpus.
-A second round adds up, for each state, its arcs' counts and their words' counts; the first slice
-to name a pair speaks for it there. Each block is then scored beside its own part of the
-automaton, in one pass from left to right that carries the state. Words and pairs are known by
-64-bit hashes.
+A second round adds up the arcs of the words and counts the triples whose pairs occur often
+enough, a third adds up the arcs of the pairs; the first slice to name a gram speaks for it there.
+Each block is then scored beside its own part of the automaton. Words, pairs and triples are known
+by 64-bit hashes.
 
 A null text counts as empty: it has the one token end. Without training rows all counts are zero.
-Repeated rows are scored alike, each by itself. Columns other than the id and the text are not
-looked at. An empty table gives an empty result.
+Repeated rows, and equal texts, are scored alike, each by itself. A very long text is a block of
+its own and is held by one task. Columns other than the id and the text are not looked at. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,8 +46,8 @@ from bayline.llm.hashing import mix, text_buffers, word_hashes
 from bayline.llm.store import materialise
 
 SMOOTHING = 0.1
-#: A pair of words makes an arc if it occurs so often.
-LEAST_PAIRS = 2
+#: A pair or triple of words makes an arc if it occurs so often.
+LEAST = 2
 DISCOUNT = 0.5
 BLOCK = 4 << 20
 #: Stands for the end of a text; a word hashes to it with a chance of 2**-64.
@@ -102,46 +109,41 @@ def open_block(row: dict) -> Block:
     return Block(ids, np.array(row["training"], bool), tokens, np.concatenate([[0], ends + 1]))
 
 
-def block_words(blocks: DataFrame) -> DataFrame:
-    """(block, word, n): each distinct token of a block and how often training texts have it there."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = open_block(row)
-                words, at = np.unique(block.tokens, return_inverse=True)
-                weight = np.repeat(block.training, np.diff(block.bounds))
-                n = np.bincount(at, weight, len(words)).astype(np.int64)
-                yield pa.record_batch(
-                    [pa.array(np.full(len(words), row["block"])), pa.array(words.view(np.int64)), pa.array(n)], ["block", "word", "n"]
-                )
-
-    return blocks.mapInArrow(count, "block long, word long, n long")
-
-
 @dataclass
 class Grams:
-    """The sorted distinct words and pairs of a block; where each token has them, and where each pair has its words."""
+    """The sorted distinct words, pairs and triples of a block, and how they are made of one another.
+
+    A token's pair is the token with the one before, an end if it is the first of its text. A
+    token other than the first has a triple, its pair with the one before that.
+    """
 
     words: np.ndarray
-    word_at: np.ndarray
+    word_at: np.ndarray  # of each token
     pairs: np.ndarray
-    pair_at: np.ndarray
-    left: np.ndarray
+    pair_at: np.ndarray  # of each token
+    left: np.ndarray  # the words of each pair
     right: np.ndarray
+    triples: np.ndarray
+    triple_rows: np.ndarray  # the tokens that have a triple
+    triple_at: np.ndarray  # of each of them
+    context: np.ndarray  # the pair that each triple begins with
+    ending: np.ndarray  # the pair that each triple ends with
 
 
 def block_grams(block: Block) -> Grams:
-    """The grams of a block; the word before its first token is an end."""
+    """The grams of a block."""
     words, at = np.unique(block.tokens, return_inverse=True)
-    before = np.concatenate([[np.searchsorted(words, END)], at[:-1]])
+    end = np.searchsorted(words, END)
+    before = np.concatenate([[end], at[:-1]])
     pairs, first, pair_at = np.unique(pair_hash(words[before], block.tokens), return_index=True, return_inverse=True)
-    return Grams(words, at, pairs, pair_at, before[first], at[first])
+    rows = np.flatnonzero(before != end)
+    triples, place, triple_at = np.unique(pair_hash(pairs[pair_at[rows - 1]], block.tokens[rows]), return_index=True, return_inverse=True)
+    return Grams(words, at, pairs, pair_at, before[first], at[first], triples, rows, triple_at, pair_at[rows[place] - 1], pair_at[rows[place]])
 
 
 SLICES = "part long, block long, data binary"
 SUMS = "part long, block long, total long, distinct long, data binary"
-WORDS, PAIRS = 0, 1
+WORDS, PAIRS, TRIPLES = 0, 1, 2
 
 
 def slices(number: int, kind: int, keys: np.ndarray, values: list[np.ndarray], bits: int) -> pa.RecordBatch:
@@ -203,57 +205,93 @@ def gram_counts(blocks: DataFrame, bits: int) -> DataFrame:
     return add_up(blocks.mapInArrow(count, SLICES), 1)
 
 
-def state_sums(blocks: DataFrame, counts: DataFrame, bits: int) -> DataFrame:
-    """Of each block's words that occur more than once: the arcs' counts, their number and their words' counts, as rows of SUMS."""
+def frequent_triples(grams: Grams, n: np.ndarray) -> np.ndarray:
+    """The triples whose pairs, of which there are n each, occur often enough for the triple to do so."""
+    return np.flatnonzero((n[grams.context] >= LEAST) & (n[grams.ending] >= LEAST))
+
+
+def word_sums(blocks: DataFrame, counts: DataFrame, bits: int) -> DataFrame:
+    """The second round: sums over the arcs of each block's words that occur more than once, and counts of its triples.
+
+    As rows of SUMS: of a word the arcs' counts, their number and the counts of the words they lead
+    to; of a triple whose pairs occur often enough its count.
+    """
 
     def spread(texts: pa.Table, known: pa.Table) -> pa.Table:
         out = []
         for row in texts.to_pylist():
-            grams = block_grams(open_block(row))
+            block = open_block(row)
+            grams = block_grams(block)
             (c, _), (n, own) = own_sums(known, WORDS, 1), own_sums(known, PAIRS, 1)
-            arc = (n >= LEAST_PAIRS) & (own > 0)
+            arc = (n >= LEAST) & (own > 0)
             left, size = grams.left[arc], len(grams.words)
             sums = [np.bincount(left, n[arc], size), np.bincount(left, minlength=size), np.bincount(left, c[grams.right[arc]], size)]
             out.append(slices(row["block"], WORDS, grams.words[c > 1], [x[c > 1] for x in sums], bits))
+            weight = np.repeat(block.training, np.diff(block.bounds))[grams.triple_rows]
+            chosen = frequent_triples(grams, n)
+            triples = np.bincount(grams.triple_at, weight, len(grams.triples))[chosen]
+            out.append(slices(row["block"], TRIPLES, grams.triples[chosen], [triples, np.zeros_like(triples), np.zeros_like(triples)], bits))
         return pa.Table.from_batches(out)
 
     return add_up(blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(spread, SLICES), 3)
 
 
+def pair_sums(blocks: DataFrame, parts: DataFrame, bits: int) -> DataFrame:
+    """The third round: of each block's pairs that occur often enough the arcs' counts, their number and the counts of the arcs' last pairs."""
+
+    def spread(texts: pa.Table, known: pa.Table) -> pa.Table:
+        out = []
+        first, second = (known.filter(pc.equal(known["round"], i)) for i in (1, 2))
+        for row in texts.to_pylist():
+            grams = block_grams(open_block(row))
+            n, _ = own_sums(first, PAIRS, 1)
+            chosen = frequent_triples(grams, n)
+            m, _, _, own = own_sums(second, TRIPLES, 3)
+            arc = (m >= LEAST) & (own > 0)
+            context, size = grams.context[chosen][arc], len(grams.pairs)
+            sums = [np.bincount(context, m[arc], size), np.bincount(context, minlength=size), np.bincount(context, n[grams.ending[chosen][arc]], size)]
+            out.append(slices(row["block"], PAIRS, grams.pairs[n >= LEAST], [x[n >= LEAST] for x in sums], bits))
+        return pa.Table.from_batches(out)
+
+    return add_up(blocks.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(spread, SLICES), 3)
+
+
 @dataclass
 class Automaton:
-    """States, arcs and failure arcs, of the whole corpus or a block; weights are log10 probabilities."""
-
-    total: int
-    distinct: int
-    states: np.ndarray  # hashes of the context words, ascending
-    failure: np.ndarray  # log10 weight of each state's failure arc
-    arcs: np.ndarray  # pair hashes, ascending
-    weights: np.ndarray
+    """A block's part of the automaton; states are numbered, weights are log10 probabilities.
 
-    def unigram(self, counts: np.ndarray) -> np.ndarray:
-        """The smoothed log10 probability of words by their counts."""
-        return np.log10((counts + SMOOTHING) / (self.total + SMOOTHING * (self.distinct + 1)))
+    State 0 is the root. State 1 + i is the block's word i, state 1 + words + i its pair i; those
+    without arcs are never entered.
+    """
 
-    def walk(self, tokens: np.ndarray, unigrams: np.ndarray) -> np.ndarray:
-        """The log10 probability of each token after the one before it, the first after an end.
-
-        Bigram states are decided by the last token alone, so the states along the texts are known
-        in advance and the steps of the traversal can be taken together.
-        """
-        before = np.concatenate([[END], tokens[:-1]])
-        out = unigrams.copy()
-        if len(self.states):
-            at = np.minimum(np.searchsorted(self.states, before), len(self.states) - 1)
-            inside = self.states[at] == before
-            out[inside] += self.failure[at[inside]]
-            if len(self.arcs):
-                rows = np.flatnonzero(inside)
-                pairs = pair_hash(before[rows], tokens[rows])
-                arc = np.minimum(np.searchsorted(self.arcs, pairs), len(self.arcs) - 1)
-                hit = self.arcs[arc] == pairs
-                out[rows[hit]] = self.weights[arc[hit]]
-        return out
+    words: int
+    start: int
+    arcs: dict[int, int]  # state * words + word -> arc
+    weight: list[float]
+    target: list[int]
+    failure: list[float]  # of each state
+    below: list[int]  # where each state's failure arc leads
+    unigram: list[float]
+    entered: list[int]  # the state that each word leads to from the root
+
+    def score(self, tokens: list[int]) -> float:
+        """The log10 probability of the words of one text, in one traversal from left to right."""
+        find, words, weight, target, failure, below = self.arcs.get, self.words, self.weight, self.target, self.failure, self.below
+        total, state = 0.0, self.start
+        for word in tokens:
+            while True:
+                arc = find(state * words + word)
+                if arc is not None:
+                    total += weight[arc]
+                    state = target[arc]
+                    break
+                if not state:
+                    total += self.unigram[word]
+                    state = self.entered[word]
+                    break
+                total += failure[state]
+                state = below[state]
+        return total
 
 
 @dataclass
@@ -264,17 +302,46 @@ class Model:
     distinct: int
     parts: DataFrame  # round, block, part, data
 
+    def unigram(self, counts: np.ndarray) -> np.ndarray:
+        """The smoothed log10 probability of words by their counts."""
+        return np.log10((counts + SMOOTHING) / (self.total + SMOOTHING * (self.distinct + 1)))
+
+
+def _left_over(spent: np.ndarray, covered: np.ndarray) -> np.ndarray:
+    """log10 of what a state's arcs leave of its probability over what they leave of the state below."""
+    return np.log10(np.maximum(1 - spent, 1e-12) / np.maximum(1 - covered, 1e-12))
+
 
 def automaton_part(total: int, distinct: int, grams: Grams, known: pa.Table) -> tuple[Automaton, np.ndarray]:
-    """The states and arcs of a block's grams, from its rows of Model.parts, and its words' counts."""
+    """A block's part of the automaton, from its rows of Model.parts, and its words' counts."""
     of = lambda i: known.filter(pc.equal(known["round"], i))
     (c, _), (n, _) = own_sums(of(1), WORDS, 1), own_sums(of(1), PAIRS, 1)
+    chosen, m = frequent_triples(grams, n), own_sums(of(2), TRIPLES, 3)[0]
+    w, p = len(grams.words), len(grams.pairs)
+    # failure arcs of words, then of pairs
+    failure, below, state = np.zeros(1 + w + p), np.zeros(1 + w + p, np.int64), np.zeros(1 + w + p, bool)
     spent, arcs, covered, _ = own_sums(of(2), WORDS, 3)
-    words, counts, state, arc = grams.words[c > 1], c[c > 1], arcs > 0, n >= LEAST_PAIRS
-    left = 1 - (spent - DISCOUNT * arcs)[state] / counts[state]
-    rest = 1 - (covered + SMOOTHING * arcs)[state] / (total + SMOOTHING * (distinct + 1))
-    failure = np.log10(np.maximum(left, 1e-12) / np.maximum(rest, 1e-12))
-    return Automaton(total, distinct, words[state], failure, grams.pairs[arc], np.log10((n[arc] - DISCOUNT) / c[grams.left[arc]])), c
+    has = arcs > 0
+    at = 1 + np.flatnonzero(c > 1)[has]
+    failure[at] = _left_over((spent - DISCOUNT * arcs)[has] / c[at - 1], (covered + SMOOTHING * arcs)[has] / (total + SMOOTHING * (distinct + 1)))
+    state[at] = True
+    spent, arcs, covered, _ = own_sums(of(3), PAIRS, 3)
+    has = arcs > 0
+    at = 1 + w + np.flatnonzero(n >= LEAST)[has]
+    failure[at] = _left_over((spent - DISCOUNT * arcs)[has] / n[at - 1 - w], (covered - DISCOUNT * arcs)[has] / c[grams.right[at - 1 - w]])
+    state[at], below[at] = True, 1 + grams.right[at - 1 - w]
+    # the longest state that a word, a pair or a triple ends in
+    entered = np.where(state[1 : w + 1], 1 + np.arange(w), 0)
+    after = np.where(state[1 + w :], 1 + w + np.arange(p), entered[grams.right])
+    pair, triple = np.flatnonzero(n >= LEAST), np.flatnonzero(m >= LEAST)
+    context, ending = grams.context[chosen[triple]], grams.ending[chosen[triple]]
+    keys = np.concatenate([(1 + grams.left[pair]) * w + grams.right[pair], (1 + w + context) * w + grams.right[ending]])
+    weight = np.log10(np.concatenate([(n[pair] - DISCOUNT) / c[grams.left[pair]], (m[triple] - DISCOUNT) / n[context]]))
+    target = np.concatenate([after[pair], after[ending]])
+    unigram = np.log10((c + SMOOTHING) / (total + SMOOTHING * (distinct + 1)))
+    start = entered[np.searchsorted(grams.words, END)] if w else 0
+    lists = (x.tolist() for x in (weight, target, failure, below, unigram, entered))
+    return Automaton(w, int(start), dict(zip(keys.tolist(), range(len(keys)), strict=True)), *lists), c
 
 
 def fit_model(blocks: DataFrame) -> Model:
@@ -282,36 +349,13 @@ def fit_model(blocks: DataFrame) -> Model:
     # about as many slices as blocks of full size
     size = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     bits = min(31, max(1, (size // BLOCK).bit_length()))
+    named = lambda i, t: t.select(F.lit(i).alias("round"), "block", "part", "data")
     counts = gram_counts(blocks, bits)
-    sums = state_sums(blocks, counts, bits)
+    sums = word_sums(blocks, counts, bits)
+    parts = named(1, counts).unionByName(named(2, sums))
     totals = counts.where(F.shiftright("part", 32) == WORDS)
     total, distinct = totals.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("total", "distinct"))).first()
-    rows = [t.select(F.lit(i).alias("round"), "block", "part", "data") for i, t in ((1, counts), (2, sums))]
-    return Model(total, distinct, rows[0].unionByName(rows[1]))
-
-
-def fit_automaton(blocks: DataFrame, words: DataFrame) -> Automaton:
-    """The automaton of all blocks in one piece, to look at that of a small corpus; words is word_totals()."""
-    total, distinct = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-
-    def show(texts: pa.Table, known: pa.Table) -> pa.Table:
-        found = [automaton_part(total, distinct, block_grams(open_block(row)), known)[0] for row in texts.to_pylist()]
-        keys = np.concatenate([x for a in found for x in (a.states, a.arcs)])
-        arc = np.concatenate([np.arange(len(a.states) + len(a.arcs)) >= len(a.states) for a in found])
-        weights = np.concatenate([x for a in found for x in (a.failure, a.weights)])
-        return pa.table([pa.array(arc), pa.array(keys.view(np.int64)), pa.array(weights)], names=["arc", "key", "weight"])
-
-    parts = fit_model(blocks).parts
-    every = blocks.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(show, "arc boolean, key long, weight double").distinct().toArrow()
-    arc, keys, weights = every["arc"].to_numpy(), every["key"].to_numpy().view(np.uint64), every["weight"].to_numpy()
-    order = np.argsort(keys)
-    arc, keys, weights = arc[order], keys[order], weights[order]
-    return Automaton(total, distinct, keys[~arc], weights[~arc], keys[arc], weights[arc])
-
-
-def word_totals(words: DataFrame) -> DataFrame:
-    """(word, c) over all blocks."""
-    return words.groupBy("word").agg(F.sum("n").alias("c"))
+    return Model(total, distinct, parts.unionByName(named(3, pair_sums(blocks, parts, bits))))
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -327,11 +371,11 @@ def score_blocks(blocks: DataFrame, model: Model) -> DataFrame:
             block = open_block(row)
             grams = block_grams(block)
             a, c = automaton_part(total, distinct, grams, known)
-            count = c[grams.word_at]
-            base = a.unigram(count)
-            chain = a.walk(block.tokens, base)
-            sums = [np.add.reduceat(x, block.bounds[:-1]) if len(block.ids) else [] for x in (count > 0, base, chain)]
-            rows += zip(block.ids, (~block.training).tolist(), np.diff(block.bounds).tolist(), sums[0].tolist(), sums[1].tolist(), sums[2].tolist(), strict=True)
+            base = np.array(a.unigram)[grams.word_at]
+            sums = [np.add.reduceat(x, block.bounds[:-1]) if len(block.ids) else np.empty(0) for x in ((c > 0)[grams.word_at].astype(np.int64), base)]
+            bounds = block.bounds.tolist()
+            scores = [a.score(grams.word_at[i:j].tolist()) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+            rows += zip(block.ids, (~block.training).tolist(), np.diff(block.bounds).tolist(), sums[0].tolist(), sums[1].tolist(), scores, strict=True)
         columns = list(zip(*rows, strict=True)) or [[]] * 6
         columns.insert(4, [total] * len(rows))
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())

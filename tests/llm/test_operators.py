@@ -222,23 +222,50 @@ def test_language_model_beats_its_base_on_held_out_rows(spark):
     assert row[0] > row[1]
 
 
-def test_backoff_probabilities_add_up(spark):
-    from bayline.llm import backoff
-
-    docs = spark.createDataFrame([(i, "a b a c a b d e" if i % 2 else "b a b e") for i in range(40)], "doc_id long, text string")
-    blocks = backoff.text_blocks(docs, F.lit(True))
-    totals = backoff.word_totals(backoff.block_words(blocks))
-    counts = {r.word: r.c for r in totals.collect()}
-    model = backoff.fit_automaton(blocks, totals)
-    hashes = np.array(sorted(counts), np.int64)
-    unigrams = model.unigram(np.array([counts[int(h)] for h in hashes]))
-    unseen = 10 ** model.unigram(np.array([0]))[0]
-    for state in model.states:
-        tokens = np.stack([np.full(len(hashes), state), hashes.view(np.uint64)], axis=1).ravel()
-        own = np.repeat(unigrams, 2)
-        steps = model.walk(tokens, own)[1::2]
-        failure = model.failure[np.searchsorted(model.states, state)]
-        assert (10**steps).sum() + unseen * 10**failure == pytest.approx(1, abs=1e-6)
+class PlainBackoff:
+    """The trigram model by its definition, over whole counts."""
+
+    def __init__(self, texts):
+        self.c, self.n, self.m = collections.Counter(), collections.Counter(), collections.Counter()
+        for text in texts:
+            words = [*text.lower().split(), "</s>"]
+            self.c.update(words)
+            self.n.update(zip(["</s>", *words], words, strict=False))
+            self.m.update(zip(["</s>", *words], words, words[1:], strict=False))
+        self.total, self.distinct = sum(self.c.values()), len(self.c)
+        self.left: dict = {}
+
+    def uni(self, w):
+        return (self.c[w] + 0.1) / (self.total + 0.1 * (self.distinct + 1))
+
+    def prob(self, w, *history):
+        if not history:
+            return self.uni(w)
+        counts, size = (self.m, self.n[history]) if len(history) == 2 else (self.n, self.c[history[0]])
+        if counts[(*history, w)] > 1:
+            return (counts[(*history, w)] - 0.5) / size
+        return self.backoff(history) * self.prob(w, *history[1:])
+
+    def backoff(self, history):
+        if history not in self.left:
+            counts, size = (self.m, self.n[history]) if len(history) == 2 else (self.n, self.c[history[0]])
+            arcs = [(k[-1], v) for k, v in counts.items() if k[:-1] == history and v > 1]
+            over = 1 - sum(self.prob(w, *history[1:]) for w, _ in arcs)
+            self.left[history] = (1 - sum(v - 0.5 for _, v in arcs) / size) / over if arcs else 1.0
+        return self.left[history]
+
+    def score(self, text):
+        history, out = ("</s>",), 0.0
+        for w in [*text.lower().split(), "</s>"]:
+            out += np.log10(self.prob(w, *history))
+            history = (*history, w)[-2:]
+        return out
+
+
+def test_plain_backoff_probabilities_add_up():
+    plain = PlainBackoff(["a b a c a b d e" if i % 2 else "b a b e" for i in range(40)])
+    for history in [(), ("a",), ("b",), ("</s>",), ("a", "b"), ("</s>", "b"), ("c", "a"), ("x",)]:
+        assert sum(plain.prob(w, *history) for w in [*plain.c, "unseen"]) == pytest.approx(1, abs=1e-9)
 
 
 def test_every_language_is_sampled(spark):
@@ -251,34 +278,24 @@ def test_every_language_is_sampled(spark):
     assert few == {"l0": 600, "l1": 600, "l2": 600}
 
 
-def test_rare_pairs_count_in_a_large_corpus(spark, monkeypatch):
+def test_scores_equal_a_plain_walk_over_many_blocks(spark, monkeypatch):
     from bayline.llm import backoff
 
-    monkeypatch.setattr(backoff, "BLOCK", 1 << 16)  # many blocks and slices
+    monkeypatch.setattr(backoff, "BLOCK", 1 << 14)  # many blocks and slices
     rng = random.Random(4)
-    filler = [" ".join(f"f{rng.randrange(60)}" for _ in range(1500)) for _ in range(300)]
-    texts = [*filler, "rare bird", "other thing", "rare bird", "rare thing", "rare bird"]
-    training = [True] * (len(texts) - 2) + [False] * 2
+    filler = [" ".join(f"F{rng.randrange(60)}" for _ in range(rng.randint(0, 400))) for _ in range(150)]
+    texts = [*filler, "rare bird", "other thing", "rare bird sings", "rare thing", "the rare bird sings", "a rare bird sings", "rare bird", "", "x y z"]
+    training = [i % 7 != 0 for i in range(len(filler))] + [True] * (len(texts) - len(filler) - 5) + [False] * 5
     docs = spark.createDataFrame(list(zip(range(len(texts)), texts, training, strict=True)), "doc_id long, text string, training boolean").repartition(3)
     found = {r.doc_id: r for r in backoff.score_texts(docs, F.col("training")).collect()}
-    c, n = collections.Counter(), collections.Counter()
-    for text, used in zip(texts, training, strict=True):
-        if used:
-            words = [*text.split(), "</s>"]
-            c.update(words)
-            n.update(zip(["</s>", *words], words, strict=False))
-    total, arcs = sum(c.values()), {k: v for k, v in n.items() if v > 1}
-    uni = lambda w: (c[w] + 0.1) / (total + 0.1 * (len(c) + 1))
-    left = lambda h: (1 - sum(v - 0.5 for (a, _), v in arcs.items() if a == h) / c[h]) / (1 - sum(uni(b) for a, b in arcs if a == h))
-    states = {h: left(h) for h in {a for a, _ in arcs}}
-    prob = lambda h, w: (arcs[h, w] - 0.5) / c[h] if (h, w) in arcs else states.get(h, 1.0) * uni(w)
-    assert set(found) == set(range(len(texts)))
-    for i in (0, 150, len(texts) - 4, len(texts) - 2, len(texts) - 1):
-        words = [*texts[i].split(), "</s>"]
-        expected = [np.log10(prob(h, w)) for h, w in zip(["</s>", *words], words, strict=False)]
-        assert found[i].score == pytest.approx(sum(expected), abs=1e-6) and found[i].train_tokens == total
-        assert found[i].base_score == pytest.approx(sum(np.log10(uni(w)) for w in words), abs=1e-6)
-    assert found[len(texts) - 1].score > found[len(texts) - 1].base_score + 3  # "rare bird" is known as a pair
+    plain = PlainBackoff([t for t, used in zip(texts, training, strict=True) if used])
+    assert set(found) == set(range(len(texts))) and sum(v > 1 for v in plain.m.values()) > 100
+    for i, text in enumerate(texts):
+        words = [*text.lower().split(), "</s>"]
+        assert found[i].score == pytest.approx(plain.score(text), abs=1e-6) and found[i].train_tokens == plain.total
+        assert found[i].base_score == pytest.approx(sum(np.log10(plain.uni(w)) for w in words), abs=1e-6)
+    i = texts.index("a rare bird sings")
+    assert found[i].score > found[i].base_score + 3  # known as pairs and a triple
 
 
 def kinds_table(spark, n=400):
