@@ -2,7 +2,7 @@
 
 A payload's chunks end where the top MASK_BITS bits of the rolling gear hash of the last WINDOW
 bytes are zero, not before MIN_CHUNK and at MAX_CHUNK at the latest; with these sizes a chunk has
-about 640 bytes, so most texts have several and equal passages give equal chunks wherever they stand.
+about 1 KB, so most texts have several and equal passages give equal chunks wherever they stand.
 The store holds each distinct chunk once under its SHA-256. Every payload is an ordered list of
 digests; joining the lists with the store and putting each payload's chunks in order gives the
 media back. Every chunk and every payload is checked against its digest on the way.
@@ -36,8 +36,9 @@ from bayline.llm.hot import join_one
 from bayline.llm.store import discard, materialise
 
 WINDOW = 32
-MIN_CHUNK, MASK_BITS, MAX_CHUNK = 128, 9, 8192
+MIN_CHUNK, MASK_BITS, MAX_CHUNK = 256, 10, 8192
 LEVEL = 3
+#: Turns by digest, and by payload, so that only a share of all chunks is held twice at a time.
 TURNS = 4
 MAGIC = b"GEARCHK2"
 UNIT = 64
@@ -124,50 +125,52 @@ def _runs(column: pa.Array) -> Iterator[pa.Array]:
         at = end
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, length, stored) of all payloads' chunks, each once a task as far as it remembers."""
-    sent: set[bytes] = set()
-    packer = zstandard.ZstdCompressor(level=LEVEL)
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payloads as rows of SPLIT: their chunks, each once a task as far as it remembers, and their chunk lists."""
+    packer, sent = zstandard.ZstdCompressor(level=LEVEL), set()
     for batch in batches:
         for run in _runs(batch.column(0)):
-            rows: dict[bytes, bytes] = {}
-            for _, found in payload_chunks(run):
-                rows.update((d, c) for d, c in found if d not in sent)
+            rows: dict[bytes, tuple[int, int, bytes]] = {}
+            for payload, found in payload_chunks(run):
+                whole = hashlib.sha256(payload).digest()
+                key = b"list" + whole
+                if key in sent or key in rows:
+                    continue
+                digests = []
+                for digest, chunk in found:
+                    digests.append(digest)
+                    if digest not in sent and digest not in rows:
+                        rows[digest] = (digest[0] % TURNS, len(chunk), packer.compress(chunk))
+                rows[key] = (TURNS, len(payload), b"".join(digests))
             if len(sent) >= REMEMBERED:
                 sent.clear()
             sent.update(rows)
-            columns = [pa.array(rows.keys(), pa.binary()), pa.array(map(len, rows.values()), pa.int32()), pa.array(map(packer.compress, rows.values()), pa.binary())]
-            yield pa.record_batch(columns, ["digest", "length", "stored"])
+            turn, length, data = zip(*rows.values(), strict=True) if rows else ((), (), ())
+            keys = [k[-32:] for k in rows]
+            yield pa.record_batch([pa.array(turn, pa.int32()), pa.array(keys, pa.binary()), pa.array(length, pa.int32()), pa.array(data, pa.binary())], ["turn", "key", "length", "data"])
 
 
-def _list_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(payload, digests): each payload's digest and those of its chunks, put together."""
-    sent: set[bytes] = set()
-    for batch in batches:
-        for run in _runs(batch.column(0)):
-            rows: dict[bytes, bytes] = {}
-            for payload, found in payload_chunks(run):
-                if (whole := hashlib.sha256(payload).digest()) not in sent and whole not in rows:
-                    rows[whole] = b"".join(d for d, _ in found)
-            if len(sent) >= REMEMBERED:
-                sent.clear()
-            sent.update(rows)
-            yield pa.record_batch([pa.array(rows.keys(), pa.binary()), pa.array(rows.values(), pa.binary())], ["payload", "digests"])
+SPLIT = "turn int, key binary, length int, data binary"
 
 
-def chunk_store(payloads: DataFrame) -> DataFrame:
-    """(digest, length, stored): each distinct chunk once, compressed, written to the shared folder."""
-    rows = payloads.mapInArrow(_chunk_rows, "digest binary, length int, stored binary")
-    return materialise(rows.groupBy("digest").agg(F.first("length").alias("length"), F.first("stored").alias("stored")))
+def split_payloads(payloads: DataFrame) -> DataFrame:
+    """Rows of SPLIT in one pass over the payloads, written by turn: TURNS turns of chunks, then the lists."""
+    return materialise(payloads.mapInArrow(_split, SPLIT), by="turn")
 
 
-def chunk_lists(payloads: DataFrame) -> DataFrame:
+def chunk_lists(split: DataFrame) -> DataFrame:
     """(payload, seq, digest): the ordered chunk list of each distinct payload, written to the shared folder."""
-    packed = payloads.mapInArrow(_list_rows, "payload binary, digests binary").groupBy("payload").agg(F.first("digests").alias("digests"))
+    packed = split.where(F.col("turn") == TURNS).groupBy(F.col("key").alias("payload")).agg(F.first("data").alias("digests"))
     cut = F.expr("transform(sequence(0, cast(length(digests) / 32 as int) - 1), i -> substring(digests, 32 * i + 1, 32))")
     return materialise(packed.select("payload", F.posexplode(cut).alias("seq", "digest")))
 
 
+def chunk_store(split: DataFrame, turn: int) -> DataFrame:
+    """(digest, length, stored): each distinct chunk of a turn once, compressed, written to the shared folder."""
+    rows = split.where(F.col("turn") == turn).groupBy(F.col("key").alias("digest"))
+    return materialise(rows.agg(F.first("length").alias("length"), F.first("data").alias("stored")))
+
+
 def chunk_sharing(lists: DataFrame) -> DataFrame:
     """One row: payloads, those of several chunks, list entries, distinct chunks, and those that several payloads share."""
     by_payload = lists.groupBy("payload").agg(F.count("*").alias("n")).agg(F.count("*").alias("payloads"), F.count_if(F.col("n") > 1).alias("of_several"), F.sum("n").alias("entries"))
@@ -235,34 +238,51 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pack([media_row(whole, parts)])
 
 
-def payload_pieces(store: DataFrame, lists: DataFrame) -> list[DataFrame]:
-    """The entries of the lists with their chunks, written to the shared folder.
-
-    Chunks meet their list entries by digest, in TURNS turns, so that only a share of them lies in
-    shuffle files at a time.
-    """
-    turn = F.pmod(F.xxhash64("digest"), F.lit(TURNS))
-    return [materialise(join_one(lists.where(turn == i), store.where(turn == i), "digest")) for i in range(TURNS)]
+def list_pieces(lists: DataFrame, store: DataFrame, turn: int) -> DataFrame:
+    """The list entries of a turn with their chunks, written to the shared folder by the payload's part."""
+    own = F.conv(F.hex(F.substring("digest", 1, 1)), 16, 10).cast("int") % TURNS == turn
+    return materialise(join_one(lists.where(own), store, "digest").withColumn("part", F.pmod(F.xxhash64("payload"), F.lit(TURNS))), by="part")
 
 
-def read_media(pieces: list[DataFrame]) -> DataFrame:
-    """Every payload put together again from its pieces and described, in columns MEDIA.
+def read_media(pieces: list[DataFrame], part: int) -> DataFrame:
+    """Every payload of a part put together again from its pieces and described, in columns MEDIA.
 
     The pieces are dealt and sorted by payload and place and read in one pass a task.
     """
-    ordered = reduce(DataFrame.unionByName, pieces).repartition("payload").sortWithinPartitions("payload", "seq")
+    rows = reduce(DataFrame.unionByName, pieces).where(F.col("part") == part)
+    ordered = rows.repartition("payload").sortWithinPartitions("payload", "seq")
     return ordered.select("payload", "digest", "length", "stored").mapInArrow(_assemble, MEDIA)
 
 
-def media_columns(docs: DataFrame, text: str = "text") -> DataFrame:
+def stored_media(payloads: DataFrame, keep: str | None = None) -> DataFrame:
+    """Store all payloads as chunks and read each distinct one back: a row of MEDIA, written to the shared folder.
+
+    With keep, the store and the lists stay in that folder as Parquet tables chunks and lists.
+    """
+    split = split_payloads(payloads)
+    lists = chunk_lists(split)
+    if keep:
+        lists.write.parquet(f"{keep}/lists")
+    pieces = []
+    for turn in range(TURNS):
+        store = chunk_store(split, turn)
+        discard(split, part=f"turn={turn}")
+        if keep:
+            store.write.mode("append").parquet(f"{keep}/chunks")
+        pieces.append(list_pieces(lists, store, turn))
+        discard(store)
+    media = []
+    for part in range(TURNS):
+        media.append(materialise(read_media(pieces, part)))
+        discard(*pieces, part=f"part={part}")
+    discard(split, lists, *pieces)
+    return reduce(DataFrame.unionByName, media)
+
+
+def media_columns(docs: DataFrame, text: str = "text", keep: str | None = None) -> DataFrame:
     """docs without its text, with n_bytes and the columns of MEDIA but the binary key."""
     docs = docs.drop(*_MEDIA_NAMES)
     payload = padded_payload(F.col(text))
-    payloads = docs.select(payload.alias("payload"))
-    lists, store = chunk_lists(payloads), chunk_store(payloads)
-    pieces = payload_pieces(store, lists)
-    discard(store, lists)
-    media = materialise(read_media(pieces))
-    discard(*pieces)
+    media = stored_media(docs.select(payload.alias("payload")), keep)
     keyed = docs.withColumns({"n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), "payload": F.unhex(F.sha2(payload, 256))}).drop(text)
     return join_one(keyed, media, "payload").drop("payload")

@@ -34,8 +34,8 @@ WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "tru
 _writing = threading.Lock()
 
 
-def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back.
+def materialise(df: DataFrame, codec: str = "zstd", by: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back; by names a column with a folder for each value.
 
     The written table cuts the lineage: a lost executor costs its running tasks only.
     """
@@ -46,7 +46,7 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
         try:
             for key, value in WHILE_WRITING.items():
                 spark.conf.set(key, value)
-            df.write.option("compression", codec).parquet(path)
+            df.write.option("compression", codec).partitionBy([by] if by else []).parquet(path)
         finally:
             for key, value in before.items():
                 if value is None:
@@ -58,9 +58,9 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that materialise() wrote and that nothing will read again."""
+def discard(*tables: DataFrame, part: str = "") -> None:
+    """Delete tables that materialise() wrote, or their folder part (column=value), that nothing will read again."""
     for table in tables:
         spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table._bayline_path)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{table._bayline_path}/{part}")
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from bayline.llm import bpe, hashing, jaccard, language, media, mixing, rules, secrets, shards, topk, transducer
@@ -87,23 +88,36 @@ def test_rolling_hash_equals_its_definition():
 
 def test_damaged_chunks_are_found_out(spark):
     payloads = spark.createDataFrame([(bytearray(b"a" * 64),), (bytearray(range(256)) * 40,)], "payload binary")
-    lists, store = media.chunk_lists(payloads), media.chunk_store(payloads)
-    assert media.read_media(media.payload_pieces(store, lists)).count() == 2
-    broken = store.withColumn("digest", F.unhex(F.sha2("digest", 256)))
-    moved = lists.withColumn("digest", F.unhex(F.sha2("digest", 256)))
+    split = media.split_payloads(payloads)
+    lists, stores = media.chunk_lists(split), [media.chunk_store(split, t) for t in range(media.TURNS)]
+    pieces = [media.list_pieces(lists, s, t) for t, s in enumerate(stores)]
+    assert sum(media.read_media(pieces, i).count() for i in range(media.TURNS)) == 2
+    damaged = [p.withColumn("stored", F.lit(zstandard.compress(b"another"))).withColumn("length", F.lit(7)) for p in pieces]
     with pytest.raises(Exception, match="does not match its digest"):
-        media.read_media(media.payload_pieces(broken, moved)).collect()
+        for i in range(media.TURNS):
+            media.read_media(damaged, i).collect()
+
+
+def test_the_store_can_be_kept(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "abc " * 900), (2, "abc " * 900), (3, None)], "doc_id long, text string")
+    assert media.media_columns(docs, keep=f"file://{tmp_path}/store").count() == 3
+    chunks = {bytes(r.digest): zstandard.decompress(r.stored) for r in spark.read.parquet(f"file://{tmp_path}/store/chunks").collect()}
+    lists = collections.defaultdict(list)
+    for r in spark.read.parquet(f"file://{tmp_path}/store/lists").orderBy("seq").collect():
+        lists[bytes(r.payload)].append(chunks[bytes(r.digest)])
+    assert sorted(b"".join(x) for x in lists.values()) == [b"\0" * 64, b"abc " * 900 + b"\0" * 48]
 
 
 def test_texts_of_the_corpus_share_the_chunks_of_a_passage(spark):
     rng = random.Random(8)
     prose = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(n))
-    passage = prose(600)  # some 3,900 bytes
+    passage = prose(900)  # some 5,900 bytes
     texts = [prose(60) + " " + passage + " " + prose(90), prose(25) + " " + passage, prose(400)]
     a, b, c = (dict(media.chunks(t.encode())) for t in texts)
     shared = sum(len(a[d]) for d in set(a) & set(b))
     assert shared > 0.5 * len(passage) and not set(a) & set(c)
-    row = media.chunk_sharing(media.chunk_lists(spark.createDataFrame([(bytearray(t.encode()),) for t in texts], "payload binary"))).first()
+    payloads = spark.createDataFrame([(bytearray(t.encode()),) for t in texts], "payload binary")
+    row = media.chunk_sharing(media.chunk_lists(media.split_payloads(payloads))).first()
     assert (row.payloads, row.of_several) == (3, 3) and row.shared == len(set(a) & set(b)) and row.entries == len(a) + len(b) + len(c)
 
 
