@@ -1,30 +1,44 @@
 """Exact top-k inner products by the threshold algorithm over sorted per-dimension lists.
 
-Vectors become integers, floor(SCALE * x). Candidates and queries are dealt into blocks; each pair
-of blocks is one task. In a block, every dimension's list is sorted once. A query reads all its
-lists in step, from the top where its weight is positive and from the bottom where it is
+Vectors become integers, floor(SCALE * x), and are written once. A sample of SAMPLE vectors, known
+to every task, gives each query a lower bound of its kth best score. Queries go in batches of
+about QUERIES, a broadcast of bounded size; for each batch every task reads its candidates in
+blocks, without a shuffle. In a block, every dimension's list is sorted once. A query reads all
+its lists in step, from the top where its weight is positive and from the bottom where it is
 negative; each candidate met is scored in full. No candidate still unmet can score more than the
-sum of weight times last value read, so reading stops once the kth best score is above that bound.
-The depth doubles between two looks at the bound. The k best of each block meet in a final top k.
+sum of weight times next value, so reading stops once the kth best score, of the block, of the
+task's blocks before or of the sample, is above that bound: often before anything is read. The
+depth doubles between two looks at the bound. Only candidates that reach the query's bound leave a
+task, k at most, and meet in a final top k.
 
 A vector that is null or holds a null or non-finite component takes no part, nor does a row
-without an id. Of rows that repeat an id, one with the smallest vector counts. Shorter vectors
-count as padded with zeros. Ties go to the smaller id. Other columns are not looked at.
+without an id. Rows that repeat an id are each a candidate; of a query's id the least vector is
+the query, and no row with its id is a candidate for it. Shorter vectors count as padded with
+zeros. Ties go to the smaller id. Other columns are not looked at. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bayline.llm.store import discard, materialise
+
 SCALE = 1024
 BLOCK = 4096
-QUERY_BLOCK = 1024
+QUERIES = 4096
+SAMPLE = 8192
 FIRST_DEPTH = 16
 RESULT = "query_id long, vec_id long, score long"
+#: A lower bound that every score reaches.
+NONE = -(1 << 62)
 
 
 def integer_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -35,13 +49,10 @@ def integer_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull())
         .where(finite)
         .select(F.col(vec_id).cast("long").alias("vec_id"), scaled.alias("v"))
-        .groupBy("vec_id")
-        .agg(F.min("v").alias("v"))
     )
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    lists = column.combine_chunks()
+def _matrix(lists: pa.Array, width: int) -> np.ndarray:
     flat = lists.flatten().to_numpy(zero_copy_only=False)
     lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
     if len(lengths) and (lengths == width).all():
@@ -52,11 +63,22 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def threshold_search(ids: np.ndarray, data: np.ndarray, order: np.ndarray, own: int, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The k best rows of data for one query: (rows, scores, depth read).
+def _width(lists: pa.Array) -> int:
+    return int(lists.value_lengths().to_numpy(zero_copy_only=False).max(initial=0))
+
+
+def _exact(data: np.ndarray, weights: np.ndarray) -> type:
+    """A type that holds the inner products exactly: doubles below 2**53, longs below 2**63."""
+    largest = lambda m: max(int(m.max(initial=0)), -int(m.min(initial=0)))
+    total = largest(data) * largest(weights) * data.shape[1]
+    return np.float64 if total < 1 << 53 else np.int64 if total < 1 << 62 else object
 
-    ids ascend; order holds each dimension's rows by falling value, ties by id. The row whose id
-    is own is passed over.
+
+def threshold_search(ids: np.ndarray, data: np.ndarray, order: np.ndarray, own: int, weights: np.ndarray, k: int, least: int = NONE) -> tuple[np.ndarray, np.ndarray, int]:
+    """The k best rows of data for one query that score at least least: (rows, scores, depth read).
+
+    ids ascend; order holds each dimension's rows by falling value. Rows whose id is own are passed
+    over.
     """
     n = len(ids)
     up, down = np.flatnonzero(weights > 0), np.flatnonzero(weights < 0)
@@ -64,6 +86,9 @@ def threshold_search(ids: np.ndarray, data: np.ndarray, order: np.ndarray, own:
     best, scores = np.empty(0, np.int64), np.empty(0, data.dtype)
     read, depth = 0, FIRST_DEPTH
     while read < n:
+        bound = weights[up] @ data[order[read, up], up] + weights[down] @ data[order[n - 1 - read, down], down]
+        if least > bound or (len(best) == k and scores[-1] > bound):
+            break
         depth = min(depth, n)
         met = np.concatenate([order[read:depth, up].ravel(), order[n - depth : n - read, down].ravel()])
         fresh = np.zeros(n, bool)
@@ -74,38 +99,96 @@ def threshold_search(ids: np.ndarray, data: np.ndarray, order: np.ndarray, own:
         seen |= fresh
         rows = np.flatnonzero(fresh)
         rows = rows[ids[rows] != own]
-        best = np.concatenate([best, rows])
-        scores = np.concatenate([scores, data[rows] @ weights])
+        new = data[rows] @ weights
+        best, scores = np.concatenate([best, rows[new >= least]]), np.concatenate([scores, new[new >= least]])
         keep = np.lexsort((ids[best], -scores))[:k]
         best, scores = best[keep], scores[keep]
-        bound = weights[up] @ data[order[depth - 1, up], up] + weights[down] @ data[order[n - depth, down], down]
-        if len(best) == k and scores[-1] > bound:
-            break
         read, depth = depth, 2 * depth
-    return best, scores, depth
-
-
-def search_block(candidates: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    """The k best candidates of a block for each query of another."""
-    out: list[list] = [[], [], []]
-    if candidates.num_rows and queries.num_rows:
-        width = max(max(t["v"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False).max() for t in (candidates, queries)), 1)
-        ids = candidates["vec_id"].to_numpy()
-        sort = np.argsort(ids)
-        ids, data = ids[sort], _matrix(candidates["v"], width)[sort]
-        weights = _matrix(queries["v"], width)
-        largest = lambda m: max(int(m.max(initial=0)), -int(m.min(initial=0)))
-        # doubles hold these sums exactly below 2**53, longs below 2**63
-        total = largest(data) * largest(weights) * width
-        kind = np.float64 if total < 1 << 53 else np.int64 if total < 1 << 62 else object
+    return best, scores, read
+
+
+class Search:
+    """The best candidates of a batch of queries, block after block."""
+
+    def __init__(self, ids: np.ndarray, weights: np.ndarray, least: np.ndarray, k: int) -> None:
+        self.ids, self.weights, self.k = ids, weights, k
+        self.least = least.copy()
+        self.found: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, vec_id)
+
+    def read(self, ids: np.ndarray, lists: pa.Array) -> None:
+        """Search one block."""
+        width = max(_width(lists), self.weights.shape[1], 1)
+        sort = np.argsort(ids, kind="stable")
+        ids, data = ids[sort], _matrix(lists, width)[sort]
+        weights = np.pad(self.weights, ((0, 0), (0, width - self.weights.shape[1])))
+        kind = _exact(data, weights)
         data, weights = data.astype(kind), weights.astype(kind)
         order = np.argsort(-data, axis=0, kind="stable")
-        for own, w in zip(queries["vec_id"].to_numpy(), weights, strict=True):
-            best, scores, _ = threshold_search(ids, data, order, own, w, k)
-            out[0] += [own] * len(best)
-            out[1] += ids[best].tolist()
-            out[2] += [int(s) for s in scores]
-    return pa.table([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
+        highest = np.maximum(weights, 0) @ data.max(axis=0) + np.minimum(weights, 0) @ data.min(axis=0)
+        for q in np.flatnonzero(highest >= self.least):
+            best, scores, _ = threshold_search(ids, data, order, self.ids[q], weights[q], self.k, int(self.least[q]))
+            if len(best):
+                kept = self.found[q]
+                kept += [(-int(s), int(i)) for s, i in zip(scores, ids[best], strict=True)]
+                kept.sort()
+                del kept[self.k :]
+                if len(kept) == self.k:
+                    self.least[q] = max(self.least[q], -kept[-1][0])
+
+    def rows(self) -> pa.RecordBatch:
+        """What was found, as rows of RESULT."""
+        rows = [(q, i, -s) for q, kept in zip(self.ids.tolist(), self.found, strict=True) for s, i in kept]
+        return pa.record_batch([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
+
+
+def search_blocks(batch: Broadcast, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Reads candidates (vec_id, v) and gives the best of a task for each query of the batch."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Search(*batch.value, k)
+        waiting: list[pa.RecordBatch] = []
+
+        def block() -> None:
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            waiting.clear()
+            for at in range(0, table.num_rows, BLOCK):
+                part = table.slice(at, BLOCK)
+                search.read(part["vec_id"].to_numpy(), part["v"].combine_chunks())
+
+        for rows in batches:
+            waiting.append(rows)
+            if sum(r.num_rows for r in waiting) >= BLOCK:
+                block()
+        if sum(r.num_rows for r in waiting):
+            block()
+        yield search.rows()
+
+    return read
+
+
+def lower_bounds(sample: Broadcast, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds to queries (vec_id, v) least, their kth best score among the sample, which no kth best of all is below."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = sample.value
+        for rows in batches:
+            for at in range(0, rows.num_rows, 256):
+                part = rows.slice(at, 256)
+                own, lists = part.column(0).to_numpy(), part.column(1)
+                width = max(_width(lists), vectors.shape[1], 1)
+                data, weights = np.pad(vectors, ((0, 0), (0, width - vectors.shape[1]))), _matrix(lists, width)
+                kind = _exact(data, weights)
+                scores = weights.astype(kind) @ data.astype(kind).T
+                scores[own[:, None] == ids[None]] = NONE
+                least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) >= k else np.full(len(own), NONE)
+                yield pa.record_batch([part.column(0), lists, pa.array([int(x) for x in least], pa.int64())], ["vec_id", "v", "least"])
+
+    return read
+
+
+def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    lists = pa.concat_arrays(table["v"].chunks) if table.num_rows else pa.array([], pa.list_(pa.int64()))
+    return table["vec_id"].to_numpy(), _matrix(lists, max(_width(lists), 1))
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
@@ -113,17 +196,18 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
 
     vectors comes from integer_vectors(); queries is a condition on vec_id.
     """
-    n = vectors.count()
-    n_queries = vectors.where(queries).count()
-    blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
-    split = lambda n, *also: F.pmod(F.xxhash64("vec_id", *also), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.select("vec_id", "v", split(blocks).alias("block"), every(query_blocks).alias("query_block"))
-    right = vectors.where(queries).select("vec_id", "v", every(blocks).alias("block"), split(query_blocks, F.lit(1)).alias("query_block"))
-    found = (
-        left.groupBy("block", "query_block")
-        .cogroup(right.groupBy("block", "query_block"))
-        .applyInArrow(lambda a, b: search_block(a, b, k), RESULT)
-    )
+    spark = vectors.sparkSession
+    vectors = materialise(vectors)
+    asked = vectors.where(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
+    sample = spark.sparkContext.broadcast(_arrays(vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toArrow()))
+    asked = materialise(asked.mapInArrow(lower_bounds(sample, k), "vec_id long, v array<long>, least long"))
+    batches = max(1, -(-asked.count() // QUERIES))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    paths = []
+    for i in range(batches):
+        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(batches)) == i).toArrow()  # about QUERIES rows
+        batch = spark.sparkContext.broadcast((*_arrays(own), own["least"].to_numpy()))
+        found = vectors.mapInArrow(search_blocks(batch, k), RESULT).withColumn("rank", rank).where(F.col("rank") <= k)
+        paths.append(materialise(found.select("query_id", "rank", "vec_id", "score"))._bayline_path)
+    discard(vectors, asked)
+    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(*paths)

@@ -12,7 +12,7 @@ import pytest
 import zstandard
 from tokenizers import Tokenizer
 
-from bayline.llm import catalogue, media
+from bayline.llm import catalogue, media, topk
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 QUERIES = {re.match(r"op(\d+)", name)[1]: query for name, query in catalogue.QUERIES.items()}
@@ -106,12 +106,15 @@ def test_mixing_meets_its_targets_on_the_tables(spark):
         assert sum(r.rate * r.n_tokens * r[f"p_{domain}"] for r in found) == pytest.approx(share * total, abs=1e-6 * total)
 
 
-def test_topk(spark, odd_dir):
-    rows = {r.vec_id: r.embedding for r in spark.read.parquet(f"{odd_dir}/embeddings.parquet").collect()}
-    fine = {i: [math.floor(1024 * x) for x in v] + [0] * (8 - len(v)) for i, v in rows.items() if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+@pytest.mark.parametrize("bounds", [{}, {"SAMPLE": 20, "QUERIES": 2, "BLOCK": 64, "FIRST_DEPTH": 2}])
+def test_topk(spark, odd_dir, monkeypatch, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(topk, name, value)
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{odd_dir}/embeddings.parquet").collect()]
+    fine = [(i, [math.floor(1024 * x) for x in v] + [0] * (8 - len(v))) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     expected = []
-    for q in (i for i in fine if i % 100 == 0):
-        scores = sorted(((-int(np.dot(fine[q], v)), i) for i, v in fine.items() if i != q))[:10]
+    for q, w in {i: w for i, w in sorted(fine, reverse=True) if i % 100 == 0}.items():
+        scores = sorted((-int(np.dot(w, v)), i) for i, v in fine if i != q)[:10]
         expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
     assert sorted(tuple(r) for r in QUERIES["4"](spark, odd_dir).collect()) == sorted(expected)
 
