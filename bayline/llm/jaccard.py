@@ -38,10 +38,11 @@ from bayline.llm.store import materialise
 
 HOT, HOT_LIST = 32, 500_000
 BUCKET = 64
-TILE = 512
-#: Bits of the filter that keeps the sets of nodes without candidates from being sent.
-FILTER_BITS = 1 << 24
-FILTER_SHIFTS = (0, 20, 40)
+#: Members, and bytes of their sets, that a tile holds; a larger set is a tile of its own.
+TILE, TILE_BYTES = 512, 8 << 20
+#: The filter that keeps the sets of nodes without candidates from being sent: bits a node, and at most.
+NODE_BITS, MOST_BITS = 16, 1 << 27
+FILTER_SHIFTS = (0, 18, 36)
 REMEMBERED = 500_000
 _CELLS = 1 << 22
 #: Bytes of sets that a task gathers before it hands them on.
@@ -182,29 +183,30 @@ def candidate_edges(groups: DataFrame, rule: Similarity) -> DataFrame:
     return pairs.where(enough).select("a", "b").unionByName(large)
 
 
-def filter_bits(keys: np.ndarray) -> list[np.ndarray]:
-    """The bits of the filter that 64-bit keys set; the keys are hashes, so parts of them will do."""
+def filter_bits(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The bits of a filter of so many that 64-bit keys set; the keys are hashes, so parts of them will do."""
     unsigned = keys.view(np.uint64)
-    return [((unsigned >> np.uint64(i)) % np.uint64(FILTER_BITS)).astype(np.int64) for i in FILTER_SHIFTS]
+    return [((unsigned >> np.uint64(i)) % np.uint64(bits)).astype(np.int64) for i in FILTER_SHIFTS]
 
 
-def key_filter(keys: DataFrame, column: str) -> np.ndarray:
-    """A Bloom filter of FILTER_BITS bits over a column of 64-bit keys, put together by Spark.
+def key_filter(keys: DataFrame, column: str, n: int) -> np.ndarray:
+    """A Bloom filter over n 64-bit keys in a column, put together by Spark.
 
-    The driver sees at most FILTER_BITS / 64 rows, whatever the number of keys. A filter that is
-    too full lets more sets pass than need be; it holds none back.
+    It has NODE_BITS for each key, in powers of two, and MOST_BITS at most, of which the driver sees
+    one row for 64. A filter that is too full lets more sets pass than need be; it holds none back.
     """
-    bits = keys.select(F.explode(F.array(*(F.shiftrightunsigned(column, i).bitwiseAND(FILTER_BITS - 1) for i in FILTER_SHIFTS))).alias("bit"))
-    words = bits.select((F.col("bit") / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("mask"))
+    bits = min(MOST_BITS, 1 << max(6, (NODE_BITS * n - 1).bit_length()))
+    found = keys.select(F.explode(F.array(*(F.shiftrightunsigned(column, i).bitwiseAND(bits - 1) for i in FILTER_SHIFTS))).alias("bit"))
+    words = found.select((F.col("bit") / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("mask"))
     found = words.groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(bits // 64, np.int64)
     out[found["at"].to_numpy()] = found["mask"].to_numpy()
     return out
 
 
 def passes(words: np.ndarray, key: int) -> bool:
     """Whether the filter may hold a key."""
-    return all((int(words[b[0] >> 6]) >> int(b[0] & 63)) & 1 for b in filter_bits(np.array([key], np.int64)))
+    return all((int(words[b[0] >> 6]) >> int(b[0] & 63)) & 1 for b in filter_bits(np.array([key], np.int64), len(words) * 64))
 
 
 def _compare(sets: list[np.ndarray], rule: Similarity) -> np.ndarray:
@@ -237,11 +239,16 @@ def _compare(sets: list[np.ndarray], rule: Similarity) -> np.ndarray:
 
 
 def verified_edges(docs: DataFrame, members: DataFrame, rule: Similarity, text: str = "text") -> DataFrame:
-    """(a, b): links between nodes that connect the same nodes as all links; members is (cluster, node)."""
+    """(a, b): links between nodes that connect the same nodes as all links; members is (cluster, node, size).
+
+    Clusters of one tile are gathered in jobs of about TILE_BYTES, larger ones compared tile by tile,
+    so no group grows with the data.
+    """
     spark = docs.sparkSession
-    counts = materialise(members.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1"))
+    counts = materialise(members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(8 * F.col("size").cast("long")).alias("bytes")).where("n > 1"))
+    n, total = counts.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("n", "bytes"))).first()
     members = materialise(members.join(counts, "cluster"))
-    shared = spark.sparkContext.broadcast(key_filter(members, "node"))
+    shared = spark.sparkContext.broadcast(key_filter(members, "node", n))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = _Sent()
@@ -266,14 +273,14 @@ def verified_edges(docs: DataFrame, members: DataFrame, rule: Similarity, text:
 
     sets = docs.select(F.col(text).alias("text")).mapInArrow(read, "node long, shingles binary")
     sets = materialise(sets).groupBy("node").agg(F.first("shingles").alias("shingles"))
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    batches = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
+    tiles = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("bytes") / TILE_BYTES)).cast("int")
+    jobs = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TILE_BYTES))
     placed = (
         members.withColumns({"tiles": tiles, "own": F.pmod(F.xxhash64("node"), tiles).cast("int")})
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select(
             "node", "cluster",
-            F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("cluster"), F.lit(batches))).otherwise(F.col("cluster")).alias("job"),
+            F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("cluster"), F.lit(jobs))).otherwise(F.col("cluster")).alias("job"),
             (F.col("tiles") > 1).alias("large"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         )
     )
@@ -302,8 +309,8 @@ def similar_components(docs: DataFrame, rule: Similarity, key: str = "doc_id", t
     groups = materialise(prefix_groups(docs, rule, hot_shingles(sets), text))
     clusters = connected_components(candidate_edges(groups, rule))
     clusters = clusters.select(F.col("node").alias("grp"), "component")
-    members = groups.select("grp", "node").join(clusters, "grp", "left")
-    members = members.select(F.coalesce("component", "grp").alias("cluster"), "node")
+    members = groups.select("grp", "node", "size").join(clusters, "grp", "left")
+    members = members.select(F.coalesce("component", "grp").alias("cluster"), "node", "size")
     labels = connected_components(verified_edges(docs, members, rule, text))
     rows = materialise(sets.select("doc_id", "node", "size").join(labels, "node", "left").select("doc_id", "size", F.coalesce("component", "node").alias("component")))
     least = materialise(rows.where("size > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")))

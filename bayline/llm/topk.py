@@ -197,7 +197,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     vectors comes from integer_vectors(); queries is a condition on vec_id.
     """
     spark = vectors.sparkSession
-    vectors = materialise(vectors)
+    # scoring is all work and little data, so few partitions are spread over all cores
+    cores = spark.sparkContext.defaultParallelism
+    vectors = materialise(vectors if vectors.rdd.getNumPartitions() >= cores else vectors.repartition(cores))
     asked = vectors.where(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     sample = spark.sparkContext.broadcast(_arrays(vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toArrow()))
     asked = materialise(asked.mapInArrow(lower_bounds(sample, k), "vec_id long, v array<long>, least long"))

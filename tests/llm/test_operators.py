@@ -53,6 +53,7 @@ def test_similarity_join_against_all_pairs(spark, n, num, den, monkeypatch):
 
     monkeypatch.setattr(jaccard, "BUCKET", 4)
     monkeypatch.setattr(jaccard, "TILE", 8)
+    monkeypatch.setattr(jaccard, "TILE_BYTES", 2000)
     monkeypatch.setattr(jaccard, "HOT", 3)
     rng = random.Random(n)
     base = [[f"w{rng.randrange(400)}" for _ in range(rng.randint(5, 80))] for _ in range(12)]

@@ -195,6 +195,20 @@ def test_components(spark, odd_dir, odd_rows):
     assert counted(tuple(r) for r in QUERIES["10"](spark, odd_dir).collect()) == counted(brute_components(odd_rows, 3, 90, 100))
 
 
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+def test_queries_match_their_sql(spark, sf_dir, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    found = catalogue.QUERIES[name](spark, sf_dir)
+    expected = con.execute(catalogue.ORACLES[name])
+    columns = [d[0] for d in expected.description]
+    assert sorted(columns) == sorted(found.columns)
+    assert sorted(expected.fetchall()) == sorted(tuple(r) for r in found.select(columns).collect())
+
+
 def test_every_query_runs_at_the_smallest_scale(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for key, query in QUERIES.items():
