@@ -39,7 +39,7 @@ WINDOW = 32
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 256, 10, 8192
 LEVEL = 3
 #: Turns by digest, and by payload, so that only a share of all chunks is held twice at a time.
-TURNS = 4
+TURNS = 6
 MAGIC = b"GEARCHK2"
 UNIT = 64
 #: Digests that a task remembers as already sent.
