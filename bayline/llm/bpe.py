@@ -3,7 +3,9 @@
 Words are what the tokenizer's own pattern cuts a text into. All words of the corpus are counted;
 the LEXICON most frequent ones (a documented size, not a limit on what is encoded) and their ids
 form a minimal acyclic transducer that workers memory-map. A word outside it is merged exactly, in
-the order of the merge list, many such words at once. Each worker remembers the words it has met.
+the order of the merge list: many such words at once, those above LONG bytes each by itself with a
+heap over a linked list, in near-linear time however long they are. Each worker remembers the
+words it has met.
 
 The ids equal those of the tokenizers library's encode(text, add_special_tokens=False) with the
 same file; the added tokens' own texts become their ids, as there. Decoding gives the bytes of
@@ -15,6 +17,7 @@ Columns other than the text are left alone. An empty table gives an empty result
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
 import re
@@ -37,6 +40,8 @@ from bayline.llm import transducer
 from bayline.llm.frequent import most_frequent
 
 LEXICON = 1 << 16
+#: Longer words, in bytes, are kept out of the lexicon and merged one by one.
+LONG = 64
 #: Words a worker remembers or counts before it starts anew.
 REMEMBERED = 200_000
 #: Texts encoded at once.
@@ -75,6 +80,7 @@ class Vocabulary:
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.rank_of: dict[int, int] | None = None
         lengths = np.array([len(t) for t in tokens], np.int64)
         self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
@@ -97,18 +103,49 @@ class Vocabulary:
             out += [part] if part in self.added else find(part)
         return out
 
+    def ranked(self, key: np.ndarray) -> np.ndarray:
+        """The rank in the merge list of each pair of symbols, NO_RANK for those not in it."""
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NO_RANK)
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """The ids of one word: of all pairs that stand in it the first of lowest rank is merged, until none is left."""
+        if self.rank_of is None:
+            self.rank_of = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        rank_of, merged = self.rank_of.get, self.merged
+        start = self.first[np.frombuffer(word, np.uint8)]
+        ranks = self.ranked(start[:-1] << 32 | start[1:])
+        heap = [(r, i) for i, r in enumerate(ranks.tolist()) if r != NO_RANK]
+        heapq.heapify(heap)
+        symbols, n = start.tolist(), len(start)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] < 0 or j >= n or rank_of(symbols[i] << 32 | symbols[j]) != rank:
+                continue  # merged away, or into another pair, meanwhile
+            symbols[i], symbols[j] = int(merged[rank]), -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+            for a, b in ((before[i], i), (i, k)):
+                if a >= 0 and b < n and (r := rank_of(symbols[a] << 32 | symbols[b])) is not None:
+                    heapq.heappush(heap, (r, a))
+        out = np.array(symbols, np.int64)
+        return out[out >= 0]
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Merge pairs in the order of the merge list, in all words at once: (ids, ids of each word)."""
         lengths = np.array([len(w) for w in words], np.int64)
         symbols = self.first[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), lengths)
-        finished: list[tuple[np.ndarray, np.ndarray]] = []
+        long = np.flatnonzero(lengths > LONG)
+        short = (lengths <= LONG)[word]
+        symbols, word = symbols[short], word[short]
+        finished = [(np.full(len(ids), i), ids) for i in long.tolist() for ids in (self.merge_long(words[i]),)]
         while len(symbols):
-            key = symbols[:-1] << 32 | symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             rank = np.full(len(symbols), NO_RANK, np.int64)
-            known = (self.keys[at] == key) & (word[:-1] == word[1:])
-            rank[:-1][known] = self.ranks[at[known]]
+            rank[:-1] = np.where(word[:-1] == word[1:], self.ranked(symbols[:-1] << 32 | symbols[1:]), NO_RANK)
             begins = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             low = np.repeat(np.minimum.reduceat(rank, begins), np.diff(np.append(begins, len(word))))
             done = low == NO_RANK
@@ -177,7 +214,7 @@ def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 def compile_lexicon(docs: DataFrame, path: str, size: int = LEXICON, text: str = "text") -> str:
     """Compile the size most frequent words and hand the file to Spark, which gives it to every executor."""
     voc = vocabulary(path)
-    top = most_frequent(word_counts(docs, path, text), size).select("word").collect()
+    top = most_frequent(word_counts(docs, path, text).where(F.octet_length("word") <= LONG), size).select("word").collect()
     words = sorted(r.word.encode() for r in top if r.word not in voc.added)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     file = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)

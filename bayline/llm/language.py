@@ -7,8 +7,8 @@ margins wins. A text is flagged as ambiguous when the runner-up's loss is within
 
 The models are fitted on PER_LANGUAGE labelled rows of each language, chosen by a hash of the id;
 with more than SAMPLE / PER_LANGUAGE languages on SAMPLE / languages of each, but on LEAST at least,
-or all that a language has. Of more than 1,024 languages the most frequent are learned, the rest
-is not. Prediction covers whole texts.
+or all that a language has, so every language that a row has is learned. Prediction covers whole
+texts, very long ones in pieces. Of languages with equal losses (ties) the first by name wins.
 
 A null text, or one without a letter, is und with score 0. Without any labelled row every text is
 und. Repeated rows get equal answers. Columns other than the id, the text and, for learning, the

@@ -17,31 +17,18 @@ def unit_hash(*columns: str, seed: int = 0) -> Column:
     return (F.xxhash64(*columns, F.lit(seed)).bitwiseAND((1 << 52) - 1)).cast("double") / float(1 << 52)
 
 
-def bounded_sample(rows: DataFrame, label: str, key: str, per_label: int, total: int) -> DataFrame:
-    """About per_label rows of each label and never more than total, chosen by a hash of key."""
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1024).collect()}
-    rates = [x for label_, n in counts.items() for x in (F.lit(label_), F.lit(min(1.0, per_label / n)))]
-    if not rates:
-        return rows.limit(0)
-    chosen = rows.where(unit_hash(key, seed=11) < F.element_at(F.create_map(*rates), F.col(label)))
-    return chosen.orderBy(F.xxhash64(F.col(key), F.lit(12)), key).limit(total)
-
-
 def sample_each(rows: DataFrame, label: str, key: str, per_label: int, total: int, least: int) -> DataFrame:
     """The first per_label rows of each label by a hash of key; with many labels total / labels, but never fewer than least.
 
-    A label with fewer rows keeps them all. Only the 1,024 most frequent labels are sampled, so the
-    answer has at most the greater of total and 1,024 times least rows.
+    A label with fewer rows keeps them all, so every label has a row. The answer has at most the
+    greater of total and labels times least rows.
     """
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(1024).collect()}
-    if not counts:
-        return rows.limit(0)
-    each = max(least, min(per_label, total // len(counts)))
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("__n"))
+    each = max(least, min(per_label, total // max(1, counts.count())))
     # twice and some more than is wanted, so that too few are left with a chance of less than 1e-9
-    rates = [x for label_, n in counts.items() for x in (F.lit(label_), F.lit(min(1.0, (2 * each + 50) / n)))]
-    likely = rows.where(unit_hash(key, seed=11) < F.element_at(F.create_map(*rates), F.col(label)))
+    likely = rows.join(counts, label).where(unit_hash(key, seed=11) < (2 * each + 50) / F.col("__n"))
     place = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(12)), key))
-    return likely.withColumn("__place", place).where(F.col("__place") <= each).drop("__place")
+    return likely.withColumn("__place", place).where(F.col("__place") <= each).drop("__place", "__n")
 
 
 def _largest_eigenvalue(x: np.ndarray, steps: int = 20) -> float:

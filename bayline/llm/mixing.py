@@ -15,8 +15,8 @@ The fit ends when the sums are within CLOSE of all tokens of the targets. Target
 the bounds can meet are not met: the fit then ends after STEPS steps with the best rates it saw,
 Rates.converged is false and a warning is given.
 
-The classifier is fitted on at most SAMPLE labelled rows, about PER_DOMAIN of each domain, chosen
-by a hash of the id. Posteriors, tokens and sums cover all documents and whole texts.
+The classifier is fitted on at most SAMPLE labelled rows, PER_DOMAIN of each domain, chosen by a
+hash of the id (with very many domains on one of each). Posteriors, tokens and sums cover all documents and whole texts.
 
 A null or empty text has no tokens and the posterior of the intercepts; it changes no sum. A
 document labelled more than once takes the least of its domains, null labels count for nothing.
@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bayline.llm.hashing import text_buffers, word_hashes
-from bayline.llm.linear import bounded_sample, fit, softmax, unit_hash
+from bayline.llm.linear import fit, sample_each, softmax, unit_hash
 from bayline.llm.store import materialise
 
 SAMPLE, PER_DOMAIN = 6000, 2000
@@ -88,7 +88,7 @@ class DomainModel:
 def fit_domains(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", domain: str = "domain") -> DomainModel:
     """Learn the domains of labelled (key, domain), one row or more for each labelled document."""
     known = labelled.where(F.col(key).isNotNull() & F.col(domain).isNotNull()).groupBy(key).agg(F.min(domain).alias("domain"))
-    chosen = bounded_sample(known, "domain", key, PER_DOMAIN, SAMPLE)
+    chosen = sample_each(known, "domain", key, PER_DOMAIN, SAMPLE, 1)
 
     @F.arrow_udf("struct<words:binary,bytes:binary>")
     def features(column: pa.Array) -> pa.Array:

@@ -7,7 +7,9 @@ EXACT + 52 * 2 ** (PRECISION - 1) classes (about 110,000), however many groups t
 a class, groups count as equal, and the heap's choices for all of them are found at once.
 
 A null text is a group of its own beside the empty text; both have size 1 for each row. Rows
-with a null or repeated doc_id are rows like any other. Columns other than doc_id and text are
+with a null or repeated doc_id are rows like any other. Groups of equal size go in order of their
+text's digest, and of shards with equal loads the first by number gets the next group (ties). A
+very long text is one row of its size. Columns other than doc_id and text are
 not looked at. An empty table gives an empty result.
 """
 

@@ -186,6 +186,22 @@ def test_encoder_equals_the_library_on_random_texts():
         assert ids[a:b].tolist() == expected.ids, repr(text)
 
 
+def test_long_words_are_merged_in_near_linear_time():
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, rng = Tokenizer.from_file(path), random.Random(9)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for n in (63, 64, 65, 66, 1000, 160_000)] + ["é" * 40, "ab" * 5000, "x" * 70]
+    bpe.vocabulary(path)
+    began = time.perf_counter()
+    ids, ends = bpe.Encoder(path).encode(texts)
+    assert time.perf_counter() - began < 10
+    for text, a, b, expected in zip(texts, ends, ends[1:], library.encode_batch(texts, add_special_tokens=False), strict=False):
+        assert ids[a:b].tolist() == expected.ids, len(text)
+
+
 def test_checksums():
     body = "A" * 30
     token = "ghp_" + body + secrets.base62_crc(body.encode()).decode()

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import heapq
 import math
 import re
 import zlib
@@ -88,6 +89,23 @@ def test_shards(spark, odd_dir, odd_rows):
     for r in found:
         place[(r.size, r.text_crc32)].add(r.shard)
     assert all(len(s) == 1 for key, s in place.items() if key[0] > 1)
+    groups = collections.Counter()
+    for _, text, *_ in odd_rows:
+        groups[text] += size(text)
+    heap = [0] * 8
+    for n in sorted(groups.values(), reverse=True):
+        heapq.heapreplace(heap, heap[0] + n)
+    loads = collections.Counter({i: 0 for i in range(8)})
+    for r in found:
+        loads[r.shard] += r.size
+    assert sorted(loads.values()) == pytest.approx(sorted(heap), rel=2**-12)
+
+
+def test_shards_of_the_tables_are_near_equal(spark):
+    loads = collections.Counter()
+    for r in QUERIES["2"](spark, "/root/testdata/sf0.01").collect():
+        loads[r.shard] += r.size
+    assert len(loads) == 8 and max(loads.values()) - min(loads.values()) < 0.001 * max(loads.values())
 
 
 def test_mixing(spark, odd_dir, odd_rows):
