@@ -14,8 +14,8 @@ word gives its weight and the next state; without one the failure arc is taken a
 tried again. A text begins in the state of the end.
 
 Nobody holds the whole automaton: each block of texts gets the states and arcs of its own words.
-Texts are written to the shared folder once, packed into blocks of about BLOCK bytes. A block sends
-its sorted distinct words and pairs, cut into slices by the leading bits of their hashes; the
+The hashed words of the texts are written to the shared folder once, packed into blocks of about
+BLOCK bytes of text. A block sends its sorted distinct words and pairs, cut into slices by the leading bits of their hashes; the
 slices of all blocks with the same bits meet, are added up, and each goes back to its block as an
 array in the same order. There are about as many slices as blocks, so none grows with the corpus.
 A second round adds up the arcs of the words and counts the triples whose pairs occur often
@@ -35,6 +35,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -53,7 +54,7 @@ BLOCK = 4 << 20
 #: Stands for the end of a text; a word hashes to it with a chance of 2**-64.
 END = np.uint64(0x9E6C63D0876A9A47)
 _K = np.uint64(0xD6E8FEB86659FD93)
-BLOCKS = "block long, bytes long, packed binary, offsets array<long>, ids array<long>, null_ids array<boolean>, training array<boolean>"
+BLOCKS = "block long, bytes long, words binary, tokens binary, sizes array<long>, ids array<long>, null_ids array<boolean>, training array<boolean>"
 
 
 def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -61,28 +62,80 @@ def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * _K + mix(right + np.uint64(1)))
 
 
+def pack(rows: list[np.ndarray], ascending: bool = False) -> bytes:
+    """Arrays of long integers, byte by byte and compressed; ascending: the first one is sorted, and kept as differences."""
+    table = np.stack([x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64) for x in rows])
+    if ascending:
+        table[0, 1:] = np.diff(table[0])  # sorted as unsigned; differences wrap around
+    planes = np.ascontiguousarray(table.view(np.uint8).reshape(len(rows), -1, 8).transpose(0, 2, 1))
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(data: bytes, rows: int, ascending: bool = False) -> np.ndarray:
+    """What pack() packed, as rows of a matrix."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    table = np.ascontiguousarray(planes.reshape(rows, 8, -1).transpose(0, 2, 1)).view(np.int64).reshape(rows, -1)
+    if ascending:
+        np.cumsum(table[0], out=table[0])
+    return table
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct values, where each first stands, the place of each value among them)."""
+    at, found = pd.factorize(values)
+    first = np.empty(len(found), np.int64)
+    first[at[::-1]] = np.arange(len(values))[::-1]
+    order = np.argsort(found)
+    place = np.empty(len(found), np.int64)
+    place[order] = np.arange(len(found))
+    return found[order], first[order], place[at]
+
+
 def text_blocks(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs packed into blocks, written to the shared folder."""
+    """The words of the rows of docs, hashed and packed into blocks, written to the shared folder."""
     kind = pa.schema(
         [
-            ("block", pa.int64()), ("bytes", pa.int64()), ("packed", pa.binary()), ("offsets", pa.list_(pa.int64())),
+            ("block", pa.int64()), ("bytes", pa.int64()), ("words", pa.binary()), ("tokens", pa.binary()), ("sizes", pa.list_(pa.int64())),
             ("ids", pa.list_(pa.int64())), ("null_ids", pa.list_(pa.bool_())), ("training", pa.list_(pa.bool_())),
         ]
     )
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, number = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
+    def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens with the ends, tokens of each text)."""
+        words, bounds = word_hashes(data, offsets)
+        ends = bounds[1:] + np.arange(len(bounds) - 1)
+        tokens = np.empty(len(words) + len(ends), np.uint64)
+        is_end = np.zeros(len(tokens), bool)
+        is_end[ends] = True
+        tokens[is_end], tokens[~is_end] = END, words
+        return tokens, np.diff(bounds) + 1
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = TaskContext.get().partitionId() << 32, []
+
+        def block() -> pa.RecordBatch:
+            nonlocal number
+            size, tokens, sizes, ids, missing, training_rows = (list(x) for x in zip(*held, strict=True))
+            words, _, at = distinct(np.concatenate(tokens))
+            flat = lambda lists: [x for part in lists for x in part]
+            row = [number, sum(size), pack([words], True), pack([at]), np.concatenate(sizes).tolist(), flat(ids), flat(missing), flat(training_rows)]
+            held.clear()
+            number += 1
+            return pa.record_batch([pa.array([v], f.type) for v, f in zip(row, kind, strict=True)], schema=kind)
+
         for batch in batches:
             ids, training_rows = batch.column(0), batch.column(2).to_pylist()
             missing = ids.is_null().to_pylist()
             ids = ids.fill_null(0).to_pylist()
-            for first, last, data, offsets in text_buffers(batch.column(1), BLOCK):
-                row = [number, len(data), packer.compress(data.tobytes()), offsets.tolist(), ids[first:last], missing[first:last], training_rows[first:last]]
-                yield pa.record_batch([pa.array([v], f.type) for v, f in zip(row, kind, strict=True)], schema=kind)
-                number += 1
+            for first, last, data, offsets in text_buffers(batch.column(1), BLOCK // 4):
+                if held and sum(h[0] for h in held) + len(data) > BLOCK:
+                    yield block()
+                held.append((len(data), *hashed(data, offsets), ids[first:last], missing[first:last], training_rows[first:last]))
+        if held:
+            yield block()
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    return materialise(rows.mapInArrow(pack, BLOCKS))
+    return materialise(rows.mapInArrow(read, BLOCKS))
 
 
 @dataclass
@@ -91,22 +144,16 @@ class Block:
 
     ids: list
     training: np.ndarray
-    tokens: np.ndarray
+    words: np.ndarray  # hashes, ascending
+    tokens: np.ndarray  # places in words
     bounds: np.ndarray
 
 
 def open_block(row: dict) -> Block:
     """Unpack a row of text_blocks()."""
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["packed"], max_output_size=max(1, row["bytes"])), np.uint8)
-    offsets = np.array(row["offsets"], np.int64)
-    words, bounds = word_hashes(data, offsets)
-    ends = bounds[1:] + np.arange(len(bounds) - 1)
-    tokens = np.empty(len(words) + len(ends), np.uint64)
-    is_end = np.zeros(len(tokens), bool)
-    is_end[ends] = True
-    tokens[is_end], tokens[~is_end] = END, words
     ids = [None if missing else i for i, missing in zip(row["ids"], row["null_ids"], strict=True)]
-    return Block(ids, np.array(row["training"], bool), tokens, np.concatenate([[0], ends + 1]))
+    words, tokens = unpack(row["words"], 1, True)[0].view(np.uint64), unpack(row["tokens"], 1)[0]
+    return Block(ids, np.array(row["training"], bool), words, tokens, np.concatenate([[0], np.cumsum(row["sizes"], dtype=np.int64)]))
 
 
 @dataclass
@@ -130,15 +177,15 @@ class Grams:
     ending: np.ndarray  # the pair that each triple ends with
 
 
-def block_grams(block: Block) -> Grams:
-    """The grams of a block."""
-    words, at = np.unique(block.tokens, return_inverse=True)
+def block_grams(block: Block, triples: bool = True) -> Grams:
+    """The grams of a block, on demand without its triples."""
+    words, at = block.words, block.tokens
     end = np.searchsorted(words, END)
     before = np.concatenate([[end], at[:-1]])
-    pairs, first, pair_at = np.unique(pair_hash(words[before], block.tokens), return_index=True, return_inverse=True)
-    rows = np.flatnonzero(before != end)
-    triples, place, triple_at = np.unique(pair_hash(pairs[pair_at[rows - 1]], block.tokens[rows]), return_index=True, return_inverse=True)
-    return Grams(words, at, pairs, pair_at, before[first], at[first], triples, rows, triple_at, pair_at[rows[place] - 1], pair_at[rows[place]])
+    pairs, first, pair_at = distinct(pair_hash(words[before], words[at]))
+    rows = np.flatnonzero(before != end) if triples else np.empty(0, np.int64)
+    found, place, triple_at = distinct(pair_hash(pairs[pair_at[rows - 1]], words[at[rows]]))
+    return Grams(words, at, pairs, pair_at, before[first], at[first], found, rows, triple_at, pair_at[rows[place] - 1], pair_at[rows[place]])
 
 
 SLICES = "part long, block long, data binary"
@@ -150,9 +197,7 @@ def slices(number: int, kind: int, keys: np.ndarray, values: list[np.ndarray], b
     """Sorted keys and their values, cut by the keys' leading bits, as rows of SLICES."""
     bucket = keys >> np.uint64(64 - bits)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
-    rows = np.stack([keys.view(np.int64), *(v.astype(np.int64) for v in values)])
-    packer = zstandard.ZstdCompressor(level=1)
-    data = [packer.compress(rows[:, a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    data = [pack([keys[a:b], *(v[a:b] for v in values)], True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     part = bucket[cuts[:-1]].astype(np.int64) | kind << 32
     return pa.record_batch([pa.array(part), pa.array(np.full(len(data), number)), pa.array(data, pa.binary())], ["part", "block", "data"])
 
@@ -165,17 +210,17 @@ def add_up(found: DataFrame, width: int) -> DataFrame:
     """
 
     def add(table: pa.Table) -> pa.Table:
-        opener = zstandard.ZstdDecompressor()
-        parts = [np.frombuffer(opener.decompress(x.as_py()), np.int64).reshape(width + 1, -1) for x in table["data"]]
+        parts = [unpack(x.as_py(), width + 1, True) for x in table["data"]]
         every = np.concatenate(parts, axis=1)
-        _, first, at = np.unique(every[0], return_index=True, return_inverse=True)
-        sums = [np.bincount(at, v).astype(np.int64) for v in every[1:]]
+        at, keys = pd.factorize(every[0])
+        first = np.empty(len(keys), np.int64)
+        first[at[::-1]] = np.arange(len(at))[::-1]
+        sums = [np.bincount(at, v, len(keys)).astype(np.int64) for v in every[1:]]
         own = np.zeros(every.shape[1], np.int64)
         own[first] = 1
         rows = np.stack([*(x[at] for x in sums), own])
         ends = np.cumsum([0] + [p.shape[1] for p in parts])
-        packer = zstandard.ZstdCompressor(level=1)
-        data = [packer.compress(rows[:, a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        data = [pack(list(rows[:, a:b])) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         once = lambda x: pa.array([int(x)] + [0] * (len(parts) - 1), pa.int64())
         return pa.table([table["part"], table["block"], once(sums[0].sum()), once((sums[0] > 0).sum()), pa.array(data, pa.binary())], names=[s.split(" ")[0] for s in SUMS.split(", ")])
 
@@ -185,8 +230,7 @@ def add_up(found: DataFrame, width: int) -> DataFrame:
 def own_sums(parts: pa.Table, kind: int, width: int) -> np.ndarray:
     """A block's rows of SUMS of one kind put together again: width sums and whether it is the first, for each key."""
     rows = sorted((p, x) for p, x in zip(parts["part"].to_pylist(), parts["data"].to_pylist(), strict=True) if p >> 32 == kind)
-    opener = zstandard.ZstdDecompressor()
-    found = [np.frombuffer(opener.decompress(x), np.int64).reshape(width + 1, -1) for _, x in rows]
+    found = [unpack(x, width + 1) for _, x in rows]
     return np.concatenate(found, axis=1) if found else np.empty((width + 1, 0), np.int64)
 
 
@@ -197,7 +241,7 @@ def gram_counts(blocks: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 block = open_block(row)
-                grams = block_grams(block)
+                grams = block_grams(block, triples=False)
                 weight = np.repeat(block.training, np.diff(block.bounds))
                 yield slices(row["block"], WORDS, grams.words, [np.bincount(grams.word_at, weight, len(grams.words))], bits)
                 yield slices(row["block"], PAIRS, grams.pairs, [np.bincount(grams.pair_at, weight, len(grams.pairs))], bits)
