@@ -145,6 +145,29 @@ def suppress(boxes_: DataFrame, frame: str, threshold: float) -> DataFrame:
     return _flat(boxes_, frame).groupBy("batch").applyInArrow(keep, f"{frame} long, box_id long, score double")
 
 
+def suppress_polygons(polygons_: DataFrame, frame: str, threshold: float, limit: int) -> DataFrame:
+    """Greedy suppression of convex polygons (box_id, score, polygon), of which a frame keeps limit at most.
+
+    Which polygons overlap by threshold is a join inside the frame, bounding boxes before the exact
+    clip; only the walk over those overlaps, by falling score and then box_id, is sequential.
+    """
+    rows = polygons_.select(frame, "box_id", "score", polygons.canonical(F.col("polygon")).alias("p")).withColumn("around", polygons.bounds(F.col("p")))
+    a, b = (rows.select(frame, *(F.col(c).alias(f"{c}_{n}") for c in ("box_id", "score", "p", "around"))) for n in "ab")
+    before = (F.col("score_b") > F.col("score_a")) | ((F.col("score_b") == F.col("score_a")) & (F.col("box_id_b") < F.col("box_id_a")))
+    met = a.join(b, frame).where(before & boxes.overlaps(F.col("around_a"), F.col("around_b")) & (polygons.iou(F.col("p_a"), F.col("p_b")) >= threshold))
+    over = met.groupBy(frame, F.col("box_id_a").alias("box_id")).agg(F.collect_list("box_id_b").alias("over"))
+    walk = rows.select(frame, "box_id", "score").join(over, [frame, "box_id"], "left")
+    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("least"), "box_id", F.coalesce("over", F.array().cast("array<long>")).alias("over"))))
+    kept = F.aggregate(
+        order,
+        F.array().cast("array<struct<box_id:bigint,score:double>>"),
+        lambda out, x: F.when((F.size(out) >= limit) | F.arrays_overlap(F.transform(out, lambda k: k.box_id), x["over"]), out).otherwise(
+            F.concat(out, F.array(F.struct(x.box_id.cast("long").alias("box_id"), (-x.least).cast("double").alias("score"))))
+        ),
+    )
+    return walk.groupBy(frame).agg(kept.alias("kept")).select(frame, F.inline("kept"))
+
+
 def _columns(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.Table:
     columns = list(zip(*rows, strict=True)) or [[] for _ in kinds]
     return pa.table([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
@@ -155,9 +178,15 @@ def match(predicted: DataFrame, truth: DataFrame, frame: str, at: float, order:
 
     order "by_prediction": predictions by falling score take the best truth left; "by_overlap": all
     pairs by falling overlap. tie says which of equal truths is taken, "first" or "last". Returns
-    (frame, predicted_id, truth_id, overlap), one id null for those without a partner.
+    (frame, predicted_id, truth_id, overlap, predicted_score, truth_score, corner_error), one id null
+    for those without a partner; corner_error is the mean distance of the corners of a pair.
     """
     nothing = (np.empty(0, np.int64), np.empty(0), np.empty((0, 4)))
+    kinds = [(frame, pa.int64()), ("predicted_id", pa.int64()), ("truth_id", pa.int64()), *((c, pa.float64()) for c in ("overlap", "predicted_score", "truth_score", "corner_error"))]
+
+    def corners(a: np.ndarray, b: np.ndarray) -> float:
+        x, y = np.abs(a - b)[[0, 2]], np.abs(a - b)[[1, 3]]
+        return float(np.hypot(x[[0, 1, 1, 0]], y[[0, 0, 1, 1]]).mean())
 
     def partners(overlap: np.ndarray) -> dict[int, int]:
         found: dict[int, int] = {}
@@ -183,18 +212,21 @@ def match(predicted: DataFrame, truth: DataFrame, frame: str, at: float, order:
         out: list[tuple] = []
         for key in ours.keys() | theirs.keys():
             pid, scores, a = ours.get(key, nothing)
-            tid, _, b = theirs.get(key, nothing)
+            tid, true_scores, b = theirs.get(key, nothing)
             by_score = np.argsort(-scores, kind="stable")
-            pid, overlap = pid[by_score], iou_matrix(a[by_score], b)
+            pid, scores, a = pid[by_score], scores[by_score], a[by_score]
+            overlap = iou_matrix(a, b)
             found = partners(overlap)
             for i, one in enumerate(pid.tolist()):
                 j = found.get(i)
-                out.append((key, one, None if j is None else int(tid[j]), None if j is None else float(overlap[i, j])))
-            out += [(key, None, int(tid[j]), None) for j in range(len(tid)) if j not in set(found.values())]
-        return _columns(out, [(frame, pa.int64()), ("predicted_id", pa.int64()), ("truth_id", pa.int64()), ("overlap", pa.float64())])
+                partner = (None, None, None) if j is None else (int(tid[j]), float(overlap[i, j]), float(true_scores[j]))
+                out.append((key, one, *partner[:2], float(scores[i]), partner[2], None if j is None else corners(a[i], b[j])))
+            taken = set(found.values())
+            out += [(key, None, int(tid[j]), None, None, float(true_scores[j]), None) for j in range(len(tid)) if j not in taken]
+        return _columns(out, kinds)
 
     left, right = _flat(predicted, frame).groupBy("batch"), _flat(truth, frame).groupBy("batch")
-    return left.cogroup(right).applyInArrow(pair, f"{frame} long, predicted_id long, truth_id long, overlap double")
+    return left.cogroup(right).applyInArrow(pair, f"{frame} long, predicted_id long, truth_id long, overlap double, predicted_score double, truth_score double, corner_error double")
 
 
 def calibrate(detections: DataFrame, camera: str, frame_no: str, at: float = 0.45, share: float = 0.6, least_slots: int = 4) -> DataFrame:

@@ -149,46 +149,109 @@ def detection_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.confirm_tracks(rows, "camera", "no")
 
 
-@_R.add("aabb_nms")
+@_R.add(
+    "aabb_nms",
+    ITEMS.replace("WITH", "WITH RECURSIVE")
+    + f"""
+, o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, box_id) AS n FROM items),
+hit AS (SELECT a.frame, a.n, list(b.n) AS over FROM o a JOIN o b ON a.frame = b.frame AND b.n < a.n WHERE {_IOU} >= 0.45 GROUP BY ALL),
+q AS (SELECT o.frame, o.n, coalesce(over, []) AS over FROM o LEFT JOIN hit ON o.frame = hit.frame AND o.n = hit.n),
+walk AS (
+  SELECT frame, n, [n] AS kept FROM q WHERE n = 1
+  UNION ALL SELECT q.frame, q.n, CASE WHEN len(list_intersect(kept, over)) > 0 THEN kept ELSE list_append(kept, q.n) END FROM walk w JOIN q ON q.frame = w.frame AND q.n = w.n + 1),
+k AS (SELECT frame, unnest(arg_max(kept, n)) AS n FROM walk GROUP BY frame)
+SELECT frame, box_id, score FROM k JOIN o USING (frame, n)
+""",
+)
 def aabb_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes that greedy suppression at 0.45 keeps."""
     return matching.suppress(items(spark, sf_dir), "frame", 0.45)
 
 
-def _matched(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+@_R.add(
+    "polygon_nms",
+    ITEMS.replace("WITH", "WITH RECURSIVE")
+    + f"""
+, o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, box_id) AS n FROM items),
+hit AS (SELECT a.frame, a.n, list(b.n) AS over FROM o a JOIN o b ON a.frame = b.frame AND b.n < a.n WHERE {_IOU} >= 0.30001 GROUP BY ALL),
+q AS (SELECT o.frame, o.n, coalesce(over, []) AS over FROM o LEFT JOIN hit ON o.frame = hit.frame AND o.n = hit.n),
+walk AS (
+  SELECT frame, n, [n] AS kept FROM q WHERE n = 1
+  UNION ALL SELECT q.frame, q.n, CASE WHEN len(kept) >= 3 OR len(list_intersect(kept, over)) > 0 THEN kept ELSE list_append(kept, q.n) END FROM walk w JOIN q ON q.frame = w.frame AND q.n = w.n + 1),
+k AS (SELECT frame, unnest(arg_max(kept, n)) AS n FROM walk GROUP BY frame)
+SELECT frame, box_id, score FROM k JOIN o USING (frame, n)
+""",
+)
+def polygon_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quadrilaterals that greedy suppression keeps, three of a frame at most."""
+    rows = items(spark, sf_dir).withColumn("polygon", boxes.to_quad(F.col("box")))
+    return matching.suppress_polygons(rows, "frame", 0.30001, 3)
+
+
+def matched(spark: SparkSession, sf_dir: str, at: float = 0.3, **how) -> DataFrame:
+    """Vehicles matched to slots, as predictions and truth."""
     rows = items(spark, sf_dir)
-    return matching.match(rows.where("not is_slot"), rows.where("is_slot"), "frame", 0.3, **how)
+    return matching.match(rows.where("not is_slot"), rows.where("is_slot"), "frame", at, **how)
+
+
+def matched_sql(at: float = 0.3, truth_order: str = "DESC") -> str:
+    """The same by a recursive walk over each frame's predictions, as relation m."""
+    return ITEMS.replace("WITH", "WITH RECURSIVE") + f"""
+, p AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, box_id) AS n FROM items WHERE NOT is_slot),
+c AS (SELECT a.frame, a.n, list(b.box_id ORDER BY {_IOU} DESC, b.box_id {truth_order}) AS cands FROM p a JOIN items b ON a.frame = b.frame AND b.is_slot WHERE {_IOU} >= {at} GROUP BY a.frame, a.n),
+q AS (SELECT p.frame, p.n, coalesce(cands, []) AS cands FROM p LEFT JOIN c ON p.frame = c.frame AND p.n = c.n),
+walk AS (
+  SELECT frame, n, cands[1] AS truth, [cands[1]] AS taken FROM q WHERE n = 1
+  UNION ALL SELECT frame, n, truth, list_append(taken, truth) FROM (
+    SELECT q.frame, q.n, w.taken, list_filter(q.cands, lambda x: NOT list_contains(w.taken, x))[1] AS truth FROM walk w JOIN q ON q.frame = w.frame AND q.n = w.n + 1)),
+hits AS (SELECT p.frame, p.box_id AS predicted_id, truth AS truth_id FROM walk JOIN p USING (frame, n)),
+m AS (
+  SELECT h.frame, a.box_id AS predicted_id, b.box_id AS truth_id, {_IOU} AS overlap, a.score AS predicted_score, b.score AS truth_score,
+         (sqrt((a.x1 - b.x1) ** 2 + (a.y1 - b.y1) ** 2) + sqrt((a.x2 - b.x2) ** 2 + (a.y1 - b.y1) ** 2) + sqrt((a.x2 - b.x2) ** 2 + (a.y2 - b.y2) ** 2) + sqrt((a.x1 - b.x1) ** 2 + (a.y2 - b.y2) ** 2)) / 4 AS corner_error
+  FROM hits h JOIN items a ON a.frame = h.frame AND a.box_id = h.predicted_id AND NOT a.is_slot LEFT JOIN items b ON b.frame = h.frame AND b.box_id = h.truth_id AND b.is_slot
+  UNION ALL
+  SELECT frame, NULL, box_id, NULL, NULL, score, NULL FROM items t WHERE is_slot AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.frame = t.frame AND h.truth_id = t.box_id))
+"""
+
+
+_PAIRS = "SELECT frame, predicted_id, truth_id, round(overlap, 6) AS overlap FROM m"
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.select("frame", "predicted_id", "truth_id", F.round("overlap", 6).alias("overlap"))
 
 
-@_R.add("greedy_match_a")
+@_R.add("greedy_match_a", matched_sql() + _PAIRS)
 def greedy_match_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions by score take the best truth left, the last of equals."""
-    return _matched(spark, sf_dir, tie="last")
+    return _pairs(matched(spark, sf_dir, tie="last"))
 
 
-@_R.add("greedy_match_b")
+@_R.add(
+    "greedy_match_b",
+    ITEMS.replace("WITH", "WITH RECURSIVE")
+    + f"""
+, p AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, box_id) AS r FROM items WHERE NOT is_slot),
+c AS (SELECT a.frame, a.box_id AS predicted_id, b.box_id AS truth_id, {_IOU} AS overlap, row_number() OVER (PARTITION BY a.frame ORDER BY {_IOU} DESC, a.r, b.box_id) AS n
+      FROM p a JOIN items b ON a.frame = b.frame AND b.is_slot WHERE {_IOU} >= 0.3),
+walk AS (
+  SELECT frame, n, [predicted_id] AS ps, [truth_id] AS ts, TRUE AS hit FROM c WHERE n = 1
+  UNION ALL SELECT frame, n, CASE WHEN hit THEN list_append(ps, predicted_id) ELSE ps END, CASE WHEN hit THEN list_append(ts, truth_id) ELSE ts END, hit FROM (
+    SELECT c.*, ps, ts, NOT list_contains(ps, predicted_id) AND NOT list_contains(ts, truth_id) AS hit FROM walk w JOIN c ON c.frame = w.frame AND c.n = w.n + 1)),
+hits AS (SELECT frame, predicted_id, truth_id, overlap FROM walk JOIN c USING (frame, n) WHERE hit)
+SELECT i.frame, i.box_id AS predicted_id, truth_id, round(overlap, 6) AS overlap FROM items i LEFT JOIN hits h ON h.frame = i.frame AND h.predicted_id = i.box_id WHERE NOT is_slot
+UNION ALL SELECT frame, NULL, box_id, NULL FROM items t WHERE is_slot AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.frame = t.frame AND h.truth_id = t.box_id)
+""",
+)
 def greedy_match_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs by falling overlap."""
-    return _matched(spark, sf_dir, order="by_overlap")
+    return _pairs(matched(spark, sf_dir, order="by_overlap"))
 
 
-@_R.add("greedy_match_c")
+@_R.add("greedy_match_c", matched_sql(truth_order="ASC") + _PAIRS)
 def greedy_match_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions by score take the best truth left, the first of equals."""
-    return _matched(spark, sf_dir)
-
-
-@_R.add("match_metrics")
-def match_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Precision, recall and F1 of the matching, and recall at 0.75."""
-    pairs = _matched(spark, sf_dir, tie="last")
-    tp = F.count_if(F.col("predicted_id").isNotNull() & F.col("truth_id").isNotNull())
-    fp, fn = F.count_if(F.col("truth_id").isNull()), F.count_if(F.col("predicted_id").isNull())
-    close = F.count_if(F.col("overlap") >= 0.75)
-    one = F.lit(1)
-    counted = pairs.agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), close.alias("close"))
-    p, r = F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), one), F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), one)
-    return counted.select("tp", "fp", "fn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(2 * p * r / F.greatest(p + r, F.lit(1e-9)), 6).alias("f1"), F.round(F.col("close") / F.greatest(F.col("tp") + F.col("fn"), one), 6).alias("recall_75"))
+    return _pairs(matched(spark, sf_dir))
 
 
 @_R.add("calibrated_layouts")
