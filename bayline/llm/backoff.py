@@ -11,7 +11,9 @@ are counts, so states and arcs grow with the corpus.
 
 A text is scored in one traversal from left to right that carries the state: an arc on the next
 word gives its weight and the next state; without one the failure arc is taken and the word is
-tried again. A text begins in the state of the end.
+tried again. A text begins in the state of the end. All texts of a block are traversed side by
+side; long ones are cut into runs of RUN words, of which each begins in the state that the two
+words before it lead to.
 
 Nobody holds the whole automaton: each block of texts gets the states and arcs of its own words.
 The hashed words of the texts are written to the shared folder once, packed into blocks of about
@@ -31,8 +33,9 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -51,6 +54,10 @@ SMOOTHING = 0.1
 LEAST = 2
 DISCOUNT = 0.5
 BLOCK = 4 << 20
+#: Words of a text that are traversed one after another.
+RUN = 128
+#: Turns in which blocks meet their counts, so that only a share of them lies in shuffle files at a time.
+TURNS = 3
 #: Stands for the end of a text; a word hashes to it with a chance of 2**-64.
 END = np.uint64(0x9E6C63D0876A9A47)
 _K = np.uint64(0xD6E8FEB86659FD93)
@@ -227,6 +234,13 @@ def add_up(found: DataFrame, width: int) -> DataFrame:
     return materialise(found.groupBy("part").applyInArrow(add, SUMS))
 
 
+def in_turns(blocks: DataFrame, parts: DataFrame, use: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What use makes of each block and its rows of parts, written to the shared folder in TURNS turns."""
+    own = lambda t, i: t.where(F.pmod(F.xxhash64("block"), F.lit(TURNS)) == i).groupBy("block")
+    found = [materialise(own(blocks, i).cogroup(own(parts, i)).applyInArrow(use, schema)) for i in range(TURNS)]
+    return reduce(DataFrame.unionByName, found)
+
+
 def own_sums(parts: pa.Table, kind: int, width: int) -> np.ndarray:
     """A block's rows of SUMS of one kind put together again: width sums and whether it is the first, for each key."""
     rows = sorted((p, x) for p, x in zip(parts["part"].to_pylist(), parts["data"].to_pylist(), strict=True) if p >> 32 == kind)
@@ -277,7 +291,7 @@ def word_sums(blocks: DataFrame, counts: DataFrame, bits: int) -> DataFrame:
             out.append(slices(row["block"], TRIPLES, grams.triples[chosen], [triples, np.zeros_like(triples), np.zeros_like(triples)], bits))
         return pa.Table.from_batches(out)
 
-    return add_up(blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(spread, SLICES), 3)
+    return add_up(in_turns(blocks, counts, spread, SLICES), 3)
 
 
 def pair_sums(blocks: DataFrame, parts: DataFrame, bits: int) -> DataFrame:
@@ -297,7 +311,7 @@ def pair_sums(blocks: DataFrame, parts: DataFrame, bits: int) -> DataFrame:
             out.append(slices(row["block"], PAIRS, grams.pairs[n >= LEAST], [x[n >= LEAST] for x in sums], bits))
         return pa.Table.from_batches(out)
 
-    return add_up(blocks.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(spread, SLICES), 3)
+    return add_up(in_turns(blocks, parts, spread, SLICES), 3)
 
 
 @dataclass
@@ -310,32 +324,49 @@ class Automaton:
 
     words: int
     start: int
-    arcs: dict[int, int]  # state * words + word -> arc
-    weight: list[float]
-    target: list[int]
-    failure: list[float]  # of each state
-    below: list[int]  # where each state's failure arc leads
-    unigram: list[float]
-    entered: list[int]  # the state that each word leads to from the root
-
-    def score(self, tokens: list[int]) -> float:
-        """The log10 probability of the words of one text, in one traversal from left to right."""
-        find, words, weight, target, failure, below = self.arcs.get, self.words, self.weight, self.target, self.failure, self.below
-        total, state = 0.0, self.start
-        for word in tokens:
-            while True:
-                arc = find(state * words + word)
-                if arc is not None:
-                    total += weight[arc]
-                    state = target[arc]
-                    break
-                if not state:
-                    total += self.unigram[word]
-                    state = self.entered[word]
-                    break
-                total += failure[state]
-                state = below[state]
-        return total
+    arcs: np.ndarray  # state * words + word, ascending
+    weight: np.ndarray
+    target: np.ndarray
+    failure: np.ndarray  # of each state
+    below: np.ndarray  # where each state's failure arc leads
+    unigram: np.ndarray
+    entered: np.ndarray  # the state that each word leads to from the root
+    after: np.ndarray  # the state that each pair of words leads to
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Take a word in every state: the log10 probabilities; state is moved on."""
+        out, left = np.zeros(len(word)), np.arange(len(word))
+        while len(left):
+            key = state[left] * self.words + word[left]
+            arc = np.minimum(np.searchsorted(self.arcs, key), max(len(self.arcs) - 1, 0))
+            hit = self.arcs[arc] == key if len(self.arcs) else np.zeros(len(key), bool)
+            out[left[hit]] += self.weight[arc[hit]]
+            state[left[hit]] = self.target[arc[hit]]
+            left = left[~hit]
+            root = left[state[left] == 0]
+            out[root] += self.unigram[word[root]]
+            left = left[state[left] != 0]
+            state[root] = self.entered[word[root]]
+            out[left] += self.failure[state[left]]
+            state[left] = self.below[state[left]]
+        return out
+
+    def walk(self, tokens: np.ndarray, pair_at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The log10 probability of each token of the texts that bounds cut tokens into."""
+        sizes = np.diff(bounds)
+        runs = -(-sizes // RUN)
+        text = np.repeat(np.arange(len(sizes)), runs)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs)
+        at = bounds[text] + number * RUN
+        stop = np.minimum(at + RUN, bounds[text + 1])
+        state = np.where(number == 0, self.start, self.after[pair_at[at - 1]] if len(at) else 0)
+        out = np.empty(len(tokens))
+        while len(at):
+            out[at] = self.step(state, tokens[at])
+            at = at + 1
+            live = at < stop
+            at, stop, state = at[live], stop[live], state[live]
+        return out
 
 
 @dataclass
@@ -379,13 +410,12 @@ def automaton_part(total: int, distinct: int, grams: Grams, known: pa.Table) ->
     after = np.where(state[1 + w :], 1 + w + np.arange(p), entered[grams.right])
     pair, triple = np.flatnonzero(n >= LEAST), np.flatnonzero(m >= LEAST)
     context, ending = grams.context[chosen[triple]], grams.ending[chosen[triple]]
-    keys = np.concatenate([(1 + grams.left[pair]) * w + grams.right[pair], (1 + w + context) * w + grams.right[ending]])
+    arcs = np.concatenate([(1 + grams.left[pair]) * w + grams.right[pair], (1 + w + context) * w + grams.right[ending]])
     weight = np.log10(np.concatenate([(n[pair] - DISCOUNT) / c[grams.left[pair]], (m[triple] - DISCOUNT) / n[context]]))
-    target = np.concatenate([after[pair], after[ending]])
+    target, order = np.concatenate([after[pair], after[ending]]), np.argsort(arcs)
     unigram = np.log10((c + SMOOTHING) / (total + SMOOTHING * (distinct + 1)))
     start = entered[np.searchsorted(grams.words, END)] if w else 0
-    lists = (x.tolist() for x in (weight, target, failure, below, unigram, entered))
-    return Automaton(w, int(start), dict(zip(keys.tolist(), range(len(keys)), strict=True)), *lists), c
+    return Automaton(w, int(start), arcs[order], weight[order], target[order], failure, below, unigram, entered, after), c
 
 
 def fit_model(blocks: DataFrame) -> Model:
@@ -415,17 +445,15 @@ def score_blocks(blocks: DataFrame, model: Model) -> DataFrame:
             block = open_block(row)
             grams = block_grams(block)
             a, c = automaton_part(total, distinct, grams, known)
-            base = np.array(a.unigram)[grams.word_at]
-            sums = [np.add.reduceat(x, block.bounds[:-1]) if len(block.ids) else np.empty(0) for x in ((c > 0)[grams.word_at].astype(np.int64), base)]
-            bounds = block.bounds.tolist()
-            scores = [a.score(grams.word_at[i:j].tolist()) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-            rows += zip(block.ids, (~block.training).tolist(), np.diff(block.bounds).tolist(), sums[0].tolist(), sums[1].tolist(), scores, strict=True)
+            known_words, chain = (c > 0)[grams.word_at].astype(np.int64), a.walk(grams.word_at, grams.pair_at, block.bounds)
+            sums = [np.add.reduceat(x, block.bounds[:-1]) if len(block.ids) else np.empty(0) for x in (known_words, a.unigram[grams.word_at], chain)]
+            rows += zip(block.ids, (~block.training).tolist(), np.diff(block.bounds).tolist(), *(x.tolist() for x in sums), strict=True)
         columns = list(zip(*rows, strict=True)) or [[]] * 6
         columns.insert(4, [total] * len(rows))
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=[s.split(" ")[0] for s in SCORES.split(", ")])
 
-    return blocks.groupBy("block").cogroup(model.parts.groupBy("block")).applyInArrow(score, SCORES)
+    return in_turns(blocks, model.parts, score, SCORES)
 
 
 def score_texts(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -313,6 +313,7 @@ def test_scores_equal_a_plain_walk_over_many_blocks(spark, monkeypatch):
     from bayline.llm import backoff
 
     monkeypatch.setattr(backoff, "BLOCK", 1 << 14)  # many blocks and slices
+    monkeypatch.setattr(backoff, "RUN", 16)
     rng = random.Random(4)
     filler = [" ".join(f"F{rng.randrange(60)}" for _ in range(rng.randint(0, 400))) for _ in range(150)]
     texts = [*filler, "rare bird", "other thing", "rare bird sings", "rare thing", "the rare bird sings", "a rare bird sings", "rare bird", "", "x y z"]
