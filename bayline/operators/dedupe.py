@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bayline.functions.hashing import hamming_hex64, hash_bands
+from bayline.operators.spool import written
 
 
 def leaking_keys(rows: DataFrame, key: str, partition: str) -> DataFrame:
@@ -37,19 +38,6 @@ def near_hashes(hashes: DataFrame, hashed: str, most: int = 3) -> DataFrame:
     return near.where(F.col("distance") <= most).select("x", "y", "distance").distinct()
 
 
-def hamming_pairs(rows: DataFrame, key: str, hashed: str, most: int = 3) -> DataFrame:
-    """Pairs of keys whose 64-bit hashes differ in at most 3 bits.
-
-    Distinct hashes meet in the bands; their keys are paired afterwards. The answer has all pairs
-    of a class of equal hashes, the square of its size; hamming_classes() has not.
-    """
-    same = rows.select(F.col(hashed).alias("x"), F.col(hashed).alias("y"), F.lit(0).alias("distance")).distinct()
-    near = near_hashes(rows, hashed, most).unionByName(same.where(hamming_hex64(F.col("x"), F.col("y")) <= most))
-    a, b = (rows.select(F.col(hashed).alias(h), F.col(key).alias(k)) for h, k in (("x", "k"), ("y", "l")))
-    both = near.join(a, "x").join(b, "y").where("k < l or (k > l and x <> y)")
-    return both.select(F.least("k", "l").alias("a"), F.greatest("k", "l").alias("b"), "distance").distinct()
-
-
 def hamming_classes(rows: DataFrame, key: str, hashed: str, most: int = 3) -> DataFrame:
     """(a, b, distance): for each class of equal hashes its least key with each other member, and pairs of near classes by their least keys.
 
@@ -66,13 +54,15 @@ def simhash(rows: DataFrame, text: str) -> DataFrame:
     """(digest, hash): the 64-bit SimHash over the words of each distinct whole text, and the text's SHA-256.
 
     A bit is set where more than half of a text's words, repeated ones each time, have it set in
-    their hashes. Texts without a word have no row. Two counters share a sum, 32 bits each, which a
-    text would need 2**31 words to overflow.
+    their hashes, the first 64 bits of the words' MD5. Texts without a word have no row. Two
+    counters share a sum, 32 bits each, which a text would need 2**31 words to overflow.
     """
     texts = rows.select(F.sha2(text, 256).alias("digest"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     first = texts.groupBy("digest").agg(F.min("text").alias("text"))
     words = first.select("digest", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''")
-    counted = words.select("digest", F.xxhash64("word").alias("w")).groupBy("digest").agg(
+    part = lambda at: F.conv(F.substring(F.md5("word"), at, 8), 16, 10).cast("long")
+    hashed = words.select("digest", F.shiftleft(part(1), 32).bitwiseOR(part(9)).alias("w"))
+    counted = hashed.groupBy("digest").agg(
         F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("w", i).bitwiseAND((1 << 32) + 1)).alias(f"s{i}") for i in range(32))
     )
     half = lambda count: F.lpad(F.lower(F.hex(sum((F.when(2 * count(i) > F.col("n"), 1 << i).otherwise(0) for i in range(32)), F.lit(0).cast("long")))), 8, "0")
@@ -94,29 +84,35 @@ def first_partition_wins(rows: DataFrame, digest: str, partition: str, rank: Map
 
 
 def quarantine(rows: DataFrame, key: str, digest: str, hashed: str, partition: str, order: tuple[str, ...] = ("holdout", "validation", "train"), most: int = 3) -> DataFrame:
-    """rows with kept: false where a kept row of an earlier partition has the digest or a hash within most bits.
+    """rows with kept, conflict_partition and conflict_id: a row goes if a kept row of an earlier partition has its digest or a hash within most bits.
 
-    Rows of one partition never conflict, so a pass for each partition decides as a walk over
-    all rows in order of partition would. Distinct digests and hashes are compared, never pairs of
-    rows. Rows of partitions that order lacks are not kept.
+    The conflict is with the last kept row of the digest, else with the first kept row, by
+    partition and key, of a near hash. Rows of one partition never conflict, so a pass for each
+    partition decides as a walk over all rows in order of partition and key would. Distinct
+    digests and hashes are compared, never pairs of rows; rows and near hashes are written first. Rows of partitions that order lacks are not kept.
     """
+    rows = written(rows)  # read once for each step
     near = near_hashes(rows, hashed, most)
     own = rows.select(F.col(hashed).alias("x"), F.col(hashed).alias("y")).distinct().where(hamming_hex64(F.col("x"), F.col("y")) <= most)
-    near = near.select("x", "y").union(near.select("y", "x")).union(own)
-    out = rows.where(~F.coalesce(F.col(partition).isin(*order), F.lit(False))).withColumn("kept", F.lit(False))
-    digests = hashes = None  # of the rows kept so far
-    for name in order:
+    near = written(near.select("x", "y").union(near.select("y", "x")).union(own))
+    named = lambda rank: F.struct(F.lit(rank).alias("rank"), F.col(key).alias("id"), F.lit(order[rank]).alias("partition"))
+    nothing = F.lit(None).cast("string")
+    other = rows.where(~F.coalesce(F.col(partition).isin(*order), F.lit(False)))
+    out = other.select(*rows.columns, F.lit(False).alias("kept"), nothing.alias("conflict_partition"), F.lit(None).cast(rows.schema[key].dataType).alias("conflict_id"))
+    taken = close = None  # the rows kept so far, by digest and by hash
+    for rank, name in enumerate(order):
         part = rows.where(F.col(partition) == name)
-        if digests is None:
-            part = part.withColumn("kept", F.lit(True))
+        if taken is None:
+            part = part.select(*rows.columns, F.lit(True).alias("kept"), nothing.alias("conflict_partition"), F.lit(None).cast(rows.schema[key].dataType).alias("conflict_id"))
         else:
-            taken = digests.where(F.col(digest).isNotNull()).distinct().withColumn("__digest", F.lit(True))
-            close = near.join(hashes.withColumnRenamed(hashed, "y"), "y", "left_semi").select(F.col("x").alias(hashed)).distinct().withColumn("__hash", F.lit(True))
-            marked = part.join(taken, digest, "left").join(close, hashed, "left")
-            part = marked.withColumn("kept", F.col("__digest").isNull() & F.col("__hash").isNull()).select(*rows.columns, "kept")
+            by_hash = near.join(close.withColumnRenamed(hashed, "y"), "y").groupBy(F.col("x").alias(hashed)).agg(F.min("__near").alias("__near"))
+            marked = part.join(taken, digest, "left").join(by_hash, hashed, "left").withColumn("__conflict", F.coalesce("__same", "__near"))
+            part = marked.select(*rows.columns, F.col("__conflict").isNull().alias("kept"), F.col("__conflict.partition").alias("conflict_partition"), F.col("__conflict.id").alias("conflict_id"))
         kept = part.where("kept")
-        digests = kept.select(digest) if digests is None else digests.union(kept.select(digest))
-        hashes = kept.select(hashed) if hashes is None else hashes.union(kept.select(hashed))
+        same = kept.where(F.col(digest).isNotNull()).groupBy(digest).agg(F.max(named(rank)).alias("__same"))
+        least = kept.where(F.col(hashed).isNotNull()).groupBy(hashed).agg(F.min(named(rank)).alias("__near"))
+        taken = same if taken is None else taken.unionByName(same)
+        close = least if close is None else close.unionByName(least)
         out = out.unionByName(part)
     return out
 

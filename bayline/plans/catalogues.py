@@ -25,14 +25,13 @@ def _mod_sql(key: str, modulus: int) -> str:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources: id, dataset, condition, size, digest, a 64-bit hash, and the partition by hash."""
+    """Sources: id, dataset, condition, size, digest, and the partition by hash."""
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("dataset"),
         F.col("lang").alias("condition"),
         F.col("n_chars").alias("size"),
         F.sha2("text", 256).alias("digest"),
-        hashing.content_key(F.substring("text", 1, 40), 16).alias("hash"),
         hashing.partition_70_15_15(F.col("doc_id"), SEED).alias("partition"),
     )
 
@@ -40,7 +39,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 _M = _mod_sql("doc_id", 100)
 SRC = f"""
 WITH src AS (
-  SELECT doc_id AS id, source AS dataset, lang AS condition, n_chars AS size, sha256(text) AS digest, substr(sha256(substr(text, 1, 40)), 1, 16) AS hash,
+  SELECT doc_id AS id, source AS dataset, lang AS condition, n_chars AS size, sha256(text) AS digest,
          CASE WHEN {_M} < 70 THEN 'train' WHEN {_M} < 85 THEN 'validation' ELSE 'test' END AS "partition"
   FROM documents)
 """
@@ -162,41 +161,62 @@ def union_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.first_source_wins(first, second, key=["digest"])
 
 
-@_R.add(
-    "hamming_band_pairs",
-    """
-WITH h AS (SELECT page_id AS id, CAST('0x' || substr(sha256(CAST(page_id % 40 AS VARCHAR)), 1, 8) AS BIGINT) AS hi,
-                  xor(CAST('0x' || substr(sha256(CAST(page_id % 40 AS VARCHAR)), 9, 8) AS BIGINT), (CAST(1 AS BIGINT) << CAST(page_id % 7 AS INTEGER)) + (CAST(1 AS BIGINT) << CAST(page_id % 5 + 8 AS INTEGER))) AS lo FROM pages)
-SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INTEGER) AS distance
-FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 3
-""",
-)
+def simhash_sql(relation: str, key: str, text: str) -> str:
+    """CTEs that end in sim (id, hi, lo): the 64-bit SimHash of each row's whole text, in halves."""
+    half = lambda at: " + ".join(f"CASE WHEN 2 * sum(CAST((h >> {at + i}) & 1 AS BIGINT)) > count(*) THEN {1 << i} ELSE 0 END" for i in range(32))
+    return f"""
+wd AS (SELECT {key} AS id, unnest(regexp_split_to_array(lower({text}), '\\s+')) AS w FROM {relation}),
+wh AS (SELECT id, CAST('0x' || substr(md5(w), 1, 16) AS UBIGINT) AS h FROM wd WHERE w <> ''),
+sim AS (SELECT id, CAST({half(32)} AS BIGINT) AS hi, CAST({half(0)} AS BIGINT) AS lo FROM wh GROUP BY id)"""
+
+
+NEAR = "bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo))"
+
+
+def classes_sql(relation: str, key: str, text: str, most: int) -> str:
+    """SQL for dedupe.hamming_classes() over the SimHash of whole texts."""
+    return f"""WITH {simhash_sql(relation, key, text)},
+least AS (SELECT hi, lo, min(id) AS a FROM sim GROUP BY ALL)
+SELECT a, id AS b, CAST(0 AS INTEGER) AS distance FROM sim JOIN least USING (hi, lo) WHERE a < id
+UNION ALL SELECT a.a, b.a, CAST({NEAR} AS INTEGER) FROM least a JOIN least b ON a.a < b.a WHERE {NEAR} <= {most}
+"""
+
+
+def with_hash(rows: DataFrame, text_column: str) -> DataFrame:
+    """rows with digest and hash, the SimHash of their whole texts; null for those without a word."""
+    hashed = rows.withColumn("digest", F.sha2(text_column, 256))
+    return hashed.join(dedupe.simhash(rows, text_column), "digest", "left")
+
+
+@_R.add("hamming_band_pairs", classes_sql("pages", "page_id", "html", 3))
 def hamming_band_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose 64-bit hashes differ in at most 3 bits."""
-    digest = F.sha2((F.col("page_id") % 40).cast("string"), 256)
-    bit = lambda n: F.expr(f"shiftleft(1L, cast({n} as int))")
-    low = F.conv(F.substring(digest, 9, 8), 16, 10).cast("long").bitwiseXOR(bit("page_id % 7") + bit("page_id % 5 + 8"))
-    hashed = F.concat(F.substring(digest, 1, 8), F.lpad(F.lower(F.hex(low)), 8, "0"))
-    return dedupe.hamming_pairs(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), hashed.alias("hash")), "id", "hash", 3)
+    """Pages whose 64-bit hashes differ in at most 3 bits: members of each class of equal hashes with its least id, and near classes."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "html")
+    return dedupe.hamming_classes(with_hash(pages, "html"), "id", "hash", 3)
 
 
 @_R.add(
     "quarantine_v2",
-    SRC
-    + """
-, kept_test AS (SELECT * FROM src WHERE "partition" = 'test'),
-kept_validation AS (SELECT * FROM src s WHERE "partition" = 'validation' AND NOT EXISTS (SELECT 1 FROM kept_test k WHERE k.digest = s.digest OR k.hash = s.hash)),
-kept_train AS (SELECT * FROM src s WHERE "partition" = 'train'
-  AND NOT EXISTS (SELECT 1 FROM kept_test k WHERE k.digest = s.digest) AND NOT EXISTS (SELECT 1 FROM kept_test k WHERE k.hash = s.hash)
-  AND NOT EXISTS (SELECT 1 FROM kept_validation k WHERE k.digest = s.digest) AND NOT EXISTS (SELECT 1 FROM kept_validation k WHERE k.hash = s.hash)),
-kept AS (SELECT id FROM kept_test UNION ALL SELECT id FROM kept_validation UNION ALL SELECT id FROM kept_train)
-SELECT id, "partition", id IN (SELECT id FROM kept) AS kept FROM src
+    SRC.replace("WITH src", "WITH " + simhash_sql("documents", "doc_id", "text") + ",\nsrc")
+    + f"""
+, s AS (SELECT src.id, "partition", digest, hi, lo, CASE "partition" WHEN 'test' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END AS rank FROM src LEFT JOIN sim USING (id)),
+near AS (SELECT a.id, b.id AS other, b.rank AS other_rank, b."partition" AS other_partition FROM s a JOIN s b ON b.rank < a.rank WHERE {NEAR} <= 3),
+same AS (SELECT a.id, b.id AS other, b.rank AS other_rank, b."partition" AS other_partition FROM s a JOIN s b ON b.rank < a.rank AND a.digest = b.digest),
+k1 AS (SELECT id FROM s WHERE rank = 1 AND id NOT IN (SELECT id FROM near UNION ALL SELECT id FROM same)),
+kept AS (SELECT id FROM s WHERE rank = 0 UNION ALL SELECT id FROM k1 UNION ALL
+  SELECT id FROM s WHERE rank = 2 AND id NOT IN (SELECT id FROM (SELECT * FROM near UNION ALL SELECT * FROM same) WHERE other_rank = 0 OR other IN (SELECT id FROM k1))),
+x AS (SELECT id, max(other) AS conflict_id, any_value(other_partition) AS conflict_partition FROM same WHERE other IN (SELECT id FROM kept) GROUP BY id),
+y AS (SELECT id, arg_min(other, (other_rank, other)) AS conflict_id, arg_min(other_partition, (other_rank, other)) AS conflict_partition FROM near WHERE other IN (SELECT id FROM kept) GROUP BY id)
+SELECT s.id, "partition", s.id IN (SELECT id FROM kept) AS kept, coalesce(x.conflict_id, y.conflict_id) AS conflict_id, coalesce(x.conflict_partition, y.conflict_partition) AS conflict_partition
+FROM s LEFT JOIN x ON x.id = s.id LEFT JOIN y ON y.id = s.id
 """,
 )
 def quarantine_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each source is kept when holdout goes before validation before training."""
-    kept = dedupe.quarantine(sources(spark, sf_dir), "id", "digest", "hash", "partition", ("test", "validation", "train"))
-    return kept.select("id", "partition", "kept")
+    """Whether each source is kept when holdout goes before validation before training, and what it conflicts with."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    rows = sources(spark, sf_dir).drop("digest").join(with_hash(texts, "text").drop("text"), "id")
+    found = dedupe.quarantine(rows, "id", "digest", "hash", "partition", ("test", "validation", "train"))
+    return found.select("id", "partition", "kept", "conflict_id", "conflict_partition")
 
 
 @_R.add(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bayline.functions import hashing
 from bayline.operators import dedupe, metrics, selection
 from bayline.plans.observations import OBS, observations
+from bayline.plans.catalogues import classes_sql, with_hash
 from bayline.plans.registry import Registry
 from bayline.plans.runs import RUNS_SQL, run_table
 from bayline.sources.tables import table
@@ -77,32 +78,18 @@ def pair_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.where("images > 0 and annotations > 0")
 
 
-@_R.add(
-    "near_duplicate_pairs",
-    """
-WITH h AS (SELECT doc_id AS id, substr(sha256(substr(text, 1, 60)), 1, 16) AS hash FROM documents)
-SELECT a.id AS a, b.id AS b, CAST(0 AS INTEGER) AS distance FROM h a JOIN h b ON a.hash = b.hash AND a.id < b.id
-""",
-)
+@_R.add("near_duplicate_pairs", classes_sql("documents", "doc_id", "text", 1))
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources whose hashes differ in at most one bit.
-
-    Its SQL hashes the first 60 characters; near_text_classes compares whole texts.
-    """
-    hashed = hashing.content_key(F.substring("text", 1, 60), 16)
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), hashed.alias("hash"))
-    return dedupe.hamming_pairs(rows, "id", "hash", 1)
+    """Whole texts at most one SimHash bit apart: members of each class of equal hashes with its least id, and near classes."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return dedupe.hamming_classes(with_hash(docs, "text"), "id", "hash", 1)
 
 
-@_R.add("near_text_classes")
+@_R.add("near_text_classes", classes_sql("documents", "doc_id", "text", 3))
 def near_text_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts at most 3 SimHash bits apart: members of each class of equal hashes with its least id, and near classes.
-
-    Texts without a word are in no class.
-    """
+    """The same at most 3 bits apart. Texts without a word are in no class."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    hashed = docs.select("id", F.sha2("text", 256).alias("digest")).join(dedupe.simhash(docs, "text"), "digest")
-    return dedupe.hamming_classes(hashed, "id", "hash", 3)
+    return dedupe.hamming_classes(with_hash(docs, "text"), "id", "hash", 3)
 
 
 @_R.add(

@@ -1,5 +1,6 @@
 """Operators on worked examples and against plain Python."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -108,8 +109,10 @@ def test_quarantine(spark):
         ("holdout", "holdout", "same", "0000000000000000"),
     ]
     df = spark.createDataFrame(rows, "id string, partition string, digest string, hash string")
-    kept = {r.id for r in dedupe.quarantine(df, "id", "digest", "hash", "partition").where("kept").collect()}
-    assert kept == {"train-unique", "validation", "holdout"}
+    found = {r.id: r for r in dedupe.quarantine(df, "id", "digest", "hash", "partition").collect()}
+    assert {i for i, r in found.items() if r.kept} == {"train-unique", "validation", "holdout"}
+    assert (found["train"].conflict_partition, found["train"].conflict_id) == ("holdout", "holdout")
+    assert all(r.conflict_id is None for r in found.values() if r.kept)
 
 
 def test_hamming_pairs_are_complete(spark):
@@ -117,8 +120,10 @@ def test_hamming_pairs_are_complete(spark):
     base = [rng.getrandbits(64) for _ in range(6)]
     values = [b ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 3))) & (2**64 - 1) for b in base for _ in range(6)]
     df = spark.createDataFrame([(i, f"{v:016x}") for i, v in enumerate(values)], "id long, hash string")
-    found = {(r.a, r.b): r.distance for r in dedupe.hamming_pairs(df, "id", "hash").collect()}
-    assert found == {(i, j): d for i, v in enumerate(values) for j, w in enumerate(values) if i < j and (d := (v ^ w).bit_count()) <= 3}
+    found = {(r.a, r.b): r.distance for r in dedupe.hamming_classes(df, "id", "hash").collect()}
+    least = {v: values.index(v) for v in values}
+    near = {(least[v], least[w]): (v ^ w).bit_count() for v in least for w in least if least[v] < least[w] and (v ^ w).bit_count() <= 3}
+    assert found == near | {(least[v], i): 0 for i, v in enumerate(values) if least[v] < i}
 
 
 def test_near_text_classes_see_whole_texts(spark, tmp_path):
@@ -131,7 +136,7 @@ def test_near_text_classes_see_whole_texts(spark, tmp_path):
     texts = [" ".join(body), "Changed " + " ".join(body[1:]), opening + " ".join(body[:900]), opening + " ".join(body[1000:]), " ".join(body), None, " "]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     docs.write.parquet(f"file://{tmp_path}/documents.parquet")
-    words = {w: h % 2**64 for w, h in docs.selectExpr("explode(split(lower(text), ' ')) w").selectExpr("w", "xxhash64(w)").distinct().collect()}
+    words = {w: int(hashlib.md5(w.encode()).hexdigest()[:16], 16) for t in filter(None, texts) for w in t.lower().split()}
     expected = {}
     for t in filter(str.strip, filter(None, texts)):
         hashes = [words[w] for w in t.lower().split()]
