@@ -65,10 +65,10 @@ def simhash(rows: DataFrame, text: str) -> DataFrame:
     counted = hashed.groupBy("digest").agg(
         F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("w", i).bitwiseAND((1 << 32) + 1)).alias(f"s{i}") for i in range(32))
     )
-    half = lambda count: F.lpad(F.lower(F.hex(sum((F.when(2 * count(i) > F.col("n"), 1 << i).otherwise(0) for i in range(32)), F.lit(0).cast("long")))), 8, "0")
-    high = half(lambda i: F.shiftright(f"s{i}", 32))
-    low = half(lambda i: F.col(f"s{i}").bitwiseAND((1 << 32) - 1))
-    return counted.select("digest", F.concat(high, low).alias("hash"))
+    sums = counted.select("digest", "n", F.array(*(f"s{i}" for i in range(32))).alias("s"))  # an array keeps the generated code small
+    bit = "if(2 * {0} > n, shiftleft(1L, i), 0L)"
+    half = lambda count: F.lpad(F.lower(F.hex(F.expr(f"aggregate(sequence(0, 31), 0L, (a, i) -> a | {bit.format(count)})"))), 8, "0")
+    return sums.select("digest", F.concat(half("shiftright(s[i], 32)"), half(f"(s[i] & {(1 << 32) - 1}L)")).alias("hash"))
 
 
 def first_partition_wins(rows: DataFrame, digest: str, partition: str, rank: Mapping[str, int]) -> DataFrame:

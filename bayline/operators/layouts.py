@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from bayline.functions.hashing import hamming_hex64, hash_bands
 from bayline.functions.verdicts import layout_state
 
-MATCH_BITS, PREFILTER_BITS, INLIERS, ASPECT = 12, 40, 0.30, 0.12
+MATCH_BITS, PREFILTER_BITS, INLIERS, ASPECT, AGREEMENT = 12, 40, 0.30, 0.12, 0.35
 
 
 def recognise(images: DataFrame, layouts: DataFrame, inliers: DataFrame | None = None) -> DataFrame:
@@ -39,7 +39,8 @@ def recognise(images: DataFrame, layouts: DataFrame, inliers: DataFrame | None =
 def choose_layout(scenes: DataFrame) -> DataFrame:
     """scenes with state and whether it is usable; see layout_state() for the columns it takes."""
     state = layout_state(*(F.col(c) for c in ("agreement", "recalled", "detected", "confidence", "verified", "detector")))
-    slots = F.when(F.col("verified") | (F.col("recalled") > 0), F.greatest("recalled", "detected")).otherwise(F.col("detected"))
+    corroborated = F.col("verified") | ((F.col("recalled") > 0) & (~F.col("detector") | (F.col("agreement") >= AGREEMENT)))
+    slots = F.when(corroborated, F.greatest("recalled", "detected")).otherwise(F.col("detected"))
     usable = F.col("state").isin("reused_verified", "auto_detected", "verification_required") & (slots > 0)
     return scenes.withColumn("state", state).withColumn("usable", usable)
 

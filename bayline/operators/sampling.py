@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from bayline.functions.hashing import score
 
@@ -45,3 +47,49 @@ def distinct_lots(rows: DataFrame, groups: list[str], lot: str, order: list[Colu
     own = F.row_number().over(W.partitionBy(*groups, lot).orderBy(*order))
     best = rows.withColumn("__own", own).where("__own = 1").drop("__own")
     return best.withColumn("__n", F.row_number().over(W.partitionBy(*groups).orderBy(*order))).where(F.col("__n") <= most).drop("__n")
+
+
+def condition_first(rows: DataFrame, layout: str, condition: str, key: str, seed: str | int, n: int) -> DataFrame:
+    """n rows of each layout: first the one of least hash of each condition, by condition, then the rest by hash."""
+    hashed = rows.withColumn("__score", score(F.col(key), seed))
+    own = F.row_number().over(W.partitionBy(layout, condition).orderBy("__score", key))
+    lead = F.when(F.col("__own") == 1, F.col(condition))
+    order = W.partitionBy(layout).orderBy(lead.isNull(), lead, "__score", key)
+    ranked = hashed.withColumn("__own", own).where(F.col("__own") <= n + 1).withColumn("__n", F.row_number().over(order))
+    return ranked.where(F.col("__n") <= n).drop("__score", "__own", "__n")
+
+
+def diverse(rows: DataFrame, group: str, condition: str, lot: str, key: str, n: int) -> DataFrame:
+    """n rows of each group that cover its conditions, then its lots, and then balance both.
+
+    Each condition gives its first row, by key, of an unused lot if there is one; each lot left its
+    first row; then the lot and the condition chosen least so far give theirs. Only the first n
+    rows of each condition and lot can be chosen, so no more are gathered for the walk.
+    """
+    place = F.row_number().over(W.partitionBy(group, condition, lot).orderBy(key))
+    few = rows.withColumn("__n", place).where(F.col("__n") <= n).select(group, condition, lot, key)
+
+    def walk(table: pa.Table) -> pa.Table:
+        left = sorted(table.to_pylist(), key=lambda r: r[key])
+        chosen: list[dict] = []
+        lots: dict = {}
+        conditions: dict = {}
+
+        def choose(row: dict) -> None:
+            left.remove(row)
+            chosen.append(row)
+            lots[row[lot]] = lots.get(row[lot], 0) + 1
+            conditions[row[condition]] = conditions.get(row[condition], 0) + 1
+
+        for c in sorted({r[condition] for r in left}):
+            if len(chosen) < n:
+                choose(min((r for r in left if r[condition] == c), key=lambda r: (r[lot] in lots, r[key])))
+        for x in sorted({r[lot] for r in left} - set(lots)):
+            if len(chosen) < n:
+                choose(next(r for r in left if r[lot] == x))
+        while left and len(chosen) < n:
+            choose(min(left, key=lambda r: (lots.get(r[lot], 0), conditions.get(r[condition], 0), r[key])))
+        picked = [{**r, "place": i + 1} for i, r in enumerate(chosen)]
+        return pa.Table.from_pylist(picked, schema=table.schema.append(pa.field("place", pa.int32())))
+
+    return few.groupBy(group).applyInArrow(walk, StructType([*few.schema.fields, StructField("place", IntegerType())]))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from bayline.plans import catalogues, comparisons, evaluation, observations, runs, scenes
+from bayline.plans import catalogues, comparisons, evaluation, observations, records, runs, scenes
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (runs, observations, catalogues, scenes, comparisons, evaluation):
+for _module in (runs, observations, catalogues, scenes, comparisons, evaluation, records):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

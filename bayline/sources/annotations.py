@@ -138,3 +138,33 @@ def uploads(spark: SparkSession, path: str, most_bytes: int) -> DataFrame:
     )
     state = F.when(F.col("length") > most_bytes, "too_large").when(kind.isNull(), "unsupported").otherwise("accepted")
     return rows.select("path", "length", F.sha2("content", 256).alias("sha256"), kind.alias("kind"), state.alias("state"))
+
+
+def clamped_slots(slots: DataFrame, width: float, height: float) -> DataFrame:
+    """xml_slots() with pixel corners as shares of the picture held in [0, 1]; slots without a label go."""
+    share = lambda v, size: F.least(F.greatest(v / size, F.lit(0.0)), F.lit(1.0))
+    pairs = F.transform("pairs", lambda p: F.array(share(p[0], width), share(p[1], height)))
+    return slots.where(F.col("occupied").isNotNull()).withColumn("pairs", pairs)
+
+
+#: The sites that split lists name, under their canonical names.
+SPLIT_SITES = {"PUC": "PUCPR", "PUCPR": "PUCPR", "UFPR04": "UFPR04", "UFPR05": "UFPR05"}
+
+
+def split_lists(spark: SparkSession, path: str, sites: bool = True) -> DataFrame:
+    """(site, day, partition) from split lists train.txt, val.txt and test.txt, whose lines are image paths.
+
+    With sites, a path names its site in one of its folders, in any case; without, site is "day".
+    A group that several lists name belongs to the last of train, validation and holdout. Lines
+    without a day, or without a known site, go.
+    """
+    name = F.regexp_extract("_metadata.file_name", r"(train|val|test)\.txt$", 1)
+    lines = spark.read.text(path).select(name.alias("list"), F.split("value", "/").alias("parts"))
+    day = F.try_element_at(F.filter("parts", lambda p: p.rlike(r"^\d{4}-\d{2}-\d{2}$")), F.lit(1))
+    pairs = [F.lit(v) for pair in SPLIT_SITES.items() for v in pair]
+    known = F.filter("parts", lambda p: F.upper(p).isin(*SPLIT_SITES))
+    site = F.try_element_at(F.create_map(*pairs), F.upper(F.try_element_at(known, F.lit(1)))) if sites else F.lit("day")
+    rank = F.when(F.col("list") == "train", 0).when(F.col("list") == "val", 1).when(F.col("list") == "test", 2)
+    rows = lines.select(site.alias("site"), day.alias("day"), rank.alias("rank")).dropna()
+    last = rows.groupBy("site", "day").agg(F.max("rank").alias("rank"))
+    return last.select("site", "day", F.element_at(F.array(*map(F.lit, ("train", "validation", "holdout"))), F.col("rank") + 1).alias("partition"))
