@@ -11,11 +11,12 @@ from bayline.functions.numbers import grid, ratio_or_zero
 def by_threshold(rows: DataFrame, groups: list[str], p: str, truth: str, low: float, step: float, n: int) -> DataFrame:
     """Confusion counts at each of n thresholds, for each group.
 
-    Rows are first counted by the number of thresholds they pass, so the grid multiplies a small
-    histogram and not the rows.
+    Rows are first counted by the number of thresholds they pass, which is arithmetic on p rounded
+    to 9 digits, so the grid multiplies a small histogram and not the rows.
     """
     points = grid(low, step, n)
-    passed = F.size(F.filter(points, lambda t: F.round(F.col(p), 9) >= F.round(t, 9)))
+    beyond = F.floor((F.round(F.col(p), 9) + 5e-10 - low) / step) + 1
+    passed = F.least(F.greatest(beyond, F.lit(0)), F.lit(n))
     counted = rows.groupBy(*groups, passed.alias("passed")).agg(F.count_if(F.col(truth)).alias("yes"), F.count_if(~F.col(truth)).alias("no"))
     spread = counted.select(*groups, "passed", "yes", "no", F.posexplode(points).alias("i", "threshold"))
     hit = F.col("passed") > F.col("i")

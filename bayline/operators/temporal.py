@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 @dataclass(frozen=True)
@@ -48,24 +50,70 @@ def fold(series: Column, how: Smoothing) -> Column:
     return F.aggregate(series, start, step, lambda a: a.out)
 
 
-def smooth(rows: DataFrame, slot: str, at: str, p: str, how: Smoothing = Smoothing()) -> DataFrame:
-    """(slot, at, ema, state, changed): each slot's series after median, mean and hysteresis.
+def smooth(rows: DataFrame, slot: str, at: str, p: str, how: Smoothing = Smoothing(), keep: Sequence[str] = ()) -> DataFrame:
+    """(slot, at, ema, state, changed) and the columns of keep: each slot's series after median, mean and hysteresis.
 
     One group is one slot's history, held in memory by its task.
     """
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("at")
-        values = group["p"].to_numpy()
         tracker = SlotState()
-        out = [tracker.update(float(v), how) for v in values]
-        return pa.table([group["slot"], group["at"], *(pa.array(c) for c in zip(*out, strict=True))], names=["slot", "at", "ema", "state", "changed"])
+        out = [tracker.update(v, how) for v in group["p"].to_pylist()]
+        kept = [group[c] for c in keep]
+        return pa.table([group["slot"], group["at"], *(pa.array(c) for c in zip(*out, strict=True)), *kept], names=["slot", "at", "ema", "state", "changed", *keep])
 
-    named = rows.select(F.col(slot).cast("long").alias("slot"), F.col(at).cast("long").alias("at"), F.col(p).cast("double").alias("p"))
-    found = named.groupBy("slot").applyInArrow(run, "slot long, at long, ema double, state boolean, changed boolean")
+    named = rows.select(F.col(slot).cast("long").alias("slot"), F.col(at).cast("long").alias("at"), F.col(p).cast("double").alias("p"), *keep)
+    schema = StructType.fromDDL("slot long, at long, ema double, state boolean, changed boolean")
+    found = named.groupBy("slot").applyInArrow(run, StructType([*schema.fields, *(rows.schema[c] for c in keep)]))
     return found.withColumnsRenamed({"slot": slot, "at": at})
 
 
+#: The grid of the smoother's parameters: window, alpha, hysteresis, persistence.
+GRID = [Smoothing(0.5, w, a, h, n) for w in (1, 3, 5) for a in (0.3, 0.5, 0.7) for h in (0.04, 0.08, 0.12) for n in (1, 2, 3)]
+
+
+def smooth_grid(rows: DataFrame, slot: str, at: str, p: str, truth: str, dataset: str, grid: Sequence[Smoothing] = GRID) -> DataFrame:
+    """(dataset, setting, tp, tn, fp, fn, transition_error) of each slot: its smoothed states under every setting against the truth.
+
+    setting numbers the grid; transition_error, on one row of a slot and setting, is how far the
+    number of changes is from the true one. All settings go through a slot's series together.
+    """
+    threshold, alpha, hysteresis, persistence = (np.array([getattr(g, f) for g in grid]) for f in ("threshold", "alpha", "hysteresis", "persistence"))
+    windows = sorted({g.window for g in grid})
+    which = np.array([windows.index(g.window) for g in grid])
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("at")
+        values, true = group["p"].to_numpy(), np.array(group["truth"].to_pylist(), bool)
+        states = np.empty((len(values), len(grid)), bool)
+        ema = state = pending = None
+        for i in range(len(values)):
+            median = np.array([np.median(values[max(0, i - w + 1) : i + 1]) for w in windows])[which]
+            if i == 0:
+                ema, state, pending = median, median >= threshold, np.zeros(len(grid), np.int64)
+            else:
+                ema = (1 - alpha) * ema + alpha * median
+                wants = np.where(state, ema <= threshold - hysteresis, ema >= threshold + hysteresis)
+                pending = np.where(wants, pending + 1, 0)
+                changed = pending >= persistence
+                state, pending = state ^ changed, np.where(changed, 0, pending)
+            states[i] = state
+        off = np.abs((states[1:] != states[:-1]).sum(axis=0) - (true[1:] != true[:-1]).sum())
+        out = []
+        names = group["dataset"].to_pylist()
+        for k, name in enumerate(sorted(set(names), key=str)):
+            mine = np.array([n == name for n in names])
+            s, t = states[mine], true[mine][:, None]
+            counts = [(a & b).sum(axis=0) for a, b in ((s, t), (~s, ~t), (s, ~t), (~s, t))]
+            columns = [pa.array([name] * len(grid), pa.string()), pa.array(np.arange(len(grid))), *(pa.array(c) for c in counts), pa.array(off if k == 0 else np.zeros(len(grid), np.int64))]
+            out.append(pa.table(columns, names=["dataset", "setting", "tp", "tn", "fp", "fn", "transition_error"]))
+        return pa.concat_tables(out)
+
+    named = rows.select(F.col(slot).cast("long").alias("slot"), F.col(at).cast("long").alias("at"), F.col(p).cast("double").alias("p"), F.coalesce(truth, F.lit(False)).alias("truth"), F.col(dataset).cast("string").alias("dataset"))
+    return named.groupBy("slot").applyInArrow(run, "dataset string, setting long, tp long, tn long, fp long, fn long, transition_error long")
+
+
 class SlotState:
     """What the smoother remembers of one slot."""
 

@@ -331,16 +331,16 @@ def label_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_R.add(
     "run_accounting_unlabelled",
     """
-WITH r AS (SELECT source, lang, count(*) AS n, count(quality) AS labelled FROM documents LEFT JOIN labels USING (doc_id) WHERE n_chars > 4000 GROUP BY 1, 2)
+WITH r AS (SELECT source, lang, n_chars % 97 AS part, count(*) AS n, count(quality) AS labelled FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source, lang, n_chars % 97)
 SELECT count(*) AS runs, count(*) FILTER (WHERE labelled > 0) AS eligible, count(*) FILTER (WHERE labelled = 0) AS legacy,
        CAST(sum(n - labelled) FILTER (WHERE labelled > 0) AS BIGINT) AS excluded_predictions, count(*) FILTER (WHERE labelled < n AND labelled > 0) AS partial_runs FROM r
 """,
 )
 def run_accounting_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs that diagnostics can use, and predictions they leave out for want of a label."""
-    docs = table(spark, sf_dir, "documents").where("n_chars > 4000").select("doc_id", "source", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", (F.col("n_chars") % 97).alias("part"))
     joined = docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    runs = joined.groupBy("source", "lang").agg(F.count("*").alias("n"), F.count("quality").alias("labelled"))
+    runs = joined.groupBy("source", "lang", "part").agg(F.count("*").alias("n"), F.count("quality").alias("labelled"))
     some = F.col("labelled") > 0
     return runs.agg(
         F.count("*").alias("runs"), F.count_if(some).alias("eligible"), F.count_if(~some).alias("legacy"),
@@ -373,13 +373,13 @@ def logistic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_R.add(
     "softmax_class",
     """
-WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding[1:4]] AS s FROM embeddings)
+WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS s FROM embeddings)
 SELECT vec_id, CAST(list_position(s, list_max(s)) - 1 AS INTEGER) AS kind, round(1 / list_sum([exp(x - list_max(s)) FOR x IN s]), 6) AS probability FROM e
 """,
 )
 def softmax_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The likeliest of four classes."""
+    """The likeliest class, of as many as there are components."""
     from bayline.functions.numbers import argmax, softmax
 
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("s"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("s"))
     return rows.select("vec_id", argmax(F.col("s")).alias("kind"), F.round(F.array_max(softmax(F.col("s"))), 6).alias("probability"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bayline.functions import hashing
-from bayline.operators import dedupe, metrics, selection
+from bayline.operators import dedupe, metrics, selection, temporal
 from bayline.plans.observations import OBS, observations
 from bayline.plans.catalogues import classes_sql, with_hash
 from bayline.plans.registry import Registry
@@ -203,21 +203,45 @@ def longest_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.withColumn("n", rank).where("n <= 2").select("camera", "slot", "size")
 
 
-@_R.add("temporal_grid")
-def temporal_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The smoothing parameters of the best worst camera, then of the fewest changes, over nine settings."""
-    from bayline.operators.temporal import Smoothing, smooth
+_SETTINGS = "(SELECT row_number() OVER (ORDER BY w, a, h, n) - 1 AS g, w, a, h, n AS hold FROM (VALUES (1), (3), (5)) x(w), (VALUES (0.3::DOUBLE), (0.5), (0.7)) y(a), (VALUES (0.04::DOUBLE), (0.08), (0.12)) z(h), (VALUES (1), (2), (3)) u(n))"
+
+
+def _median_sql(window: int) -> str:
+    return f"SELECT slot, id, camera, truth, row_number() OVER s AS n, {window} AS w, quantile_cont(p, 0.5) OVER (PARTITION BY slot ORDER BY ts, id ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW) AS x FROM obs WINDOW s AS (PARTITION BY slot ORDER BY ts, id)"
 
+
+@_R.add(
+    "temporal_grid",
+    OBS.replace("WITH obs", "WITH RECURSIVE obs")
+    + f"""
+, grid AS {_SETTINGS},
+m AS ({" UNION ALL ".join(map(_median_sql, (1, 3, 5)))}),
+f AS (
+  SELECT slot, n, g, camera, truth, x AS ema, x >= 0.5 AS state, 0 AS pending, FALSE AS changed, FALSE AS moved FROM m JOIN grid USING (w) WHERE n = 1
+  UNION ALL
+  SELECT slot, n, g, camera, truth, ema, CASE WHEN pend >= hold THEN NOT was ELSE was END, CASE WHEN pend >= hold THEN 0 ELSE pend END, pend >= hold, truth <> before
+  FROM (SELECT m.slot, m.n, f.g, m.camera, m.truth, f.truth AS before, hold, (1 - a) * f.ema + a * m.x AS ema, f.state AS was,
+               CASE WHEN (NOT f.state AND (1 - a) * f.ema + a * m.x >= 0.5 + h) OR (f.state AND (1 - a) * f.ema + a * m.x <= 0.5 - h) THEN f.pending + 1 ELSE 0 END AS pend
+        FROM f JOIN grid USING (g) JOIN m ON m.slot = f.slot AND m.n = f.n + 1 AND m.w = grid.w)),
+c AS (SELECT g, camera, count(*) FILTER (WHERE state AND truth) AS tp, count(*) FILTER (WHERE NOT state AND NOT truth) AS tn, count(*) FILTER (WHERE truth) AS yes, count(*) FILTER (WHERE NOT truth) AS no FROM f GROUP BY 1, 2),
+b AS (SELECT g, min(round((coalesce(tp * 1.0 / nullif(yes, 0), 0) + coalesce(tn * 1.0 / nullif(no, 0), 0)) / 2, 6)) AS worst, round(sum(yes - tp) * 1.0 / greatest(sum(yes), 1), 6) AS missed FROM c GROUP BY g),
+t AS (SELECT g, CAST(sum(off) AS BIGINT) AS off FROM (SELECT g, slot, abs(count(*) FILTER (WHERE changed) - count(*) FILTER (WHERE moved)) AS off FROM f GROUP BY 1, 2) GROUP BY g),
+k AS (SELECT g FROM b JOIN t USING (g) JOIN grid USING (g) ORDER BY worst DESC, missed, off, hold, g LIMIT 1)
+SELECT w AS "window", a AS alpha, h AS hysteresis, hold AS persistence, worst AS worst_balanced_accuracy, missed AS false_vacant_rate, off AS transition_error FROM k JOIN grid USING (g) JOIN b USING (g) JOIN t USING (g)
+""",
+)
+def temporal_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smoothing parameters, of 81 settings, of the best worst camera, then of fewest false vacancies, fewest wrong changes and least persistence."""
     place = F.row_number().over(Window.partitionBy("slot").orderBy("ts", "id")).cast("long")
     rows = observations(spark, sf_dir).withColumn("n", place)
-    scored = None
-    for window in (1, 3, 5):
-        for hold in (1, 2, 3):
-            answer = smooth(rows, "slot", "n", "p", Smoothing(window=window, persistence=hold)).select("slot", "n", "state", "changed")
-            joined = rows.select("slot", "n", "camera", "truth").join(answer, ["slot", "n"])
-            counts = joined.groupBy("camera").agg(*metrics.confusion(F.col("state"), F.col("truth")), F.count_if("changed").alias("changes"))
-            worst = counts.withColumn("ba", F.round(selection.balanced_accuracy(), 6)).agg(F.min("ba").alias("worst"), F.sum("changes").alias("changes"))
-            point = worst.select(F.lit(window).alias("window"), F.lit(hold).alias("persistence"), "worst", "changes")
-            scored = point if scored is None else scored.unionByName(point)
-    objective = [F.col("worst"), -F.col("changes"), -F.col("window"), -F.col("persistence")]
-    return selection.best(scored, objective, ["window", "persistence", "worst", "changes"])
+    found = temporal.smooth_grid(rows, "slot", "n", "p", "truth", "camera")
+    counts = found.groupBy("dataset", "setting").agg(*(F.sum(c).alias(c) for c in ("tp", "tn", "fp", "fn", "transition_error")))
+    ba = counts.withColumn("ba", F.round(selection.balanced_accuracy(), 6))
+    points = ba.groupBy("setting").agg(
+        F.min("ba").alias("worst_balanced_accuracy"), F.round(F.sum("fn") / F.greatest(F.sum(F.col("tp") + F.col("fn")), F.lit(1)), 6).alias("false_vacant_rate"), F.sum("transition_error").alias("transition_error")
+    )
+    names = ("window", "alpha", "hysteresis", "persistence")
+    setting = F.array(*(F.struct(*(F.lit(getattr(g, n)).alias(n) for n in names)) for g in temporal.GRID))
+    named = points.withColumn("how", F.element_at(setting, F.col("setting").cast("int") + 1)).select("*", "how.*")
+    objective = [F.col("worst_balanced_accuracy"), -F.col("false_vacant_rate"), -F.col("transition_error"), -F.col("persistence"), -F.col("setting")]
+    return selection.best(named, objective, [*names, "worst_balanced_accuracy", "false_vacant_rate", "transition_error"])

@@ -185,8 +185,9 @@ SELECT slot, round(l[least(CAST(floor(len(l) * 0.1) AS BIGINT) + 1, len(l))], 6)
 )
 def percentile_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of each slot without interpolation."""
-    q = lambda x: F.round(metrics.percentile_by_index(F.col("p"), x), 6)
-    return observations(spark, sf_dir).groupBy("slot").agg(q(0.1).alias("p10"), q(0.5).alias("p50"), q(0.9).alias("p90"))
+    at = lambda q: lambda n: F.least(F.floor(n * q), n - 1)
+    found = metrics.order_statistics(observations(spark, sf_dir), ["slot"], "p", {"p10": at(0.1), "p50": at(0.5), "p90": at(0.9)})
+    return found.select("slot", *(F.round(c, 6).alias(c) for c in ("p10", "p50", "p90")))
 
 
 @_R.add(
@@ -195,7 +196,9 @@ def percentile_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def latency_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and exact median of each stage."""
-    return observations(spark, sf_dir).groupBy("camera").agg(F.round(F.avg("p"), 6).alias("mean"), F.round(F.percentile("p", 0.5), 6).alias("median"))
+    rows = observations(spark, sf_dir)
+    means = rows.groupBy("camera").agg(F.round(F.avg("p"), 6).alias("mean"))
+    return means.join(metrics.medians(rows, ["camera"], "p"), "camera").select("camera", "mean", F.round("median", 6).alias("median"))
 
 
 @_R.add(
@@ -287,8 +290,7 @@ def smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings with their place in the slot's series, and the smoother's answer."""
     w = Window.partitionBy("slot").orderBy("ts", "id")
     rows = observations(spark, sf_dir).withColumn("n", F.row_number().over(w).cast("long"))
-    answer = temporal.smooth(rows, "slot", "n", "p")
-    return rows.select("slot", "n", "id", "ts", "camera").join(answer, ["slot", "n"])
+    return temporal.smooth(rows, "slot", "n", "p", keep=["id", "ts", "camera"])
 
 
 @_R.add("ema_series", _SMOOTH + "SELECT id, round(ema, 6) AS ema FROM f")

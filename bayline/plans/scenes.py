@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bayline.functions import boxes, polygons
 from bayline.functions.text import vehicle_class
-from bayline.operators import matching
+from bayline.operators import matching, metrics
 from bayline.plans.registry import Registry
 from bayline.sources.tables import table
 
@@ -130,7 +130,8 @@ def nearest_half_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _slots(spark, sf_dir).select("frame", "slot_id", F.col("box").alias("a"))
     b = _vehicles(spark, sf_dir).select("frame", F.col("box").alias("b"))
     best = a.join(b, "frame").groupBy("frame", "slot_id").agg(F.max(boxes.iou(F.col("a"), F.col("b"))).alias("best"))
-    return best.agg(F.count("*").alias("slots"), F.round(F.avg((F.col("best") >= 0.5).cast("double")), 6).alias("agreed"), F.round(F.percentile("best", 0.5), 6).alias("median_iou"))
+    counts = best.agg(F.count("*").alias("slots"), F.round(F.avg((F.col("best") >= 0.5).cast("double")), 6).alias("agreed"))
+    return counts.crossJoin(metrics.medians(best, [], "best", "m").select(F.round("m", 6).alias("median_iou")))  # one row each
 
 
 @_R.add(
@@ -385,7 +386,8 @@ def corner_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_R.add("median_bay_side", _QUADS + "SELECT round(quantile_cont(least(sqrt(w * w + h * h), h), 0.5), 6) AS side FROM q")
 def median_bay_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The median of the quads' shorter sides."""
-    return _quads(spark, sf_dir).agg(F.round(F.percentile(polygons.shorter_side(F.col("quad")), 0.5), 6).alias("side"))
+    sides = _quads(spark, sf_dir).select(polygons.shorter_side(F.col("quad")).alias("side"))
+    return metrics.medians(sides, [], "side").select(F.round("median", 6).alias("side"))
 
 
 @_R.add(
