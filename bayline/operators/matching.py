@@ -91,12 +91,13 @@ def confirm_tracks(detections: DataFrame, camera: str, frame_no: str, at: float
 # ---- grouped steps -------------------------------------------------------------------------
 
 EDGES = ("x1", "y1", "x2", "y2")
+#: Frames, numbered one after another, that are handed to Python together.
+FRAMES = 256
 
 
 def _flat(rows: DataFrame, frame: str) -> DataFrame:
-    """Long ids, the edges as columns of their own, and the batch of frames a row belongs to."""
-    batches = 16 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    batch = F.pmod(F.xxhash64(frame), F.lit(batches)).cast("int").alias("batch")
+    """Long ids, the edges as columns of their own, and the batch of FRAMES frames or fewer that a row belongs to."""
+    batch = F.floor(F.col(frame).cast("long") / FRAMES).alias("batch")
     edges = [F.col("box")[e].alias(e) for e in EDGES]
     return rows.select(batch, F.col(frame).cast("long").alias(frame), F.col("box_id").cast("long"), F.col("score").cast("double"), *edges)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from bayline.functions.hashing import score
+from bayline.operators.ranks import with_places
 
 
 def bottom_k(rows: DataFrame, groups: list[str], key: str, seed: str | int, k: int) -> DataFrame:
@@ -23,18 +24,19 @@ def balanced(rows: DataFrame, groups: list[str], label: str, key: str, seed: str
 
 
 def even_spacing(rows: DataFrame, groups: list[str], order: list[str], n: int) -> DataFrame:
-    """n rows of each group at even spacing from first to last, halves rounded to even; all if fewer."""
-    place = F.row_number().over(W.partitionBy(*groups).orderBy(*order)) - 1
-    size = F.count("*").over(W.partitionBy(*groups))
+    """n rows of each group at even spacing from first to last, halves rounded to even; all if fewer.
+
+    The first column of order is a number or a time.
+    """
     marks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * (F.col("__size") - 1) / F.lit(float(max(n - 1, 1))), 0).cast("long"))
-    ranked = rows.withColumns({"__place": place.cast("long"), "__size": size})
+    ranked = with_places(rows, groups, order, "__place", "__size")
     return ranked.where((F.col("__size") <= n) | F.array_contains(marks, F.col("__place"))).drop("__place", "__size")
 
 
 def stride(rows: DataFrame, groups: list[str], order: list[str], step: int, share: int) -> DataFrame:
-    """Every step-th row of each group, share rows at most."""
-    place = F.row_number().over(W.partitionBy(*groups).orderBy(*order)) - 1
-    return rows.withColumn("__place", place).where((F.col("__place") % step == 0) & (F.col("__place") < step * share)).drop("__place")
+    """Every step-th row of each group, share rows at most. The first column of order is a number or a time."""
+    ranked = with_places(rows, groups, order, "__place", "__size")
+    return ranked.where((F.col("__place") % step == 0) & (F.col("__place") < step * share)).drop("__place", "__size")
 
 
 def spread_positions(n: Column, k: int) -> Column:

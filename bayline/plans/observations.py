@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bayline.functions.numbers import confidence, logit, sigmoid
 from bayline.functions.verdicts import DEFAULT_WEIGHTS, FITTED_WEIGHTS, closed_band, contributions, fuse, open_band
 from bayline.operators import metrics, selection, temporal
+from bayline.operators.ranks import with_places
 from bayline.plans.registry import Registry
 from bayline.sources.tables import table
 
@@ -384,8 +385,7 @@ SELECT camera, position, id FROM r JOIN q ON k = least(CAST(floor(position * n)
 )
 def playback_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reading shown at a share of the playing time."""
-    w = Window.partitionBy("camera")
-    rows = observations(spark, sf_dir).withColumns({"k": F.row_number().over(w.orderBy("ts", "id")) - 1, "n": F.count("*").over(w)})
+    rows = with_places(observations(spark, sf_dir), ["camera"], ["ts", "id"], "k", "n")
     position = F.explode(F.array(*(F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0))))
     spots = rows.groupBy("camera").agg(F.count("*").alias("n")).select("camera", "n", position.alias("position"))
     spots = spots.select("camera", "position", F.least(F.floor(F.col("position") * F.col("n")), F.col("n") - 1).alias("k"))

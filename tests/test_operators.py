@@ -232,3 +232,44 @@ def test_interval_union_and_islands(spark):
     rows = spark.createDataFrame([(1, 0.0, 2.0), (1, 1.0, 3.0), (1, 5.0, 6.0)], "g int, low double, high double")
     assert temporal.union_length(rows, ["g"], "low", "high").first().covered == 4.0
     assert temporal.islands(rows, ["g"], "low", 1.5).select(F.max("island")).first()[0] == 1
+
+
+def test_places_and_order_statistics(spark):
+    from bayline.operators.ranks import with_places
+
+    rng = random.Random(12)
+    rows = [(i, rng.choice("abc") if i % 9 else None, rng.choice([None, 5.0, float(rng.randrange(40)), rng.random() * 1e6])) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, g string, v double").repartition(3)
+    found = {r.id: (r.k, r.n) for r in with_places(df, ["g"], ["v", "id"], "k", "n").collect()}
+    stats = {r.g: r for r in metrics.order_statistics(df, ["g"], "v", {"low": lambda n: n * 0, "mid": lambda n: F.floor(n / 2), "high": lambda n: n - 1}, bins=16).collect()}
+    middle = {r.g: r.median for r in metrics.medians(df, ["g"], "v").collect()}
+    for g in ("a", "b", "c", None):
+        own = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+        assert [found[r[0]] for r in own] == [(i, len(own)) for i in range(len(own))]
+        if g:
+            values = sorted(r[2] for r in own if r[2] is not None)
+            n = len(values)
+            assert (stats[g].low, stats[g].mid, stats[g].high) == (values[0], values[n // 2], values[-1])
+            assert middle[g] == (values[(n - 1) // 2] + values[n // 2]) / 2
+    assert metrics.medians(df.limit(0), [], "v").count() in (0, 1)
+
+
+def test_smoother_grid_equals_single_settings(spark):
+    rng = random.Random(3)
+    rows = [(s, n, rng.random(), rng.random() < 0.5, f"d{n % 2}") for s in range(4) for n in range(rng.randint(1, 40))]
+    df = spark.createDataFrame(rows, "slot long, n long, p double, truth boolean, dataset string")
+    found = {(r.dataset, r.setting): r for r in temporal.smooth_grid(df, "slot", "n", "p", "truth", "dataset").groupBy("dataset", "setting").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn", "transition_error"))).collect()}
+    for k in (0, 13, 44, 80):
+        counts, off = {}, 0
+        for s in range(4):
+            series = sorted(r for r in rows if r[0] == s)
+            tracker = temporal.SlotState()
+            states = [tracker.update(r[2], temporal.GRID[k])[1] for r in series]
+            for r, state in zip(series, states, strict=True):
+                key = (r[4], ("tp" if r[3] else "fp") if state else ("fn" if r[3] else "tn"))
+                counts[key] = counts.get(key, 0) + 1
+            changes = lambda x: sum(a != b for a, b in zip(x, x[1:], strict=False))
+            off += abs(changes(states) - changes([r[3] for r in series]))
+        for d in ("d0", "d1"):
+            assert all(found[d, k][c] == counts.get((d, c), 0) for c in ("tp", "fp", "tn", "fn"))
+        assert sum(found[d, k].transition_error for d in ("d0", "d1")) == off
