@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bayline.llm.hashing import mix, text_buffers, word_hashes
-from bayline.llm.store import materialise
+from bayline.llm.store import discard, materialise
 
 SMOOTHING = 0.1
 #: A pair or triple of words makes an arc if it occurs so often.
@@ -56,7 +56,7 @@ DISCOUNT = 0.5
 BLOCK = 4 << 20
 #: Words of a text that are traversed one after another.
 RUN = 128
-#: Turns in which blocks meet their counts, so that only a share of them lies in shuffle files at a time.
+#: Turns in which blocks meet their counts, and slices are added up, so that only a share of them lies in shuffle files at a time.
 TURNS = 3
 #: Stands for the end of a text; a word hashes to it with a chance of 2**-64.
 END = np.uint64(0x9E6C63D0876A9A47)
@@ -209,11 +209,12 @@ def slices(number: int, kind: int, keys: np.ndarray, values: list[np.ndarray], b
     return pa.record_batch([pa.array(part), pa.array(np.full(len(data), number)), pa.array(data, pa.binary())], ["part", "block", "data"])
 
 
-def add_up(found: DataFrame, width: int) -> DataFrame:
-    """Slices with width values a key as rows of SUMS, written to the shared folder.
+def add_up(found: list[DataFrame], width: int) -> DataFrame:
+    """Slices with width values a key, tables of write_slices(), as rows of SUMS, written to the shared folder.
 
     Each slice's data are the sums over all slices and whether this one is the first with the key,
     in the order of its keys. total and distinct are those of the first values, once for each key.
+    The slices are added up in turns and go once that is done.
     """
 
     def add(table: pa.Table) -> pa.Table:
@@ -231,14 +232,24 @@ def add_up(found: DataFrame, width: int) -> DataFrame:
         once = lambda x: pa.array([int(x)] + [0] * (len(parts) - 1), pa.int64())
         return pa.table([table["part"], table["block"], once(sums[0].sum()), once((sums[0] > 0).sum()), pa.array(data, pa.binary())], names=[s.split(" ")[0] for s in SUMS.split(", ")])
 
-    return materialise(found.groupBy("part").applyInArrow(add, SUMS))
+    out = []
+    for i in range(TURNS):
+        rows = reduce(DataFrame.unionByName, found).where(F.col("turn") == i)
+        out.append(materialise(rows.groupBy("part").applyInArrow(add, SUMS)))
+        discard(*found, part=f"turn={i}")
+    discard(*found)
+    return reduce(DataFrame.unionByName, out)
 
 
-def in_turns(blocks: DataFrame, parts: DataFrame, use: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """What use makes of each block and its rows of parts, written to the shared folder in TURNS turns."""
+def write_slices(rows: DataFrame) -> DataFrame:
+    """Rows of SLICES written to the shared folder by the turn that they are added up in."""
+    return materialise(rows.withColumn("turn", F.pmod(F.xxhash64("part"), F.lit(TURNS)).cast("int")), by="turn")
+
+
+def by_turns(blocks: DataFrame, parts: DataFrame, use: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> list[DataFrame]:
+    """What use makes of each block and its rows of parts, as a plan for each of TURNS turns."""
     own = lambda t, i: t.where(F.pmod(F.xxhash64("block"), F.lit(TURNS)) == i).groupBy("block")
-    found = [materialise(own(blocks, i).cogroup(own(parts, i)).applyInArrow(use, schema)) for i in range(TURNS)]
-    return reduce(DataFrame.unionByName, found)
+    return [own(blocks, i).cogroup(own(parts, i)).applyInArrow(use, schema) for i in range(TURNS)]
 
 
 def own_sums(parts: pa.Table, kind: int, width: int) -> np.ndarray:
@@ -260,7 +271,7 @@ def gram_counts(blocks: DataFrame, bits: int) -> DataFrame:
                 yield slices(row["block"], WORDS, grams.words, [np.bincount(grams.word_at, weight, len(grams.words))], bits)
                 yield slices(row["block"], PAIRS, grams.pairs, [np.bincount(grams.pair_at, weight, len(grams.pairs))], bits)
 
-    return add_up(blocks.mapInArrow(count, SLICES), 1)
+    return add_up([write_slices(blocks.mapInArrow(count, SLICES))], 1)
 
 
 def frequent_triples(grams: Grams, n: np.ndarray) -> np.ndarray:
@@ -291,7 +302,7 @@ def word_sums(blocks: DataFrame, counts: DataFrame, bits: int) -> DataFrame:
             out.append(slices(row["block"], TRIPLES, grams.triples[chosen], [triples, np.zeros_like(triples), np.zeros_like(triples)], bits))
         return pa.Table.from_batches(out)
 
-    return add_up(in_turns(blocks, counts, spread, SLICES), 3)
+    return add_up([write_slices(t) for t in by_turns(blocks, counts, spread, SLICES)], 3)
 
 
 def pair_sums(blocks: DataFrame, parts: DataFrame, bits: int) -> DataFrame:
@@ -311,7 +322,7 @@ def pair_sums(blocks: DataFrame, parts: DataFrame, bits: int) -> DataFrame:
             out.append(slices(row["block"], PAIRS, grams.pairs[n >= LEAST], [x[n >= LEAST] for x in sums], bits))
         return pa.Table.from_batches(out)
 
-    return add_up(in_turns(blocks, parts, spread, SLICES), 3)
+    return add_up([write_slices(t) for t in by_turns(blocks, parts, spread, SLICES)], 3)
 
 
 @dataclass
@@ -453,7 +464,7 @@ def score_blocks(blocks: DataFrame, model: Model) -> DataFrame:
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=[s.split(" ")[0] for s in SCORES.split(", ")])
 
-    return in_turns(blocks, model.parts, score, SCORES)
+    return reduce(DataFrame.unionByName, [materialise(t) for t in by_turns(blocks, model.parts, score, SCORES)])
 
 
 def score_texts(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text") -> DataFrame:

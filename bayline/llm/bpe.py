@@ -11,7 +11,9 @@ The ids equal those of the tokenizers library's encode(text, add_special_tokens=
 same file; the added tokens' own texts become their ids, as there. Decoding gives the bytes of
 the ids back, so a text survives the round trip.
 
-A null text counts as empty: no ids, an empty decoded text. Repeated rows are encoded alike.
+A null text counts as empty: no ids, an empty decoded text. Repeated rows are encoded alike. A
+very long text is held, with its ids, by one task. Words that occur equally often (ties) enter the
+lexicon together or not at all, as far as their class of counts goes; ids do not depend on it.
 Columns other than the text are left alone. An empty table gives an empty result.
 """
 

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from bayline.llm.components import connected_components
 from bayline.llm.frequent import most_frequent
 from bayline.llm.hashing import mix, shingle_hashes, text_buffers, word_hashes
+from bayline.llm.hot import join_one
 from bayline.llm.store import materialise
 
 HOT, HOT_LIST = 32, 500_000
@@ -314,6 +315,6 @@ def similar_components(docs: DataFrame, rule: Similarity, key: str = "doc_id", t
     labels = connected_components(verified_edges(docs, members, rule, text))
     rows = materialise(sets.select("doc_id", "node", "size").join(labels, "node", "left").select("doc_id", "size", F.coalesce("component", "node").alias("component")))
     least = materialise(rows.where("size > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    linked = rows.where("size > 0").join(least, "component").select("doc_id", "size", "component_id")
+    linked = join_one(rows.where("size > 0"), least, "component").select("doc_id", "size", "component_id")
     alone = rows.where("size = 0").select("doc_id", "size", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).select("doc_id", F.col("size").cast("long").alias("n_shingles"), "component_id")

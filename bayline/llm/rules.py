@@ -8,8 +8,10 @@ scoring is a projection over the native statistics columns.
 The sample is at most SAMPLE labelled rows, chosen by a hash of the id. Statistics are taken over
 whole texts. A null text counts as empty; empty texts get a score as well. Of labels that disagree
 about an id the mean decides, a null label counts for nothing. Without labels of both kinds the
-score is the mean label (1 without any) for every row. Repeated rows get equal scores. Other
-columns are not looked at.
+score is the mean label (1 without any) for every row. Repeated rows, and equal statistics (ties),
+get equal scores; of the texts of a repeated labelled id the least is learned from. A very long
+text is read as a whole by the task that holds its row. Other columns are not looked at. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations

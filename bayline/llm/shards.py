@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bayline.llm.hot import join_one
 from bayline.llm.ranks import bucket_column, gapless_rank, n_buckets
 from bayline.llm.store import materialise
 
@@ -106,5 +107,5 @@ def schedule(docs: DataFrame, shards: int = 8) -> DataFrame:
         .join(F.broadcast(bounds), "class")  # at most one row for each class
         .select("digest", F.expr("size(filter(bounds, b -> b <= place))").alias("shard"))
     )
-    out = materialise(rows.join(materialise(placed), "digest").select("doc_id", "size", "text_crc32", "shard", bucket_column(buckets).alias("bucket")))
+    out = materialise(join_one(rows, materialise(placed), "digest").select("doc_id", "size", "text_crc32", "shard", bucket_column(buckets).alias("bucket")))
     return gapless_rank(out, "shard", "bucket", ["doc_id", "text_crc32", "size"], "slot").drop("bucket")
