@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 
 def with_places(rows: DataFrame, groups: list[str], order: list[str], place: str, size: str, bins: int = 1024) -> DataFrame:
@@ -14,7 +15,10 @@ def with_places(rows: DataFrame, groups: list[str], order: list[str], place: str
     equal width; rows are ranked inside their bin and the counts of the bins before are added, so
     no task ranks a whole group. Nulls come first.
     """
-    lead = F.col(order[0]).cast("double")
+    lead = F.col(order[0])
+    if isinstance(rows.schema[order[0]].dataType, TimestampNTZType):
+        lead = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), lead)
+    lead = lead.cast("double")
     of = [F.col(g).alias(f"__{g}") for g in groups]
     met = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups]
     spans = rows.groupBy(*of).agg(F.count("*").alias(size), F.min(lead).alias("__low"), F.max(lead).alias("__high"))
