@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Labels whose counts are broadcast.
+FEW = 4096
+
 
 def crc_of(column: str) -> Column:
     """The CRC-32 of a column written as text; of a null, that of the empty text."""
@@ -24,7 +27,10 @@ def sample_each(rows: DataFrame, label: str, key: str, per_label: int, total: in
     greater of total and labels times least rows.
     """
     counts = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("__n"))
-    each = max(least, min(per_label, total // max(1, counts.count())))
+    labels = counts.count()
+    each = max(least, min(per_label, total // max(1, labels)))
+    if labels <= FEW:  # so few rows are sent to every task, and only likely rows are dealt by label
+        counts = F.broadcast(counts)
     # twice and some more than is wanted, so that too few are left with a chance of less than 1e-9
     likely = rows.join(counts, label).where(unit_hash(key, seed=11) < (2 * each + 50) / F.col("__n"))
     place = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(12)), key))
