@@ -81,7 +81,7 @@ def pack(rows: list[np.ndarray], ascending: bool = False) -> bytes:
 def unpack(data: bytes, rows: int, ascending: bool = False) -> np.ndarray:
     """What pack() packed, as rows of a matrix."""
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    table = np.ascontiguousarray(planes.reshape(rows, 8, -1).transpose(0, 2, 1)).view(np.int64).reshape(rows, -1)
+    table = np.array(planes.reshape(rows, 8, -1).transpose(0, 2, 1), order="C").view(np.int64).reshape(rows, -1)
     if ascending:
         np.cumsum(table[0], out=table[0])
     return table
