@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bayline.llm.store import materialise
+
 
 def n_buckets(df: DataFrame) -> int:
     """Buckets that a hot group is dealt over: a few for each shuffle partition."""
@@ -33,3 +35,20 @@ def gapless_rank(df: DataFrame, group: str, bucket: str, order: list[str], name:
         .withColumn(name, (F.col("__rank") + F.col("__offset")).cast("long"))
         .drop("__rank", "__offset")
     )
+
+
+def range_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with name = 1, 2, 3, ... over all rows in an order.
+
+    Rows are dealt to tasks by ranges of the order and sorted there; the driver sees one count for
+    each range.
+    """
+    placed = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    offsets, total = [], 0
+    for number, n in sorted(placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
+        offsets.append((number, total - (number << 33) + 1))
+        total += n
+    offsets = df.sparkSession.createDataFrame(offsets, "__part long, __offset long")
+    placed = placed.withColumn("__part", part).join(F.broadcast(offsets), "__part")  # one row for each range
+    return placed.withColumn(name, F.col("__at") + F.col("__offset")).drop("__at", "__part", "__offset")
