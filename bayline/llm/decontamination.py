@@ -159,9 +159,13 @@ def noted(docs: DataFrame, found: WindowSet, text: str, out: str, earlier: bool)
                 rows.append(own)
         return pa.array(rows, kind)
 
-    if earlier:
-        return docs.withColumn(out, F.arrow_udf(scan, _TYPE)(F.col(text), F.col(out)))
-    return docs.withColumn(out, F.arrow_udf(lambda column: scan(column, None), _TYPE)(F.col(text)))
+    def begin(column: pa.Array) -> pa.Array:
+        return scan(column, None)
+
+    def go_on(column: pa.Array, before: pa.Array) -> pa.Array:
+        return scan(column, before)
+
+    return docs.withColumn(out, F.arrow_udf(go_on, _TYPE)(F.col(text), F.col(out)) if earlier else F.arrow_udf(begin, _TYPE)(F.col(text)))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id", item_text: str = "text", out: str = "contamination") -> DataFrame:

@@ -60,6 +60,8 @@ def odd_dir(spark, tmp_path_factory, odd_rows):
     vectors = [(i, [float(x) for x in rng.standard_normal(8).round(2)]) for i in range(350)]
     vectors += [(400, None), (401, [1.0, None, 0.0] + [0.0] * 5), (402, [float("nan")] * 8), (403, [float("inf")] * 8), (500, [0.0] * 8), (None, [1.0] * 8), vectors[5], (600, [1.0, -1.0])]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"file://{folder}/embeddings.parquet")
+    items = [(i, t) for i, (_, t, *_) in enumerate(odd_rows[:30:6])] + [(50, None), (None, "one two"), (0, "x y z")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"file://{folder}/benchmark.parquet")
     return f"file://{folder}"
 
 
@@ -69,4 +71,5 @@ def empty_dir(spark, tmp_path_factory):
     spark.createDataFrame([], COLUMNS).write.parquet(f"file://{folder}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{folder}/labels.parquet")
     spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"file://{folder}/embeddings.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{folder}/benchmark.parquet")
     return f"file://{folder}"

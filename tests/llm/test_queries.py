@@ -218,17 +218,17 @@ def test_queries_match_their_sql(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     found = catalogue.QUERIES[name](spark, sf_dir)
     expected = con.execute(catalogue.ORACLES[name])
     columns = [d[0] for d in expected.description]
     assert sorted(columns) == sorted(found.columns)
-    assert sorted(expected.fetchall()) == sorted(tuple(r) for r in found.select(columns).collect())
+    assert counted(expected.fetchall()) == counted(tuple(r) for r in found.select(columns).collect())
 
 
 def test_every_query_runs_at_the_smallest_scale(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for key, query in QUERIES.items():
-        if key not in ("1", "2", "6", "9", "10"):
+        if key not in ("1", "2", "6", "9", "10", "11", "12", "13"):
             assert query(spark, sf_dir).count() == (50 if key == "4" else n)
