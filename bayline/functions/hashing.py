@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,9 +39,31 @@ def hamming_hex64(a: Column, b: Column) -> Column:
     return F.when(fine, bits).otherwise(F.lit(64)).cast("int")
 
 
-def hash_bands(h: Column) -> Column:
-    """The four 16-bit bands of a 64-bit hash: array of (band, value). Hashes at most 3 bits apart share one."""
-    return F.array(*(F.struct(F.lit(i).alias("band"), F.substring(h, 1 + 4 * i, 4).alias("value")) for i in range(4)))
+def hash_keys(h: Column, most: int) -> Column:
+    """Keys of a 64-bit hash in hex, array of (band, value), of which hashes at most most bits apart share one.
+
+    The 64 bits are cut into 2 * most blocks and every choice of most blocks is a key of about 32
+    bits: most differing bits touch at most as many blocks, so most blocks are left untouched. With
+    most = 0 the hash itself is the one key.
+    """
+    if most == 0:
+        return F.array(F.struct(F.lit(0).alias("band"), F.conv(h, 16, 10).alias("value")))
+    edges = [round(64 * i / (2 * most)) for i in range(2 * most + 1)]
+    halves = [F.conv(F.substring(h, at, 8), 16, 10).cast("long") for at in (1, 9)]
+
+    def bits(a: int, b: int) -> list[tuple[Column, int]]:
+        """The bits from a to b, counted from the left, as (value, width) of what lies in either half."""
+        return [(F.shiftright(halves[k], 32 * k + 32 - y).bitwiseAND((1 << (y - x)) - 1), y - x) for k in (0, 1) if (x := max(a, 32 * k)) < (y := min(b, 32 * k + 32))]
+
+    def joined(blocks: tuple[int, ...]) -> Column:
+        value = F.lit(0).cast("long")
+        for i in blocks:
+            for part, width in bits(edges[i], edges[i + 1]):
+                value = F.shiftleft(value, width).bitwiseOR(part)
+        return value
+
+    chosen = combinations(range(2 * most), most)
+    return F.array(*(F.struct(F.lit(i).alias("band"), joined(c).alias("value")) for i, c in enumerate(chosen)))
 
 
 def partition_70_15_15(key: Column, seed: str | int) -> Column:

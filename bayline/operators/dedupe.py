@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bayline.functions.hashing import hamming_hex64, hash_bands
+from bayline.functions.hashing import hamming_hex64, hash_keys
 from bayline.operators.spool import written
 
 
@@ -29,15 +29,29 @@ def exposure_guard(rows: DataFrame, exposed: DataFrame, group: list[str], digest
 
 
 def near_hashes(hashes: DataFrame, hashed: str, most: int = 3) -> DataFrame:
-    """(x, y, distance): pairs of distinct 64-bit hashes, x < y, that differ in at most 3 bits; found through four bands, so none is missed."""
-    if most > 3:
-        raise ValueError("four bands find all pairs up to 3 bits apart only")
-    banded = hashes.select(hashed).distinct().select(F.col(hashed), F.inline(hash_bands(F.col(hashed))))
-    x, y = (banded.select("band", "value", F.col(hashed).alias(name)) for name in ("x", "y"))
+    """(x, y, distance): pairs of distinct 64-bit hashes, x < y, that differ in at most most bits.
+
+    Distinct hashes meet by every key of about 32 bits that so many differing bits leave untouched,
+    so none is missed, and hashes that have nothing to do with each other rarely meet.
+    """
+    keyed = _keyed(hashes, hashed, most)
+    x, y = (keyed.select("band", "value", F.col("h").alias(name)) for name in ("x", "y"))
     near = x.join(y, ["band", "value"]).where("x < y").withColumn("distance", hamming_hex64(F.col("x"), F.col("y")))
     return near.where(F.col("distance") <= most).select("x", "y", "distance").distinct()
 
 
+def _keyed(hashes: DataFrame, hashed: str, most: int) -> DataFrame:
+    """(h, band, value) of the distinct well-formed hashes."""
+    distinct = hashes.select(F.lower(hashed).alias("__lower"), F.col(hashed).alias("h")).where(F.col("__lower").rlike("^[0-9a-f]{16}$")).distinct()
+    return distinct.select("h", F.inline(hash_keys(F.col("__lower"), most)))
+
+
+def hashes_near(rows: DataFrame, known: DataFrame, hashed: str, most: int = 3) -> DataFrame:
+    """The distinct hashes of rows that lie within most bits of one of known."""
+    met = _keyed(rows, hashed, most).alias("a").join(_keyed(known, hashed, most).alias("b"), ["band", "value"])
+    return met.where(hamming_hex64(F.col("a.h"), F.col("b.h")) <= most).select(F.col("a.h").alias(hashed)).distinct()
+
+
 def hamming_classes(rows: DataFrame, key: str, hashed: str, most: int = 3) -> DataFrame:
     """(a, b, distance): for each class of equal hashes its least key with each other member, and pairs of near classes by their least keys.
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bayline.functions.hashing import hamming_hex64, hash_bands
+from bayline.functions.hashing import hamming_hex64
 from bayline.functions.verdicts import layout_state
+from bayline.operators.dedupe import hashes_near
 
 MATCH_BITS, PREFILTER_BITS, INLIERS, ASPECT, AGREEMENT = 12, 40, 0.30, 0.12, 0.35
 
@@ -46,11 +47,8 @@ def choose_layout(scenes: DataFrame) -> DataFrame:
 
 
 def known_hash(rows: DataFrame, known: DataFrame, digest: str, hashed: str, most: int = 3) -> DataFrame:
-    """rows neither whose digest is known nor whose hash is within most (3 or fewer) bits of a known one."""
-    bands = lambda df: df.select(F.col(hashed).alias("h"), F.inline(hash_bands(F.col(hashed))))
-    near = bands(rows).alias("a").join(bands(known).alias("b"), ["band", "value"]).where(hamming_hex64(F.col("a.h"), F.col("b.h")) <= most)
-    near = near.select(F.col("a.h").alias(hashed)).distinct()
-    return rows.join(known.select(digest).distinct(), digest, "left_anti").join(near, hashed, "left_anti")
+    """rows neither whose digest is known nor whose hash is within most bits of a known one; distinct hashes meet, never rows."""
+    return rows.join(known.select(digest).distinct(), digest, "left_anti").join(hashes_near(rows, known, hashed, most), hashed, "left_anti")
 
 
 def new_jobs(requests: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -233,42 +233,35 @@ def match(predicted: DataFrame, truth: DataFrame, frame: str, at: float, order:
 def calibrate(detections: DataFrame, camera: str, frame_no: str, at: float = 0.45, share: float = 0.6, least_slots: int = 4) -> DataFrame:
     """Slots that recur across a camera's frames, as mean boxes with the frames that saw them.
 
-    Detections (box_id, box, score) join, frame by frame, the unclaimed track whose mean overlaps
-    them most; a track survives if max(2, share of the frames) saw it. A camera with fewer than
-    least_slots survivors has no layout and returns no row.
+    Detections (box_id, box, score) go in order of frame and id. Each joins the track whose mean
+    box overlaps it most, the earlier of equals, by at least at; a track takes one detection of a
+    frame, besides the one that opened it. What finds no track opens one. A track survives with
+    max(2, share of the frames) detections. A camera with fewer than least_slots survivors has no
+    layout and returns no row; slots are numbered by falling support.
     """
 
     def consensus(group: pa.Table) -> pa.Table:
-        frames, ids, scores, all_boxes = group[frame_no].to_numpy(), group["box_id"].to_numpy(), group["score"].to_numpy(), _boxes(group)
-        tracks: list[list[int]] = []
-        centres = np.empty((len(ids), 4))  # the tracks' mean boxes
-        for f in np.unique(frames):
-            rows = np.flatnonzero(frames == f)
-            rows, claimed = rows[np.argsort(ids[rows])], set()
-            for r in rows.tolist():
-                best, most = -1, 0.0
-                if len(claimed) < len(tracks):
-                    overlap = iou_matrix(all_boxes[r : r + 1], centres[: len(tracks)])[0]
-                    overlap[list(claimed)] = 0
-                    best = int(overlap.argmax())
-                    most = float(overlap[best])
-                if most > 0 and most >= at:
-                    tracks[best].append(r)
-                else:
-                    best = len(tracks)
-                    tracks.append([r])
-                claimed.add(best)
-                centres[best] = all_boxes[tracks[best]].mean(axis=0)
-        n = len(np.unique(frames))
-        kept = [t for t in tracks if len(t) >= max(2, round(share * n))]
-        kept = sorted(kept, key=lambda t: -len(t)) if len(kept) >= least_slots else []
-        means = np.stack([all_boxes[t].mean(axis=0) for t in kept]) if kept else np.empty((0, 4))
-        box = pa.StructArray.from_arrays([pa.array(means[:, i]) for i in range(4)], ["x1", "y1", "x2", "y2"])
-        key = group[camera][0].as_py()
-        return pa.table(
-            [pa.array([key] * len(kept), pa.int64()), pa.array(range(1, len(kept) + 1), pa.int64()), pa.array([len(t) for t in kept], pa.int64()), pa.array([n] * len(kept), pa.int64()), pa.array([float(scores[t].mean()) for t in kept], pa.float64()), box],
-            names=[camera, "slot_id", "frames_seen", "frames", "confidence", "box"],
-        )
+        group = group.sort_by([(frame_no, "ascending"), ("box_id", "ascending")])
+        frames, scores, edges = group[frame_no].to_numpy(), group["score"].to_numpy(), _boxes(group)
+        # a track's running sums: edges, score, detections; and the frame that joined it last
+        sums, joined, n = np.zeros((len(frames), 6)), np.full(len(frames), -1), 0
+        step = np.concatenate([[0], np.cumsum(np.diff(frames) != 0)]) if len(frames) else frames
+        for box, score, now in zip(edges, scores, step, strict=True):
+            overlap = iou_matrix(box[None], sums[:n, :4] / sums[:n, 5:])[0].round(9)  # equal overlaps stay equal
+            overlap[joined[:n] == now] = -1
+            k = int(overlap.argmax()) if n else -1
+            if n and overlap[k] >= max(at, 1e-12):
+                joined[k] = now
+            else:
+                k, n = n, n + 1
+            sums[k] += [*box, score, 1]
+        total = int(step[-1]) + 1 if len(step) else 0
+        kept = np.flatnonzero(sums[:n, 5] >= max(2, round(share * total)))
+        kept = kept[np.argsort(-sums[kept, 5], kind="stable")] if len(kept) >= least_slots else kept[:0]
+        seen = sums[kept, 5]
+        box = pa.StructArray.from_arrays([pa.array(sums[kept, i] / seen) for i in range(4)], list(EDGES))
+        columns = [np.full(len(kept), group[camera][0].as_py(), np.int64), np.arange(1, len(kept) + 1), seen.astype(np.int64), np.full(len(kept), total, np.int64), sums[kept, 4] / seen]
+        return pa.table([*map(pa.array, columns), box], names=[camera, "slot_id", "frames_seen", "frames", "confidence", "box"])
 
     rows = detections.select(F.col(camera).cast("long"), F.col(frame_no).cast("long"), F.col("box_id").cast("long"), F.col("score").cast("double"), "box")
     return rows.groupBy(camera).applyInArrow(consensus, f"{camera} long, slot_id long, frames_seen long, frames long, confidence double, box struct<x1:double,y1:double,x2:double,y2:double>")

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from bayline.functions.hashing import score
 from bayline.operators.ranks import with_places
@@ -62,36 +60,38 @@ def condition_first(rows: DataFrame, layout: str, condition: str, key: str, seed
 
 
 def diverse(rows: DataFrame, group: str, condition: str, lot: str, key: str, n: int) -> DataFrame:
-    """n rows of each group that cover its conditions, then its lots, and then balance both.
+    """n rows of each group with their place, of which each is the one that a single order puts first.
 
-    Each condition gives its first row, by key, of an unused lot if there is one; each lot left its
-    first row; then the lot and the condition chosen least so far give theirs. Only the first n
-    rows of each condition and lot can be chosen, so no more are gathered for the walk.
+    The order is over the rows that are left: rows of a condition that nobody chosen has, by
+    condition and then those of a lot without a choice; then rows of a lot that nobody chosen has,
+    by lot; then by the choices of their lot and those of their condition; at the end by key. Only
+    the first n rows of a condition and lot can come first, so a group's array holds no more.
     """
-    place = F.row_number().over(W.partitionBy(group, condition, lot).orderBy(key))
-    few = rows.withColumn("__n", place).where(F.col("__n") <= n).select(group, condition, lot, key)
-
-    def walk(table: pa.Table) -> pa.Table:
-        left = sorted(table.to_pylist(), key=lambda r: r[key])
-        chosen: list[dict] = []
-        lots: dict = {}
-        conditions: dict = {}
-
-        def choose(row: dict) -> None:
-            left.remove(row)
-            chosen.append(row)
-            lots[row[lot]] = lots.get(row[lot], 0) + 1
-            conditions[row[condition]] = conditions.get(row[condition], 0) + 1
-
-        for c in sorted({r[condition] for r in left}):
-            if len(chosen) < n:
-                choose(min((r for r in left if r[condition] == c), key=lambda r: (r[lot] in lots, r[key])))
-        for x in sorted({r[lot] for r in left} - set(lots)):
-            if len(chosen) < n:
-                choose(next(r for r in left if r[lot] == x))
-        while left and len(chosen) < n:
-            choose(min(left, key=lambda r: (lots.get(r[lot], 0), conditions.get(r[condition], 0), r[key])))
-        picked = [{**r, "place": i + 1} for i, r in enumerate(chosen)]
-        return pa.Table.from_pylist(picked, schema=table.schema.append(pa.field("place", pa.int32())))
-
-    return few.groupBy(group).applyInArrow(walk, StructType([*few.schema.fields, StructField("place", IntegerType())]))
+    rank = F.row_number().over(W.partitionBy(group, condition, lot).orderBy(key))
+    entry = F.struct(F.col(condition).alias("c"), F.col(lot).alias("l"), F.col(key).alias("k"))
+    few = rows.withColumn("__n", rank).where(F.col("__n") <= n).groupBy(group).agg(F.collect_list(entry).alias("rows"))
+
+    def standing(row: Column, taken: Column) -> Column:
+        same = lambda name: F.size(F.filter(taken, lambda t: t[name].eqNullSafe(row[name])))
+        of_condition, of_lot, none = same("c"), same("l"), F.lit(0)
+        new_condition, new_lot = of_condition == 0, of_lot == 0
+        return F.struct(
+            F.when(new_condition, 0).when(new_lot, 1).otherwise(2).alias("rule"),
+            F.when(new_condition, row["c"]).alias("condition"),
+            F.when(new_condition, F.least(of_lot, F.lit(1))).otherwise(none).alias("used"),
+            F.when(~new_condition & new_lot, row["l"]).alias("lot"),
+            F.when(new_condition | new_lot, none).otherwise(of_lot).alias("lots"),
+            F.when(new_condition | new_lot, none).otherwise(of_condition).alias("conditions"),
+            row["k"].alias("k"),
+            row.alias("row"),
+        )
+
+    def add(taken: Column, _: Column) -> Column:
+        left = F.array_except(F.col("rows"), taken)
+        first = F.array_min(F.transform(left, lambda row: standing(row, taken)))
+        return F.when(first.isNull(), taken).otherwise(F.concat(taken, F.array(first["row"])))
+
+    kind = few.schema["rows"].dataType.simpleString()
+    chosen = F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.array().cast(kind), add)
+    out = few.select(group, F.posexplode(chosen).alias("p", "r"))
+    return out.select(group, F.col("r.c").alias(condition), F.col("r.l").alias(lot), F.col("r.k").alias(key), (F.col("p") + 1).alias("place"))

@@ -37,13 +37,13 @@ def image_vs_video_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     OBS
     + """
 , c AS (SELECT slot, count(*) FILTER (WHERE p >= 0.9 AND truth) AS tp, count(*) FILTER (WHERE p < 0.9 AND NOT truth) AS tn,
-               count(*) FILTER (WHERE p >= 0.9 AND NOT truth) AS fp, count(*) FILTER (WHERE p < 0.9 AND truth) AS fn FROM obs WHERE id % 7 = slot % 7 GROUP BY slot)
+               count(*) FILTER (WHERE p >= 0.9 AND NOT truth) AS fp, count(*) FILTER (WHERE p < 0.9 AND truth) AS fn FROM obs GROUP BY slot)
 SELECT slot, round(tp * 1.0 / nullif(tp + fp, 0), 6) AS "precision", round(tp * 1.0 / nullif(tp + fn, 0), 6) AS recall FROM c
 """,
 )
 def binary_metrics_nullable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of slots over a seventh of their readings, as its SQL says; binary_metrics_by_day takes all readings."""
-    rows = observations(spark, sf_dir).where("id % 7 = slot % 7").groupBy("slot").agg(*metrics.confusion(F.col("p") >= 0.9, F.col("truth")))
+    """Metrics of slots over all their readings; null where a slot has no denominator."""
+    rows = observations(spark, sf_dir).groupBy("slot").agg(*metrics.confusion(F.col("p") >= 0.9, F.col("truth")))
     return metrics.nullable_metrics(rows).select("slot", "precision", "recall")
 
 

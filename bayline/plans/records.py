@@ -153,7 +153,26 @@ def validation_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.join(F.broadcast(held), "day", "left").select("day", F.coalesce("split", F.lit("train")).alias("split"), "n")  # three rows
 
 
-@_R.add("diverse_selection")
+@_R.add(
+    "diverse_selection",
+    SRC.replace("WITH src", "WITH RECURSIVE src")
+    + """
+, few AS (SELECT dataset, condition, size % 9 AS lot, id, row_number() OVER (PARTITION BY dataset, condition, size % 9 ORDER BY id) AS n FROM src WHERE condition IS NOT NULL),
+walk AS (
+  SELECT dataset, list({'c': condition, 'l': lot, 'k': id}) AS rest, list_filter(list({'c': condition, 'l': lot, 'k': id}), lambda x: FALSE) AS taken FROM few WHERE n <= 12 GROUP BY dataset
+  UNION ALL
+  SELECT dataset, list_filter(rest, lambda x: x.k <> pick.k), list_append(taken, pick) FROM (
+    SELECT dataset, rest, taken, list_sort(list_transform(rest, lambda x: {
+      'rule': CASE WHEN NOT list_contains([t.c FOR t IN taken], x.c) THEN 0 WHEN NOT list_contains([t.l FOR t IN taken], x.l) THEN 1 ELSE 2 END,
+      'condition': CASE WHEN NOT list_contains([t.c FOR t IN taken], x.c) THEN x.c ELSE '' END,
+      'first': CASE WHEN NOT list_contains([t.c FOR t IN taken], x.c) THEN CAST(list_contains([t.l FOR t IN taken], x.l) AS BIGINT)
+                    WHEN NOT list_contains([t.l FOR t IN taken], x.l) THEN x.l ELSE len(list_filter(taken, lambda t: t.l = x.l)) END,
+      'second': CASE WHEN list_contains([t.c FOR t IN taken], x.c) AND list_contains([t.l FOR t IN taken], x.l) THEN len(list_filter(taken, lambda t: t.c = x.c)) ELSE 0 END,
+      'k': x.k, 'row': x}))[1].row AS pick FROM walk WHERE len(taken) < 12 AND len(rest) > 0))
+SELECT dataset, t.c AS condition, t.l AS lot, t.k AS id, CAST(place AS INTEGER) AS place
+FROM (SELECT dataset, unnest(taken) AS t, unnest(range(1, len(taken) + 1)) AS place FROM (SELECT dataset, arg_max(taken, len(taken)) AS taken FROM walk GROUP BY dataset))
+""",
+)
 def diverse_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve sources of each dataset that cover conditions, then sizes as lots, then balance both."""
     rows = sources(spark, sf_dir).where("condition is not null").withColumn("lot", F.col("size") % 9)

@@ -255,14 +255,38 @@ def greedy_match_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(matched(spark, sf_dir))
 
 
-@_R.add("calibrated_layouts")
+@_R.add(
+    "calibrated_layouts",
+    ITEMS.replace("WITH", "WITH RECURSIVE")
+    + """
+, d AS (SELECT frame % 5 AS camera, CAST(floor(frame / 1000) AS BIGINT) AS run, CAST(floor(frame / 100) AS BIGINT) AS no, x1, y1, x2, y2, score,
+               row_number() OVER (PARTITION BY frame % 5, floor(frame / 1000) ORDER BY floor(frame / 100), box_id) AS n FROM items WHERE is_slot),
+walk AS (
+  SELECT camera, run, n, [{'a': x1, 'b': y1, 'c': x2, 'd': y2, 's': score, 'n': 1::BIGINT, 'no': -1::BIGINT}] AS tracks FROM d WHERE n = 1
+  UNION ALL
+  SELECT camera, run, n, CASE WHEN best IS NULL THEN list_append(tracks, {'a': x1, 'b': y1, 'c': x2, 'd': y2, 's': score, 'n': 1::BIGINT, 'no': -1::BIGINT})
+    ELSE [CASE WHEN i = best.i THEN {'a': t.a + x1, 'b': t.b + y1, 'c': t.c + x2, 'd': t.d + y2, 's': t.s + score, 'n': t.n + 1, 'no': no} ELSE t END FOR t, i IN tracks] END
+  FROM (
+    SELECT camera, run, n, tracks, x1, y1, x2, y2, score, no, list_filter(list_sort([{
+      'o': -round(greatest(least(x2, t.c / t.n) - greatest(x1, t.a / t.n), 0) * greatest(least(y2, t.d / t.n) - greatest(y1, t.b / t.n), 0)
+        / ((x2 - x1) * (y2 - y1) + (t.c - t.a) / t.n * (t.d - t.b) / t.n - greatest(least(x2, t.c / t.n) - greatest(x1, t.a / t.n), 0) * greatest(least(y2, t.d / t.n) - greatest(y1, t.b / t.n), 0)), 9),
+      'i': i} FOR t, i IN tracks IF t.no <> no]), lambda x: -x.o >= 0.45)[1] AS best
+    FROM (SELECT d.*, w.tracks FROM walk w JOIN d ON d.camera = w.camera AND d.run = w.run AND d.n = w.n + 1))),
+last AS (SELECT camera, run, arg_max(tracks, n) AS tracks FROM walk GROUP BY ALL),
+f AS (SELECT camera, run, count(DISTINCT no) AS frames FROM d GROUP BY ALL),
+t AS (SELECT camera, run, frames, unnest(tracks) AS t, unnest(range(len(tracks))) AS i FROM last JOIN f USING (camera, run)),
+k AS (SELECT *, count(*) OVER (PARTITION BY camera, run) AS slots, row_number() OVER (PARTITION BY camera, run ORDER BY t.n DESC, i) AS slot_id FROM t WHERE t.n >= greatest(2, round_even(0.6 * frames, 0)))
+SELECT camera, run, slot_id, t.n AS frames_seen, frames, round(t.s / t.n, 6) AS confidence, round(t.a / t.n, 6) AS x1, round(t.b / t.n, 6) AS y1, round(t.c / t.n, 6) AS x2, round(t.d / t.n, 6) AS y2 FROM k WHERE slots >= 4
+""",
+)
 def calibrated_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slots that recur across ten frames of a camera, of each run of ten frames; all frames are read."""
+    """Slots that recur in six tenths of ten frames of a camera, of each run of ten frames; a hundred orders make a frame, and all are read."""
     no = F.floor(F.col("frame") / 100)
-    key = F.floor(no / 10) * 100 + F.col("frame") % 100
+    key = F.floor(no / 10) * 5 + F.col("frame") % 5
     rows = items(spark, sf_dir).where("is_slot").select(key.alias("key"), no.alias("no"), "box_id", "score", "box")
-    found = matching.calibrate(rows, "key", "no", share=0.2)
-    return found.select((F.col("key") % 100).alias("camera"), F.floor(F.col("key") / 100).alias("run"), *found.columns[1:])
+    found = matching.calibrate(rows, "key", "no")
+    edges = [F.round(F.col("box")[e], 6).alias(e) for e in matching.EDGES]
+    return found.select((F.col("key") % 5).alias("camera"), F.floor(F.col("key") / 5).alias("run"), "slot_id", "frames_seen", "frames", F.round("confidence", 6).alias("confidence"), *edges)
 
 
 @_R.add(

@@ -1,5 +1,6 @@
 """Splits, diverse choices and functions that no query shows, against plain versions."""
 
+import collections
 import math
 import random
 
@@ -12,22 +13,13 @@ from bayline.sources import annotations
 
 
 def plain_diverse(rows, n):
-    left, chosen = sorted(rows, key=lambda r: r[0]), []
-    used = lambda i: [r[i] for r in chosen]
-
-    def choose(row):
-        left.remove(row)
-        chosen.append(row)
-
-    for c in sorted({r[1] for r in left}):
-        if len(chosen) < n:
-            choose(min((r for r in left if r[1] == c), key=lambda r: (r[2] in used(2), r[0])))
-    for lot in sorted({r[2] for r in rows}):
-        if len(chosen) < n and lot not in used(2):
-            choose(next(r for r in left if r[2] == lot))
-    while left and len(chosen) < n:
-        choose(min(left, key=lambda r: (used(2).count(r[2]), used(1).count(r[1]), r[0])))
-    return [r[0] for r in chosen]
+    """Picks one by one: new conditions, then new lots, then the least chosen of both."""
+    taken = []
+    while len(taken) < min(n, len(rows)):
+        conditions, lots = (collections.Counter(r[i] for r in taken) for i in (1, 2))
+        key = lambda r: (0, r[1], lots[r[2]] > 0, r[0]) if not conditions[r[1]] else (1, r[2], r[0]) if not lots[r[2]] else (2, lots[r[2]], conditions[r[1]], r[0])  # noqa: B023, E731
+        taken.append(min((r for r in rows if r not in taken), key=key))
+    return [r[0] for r in taken]
 
 
 @pytest.mark.parametrize("n", [2, 5, 12, 200])
