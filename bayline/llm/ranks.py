@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 from bayline.llm.store import materialise
 
 
-def n_buckets(df: DataFrame) -> int:
-    """Buckets that a hot group is dealt over: a few for each shuffle partition."""
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: Buckets that a hot group is dealt over; a fixed number, so that ranks hang on the data alone.
+BUCKETS = 1 << 16
 
 
-def bucket_column(buckets: int, seed: int = 7) -> Column:
-    """A bucket for each row, to be written before ranks are taken. Equal rows are dealt apart."""
-    return F.floor(F.rand(seed) * buckets).cast("int")
+def leading_bucket(digest: Column) -> Column:
+    """The bucket of a digest in binary: its first 16 bits, so buckets in order are digests in order."""
+    return F.conv(F.hex(F.substring(digest, 1, 2)), 16, 10).cast("int")
+
+
+def row_bucket(*columns: str) -> Column:
+    """A bucket for each row by what the columns hold. Equal rows share one."""
+    return F.xxhash64(*columns).bitwiseAND(BUCKETS - 1).cast("int")
 
 
 def gapless_rank(df: DataFrame, group: str, bucket: str, order: list[str], name: str) -> DataFrame:

@@ -7,8 +7,9 @@ EXACT + 52 * 2 ** (PRECISION - 1) classes (about 110,000), however many groups t
 a class, groups count as equal, and the heap's choices for all of them are found at once.
 
 A null text is a group of its own beside the empty text; both have size 1 for each row. Rows
-with a null or repeated doc_id are rows like any other. Groups of equal size go in order of their
-text's digest, and of shards with equal loads the first by number gets the next group (ties). A
+with a null or repeated doc_id are rows like any other. Groups of a class go in order of their
+text's digest, and of shards with equal loads the first by number gets the next group (ties), so
+shards and slots are functions of the rows: no setting of the session changes them. A
 very long text is one row of its size. Columns other than doc_id and text are
 not looked at. An empty table gives an empty result.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bayline.llm.hot import join_one
-from bayline.llm.ranks import bucket_column, gapless_rank, n_buckets
+from bayline.llm.ranks import gapless_rank, leading_bucket, row_bucket
 from bayline.llm.store import materialise
 
 PRECISION = 12
@@ -83,7 +84,7 @@ def schedule(docs: DataFrame, shards: int = 8) -> DataFrame:
 
     Size is the text's UTF-8 bytes plus one; slot counts the rows of a shard from 0.
     """
-    spark, buckets = docs.sparkSession, n_buckets(docs)
+    spark = docs.sparkSession
     rows = materialise(
         docs.select(
             "doc_id",
@@ -97,15 +98,15 @@ def schedule(docs: DataFrame, shards: int = 8) -> DataFrame:
         rows.groupBy("digest")
         .agg(F.sum("size").alias("bytes"))
         .withColumn("cut", F.greatest(length - PRECISION, F.lit(0)).cast("int"))
-        .select("digest", "bytes", F.expr("shiftleft(shiftright(bytes, cut), cut)").alias("class"), bucket_column(buckets).alias("bucket"))
+        .select("digest", "bytes", F.expr("shiftleft(shiftright(bytes, cut), cut)").alias("class"), leading_bucket(F.col("digest")).alias("bucket"))
     )
     classes = groups.groupBy("class").agg(F.count("*"), F.sum("bytes")).collect()
     dealt = deal([tuple(c) for c in classes], shards)
     bounds = spark.createDataFrame(pd.DataFrame(dealt, columns=["class", "bounds"]), "class long, bounds array<long>")
     placed = (
-        gapless_rank(groups, "class", "bucket", ["bytes", "digest"], "place")
+        gapless_rank(groups, "class", "bucket", ["digest"], "place")
         .join(F.broadcast(bounds), "class")  # at most one row for each class
         .select("digest", F.expr("size(filter(bounds, b -> b <= place))").alias("shard"))
     )
-    out = materialise(join_one(rows, materialise(placed), "digest").select("doc_id", "size", "text_crc32", "shard", bucket_column(buckets).alias("bucket")))
+    out = materialise(join_one(rows, materialise(placed), "digest").select("doc_id", "size", "text_crc32", "shard", row_bucket("doc_id", "text_crc32", "size").alias("bucket")))
     return gapless_rank(out, "shard", "bucket", ["doc_id", "text_crc32", "size"], "slot").drop("bucket")

@@ -388,3 +388,15 @@ def test_most_frequent_never_exceeds_its_bound(spark):
         assert top.count() <= bound
         if bound == 200:
             assert top.agg(F.min("n")).first()[0] >= 28
+
+
+def test_shards_hang_on_the_data_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    key, before, found = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for partitions in ("3", "11"):
+            spark.conf.set(key, partitions)
+            found.append(sorted(tuple(r) for r in shards.schedule(docs.repartition(int(partitions)), 8).collect()))
+    finally:
+        spark.conf.set(key, before)
+    assert found[0] == found[1]
