@@ -35,8 +35,8 @@ def logit(p: Column) -> Column:
 
 
 def sigmoid(x: Column) -> Column:
-    """Logistic function of x held in [-40, 40]."""
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(x, F.lit(40.0)), F.lit(-40.0))))
+    """Logistic function of x held in [-40, 40]; null for null."""
+    return F.when(x.isNotNull(), F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(x, F.lit(40.0)), F.lit(-40.0)))))
 
 
 def tempered_sigmoid(logits: Column, temperature: Column) -> Column:

@@ -202,3 +202,30 @@ def label_line(kind: Column, p: Column, digits: int = 6) -> Column:
 def all_of(*conditions: Column) -> Column:
     """The conjunction of conditions."""
     return reduce(lambda a, b: a & b, conditions)
+
+
+def least_rectangle(p: Column) -> Column:
+    """The rectangle of least area about a polygon's points, as a quad; the points themselves below two distinct ones.
+
+    One side of it lies along an edge of the convex hull, which is a pair of points with all others
+    on one side; so such pairs' directions are tried, the first of equal areas winning.
+    """
+
+    def along(a: Column, b: Column) -> Column:
+        ux, uy = b.x - a.x, b.y - a.y
+        norm = F.sqrt(ux * ux + uy * uy)
+        over = lambda q: (q.x * ux + q.y * uy) / norm
+        across = lambda q: (q.y * ux - q.x * uy) / norm
+        ends = F.struct(
+            (ux / norm).alias("ux"), (uy / norm).alias("uy"), F.array_min(F.transform(p, over)).alias("a"), F.array_max(F.transform(p, over)).alias("b"), F.array_min(F.transform(p, across)).alias("c"), F.array_max(F.transform(p, across)).alias("d")
+        )
+        return let(ends, lambda e: F.struct(((e.b - e.a) * (e.d - e.c)).alias("size"), e.alias("e")))
+
+    def hull_pair(a: Column, b: Column) -> Column:
+        slack = 1e-12 * ((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))
+        return ((a.x != b.x) | (a.y != b.y)) & F.forall(p, lambda q: _cross(a, b, q) >= -slack)
+
+    pairs = F.flatten(F.transform(p, lambda a: F.transform(F.filter(p, lambda b: hull_pair(a, b)), lambda b: along(a, b))))
+    corner = lambda e, s, t: point(s * e.ux - t * e.uy, s * e.uy + t * e.ux)
+    quad = lambda best: F.array(*(corner(best.e, best.e[s], best.e[t]) for s, t in (("a", "c"), ("b", "c"), ("b", "d"), ("a", "d"))))
+    return let(F.array_min(pairs), lambda best: F.when(best.isNull(), p).otherwise(quad(best)))

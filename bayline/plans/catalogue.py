@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from bayline.plans import catalogues, comparisons, evaluation, observations, records, runs, scenes
+from bayline.plans import catalogues, comparisons, evaluation, fitted, observations, records, regions, runs, scenes
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (runs, observations, catalogues, scenes, comparisons, evaluation, records):
+for _module in (runs, observations, catalogues, scenes, comparisons, evaluation, records, fitted, regions):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -9,7 +9,9 @@ from bayline.functions import hashing
 from bayline.functions.verdicts import product_state
 from bayline.operators import layouts, sampling, verification
 from bayline.plans.catalogues import SEED, SRC, simhash_sql, sources, with_hash
+from bayline.operators.spool import shared_path
 from bayline.plans.registry import Registry
+from bayline.sources import archives
 from bayline.sources.tables import table
 
 _R = Registry()
@@ -296,3 +298,13 @@ def spread_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where five calibration frames of each video lie: the midpoints of equal spans."""
     positions = sampling.spread_positions(F.col("o_custkey") + 10, 5)
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("video"), F.array_join(positions, ",").alias("positions"))
+
+
+@_R.add("archive_scan", "SELECT 'pages/' || CAST(page_id % 10 AS VARCHAR) || '/' || CAST(page_id AS VARCHAR) || '.html' AS path, octet_length(encode(html)) AS size, sha256(html) AS digest FROM pages")
+def archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, packed into gzipped archives, as their streamed members; the predicate on the path reaches the reader."""
+    pages = table(spark, sf_dir, "pages").select(F.concat_ws("/", F.lit("pages"), F.col("page_id") % 10, F.concat(F.col("page_id").cast("string"), F.lit(".html"))).alias("name"), "html")
+    path = shared_path(spark)
+    archives.write_archives(pages, path, "name", "html").agg(F.sum("members")).collect()
+    members = archives.archive_members(spark, path).where(F.col("path").startswith("pages/") & F.col("path").endswith(".html"))
+    return members.select("path", "size", F.sha2("content", 256).alias("digest"))
