@@ -233,7 +233,7 @@ def match(predicted: DataFrame, truth: DataFrame, frame: str, at: float, order:
 def calibrate(detections: DataFrame, camera: str, frame_no: str, at: float = 0.45, share: float = 0.6, least_slots: int = 4) -> DataFrame:
     """Slots that recur across a camera's frames, as mean boxes with the frames that saw them.
 
-    Detections (box_id, box, score) go in order of frame and id. Each joins the track whose mean
+    Detections (box_id, box, score) go in order of frame and id, and of box and score for equal ids. Each joins the track whose mean
     box overlaps it most, the earlier of equals, by at least at; a track takes one detection of a
     frame, besides the one that opened it. What finds no track opens one. A track survives with
     max(2, share of the frames) detections. A camera with fewer than least_slots survivors has no
@@ -241,8 +241,9 @@ def calibrate(detections: DataFrame, camera: str, frame_no: str, at: float = 0.4
     """
 
     def consensus(group: pa.Table) -> pa.Table:
-        group = group.sort_by([(frame_no, "ascending"), ("box_id", "ascending")])
         frames, scores, edges = group[frame_no].to_numpy(), group["score"].to_numpy(), _boxes(group)
+        order = np.lexsort((scores, *edges.T[::-1], group["box_id"].to_numpy(), frames))
+        frames, scores, edges = frames[order], scores[order], edges[order]
         # a track's running sums: edges, score, detections; and the frame that joined it last
         sums, joined, n = np.zeros((len(frames), 6)), np.full(len(frames), -1), 0
         step = np.concatenate([[0], np.cumsum(np.diff(frames) != 0)]) if len(frames) else frames

@@ -260,7 +260,7 @@ def greedy_match_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     ITEMS.replace("WITH", "WITH RECURSIVE")
     + """
 , d AS (SELECT frame % 5 AS camera, CAST(floor(frame / 1000) AS BIGINT) AS run, CAST(floor(frame / 100) AS BIGINT) AS no, x1, y1, x2, y2, score,
-               row_number() OVER (PARTITION BY frame % 5, floor(frame / 1000) ORDER BY floor(frame / 100), box_id) AS n FROM items WHERE is_slot),
+               row_number() OVER (PARTITION BY frame % 5, floor(frame / 1000) ORDER BY floor(frame / 100), box_id, x1, y1, x2, y2, score) AS n FROM items WHERE is_slot),
 walk AS (
   SELECT camera, run, n, [{'a': x1, 'b': y1, 'c': x2, 'd': y2, 's': score, 'n': 1::BIGINT, 'no': -1::BIGINT}] AS tracks FROM d WHERE n = 1
   UNION ALL
