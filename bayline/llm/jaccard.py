@@ -2,9 +2,11 @@
 
 A document's set holds the hashes of its n-word shingles. Documents with equal sets are one node.
 Under one order of all shingles, two sets that are similar enough share a shingle among their
-first few (the prefix). The order puts shingles that many prefixes hold last (HOT_LIST of them at
-most, found by counting all prefixes; the order changes only the work, never the result), the rest
-goes by hash. Then:
+first few (the prefix). The order goes by rank, then by hash: common shingles have the doubling of
+their count as rank, others rank 0, so the commonest come last. Ranks are joined to the shingles,
+whatever their number; the order changes only the work, never the result. Most sets get their prefix
+from those of their least hashes that are not common. Sets with too few of these are sent whole, and
+their shingles are counted too. Then:
 
 * nodes with identical prefix and size form a group;
 * groups meet in the buckets of their prefix shingles. In a bucket of up to BUCKET groups, pairs
@@ -32,12 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bayline.llm.components import connected_components
-from bayline.llm.frequent import most_frequent
 from bayline.llm.hashing import mix, shingle_hashes, text_buffers, word_hashes
 from bayline.llm.hot import join_one
-from bayline.llm.store import materialise
+from bayline.llm.store import discard, materialise
 
-HOT, HOT_LIST = 32, 500_000
+HOT = 32
+#: Common shingles with more than this share of all counted entries, fewer than its inverse, are joined by broadcast.
+SHARE = 1 / 256
+#: Ranks are below it: counts have 64 bits.
+RANKS = 64
 BUCKET = 64
 #: Members, and bytes of their sets, that a tile holds; a larger set is a tile of its own.
 TILE, TILE_BYTES = 512, 8 << 20
@@ -122,50 +127,136 @@ def document_sets(docs: DataFrame, rule: Similarity, key: str = "doc_id", text:
 
 
 def _unpack(keys: list[str]):
+    """Rows of a packed set, its key columns and, for keys with "place", the place of each shingle in the set."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 packed = part.column(0).to_pylist()
+                sizes = np.array([len(p) // 8 for p in packed], np.int64)
                 flat = np.frombuffer(b"".join(packed), np.int64)
-                rows = pa.array(np.repeat(np.arange(len(packed)), [len(p) // 8 for p in packed]))
-                yield pa.record_batch([pa.array(flat), *(part.column(1 + i).take(rows) for i in range(len(keys)))], ["shingle", *keys])
+                rows = np.repeat(np.arange(len(packed)), sizes)
+                places = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                columns = [pa.array(places) if k == "place" else part.column(1 + i).take(pa.array(rows)) for i, k in enumerate(keys)]
+                yield pa.record_batch([pa.array(flat), *columns], ["shingle", *keys])
 
     return read
 
 
-def hot_shingles(sets: DataFrame) -> np.ndarray:
-    """The shingles that stand among the least hashes of more than HOT nodes, ascending."""
-    lows = sets.where("low is not null").groupBy("node").agg(F.first("low").alias("low"))
-    counts = lows.select("low").mapInArrow(_unpack([]), "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
-    top = most_frequent(counts.where(F.col("n") > HOT), HOT_LIST).select("shingle").toArrow()
-    return np.sort(top["shingle"].to_numpy().view(np.uint64))
+def common_shingles(nodes: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """(shingle, n, rank) of the shingles that stand among the least hashes of more than HOT nodes; written.
+
+    With (node, shingles) of whole sets, shingles that are no node's least but stand in more than
+    HOT of these sets are common as well. What was common without them stays so, and no shingle
+    that a prefix of rank 0 may hold becomes so.
+    """
+    entries = nodes.select("low").mapInArrow(_unpack([]), "shingle long").withColumn("low", F.lit(1))
+    if sets is not None:
+        entries = entries.unionByName(sets.select("shingles").mapInArrow(_unpack([]), "shingle long").withColumn("low", F.lit(0)))
+    counts = entries.groupBy("shingle").agg(F.sum("low").alias("low"), F.count("*").alias("n"))
+    common = counts.where((F.col("low") > HOT) | ((F.col("low") == 0) & (F.col("n") > HOT)))
+    return materialise(common.select("shingle", "n", (F.floor(F.log2("n")) + 1).cast("long").alias("rank")))
+
+
+def _ranks(packed: DataFrame, common: DataFrame) -> DataFrame:
+    """(node, late): for each common shingle of packed (node, shingles), its place * RANKS + its rank.
+
+    The planner broadcasts the common shingles while they are few. Beyond that, those with a large
+    share of all entries are met by broadcast still, so no task gets all sets of such a shingle.
+    """
+    entries = packed.select("shingles", "node").mapInArrow(_unpack(["node", "place"]), "shingle long, node long, place long")
+    total = common.agg(F.sum("n")).first()[0] or 0
+    heavy = [r.shingle for r in common.where(F.col("n") > F.greatest(F.lit(HOT), F.lit(SHARE * total))).select("shingle").collect()]
+    is_heavy = F.col("shingle").isin(heavy)
+    met = entries.where(~is_heavy).join(common.where(~is_heavy), "shingle")
+    if heavy:
+        met = met.unionByName(entries.where(is_heavy).join(F.broadcast(common.where(is_heavy)), "shingle"))
+    return met.groupBy("node").agg(F.collect_list(F.col("place") * RANKS + F.col("rank")).alias("late"))
 
 
-def prefix_groups(docs: DataFrame, rule: Similarity, hot: np.ndarray, text: str = "text") -> DataFrame:
-    """(node, size, prefix, grp): each node's prefix, packed, and the key of its group."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+def _prefixes(ranked: DataFrame, rule: Similarity, whole: bool) -> DataFrame:
+    """(node, size, prefix, grp) from (node, size, shingles, late).
+
+    Unless sets are whole, a prefix is null that shingles of rank 0 do not fill.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent, last = _Sent(), shared.value
         for batch in batches:
-            rows = []
-            for s in _sets(batch.column(0), rule.n):
-                if not len(s) or not sent.first(node := set_key(s)):
+            prefixes, groups = [], []
+            starts = batch.column(3).offsets.to_numpy()
+            codes = batch.column(3).values.to_numpy()
+            for i, (size, packed) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                s = np.frombuffer(packed, np.uint64)
+                late = codes[starts[i] : starts[i + 1]]
+                rank = np.zeros(len(s), np.int64)
+                rank[late // RANKS] = late % RANKS
+                need = rule.prefix(size)
+                if not whole and len(s) - len(late) < need:
+                    prefixes.append(None)
+                    groups.append(None)
                     continue
-                late = _is_in(s, last)
-                prefix = np.concatenate([s[~late], s[late]])[: rule.prefix(len(s))]
-                group = int(mix(np.array([set_key(prefix)], np.int64).view(np.uint64) + np.uint64(len(s))).view(np.int64)[0])
-                rows.append((node, len(s), prefix.tobytes(), group))
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.int64()), strict=True)], ["node", "size", "prefix", "grp"])
+                prefix = s[np.argsort(rank, kind="stable")][:need]
+                prefixes.append(prefix.tobytes())
+                groups.append(int(mix(np.array([set_key(prefix)], np.int64).view(np.uint64) + np.uint64(size)).view(np.int64)[0]))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(prefixes, pa.binary()), pa.array(groups, pa.int64())], ["node", "size", "prefix", "grp"])
+
+    filled = ranked.select("node", "size", "shingles", F.coalesce("late", F.expr("cast(array() as array<bigint>)")).alias("late"))
+    return filled.mapInArrow(read, "node long, size int, prefix binary, grp long")
+
+
+def whole_sets(docs: DataFrame, rule: Similarity, keys: DataFrame, n: int, text: str = "text") -> DataFrame:
+    """(node, shingles): the sets of the n nodes in keys, by which few others may come along; written."""
+    shared = docs.sparkSession.sparkContext.broadcast(key_filter(keys, "node", n))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = _Sent()
+        nodes, packed, size = [], [], 0
+
+        def rows() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], ["node", "shingles"])
+            nodes.clear()
+            packed.clear()
+            return out
+
+        for batch in batches:
+            for s in _sets(batch.column(0), rule.n):
+                if len(s) and passes(shared.value, node := set_key(s)) and sent.first(node):
+                    nodes.append(node)
+                    packed.append(s.tobytes())
+                    size += s.nbytes
+                    if size > _PIECE:
+                        yield rows()
+                        size = 0
+        yield rows()
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(read, "node long, size int, prefix binary, grp long")
-    return rows.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("grp").alias("grp"))
+    return materialise(docs.select(F.col(text).alias("text")).mapInArrow(read, "node long, shingles binary"))
+
+
+def prefix_groups(docs: DataFrame, nodes: DataFrame, rule: Similarity, text: str = "text") -> DataFrame:
+    """(node, size, prefix, grp): each node's prefix, packed, and the key of its group; written.
+
+    nodes is (node, size, low), a row for each node.
+    """
+    common = common_shingles(nodes)
+    least = nodes.withColumnRenamed("low", "shingles")
+    found = materialise(_prefixes(least.join(_ranks(least, common), "node", "left"), rule, whole=False))
+    discard(common)
+    short = found.where("prefix is null").select("node", "size")
+    n = short.count()
+    if not n:
+        return found
+    sent = whole_sets(docs, rule, short, n, text)
+    sets = materialise(sent.groupBy("node").agg(F.first("shingles").alias("shingles")).join(short, "node"))
+    common = common_shingles(nodes, sets)
+    rest = _prefixes(sets.join(_ranks(sets, common), "node", "left"), rule, whole=True)
+    groups = materialise(found.where("prefix is not null").unionByName(rest))
+    discard(common, found, sent, sets)
+    return groups
 
 
 def candidate_edges(groups: DataFrame, rule: Similarity) -> DataFrame:
-    """(a, b): pairs of groups, or links to a large bucket's least group, that join candidates."""
+    """(a, b): pairs of groups, or links to a large bucket's least group, that join candidates; written."""
     single = groups.groupBy("grp").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     entries = materialise(single.select("prefix", "grp", "size").mapInArrow(_unpack(["grp", "size"]), "shingle long, grp long, size int"))
     met = materialise(entries.groupBy("shingle").agg(F.count("*").alias("n"), F.min("grp").alias("least")).where("n > 1"))
@@ -181,7 +272,9 @@ def candidate_edges(groups: DataFrame, rule: Similarity) -> DataFrame:
     beyond = F.greatest(*(F.ceil(s * rule.numerator / rule.denominator - 1e-9) - 1 for s in sizes))
     enough = (F.col("common") + beyond) * (rule.numerator + rule.denominator) >= (sizes[0] + sizes[1]) * rule.numerator
     large = buckets.where((F.col("n") > BUCKET) & (F.col("grp") != F.col("least"))).select(F.col("grp").alias("a"), F.col("least").alias("b"))
-    return pairs.where(enough).select("a", "b").unionByName(large)
+    edges = materialise(pairs.where(enough).select("a", "b").unionByName(large))
+    discard(entries, met, buckets)
+    return edges
 
 
 def filter_bits(keys: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -219,7 +312,7 @@ def _compare(sets: list[np.ndarray], rule: Similarity) -> np.ndarray:
     column = (np.cumsum(shared) - 1)[at]
     keep = shared[at]
     row, column = row[keep], column[keep]
-    common = np.zeros((len(sets), len(sets)), np.float32)
+    common = np.zeros((len(sets), len(sets)))
     width, total = max(1, _CELLS // len(sets)), int(shared.sum())
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
@@ -249,31 +342,8 @@ def verified_edges(docs: DataFrame, members: DataFrame, rule: Similarity, text:
     counts = materialise(members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(8 * F.col("size").cast("long")).alias("bytes")).where("n > 1"))
     n, total = counts.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("n", "bytes"))).first()
     members = materialise(members.join(counts, "cluster"))
-    shared = spark.sparkContext.broadcast(key_filter(members, "node", n))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent = _Sent()
-        nodes, packed, size = [], [], 0
-
-        def rows() -> pa.RecordBatch:
-            out = pa.record_batch([pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], ["node", "shingles"])
-            nodes.clear()
-            packed.clear()
-            return out
-
-        for batch in batches:
-            for s in _sets(batch.column(0), rule.n):
-                if len(s) and passes(shared.value, node := set_key(s)) and sent.first(node):
-                    nodes.append(node)
-                    packed.append(s.tobytes())
-                    size += s.nbytes
-                    if size > _PIECE:
-                        yield rows()
-                        size = 0
-        yield rows()
-
-    sets = docs.select(F.col(text).alias("text")).mapInArrow(read, "node long, shingles binary")
-    sets = materialise(sets).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sent = whole_sets(docs, rule, members, n, text)
+    sets = sent.groupBy("node").agg(F.first("shingles").alias("shingles"))
     tiles = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("bytes") / TILE_BYTES)).cast("int")
     jobs = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TILE_BYTES))
     placed = (
@@ -307,13 +377,18 @@ def verified_edges(docs: DataFrame, members: DataFrame, rule: Similarity, text:
 def similar_components(docs: DataFrame, rule: Similarity, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs; key must be an integer column."""
     sets = materialise(document_sets(docs, rule, key, text))
-    groups = materialise(prefix_groups(docs, rule, hot_shingles(sets), text))
+    nodes = materialise(sets.where("low is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("low").alias("low")))
+    placed = materialise(sets.select("doc_id", "node", "size"))
+    discard(sets)
+    groups = prefix_groups(docs, nodes, rule, text)
+    discard(nodes)
     clusters = connected_components(candidate_edges(groups, rule))
     clusters = clusters.select(F.col("node").alias("grp"), "component")
     members = groups.select("grp", "node", "size").join(clusters, "grp", "left")
     members = members.select(F.coalesce("component", "grp").alias("cluster"), "node", "size")
     labels = connected_components(verified_edges(docs, members, rule, text))
-    rows = materialise(sets.select("doc_id", "node", "size").join(labels, "node", "left").select("doc_id", "size", F.coalesce("component", "node").alias("component")))
+    rows = materialise(placed.join(labels, "node", "left").select("doc_id", "size", F.coalesce("component", "node").alias("component")))
+    discard(placed, groups)
     least = materialise(rows.where("size > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")))
     linked = join_one(rows.where("size > 0"), least, "component").select("doc_id", "size", "component_id")
     alone = rows.where("size = 0").select("doc_id", "size", F.col("doc_id").alias("component_id"))

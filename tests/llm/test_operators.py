@@ -47,14 +47,14 @@ def test_connected_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize(("n", "num", "den"), [(3, 90, 100), (5, 80, 100), (1, 50, 100)])
-def test_similarity_join_against_all_pairs(spark, n, num, den, monkeypatch):
+@pytest.mark.parametrize(("n", "num", "den", "hot"), [(3, 90, 100, 3), (5, 80, 100, 0), (1, 50, 100, 3), (3, 90, 100, 1000)])
+def test_similarity_join_against_all_pairs(spark, n, num, den, hot, monkeypatch):
     from tests.llm.test_queries import brute_components
 
     monkeypatch.setattr(jaccard, "BUCKET", 4)
     monkeypatch.setattr(jaccard, "TILE", 8)
     monkeypatch.setattr(jaccard, "TILE_BYTES", 2000)
-    monkeypatch.setattr(jaccard, "HOT", 3)
+    monkeypatch.setattr(jaccard, "HOT", hot)
     rng = random.Random(n)
     base = [[f"w{rng.randrange(400)}" for _ in range(rng.randint(5, 80))] for _ in range(12)]
     rows = []
@@ -68,6 +68,24 @@ def test_similarity_join_against_all_pairs(spark, n, num, den, monkeypatch):
     assert sorted(tuple(r) for r in found.collect()) == sorted(brute_components(rows, n, num, den))
 
 
+def test_shared_passages_do_not_join_candidates(spark, monkeypatch):
+    """Many passages, each in many documents: the order keeps them out of prefixes, however many they are."""
+    monkeypatch.setattr(jaccard, "HOT", 0)
+    monkeypatch.setattr(jaccard, "BUCKET", 4)
+    rng = random.Random(5)
+    passages = [" ".join(f"p{k}x{i}" for i in range(30)) for k in range(40)]
+    rows = []
+    for i in range(240):
+        own = " ".join(f"d{i}x{j}" for j in range(12))
+        rows.append((i, " ".join([own, *rng.sample(passages, 2)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rule = jaccard.Similarity(3, 90, 100)
+    nodes = jaccard.materialise(jaccard.document_sets(docs, rule).selectExpr("node", "size", "low"))
+    groups = jaccard.prefix_groups(docs, nodes, rule)
+    assert groups.where("prefix is null").count() == 0 and groups.count() == 240
+    assert jaccard.candidate_edges(groups, rule).count() == 0
+
+
 def test_chunks_follow_content():
     rng = np.random.default_rng(0)
     body = rng.integers(97, 123, 100_000, dtype=np.uint8).tobytes()
