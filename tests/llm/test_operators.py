@@ -3,6 +3,9 @@
 import collections
 import itertools
 import random
+import re
+import string
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -230,6 +233,50 @@ def test_checksums():
     assert secrets.redact("a bcdefgh i", spans) == "a [assign] i" and secrets.redact(None, []) is None
 
 
+def test_checked_spans_against_a_search_of_whole_texts():
+    """forge, registry and card spans, found without keywords: every match of the pattern, then its checksum."""
+    alphabet = string.digits + string.ascii_uppercase + string.ascii_lowercase
+
+    def check(body: str) -> str:
+        value = zlib.crc32(body.encode())
+        return "".join(alphabet[value // 62**k % 62] for k in range(5, -1, -1))
+
+    def card_holds(digits: str) -> bool:
+        found = [int(d) for d in digits if d.isdigit()]
+        total = sum(found[-1::-2]) + sum(sum(divmod(2 * d, 10)) for d in found[-2::-2])
+        return 13 <= len(found) <= 19 and total % 10 == 0 and len(set(found)) > 1
+
+    def brute(text: str) -> list[tuple[int, int, str]]:
+        spans = []
+        for kind, pattern in (("forge", "gh[pousr]_"), ("registry", "npm_")):
+            for m in re.finditer(pattern + "([A-Za-z0-9]{36})(?![A-Za-z0-9])", text):
+                if check(m[1][:30]) == m[1][30:]:
+                    spans.append((*m.span(), kind))
+        for m in re.finditer(r"card(?:[ _-]?(?:number|no))?[\"']? *[:=#] *[\"']?((?:[0-9][ -]?){12,18}[0-9])(?![0-9])", text, re.I | re.A):
+            if card_holds(m[1]):
+                spans.append((*m.span(1), "card"))
+        return sorted(spans)
+
+    rng = random.Random(11)
+    texts, planted = [], 0
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randrange(6)):
+            body = "".join(rng.choices(alphabet, k=30))
+            tail = check(body) if rng.random() < 0.6 else "".join(rng.choices(alphabet, k=6))
+            token = rng.choice(["ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_", "ghx_", "GHP_"]) + body + tail
+            digits = "".join(rng.choices(string.digits, k=rng.choice([12, 15, 15, 15, 19])))
+            digits += next(d for d in string.digits if card_holds(digits + d) or d == "9")
+            card = rng.choice(["card: ", "Card number=", 'card_no": "', "cardno# ", "cart: "]) + rng.choice([digits, " ".join(digits[i : i + 4] for i in range(0, len(digits), 4))])
+            parts += [rng.choice([token, card, token + "x", "x" + token, "ñ日" + token]), rng.choice([" ", "", "\n", "é"])]
+        texts.append("".join(parts))
+        planted += len(brute(texts[-1]))
+    found = secrets.scan_column(pa.array([*texts, None, ""]))
+    base = set(secrets.BASE_KINDS)
+    assert [[s for s in row if s[2] not in base] for row in found] == [*map(brute, texts), [], []]
+    assert planted > 200
+
+
 def test_codewords_are_far_apart():
     for n in (2, 3, 4, 5, 9, 20):
         code = language.codewords(n)
