@@ -2,9 +2,11 @@
 
 import collections
 import itertools
+import math
 import random
 import re
 import string
+import unicodedata
 import zlib
 
 import numpy as np
@@ -302,6 +304,40 @@ def test_quality_on_held_out_rows(spark):
     assert scored.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.95
 
 
+def plain_statistics(text: str | None) -> dict[str, float]:
+    """The statistics of rules.py by their meaning, one text at a time."""
+    t = text or ""
+    words, lines = [w for w in t.split(" ") if w], t.split("\n")
+    chars, n = max(len(t), 1), max(len(words), 1)
+    space = " \t\n\x0b\f\r"
+    letter = [unicodedata.category(c)[0] in "LN" for c in t]
+    odd = [not a and c not in space for a, c in zip(letter, t, strict=True)]
+    runs, i = 0, 0
+    while i + 1 < len(t):
+        found = odd[i] and t[i] == t[i + 1]
+        runs, i = runs + found, i + 1 + found
+    spaced = sum(t[i] == " " and odd[i + 1] and t[i + 2] == " " for i in range(len(t) - 2))
+    return {
+        "log_chars": math.log(len(t) + 1), "log_words": math.log(len(words) + 1), "word_length": len(t) / n,
+        "upper": sum(unicodedata.category(c) == "Lu" for c in t) / chars, "digits": sum("0" <= c <= "9" for c in t) / chars,
+        "symbols": sum(o and c not in ".," for o, c in zip(odd, t, strict=True)) / chars, "symbol_runs": runs / n,
+        "stops": sum(c in ".," for c in t) / n, "spaced_symbols": spaced / n, "wide": len(t.encode()) / chars,
+        "distinct_words": len(set(words)) / n, "distinct_lines": len(set(lines)) / len(lines), "line_length": math.log(len(t) / len(lines) + 1),
+    }
+
+
+def test_quality_scores_equal_plain_rules(spark, odd_dir):
+    folder = "/root/testdata/sf0.01"
+    model = rules.learn_quality(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"), F.lit(True))
+    assert model.rules
+    for path in (odd_dir, folder):
+        docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text")
+        for row in rules.score_quality(docs, model).collect():
+            stats = plain_statistics(row.text)
+            total = model.intercept + sum(w for rule, w in model.rules if all((stats[model.names[i]] > v) == above for i, above, v in rule))
+            assert abs(row.score - 1 / (1 + math.exp(-total))) < 1e-9, row.doc_id
+
+
 def test_languages_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     from bayline.llm.language_query import op8_language_codes
