@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
+
+from bayline.operators import series
 
 
 @dataclass(frozen=True)
@@ -30,7 +32,7 @@ def rolling_median(rows: DataFrame, slot: str, order: list[str], p: str, window:
     return rows.withColumn(out, F.percentile(p, 0.5).over(frame))
 
 
-def fold(series: Column, how: Smoothing) -> Column:
+def fold(readings: Column, how: Smoothing) -> Column:
     """Smooth an array of structs (at, median) in order: array of (at, ema, state, changed)."""
     empty = F.array().cast("array<struct<at:long,ema:double,state:boolean,changed:boolean>>")
     start = F.struct(F.lit(None).cast("double").alias("ema"), F.lit(False).alias("state"), F.lit(0).alias("pending"), empty.alias("out"))
@@ -47,71 +49,81 @@ def fold(series: Column, how: Smoothing) -> Column:
         row = F.struct(x.at.alias("at"), ema.alias("ema"), state.alias("state"), changed.alias("changed"))
         return F.struct(ema.alias("ema"), state.alias("state"), pending.alias("pending"), F.concat(a.out, F.array(row)).alias("out"))
 
-    return F.aggregate(series, start, step, lambda a: a.out)
+    return F.aggregate(readings, start, step, lambda a: a.out)
 
 
-def smooth(rows: DataFrame, slot: str, at: str, p: str, how: Smoothing = Smoothing(), keep: Sequence[str] = ()) -> DataFrame:
+def smooth(rows: DataFrame, slot: str, at: str, p: str, how: Smoothing = Smoothing(), keep: Sequence[str] = (), then: Sequence[str] = ()) -> DataFrame:
     """(slot, at, ema, state, changed) and the columns of keep: each slot's series after median, mean and hysteresis.
 
-    One group is one slot's history, held in memory by its task.
+    Rows of one time go by the columns of then, which keep holds. A row without a value (null, NaN)
+    has the mean and state before it (null and false at the start). A series of any length is cut
+    into ranges, see series.py; its means are those of one walk up to rounding.
     """
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("at")
-        tracker = SlotState()
-        out = [tracker.update(v, how) for v in group["p"].to_pylist()]
-        kept = [group[c] for c in keep]
-        return pa.table([group["slot"], group["at"], *(pa.array(c) for c in zip(*out, strict=True)), *kept], names=["slot", "at", "ema", "state", "changed", *keep])
-
-    named = rows.select(F.col(slot).cast("long").alias("slot"), F.col(at).cast("long").alias("at"), F.col(p).cast("double").alias("p"), *keep)
-    schema = StructType.fromDDL("slot long, at long, ema double, state boolean, changed boolean")
-    found = named.groupBy("slot").applyInArrow(run, StructType([*schema.fields, *(rows.schema[c] for c in keep)]))
-    return found.withColumnsRenamed({"slot": slot, "at": at})
+    def emit(walk: series.Walk, carry: series.Carry, piece: pa.RecordBatch) -> tuple[pa.RecordBatch, series.Carry]:
+        known, values = series.readings(piece)
+        before = carry.ema[how.window, how.alpha]
+        was = carry.mode[0] is not None and bool(carry.mode[0] // how.persistence)
+        found, carry = walk.means(values, carry)
+        (states,), after = walk.states(found, carry)
+        moved = states != np.concatenate([[was], states[:-1]]) if len(states) else states
+        if len(moved) and carry.mode[0] is None:
+            moved[0] = False
+        place = np.cumsum(known)
+        ema = np.concatenate([[np.nan if before is None else before], found[how.window, how.alpha]])[place]
+        changed = np.zeros(len(known), bool)
+        changed[known] = moved
+        columns = [piece["slot"], piece["at"], pa.array(ema, from_pandas=True), pa.array(np.concatenate([[was], states])[place]), pa.array(changed)]
+        return pa.RecordBatch.from_arrays([*columns, *(piece[c] for c in keep)], names=["slot", "at", "ema", "state", "changed", *keep]), after
+
+    named = rows.select(F.col(slot).cast("long").alias("slot"), F.col(at).alias("at"), F.col(p).cast("double").alias("p"), F.lit(None).cast("boolean").alias("truth"), *keep)
+    schema = StructType([StructField("slot", LongType()), StructField("at", rows.schema[at].dataType), *StructType.fromDDL("ema double, state boolean, changed boolean"), *(rows.schema[c] for c in keep)])
+    return series.walked(named, ["at", *then], [how], emit, schema).withColumnsRenamed({"slot": slot, "at": at})
 
 
 #: The grid of the smoother's parameters: window, alpha, hysteresis, persistence.
 GRID = [Smoothing(0.5, w, a, h, n) for w in (1, 3, 5) for a in (0.3, 0.5, 0.7) for h in (0.04, 0.08, 0.12) for n in (1, 2, 3)]
 
 
-def smooth_grid(rows: DataFrame, slot: str, at: str, p: str, truth: str, dataset: str, grid: Sequence[Smoothing] = GRID) -> DataFrame:
-    """(dataset, setting, tp, tn, fp, fn, transition_error) of each slot: its smoothed states under every setting against the truth.
+def smooth_grid(rows: DataFrame, slot: str, at: str, p: str, truth: str, dataset: str, grid: Sequence[Smoothing] = GRID, then: Sequence[str] = ()) -> DataFrame:
+    """(slot, dataset, setting, tp, tn, fp, fn, transition_error): each slot's smoothed states under every setting against the truth.
 
     setting numbers the grid; transition_error, on one row of a slot and setting, is how far the
-    number of changes is from the true one. All settings go through a slot's series together.
+    number of changes is from the true one. All settings go through a series together, range by
+    range (series.py). Rows without a value take no part; a missing truth is false. Rows of one time
+    go by the columns of then.
     """
-    threshold, alpha, hysteresis, persistence = (np.array([getattr(g, f) for g in grid]) for f in ("threshold", "alpha", "hysteresis", "persistence"))
-    windows = sorted({g.window for g in grid})
-    which = np.array([windows.index(g.window) for g in grid])
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("at")
-        values, true = group["p"].to_numpy(), np.array(group["truth"].to_pylist(), bool)
-        states = np.empty((len(values), len(grid)), bool)
-        ema = state = pending = None
-        for i in range(len(values)):
-            median = np.array([np.median(values[max(0, i - w + 1) : i + 1]) for w in windows])[which]
-            if i == 0:
-                ema, state, pending = median, median >= threshold, np.zeros(len(grid), np.int64)
-            else:
-                ema = (1 - alpha) * ema + alpha * median
-                wants = np.where(state, ema <= threshold - hysteresis, ema >= threshold + hysteresis)
-                pending = np.where(wants, pending + 1, 0)
-                changed = pending >= persistence
-                state, pending = state ^ changed, np.where(changed, 0, pending)
-            states[i] = state
-        off = np.abs((states[1:] != states[:-1]).sum(axis=0) - (true[1:] != true[:-1]).sum())
+
+    def emit(walk: series.Walk, carry: series.Carry, piece: pa.RecordBatch) -> tuple[pa.RecordBatch, series.Carry]:
+        true = piece["truth"].to_numpy(zero_copy_only=False).astype(bool)
+        found, after = walk.means(series.readings(piece)[1], carry)
+        states, after = walk.states(found, after)
+        s = np.array(states).T
+        was = s[:1] if carry.truth is None else np.array([[m // g.persistence for m, g in zip(carry.mode, grid, strict=True)]], bool)
+        truths = np.concatenate([true[:1] if carry.truth is None else [carry.truth], true])
+        off = np.abs(np.diff(np.concatenate([was, s]).astype(np.int8), axis=0)).sum(axis=0) - (truths[1:] != truths[:-1]).sum()
+        coded = piece["dataset"].dictionary_encode(null_encoding="encode")
+        which, t = coded.indices.to_numpy(), true[:, None]
         out = []
-        names = group["dataset"].to_pylist()
-        for k, name in enumerate(sorted(set(names), key=str)):
-            mine = np.array([n == name for n in names])
-            s, t = states[mine], true[mine][:, None]
-            counts = [(a & b).sum(axis=0) for a, b in ((s, t), (~s, ~t), (s, ~t), (~s, t))]
-            columns = [pa.array([name] * len(grid), pa.string()), pa.array(np.arange(len(grid))), *(pa.array(c) for c in counts), pa.array(off if k == 0 else np.zeros(len(grid), np.int64))]
-            out.append(pa.table(columns, names=["dataset", "setting", "tp", "tn", "fp", "fn", "transition_error"]))
-        return pa.concat_tables(out)
-
-    named = rows.select(F.col(slot).cast("long").alias("slot"), F.col(at).cast("long").alias("at"), F.col(p).cast("double").alias("p"), F.coalesce(truth, F.lit(False)).alias("truth"), F.col(dataset).cast("string").alias("dataset"))
-    return named.groupBy("slot").applyInArrow(run, "dataset string, setting long, tp long, tn long, fp long, fn long, transition_error long")
+        for k in range(len(coded.dictionary)):
+            mine = which == k
+            counts = [(a & b)[mine].sum(axis=0) for a, b in ((s, t), (~s, ~t), (s, ~t), (~s, t))]
+            name = coded.dictionary[k].as_py()
+            own = [pa.array([v] * len(grid), kind) for v, kind in ((piece["slot"][0].as_py(), pa.int64()), (name, pa.string()))]
+            out.append([*own, pa.array(np.arange(len(grid))), *(pa.array(c.astype(np.int64)) for c in counts), pa.array((off if k == 0 else np.zeros(len(grid))).astype(np.int64))])
+        columns = [pa.concat_arrays(c) for c in zip(*out, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=["slot", "dataset", "setting", "tp", "tn", "fp", "fn", "off"]), after._replace(truth=bool(true[-1]))
+
+    value = F.col(p).cast("double")
+    named = rows.where(value.isNotNull() & ~F.isnan(value)).select(
+        F.col(slot).cast("long").alias("slot"), F.col(at).alias("at"), value.alias("p"), F.coalesce(truth, F.lit(False)).alias("truth"), F.col(dataset).cast("string").alias("dataset"), *then
+    )
+    found = series.walked(named, ["at", *then], grid, emit, "slot long, dataset string, setting long, tp long, tn long, fp long, fn long, off long")
+    whole = found.groupBy("slot", "dataset", "setting").agg(*(F.sum(c).alias(c) for c in ("tp", "tn", "fp", "fn", "off")))
+    own = W.partitionBy("slot", "setting")
+    first = F.row_number().over(own.orderBy("dataset")) == 1
+    error = F.when(first, F.abs(F.sum("off").over(own))).otherwise(F.lit(0).cast("long"))
+    return whole.withColumn("transition_error", error).drop("off")
 
 
 class SlotState:

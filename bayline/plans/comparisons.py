@@ -232,9 +232,7 @@ SELECT w AS "window", a AS alpha, h AS hysteresis, hold AS persistence, worst AS
 )
 def temporal_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smoothing parameters, of 81 settings, of the best worst camera, then of fewest false vacancies, fewest wrong changes and least persistence."""
-    place = F.row_number().over(Window.partitionBy("slot").orderBy("ts", "id")).cast("long")
-    rows = observations(spark, sf_dir).withColumn("n", place)
-    found = temporal.smooth_grid(rows, "slot", "n", "p", "truth", "camera")
+    found = temporal.smooth_grid(observations(spark, sf_dir), "slot", "ts", "p", "truth", "camera", then=["id"])
     counts = found.groupBy("dataset", "setting").agg(*(F.sum(c).alias(c) for c in ("tp", "tn", "fp", "fn", "transition_error")))
     ba = counts.withColumn("ba", F.round(selection.balanced_accuracy(), 6))
     points = ba.groupBy("setting").agg(

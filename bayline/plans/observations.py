@@ -288,10 +288,8 @@ f AS (
 
 
 def smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings with their place in the slot's series, and the smoother's answer."""
-    w = Window.partitionBy("slot").orderBy("ts", "id")
-    rows = observations(spark, sf_dir).withColumn("n", F.row_number().over(w).cast("long"))
-    return temporal.smooth(rows, "slot", "n", "p", keep=["id", "ts", "camera"])
+    """Readings and the smoother's answer, in the order of (ts, id)."""
+    return temporal.smooth(observations(spark, sf_dir), "slot", "ts", "p", keep=["id", "camera"], then=["id"])
 
 
 @_R.add("ema_series", _SMOOTH + "SELECT id, round(ema, 6) AS ema FROM f")
@@ -310,7 +308,7 @@ def hysteresis_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_R.add("final_states", _SMOOTH + "SELECT slot, arg_max(state, n) AS state, max(n) AS readings FROM f GROUP BY slot")
 def final_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each slot's last state."""
-    return smoothed(spark, sf_dir).groupBy("slot").agg(F.max_by("state", "n").alias("state"), F.max("n").alias("readings"))
+    return smoothed(spark, sf_dir).groupBy("slot").agg(F.max_by("state", F.struct("ts", "id")).alias("state"), F.count("*").alias("readings"))
 
 
 @_R.add(
