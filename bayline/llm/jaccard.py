@@ -33,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bayline.llm import store
 from bayline.llm.components import connected_components
 from bayline.llm.hashing import mix, shingle_hashes, text_buffers, word_hashes
 from bayline.llm.hot import join_one
-from bayline.llm.store import discard, materialise
+from bayline.llm.store import discard
 
 HOT = 32
 #: Common shingles with more than this share of all counted entries, fewer than its inverse, are joined by broadcast.
@@ -53,6 +54,8 @@ REMEMBERED = 500_000
 _CELLS = 1 << 22
 #: Bytes of sets that a task gathers before it hands them on.
 _PIECE = 4 << 20
+#: Bytes of texts or sets in a batch for Python, which makes several times as much of them.
+BATCH = "4m"
 
 
 class Similarity:
@@ -70,6 +73,11 @@ class Similarity:
         return self.denominator * common >= self.numerator * (a + b - common)
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """df written in the shared folder, with small batches on the way."""
+    return store.materialise(df, batch=BATCH)
+
+
 def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
     for _, _, data, offsets in text_buffers(column):
         words, bounds = word_hashes(data, offsets)

@@ -34,10 +34,11 @@ WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "tru
 _writing = threading.Lock()
 
 
-def materialise(df: DataFrame, codec: str = "zstd", by: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, codec: str = "zstd", by: str | None = None, batch: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back; by names a column with a folder for each value.
 
-    The written table cuts the lineage: a lost executor costs its running tasks only.
+    batch is the most bytes of a batch for Python, for work that needs many times its input. The
+    written table cuts the lineage: a lost executor costs its running tasks only.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/bayline/{uuid.uuid4().hex}"
@@ -46,6 +47,8 @@ def materialise(df: DataFrame, codec: str = "zstd", by: str | None = None) -> Da
         try:
             for key, value in WHILE_WRITING.items():
                 spark.conf.set(key, value)
+            if batch:
+                spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch)
             df.write.option("compression", codec).partitionBy([by] if by else []).parquet(path)
         finally:
             for key, value in before.items():
