@@ -59,8 +59,8 @@ area AS (SELECT frame, y, unnest(range(a, b + 1)) AS x FROM runs JOIN label USIN
 @_R.add("parking_regions", _AREA + "SELECT frame, count(*) AS regions, CAST(sum(n) AS BIGINT) AS cells, CAST(max(n) AS BIGINT) AS largest FROM sized WHERE n >= total * 0.05 GROUP BY frame")
 def parking_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The regions of each frame's inferred parking area and their cells."""
-    area = areas.parking_area(*_sides(spark, sf_dir), "frame", CELL)
-    sizes = area.groupBy("frame", "region").agg(F.count("*").alias("n"))
+    runs = areas.parking_runs(*_sides(spark, sf_dir), "frame", CELL)
+    sizes = runs.groupBy("frame", "region").agg(F.sum(F.col("b") - F.col("a") + 1).alias("n"))
     return sizes.groupBy("frame").agg(F.count("*").alias("regions"), F.sum("n").alias("cells"), F.max("n").alias("largest"))
 
 
@@ -80,7 +80,7 @@ def inferred_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each frame's vehicles stand, by its inferred parking area."""
     slots, vehicles = _sides(spark, sf_dir)
     taken = matching.link_boxes(slots, vehicles, "frame").where("occupies")
-    found = areas.placed(vehicles, taken, areas.parking_area(slots, vehicles, "frame", CELL), "frame", CELL)
+    found = areas.placed(vehicles, taken, areas.parking_runs(slots, vehicles, "frame", CELL), "frame", CELL)
     names = ("in_mapped_space", "in_parking_area", "outside_parking_area", "area_unknown")
     return found.groupBy("frame").agg(*(F.count_if(F.col("placement") == n).alias(n) for n in names), F.count_if(F.col("placement") != "outside_parking_area").alias("facility_vehicles"))
 

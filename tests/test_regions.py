@@ -201,3 +201,13 @@ def test_the_stream_confirms_like_the_batch(spark, tmp_path):
     found = spark.read.parquet(f"file://{tmp_path}/out").collect()
     assert len(found) == len(expected) and {(r.camera, r.frame_no, r.box_id): r.confirmed for r in found} == expected
     assert len(set(expected.values())) == 2
+
+
+def test_closing_keeps_runs_not_cells(spark):
+    """A wide frame costs a run a row at every step, whatever its number of cells."""
+    edges = [(1, 0.0, 0.0, 2999.0, 20.0), (1, -300.0, 40.0, -290.0, 46.0)]
+    slots = spark.createDataFrame([(f, i, *b) for i, (f, *b) in enumerate(edges)], "frame long, slot_id long, x1 double, y1 double, x2 double, y2 double").select("frame", "slot_id", boxes.box(*(F.col(c) for c in ("x1", "y1", "x2", "y2"))).alias("box"))
+    runs = areas.parking_runs(slots, slots.limit(0).withColumnRenamed("slot_id", "vehicle_id"), "frame", 3.0).collect()
+    expected = plain_area([b for _, *b in edges], [], 3.0)
+    assert {(x, r.y) for r in runs for x in range(r.a, r.b + 1)} == set().union(*expected)
+    assert len(runs) == len({r.y for r in runs}) < 20
