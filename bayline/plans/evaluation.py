@@ -367,14 +367,14 @@ def count_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     ITEMS
     + """
 SELECT frame, count(*) FILTER (WHERE is_slot) AS slots, CASE WHEN count(*) FILTER (WHERE is_slot) = 0 THEN 'not_detected' WHEN count(*) FILTER (WHERE is_slot) NOT BETWEEN 4 AND 250 THEN 'outside_domain'
-       WHEN avg(score) FILTER (WHERE is_slot) < 0.05 THEN 'uncertain' ELSE 'detected' END AS status FROM items GROUP BY frame
+       WHEN round(avg(score) FILTER (WHERE is_slot), 9) < 0.05 THEN 'uncertain' ELSE 'detected' END AS status FROM items GROUP BY frame
 """,
 )
 def slot_count_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A frame's status by how many slots it shows, and by their mean confidence."""
+    """A frame's status by how many slots it shows, and by their mean confidence, to nine digits: its last bits hang on the order of the sum."""
     slot = F.col("is_slot")
     rows = items(spark, sf_dir).groupBy("frame").agg(F.count_if(slot).alias("slots"), F.avg(F.when(slot, F.col("score"))).alias("mean"))
-    status = F.when(F.col("slots") == 0, "not_detected").when(~F.col("slots").between(4, 250), "outside_domain").when(F.col("mean") < 0.05, "uncertain").otherwise("detected")
+    status = F.when(F.col("slots") == 0, "not_detected").when(~F.col("slots").between(4, 250), "outside_domain").when(F.round("mean", 9) < 0.05, "uncertain").otherwise("detected")
     return rows.select("frame", "slots", status.alias("status"))
 
 
