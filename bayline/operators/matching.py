@@ -21,9 +21,8 @@ def link_boxes(slots: DataFrame, vehicles: DataFrame, frame: str) -> DataFrame:
     """Links of vehicles (vehicle_id, box) and slots (slot_id, box) of one frame, by ground footprint."""
     foot = vehicles.select(frame, "vehicle_id", boxes.footprint(F.col("box")).alias("foot"))
     both = slots.select(frame, "slot_id", F.col("box").alias("slot")).join(foot, frame)
-    cover = boxes.coverage(F.col("slot"), F.col("foot"))
-    linked = both.where(boxes.overlaps(F.col("slot"), F.col("foot"))).withColumn("cover", cover)
-    return _links(linked, frame, boxes.contains(F.col("slot"), (F.col("foot.x1") + F.col("foot.x2")) / 2, (F.col("foot.y1") + F.col("foot.y2")) / 2))
+    near = both.where(boxes.overlaps(F.col("slot"), F.col("foot")))
+    return _links(near, frame, boxes.coverage(F.col("slot"), F.col("foot")), boxes.contains(F.col("slot"), (F.col("foot.x1") + F.col("foot.x2")) / 2, (F.col("foot.y1") + F.col("foot.y2")) / 2))
 
 
 def link_polygons(slots: DataFrame, vehicles: DataFrame, frame: str) -> DataFrame:
@@ -32,11 +31,12 @@ def link_polygons(slots: DataFrame, vehicles: DataFrame, frame: str) -> DataFram
     foot = vehicles.select(frame, "vehicle_id", boxes.footprint(F.col("box")).alias("foot"))
     both = slots.select(frame, "slot_id", polygons.canonical(F.col("polygon")).alias("slot")).withColumn("around", around).join(foot, frame)
     near = both.where(boxes.overlaps(F.col("around"), F.col("foot")))
-    linked = near.withColumn("cover", polygons.coverage(F.col("slot"), boxes.to_quad(F.col("foot"))))
-    return _links(linked, frame, polygons.contains(F.col("slot"), (F.col("foot.x1") + F.col("foot.x2")) / 2, (F.col("foot.y1") + F.col("foot.y2")) / 2))
+    return _links(near, frame, polygons.coverage(F.col("slot"), boxes.to_quad(F.col("foot"))), polygons.contains(F.col("slot"), (F.col("foot.x1") + F.col("foot.x2")) / 2, (F.col("foot.y1") + F.col("foot.y2")) / 2))
 
 
-def _links(linked: DataFrame, frame: str, inside: Column) -> DataFrame:
+def _links(near: DataFrame, frame: str, cover: Column, inside: Column) -> DataFrame:
+    """The links among pairs that are near. The generator keeps the shares out of the join's condition, which would work them out for every pair and once for each mention."""
+    linked = near.select("*", F.explode(F.array(cover)).alias("cover"))
     best = F.greatest("cover.first", "cover.second")
     return linked.where(best >= LINK_AT).select(
         frame,
@@ -169,6 +169,47 @@ def suppress_polygons(polygons_: DataFrame, frame: str, threshold: float, limit:
     return walk.groupBy(frame).agg(kept.alias("kept")).select(frame, F.inline("kept"))
 
 
+#: Pairs of boxes that a matching measures together; a frame with more is measured alone.
+PAIRS = 1 << 19
+
+
+def _sorted(table: pa.Table, frame: str, by_score: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(frames, ids, scores, boxes) of a batch by frame and id, or by frame, falling score and id."""
+    keys, ids, scores = (table[c].to_numpy() for c in (frame, "box_id", "score"))
+    edges = np.stack([table[e].to_numpy() for e in EDGES], axis=1)
+    order = np.lexsort((ids, -scores, keys) if by_score else (ids, keys))
+    return keys[order], ids[order], scores[order], edges[order]
+
+
+def _spans(keys: np.ndarray, many: np.ndarray) -> list[tuple[int, int]]:
+    """Spans of rows, each of whole frames, with PAIRS pairs or fewer or a single frame; many is a row's number of pairs."""
+    ends = np.append(np.flatnonzero(np.diff(keys) != 0) + 1, len(keys)) if len(keys) else np.empty(0, np.int64)
+    upto = np.cumsum(many)
+    out, lo = [], 0
+    while lo < len(keys):
+        full = upto[ends - 1] - (upto[lo - 1] if lo else 0) > PAIRS
+        here = ends[(ends > lo) & ~full]
+        hi = int(here[-1]) if len(here) else int(ends[ends > lo][0])
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
+def _near(a: np.ndarray, b: np.ndarray, first: np.ndarray, last: np.ndarray, lo: int, hi: int, at: float, positive: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, IoU) of rows i from lo to hi of a and rows j from first to last of b that overlap by at."""
+    many = (last - first)[lo:hi]
+    i = np.repeat(np.arange(lo, hi), many)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[lo:hi], many)
+    x, y = a[i], b[j]
+    sides = np.maximum(np.minimum(x[:, 2:], y[:, 2:]) - np.maximum(x[:, :2], y[:, :2]), 0)
+    common = sides[:, 0] * sides[:, 1]
+    size = lambda z: np.prod(np.maximum(z[:, 2:] - z[:, :2], 0), axis=1)
+    union = size(x) + size(y) - common
+    overlap = np.divide(common, union, out=np.zeros_like(common), where=union > 0)
+    met = (overlap >= at) & ((overlap > 0) | (not positive))
+    return i[met], j[met], overlap[met]
+
+
 def _columns(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.Table:
     columns = list(zip(*rows, strict=True)) or [[] for _ in kinds]
     return pa.table([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
@@ -182,49 +223,30 @@ def match(predicted: DataFrame, truth: DataFrame, frame: str, at: float, order:
     (frame, predicted_id, truth_id, overlap, predicted_score, truth_score, corner_error), one id null
     for those without a partner; corner_error is the mean distance of the corners of a pair.
     """
-    nothing = (np.empty(0, np.int64), np.empty(0), np.empty((0, 4)))
     kinds = [(frame, pa.int64()), ("predicted_id", pa.int64()), ("truth_id", pa.int64()), *((c, pa.float64()) for c in ("overlap", "predicted_score", "truth_score", "corner_error"))]
 
-    def corners(a: np.ndarray, b: np.ndarray) -> float:
-        x, y = np.abs(a - b)[[0, 2]], np.abs(a - b)[[1, 3]]
-        return float(np.hypot(x[[0, 1, 1, 0]], y[[0, 0, 1, 1]]).mean())
-
-    def partners(overlap: np.ndarray) -> dict[int, int]:
-        found: dict[int, int] = {}
-        free = np.ones(overlap.shape[1], bool)
-        if order == "by_overlap":
-            for k in np.argsort(-overlap, axis=None, kind="stable").tolist():
-                a, b = divmod(k, overlap.shape[1])
-                if overlap[a, b] >= at and a not in found and free[b]:
-                    found[a], free[b] = b, False
-            return found
-        for a in range(len(overlap)):
-            left = np.flatnonzero(free)
-            if not len(left):
-                break
-            row = overlap[a, left]
-            b = int(left[row.argmax()] if tie == "first" else left[len(row) - 1 - row[::-1].argmax()])
-            if overlap[a, b] >= at and overlap[a, b] > 0:
-                found[a], free[b] = b, False
-        return found
-
     def pair(p: pa.Table, t: pa.Table) -> pa.Table:
-        ours, theirs = _frames(p, frame), _frames(t, frame)
-        out: list[tuple] = []
-        for key in ours.keys() | theirs.keys():
-            pid, scores, a = ours.get(key, nothing)
-            tid, true_scores, b = theirs.get(key, nothing)
-            by_score = np.argsort(-scores, kind="stable")
-            pid, scores, a = pid[by_score], scores[by_score], a[by_score]
-            overlap = iou_matrix(a, b)
-            found = partners(overlap)
-            for i, one in enumerate(pid.tolist()):
-                j = found.get(i)
-                partner = (None, None, None) if j is None else (int(tid[j]), float(overlap[i, j]), float(true_scores[j]))
-                out.append((key, one, *partner[:2], float(scores[i]), partner[2], None if j is None else corners(a[i], b[j])))
-            taken = set(found.values())
-            out += [(key, None, int(tid[j]), None, None, float(true_scores[j]), None) for j in range(len(tid)) if j not in taken]
-        return _columns(out, kinds)
+        keys, pid, scores, a = _sorted(p, frame, by_score=True)
+        true_keys, tid, true_scores, b = _sorted(t, frame)
+        first, last = np.searchsorted(true_keys, keys), np.searchsorted(true_keys, keys, side="right")
+        near = [_near(a, b, first, last, lo, hi, at, positive=order != "by_overlap") for lo, hi in _spans(keys, last - first)]
+        i, j, overlap = (np.concatenate(c) for c in zip(*near, strict=True)) if near else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        rank = np.lexsort((j, i, -overlap)) if order == "by_overlap" else np.lexsort((j if tie == "first" else -j, -overlap, i))
+        partner, chosen, free = np.full(len(pid), -1), np.zeros(len(pid)), np.ones(len(tid), bool)
+        for k, u, v in zip(rank.tolist(), i[rank].tolist(), j[rank].tolist(), strict=True):
+            if partner[u] < 0 and free[v]:
+                partner[u], chosen[u], free[v] = v, overlap[k], False
+        alone, left = partner < 0, np.flatnonzero(free)
+        of, none = np.where(alone, 0, partner), np.ones(len(left), bool)
+        at_truth = lambda x: x[of] if len(x) else np.zeros((len(of), *x.shape[1:]), x.dtype)
+        off = np.abs(a - at_truth(b))
+        corners = np.hypot(off[:, [0, 2, 2, 0]], off[:, [1, 1, 3, 3]]).mean(axis=1)
+        blank = np.zeros(len(left))
+        columns = [
+            (keys, None, true_keys[left], None), (pid, None, tid[left], none), (at_truth(tid), alone, tid[left], None), (chosen, alone, blank, none),
+            (scores, None, blank, none), (at_truth(true_scores), alone, true_scores[left], None), (corners, alone, blank, none),
+        ]
+        return pa.table([pa.chunked_array([pa.array(x, kind, mask=m), pa.array(y, kind, mask=n)]) for (x, m, y, n), (_, kind) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
 
     left, right = _flat(predicted, frame).groupBy("batch"), _flat(truth, frame).groupBy("batch")
     return left.cogroup(right).applyInArrow(pair, f"{frame} long, predicted_id long, truth_id long, overlap double, predicted_score double, truth_score double, corner_error double")
