@@ -33,7 +33,7 @@ def rotate(p: Column, n: Column | int = 1) -> Column:
 
 
 def _edges(p: Column) -> Column:
-    return F.zip_with(p, rotate(p), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return let(p, lambda q: F.zip_with(q, rotate(q), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
 
 
 def _cross(a: Column, b: Column, c: Column) -> Column:
@@ -166,13 +166,13 @@ def corner_error(a: Column, b: Column) -> Column:
 def shorter_side(p: Column) -> Column:
     """The shorter of a quad's two mean opposite sides; null for other polygons."""
     lengths = F.transform(_edges(p), lambda e: F.sqrt(F.pow(e.a.x - e.b.x, 2) + F.pow(e.a.y - e.b.y, 2)))
-    return F.when(F.size(p) == 4, F.least((lengths[0] + lengths[2]) / 2, (lengths[1] + lengths[3]) / 2))
+    return let(lengths, lambda s: F.when(F.size(s) == 4, F.least((s[0] + s[2]) / 2, (s[1] + s[3]) / 2)))
 
 
 def bounds(p: Column) -> Column:
     """The axis-aligned box around a polygon."""
-    part = lambda f, name: f(F.transform(p, lambda q: q[name]))
-    return F.struct(part(F.array_min, "x").alias("x1"), part(F.array_min, "y").alias("y1"), part(F.array_max, "x").alias("x2"), part(F.array_max, "y").alias("y2"))
+    part = lambda f, o, name: f(F.transform(o, lambda q: q[name]))
+    return let(p, lambda o: F.struct(part(F.array_min, o, "x").alias("x1"), part(F.array_min, o, "y").alias("y1"), part(F.array_max, o, "x").alias("x2"), part(F.array_max, o, "y").alias("y2")))
 
 
 def rotated_box(cx: Column, cy: Column, w: Column, h: Column, angle: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bayline.functions.numbers import calibration_bin, confidence, ratio_or_null, ratio_or_zero
+from bayline.operators.spool import written
 
 COUNTS = ("tp", "tn", "fp", "fn")
 
@@ -89,24 +90,24 @@ def calibration_error(rows: DataFrame, groups: Sequence[str], p: str, truth: str
 def order_statistics(rows: DataFrame, groups: Sequence[str], value: str, indices: Mapping[str, Callable[[Column], Column]], bins: int = 1024) -> DataFrame:
     """Elements of each group's sorted values by index, exactly: a column for each name in indices.
 
-    indices maps a name to the index, from 0, as a function of the group's size. Values are
-    counted in bins of equal width first; only those of the bins that hold a wanted index are
-    counted one by one and ranked, so no group is gathered or sorted as a whole. Nulls do not
-    count; equal values are one row with their number.
+    indices maps a name to the index, from 0, as a function of the group's size. Equal values are
+    one row with their number, written first, so that rows are read and values worked out once.
+    They are counted in bins of equal width; only those of the bins that hold a wanted index are
+    ranked, so no group is gathered or sorted as a whole. Nulls do not count.
     """
     keys = list(groups)
-    known = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
-    size = known.groupBy(*keys).agg(F.count("*").alias("__size"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+    known = written(rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__n")))
+    size = known.groupBy(*keys).agg(F.sum("__n").alias("__size"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
     wide = F.col("__high") - F.col("__low")
     share = F.try_divide(F.col("__v") - F.col("__low"), wide)
     together = (lambda a, b: a.join(b, keys)) if keys else (lambda a, b: a.crossJoin(F.broadcast(b)))  # without groups b has one row
     placed = together(known, size).withColumn("__bin", F.coalesce(F.least(F.floor(share * bins), F.lit(bins - 1)), F.lit(0)))
-    counts = placed.groupBy(*keys, "__bin").agg(F.count("*").alias("__n"), F.first("__size").alias("__size"))
+    counts = placed.groupBy(*keys, "__bin").agg(F.sum("__n").alias("__n"), F.first("__size").alias("__size"))
     before = F.sum("__n").over(W.partitionBy(*keys).orderBy("__bin")) - F.col("__n")
     wanted = F.array(*(F.struct(F.lit(name).alias("name"), at(F.col("__size")).cast("long").alias("at")) for name, at in indices.items()))
     hit = F.filter(wanted, lambda w: (w["at"] >= F.col("__before")) & (w["at"] < F.col("__before") + F.col("__n")))
     chosen = counts.withColumn("__before", before).withColumn("__wanted", hit).where(F.size("__wanted") > 0).select(*keys, "__bin", "__before", "__wanted")
-    values = placed.join(chosen, [*keys, "__bin"]).groupBy(*keys, "__bin", "__before", "__wanted", "__v").agg(F.count("*").alias("__n"))
+    values = placed.select(*keys, "__bin", "__v", "__n").join(chosen, [*keys, "__bin"])
     upto = F.sum("__n").over(W.partitionBy(*keys, "__bin").orderBy("__v")) + F.col("__before")
     ranked = values.withColumn("__upto", upto).select(*keys, "__v", "__n", "__upto", F.explode("__wanted").alias("__w"))
     found = ranked.where((F.col("__w.at") < F.col("__upto")) & (F.col("__w.at") >= F.col("__upto") - F.col("__n")))

@@ -365,10 +365,13 @@ WITH q AS (SELECT p_partkey, p_partkey % 50 / 100.0 AS x, p_size / 100.0 AS y, 0
 """
 
 
-def _quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _quads(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """Parallelograms; spread deals their few bytes over all cores before the shapes are worked out."""
     k = F.col("p_partkey")
     x, y, w, h = k % 50 / 100.0, F.col("p_size") / 100.0, F.lit(0.1) + k % 7 / 50.0, k % 11 / 100.0
-    rows = table(spark, sf_dir, "part").select("p_partkey", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    parts = parts.repartition(2 * spark.sparkContext.defaultParallelism) if spread else parts
+    rows = parts.select("p_partkey", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
     skew = F.array(F.array(F.col("x"), F.col("y")), F.array(F.col("x") + F.col("w"), F.col("y") + F.col("h")), F.array(F.col("x") + F.col("w"), F.col("y") + F.col("h") * 2), F.array(F.col("x"), F.col("y") + F.col("h")))
     return rows.withColumn("pairs", skew).withColumn("quad", polygons.from_pairs(F.col("pairs")))
 
@@ -410,7 +413,7 @@ def corner_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_R.add("median_bay_side", _QUADS + "SELECT round(quantile_cont(least(sqrt(w * w + h * h), h), 0.5), 6) AS side FROM q")
 def median_bay_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The median of the quads' shorter sides."""
-    sides = _quads(spark, sf_dir).select(polygons.shorter_side(F.col("quad")).alias("side"))
+    sides = _quads(spark, sf_dir, spread=True).select(polygons.shorter_side(F.col("quad")).alias("side"))
     return metrics.medians(sides, [], "side").select(F.round("median", 6).alias("side"))
 
 

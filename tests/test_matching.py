@@ -67,3 +67,16 @@ def test_links_work_out_shares_outside_the_join(spark):
         joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
         assert joins and all(" / " not in line and "lambda" not in line for line in joins)
         assert found.count() > 0
+
+
+def test_polygons_are_worked_out_once(spark):
+    """A polygon that is an expression itself stands in each function once, not once for each mention."""
+    from bayline.functions import polygons
+
+    shape = F.transform("pp", lambda v: F.struct(v.alias("x"), (v * v).alias("y")))
+    df = spark.createDataFrame([(1, [0.0, 1.0, 2.0, 3.0])], "id int, pp array<double>")
+    for f in (polygons.shorter_side, polygons.bounds, polygons.area):
+        plan = df.select(f(shape).alias("out"))._jdf.queryExecution().analyzed().toString()
+        assert plan.splitlines()[0].count("pp#") == 1, f.__name__
+    expected = min((2**0.5 + 26**0.5) / 2, (10**0.5 + 90**0.5) / 2)  # sides (0,0)-(1,1)-(2,4)-(3,9)-(0,0)
+    assert abs(df.select(polygons.shorter_side(shape).alias("out")).first().out - expected) < 1e-12
