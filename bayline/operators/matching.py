@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bayline.functions import boxes, polygons
+from bayline.functions import boxes, convex, polygons
 
 LINK_AT, OCCUPY_AT = 0.10, 0.35
 
@@ -95,11 +95,15 @@ EDGES = ("x1", "y1", "x2", "y2")
 FRAMES = 256
 
 
+def _batch(frame: str) -> Column:
+    """The batch of FRAMES frames or fewer that a row belongs to."""
+    return F.floor(F.col(frame).cast("long") / FRAMES).alias("batch")
+
+
 def _flat(rows: DataFrame, frame: str) -> DataFrame:
-    """Long ids, the edges as columns of their own, and the batch of FRAMES frames or fewer that a row belongs to."""
-    batch = F.floor(F.col(frame).cast("long") / FRAMES).alias("batch")
+    """Long ids, the edges as columns of their own, and the batch that a row belongs to."""
     edges = [F.col("box")[e].alias(e) for e in EDGES]
-    return rows.select(batch, F.col(frame).cast("long").alias(frame), F.col("box_id").cast("long"), F.col("score").cast("double"), *edges)
+    return rows.select(_batch(frame), F.col(frame).cast("long").alias(frame), F.col("box_id").cast("long"), F.col("score").cast("double"), *edges)
 
 
 def _frames(table: pa.Table, frame: str) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -149,24 +153,28 @@ def suppress(boxes_: DataFrame, frame: str, threshold: float) -> DataFrame:
 def suppress_polygons(polygons_: DataFrame, frame: str, threshold: float, limit: int) -> DataFrame:
     """Greedy suppression of convex polygons (box_id, score, polygon), of which a frame keeps limit at most.
 
-    Which polygons overlap by threshold is a join inside the frame, bounding boxes before the exact
-    clip; only the walk over those overlaps, by falling score and then box_id, is sequential.
+    By falling score, ties by box_id, a polygon goes if a kept one overlaps it by threshold. The
+    frames of a batch go in turns together: a turn keeps the first polygon left of each frame and
+    drops what it overlaps, so that kept ones are measured and never all pairs. Polygons without
+    three finite corners overlap nothing; rows without a frame take no part.
     """
-    rows = polygons_.select(frame, "box_id", "score", polygons.canonical(F.col("polygon")).alias("p")).withColumn("around", polygons.bounds(F.col("p")))
-    a, b = (rows.select(frame, *(F.col(c).alias(f"{c}_{n}") for c in ("box_id", "score", "p", "around"))) for n in "ab")
-    before = (F.col("score_b") > F.col("score_a")) | ((F.col("score_b") == F.col("score_a")) & (F.col("box_id_b") < F.col("box_id_a")))
-    met = a.join(b, frame).where(before & boxes.overlaps(F.col("around_a"), F.col("around_b")) & (polygons.iou(F.col("p_a"), F.col("p_b")) >= threshold))
-    over = met.groupBy(frame, F.col("box_id_a").alias("box_id")).agg(F.collect_list("box_id_b").alias("over"))
-    walk = rows.select(frame, "box_id", "score").join(over, [frame, "box_id"], "left")
-    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("least"), "box_id", F.coalesce("over", F.array().cast("array<long>")).alias("over"))))
-    kept = F.aggregate(
-        order,
-        F.array().cast("array<struct<box_id:bigint,score:double>>"),
-        lambda out, x: F.when((F.size(out) >= limit) | F.arrays_overlap(F.transform(out, lambda k: k.box_id), x["over"]), out).otherwise(
-            F.concat(out, F.array(F.struct(x.box_id.cast("long").alias("box_id"), (-x.least).cast("double").alias("score"))))
-        ),
-    )
-    return walk.groupBy(frame).agg(kept.alias("kept")).select(frame, F.inline("kept"))
+
+    def keep(group: pa.Table) -> pa.Table:
+        keys, ids, scores = (group[c].to_numpy() for c in (frame, "box_id", "score"))
+        shapes = convex.polygons_of(group["polygon"])
+        left, kept = np.lexsort((ids, -scores, keys)), []
+        for turn in range(limit):
+            if not len(left):
+                break
+            first = np.concatenate([[True], np.diff(keys[left]) != 0])
+            kept.append(left[first])
+            if turn + 1 < limit:
+                of, left = left[first][np.cumsum(first) - 1][~first], left[~first]
+                left = left[shapes.iou(left, of) < threshold]
+        return group.take(np.concatenate(kept) if kept else np.empty(0, np.int64)).select([frame, "box_id", "score"])
+
+    rows = polygons_.where(F.col(frame).isNotNull()).select(_batch(frame), F.col(frame).cast("long").alias(frame), F.col("box_id").cast("long"), F.col("score").cast("double"), "polygon")
+    return rows.groupBy("batch").applyInArrow(keep, f"{frame} long, box_id long, score double")
 
 
 #: Pairs of boxes that a matching measures together; a frame with more is measured alone.

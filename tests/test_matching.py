@@ -80,3 +80,43 @@ def test_polygons_are_worked_out_once(spark):
         assert plan.splitlines()[0].count("pp#") == 1, f.__name__
     expected = min((2**0.5 + 26**0.5) / 2, (10**0.5 + 90**0.5) / 2)  # sides (0,0)-(1,1)-(2,4)-(3,9)-(0,0)
     assert abs(df.select(polygons.shorter_side(shape).alias("out")).first().out - expected) < 1e-12
+
+
+def test_polygon_suppression_measures_kept_ones_only(spark, monkeypatch):
+    """Odd polygons of several sizes against a plain walk; a turn measures a frame's kept polygon against those left."""
+    import numpy as np
+    import pyarrow as pa
+
+    from bayline.functions import convex, polygons
+
+    rng, rows = random.Random(7), []
+    for f in range(30):
+        for i in range(rng.randint(0, 8)):
+            cx, cy, n = rng.random() * 3, rng.random() * 3, rng.choice((3, 4, 4, 6))
+            turns = sorted(rng.random() * 6.28 for _ in range(n))
+            corners = [(cx + np.cos(t), cy + np.sin(t)) for t in turns]
+            rng.shuffle(corners)
+            rows.append((f, i, rng.randint(0, 4) / 4, [{"x": float(x), "y": float(y)} for x, y in corners]))
+    rows += [(90, 1, 0.5, None), (90, 2, 0.5, []), (90, 3, 0.4, [{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 1.0}]), (None, 4, 0.9, None)]
+    df = spark.createDataFrame(rows, "frame long, box_id long, score double, polygon array<struct<x:double,y:double>>")
+    sides = df.select("frame", "box_id", polygons.canonical(F.col("polygon")).alias("p")).where("frame < 90")
+    a, b = (sides.select("frame", F.col("box_id").alias(f"id_{n}"), F.col("p").alias(n)) for n in "ab")
+    near = {(r.frame, r.id_a, r.id_b): r.iou for r in a.join(b, "frame").select("frame", "id_a", "id_b", polygons.iou(F.col("a"), F.col("b")).alias("iou")).collect()}
+    for limit in (2, 100):
+        expected = set()
+        for f in {r[0] for r in rows if r[0] is not None}:
+            kept = []
+            for _, i, *_ in sorted((r for r in rows if r[0] == f), key=lambda r: (-r[2], r[1])):
+                if len(kept) < limit and all(near.get((f, i, k), 0.0) < 0.2 for k in kept):
+                    kept.append(i)
+            expected |= {(f, i) for i in kept}
+        assert {(r.frame, r.box_id) for r in matching.suppress_polygons(df, "frame", 0.2, limit).collect()} == expected
+    shapes = convex.polygons_of(pa.chunked_array([pa.array([r[3] for r in rows if r[0] is not None and r[0] < 90], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))]))
+    key = [r[:2] for r in rows if r[0] is not None and r[0] < 90]
+    pairs = [(i, j) for i in range(len(key)) for j in range(len(key)) if key[i][0] == key[j][0]]
+    for most in (convex.CORNERS, 20):  # all at once, and a few corners at a time
+        monkeypatch.setattr(convex, "CORNERS", most)
+        measured = shapes.iou(*map(np.array, zip(*pairs, strict=True)))
+        assert all(abs(max(m, 0.0) - near[(*key[i], key[j][1])]) < 1e-9 for m, (i, j) in zip(measured.tolist(), pairs, strict=True))
+    plan = matching.suppress_polygons(df, "frame", 0.2, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # the overlaps of all pairs were a join before
