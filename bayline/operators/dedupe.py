@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Iterator, Mapping
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from bayline.functions.hashing import hamming_hex64, hash_keys
 from bayline.operators.spool import written
@@ -64,25 +68,80 @@ def hamming_classes(rows: DataFrame, key: str, hashed: str, most: int = 3) -> Da
     return members.unionByName(near.select(F.least("k", "l").alias("a"), F.greatest("k", "l").alias("b"), "distance"))
 
 
-def simhash(rows: DataFrame, text: str) -> DataFrame:
-    """(digest, hash): the 64-bit SimHash over the words of each distinct whole text, and the text's SHA-256.
+#: Words that are summed together, and distinct words whose hashes a task keeps.
+WORDS, KNOWN = 1 << 16, 1 << 18
+
+
+class _WordHashes(dict):
+    """The first 64 bits of words' MD5."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        self[word] = found = int.from_bytes(md5(word, usedforsecurity=False).digest()[:8], "big")
+        return found
+
+
+def _simhashes(texts: Iterable[bytes | None], known: _WordHashes) -> list[str | None]:
+    """The SimHash of each text in hex; null for one without a word."""
+    sums: list[np.ndarray] = []
+    counts, owners, waiting, held = [], [], [], 0
+
+    def add() -> None:
+        hashes, owner = np.concatenate(waiting), np.concatenate(owners)
+        for lo in range(0, len(hashes), WORDS):
+            of = owner[lo : lo + WORDS]
+            bits = np.unpackbits(hashes[lo : lo + WORDS].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            begins = np.flatnonzero(np.diff(of, prepend=-1))
+            within = np.arange(len(of)) - np.repeat(begins, np.diff(begins, append=len(of)))
+            runs = np.flatnonzero(within % 255 == 0)  # eight counters of a byte share a number
+            parts = np.add.reduceat(bits.view(np.uint64), runs, axis=0).view(np.uint8)
+            firsts = np.flatnonzero(np.diff(of[runs], prepend=-1))
+            for text, part in zip(of[runs][firsts].tolist(), np.add.reduceat(parts, firsts, axis=0, dtype=np.int64), strict=True):
+                sums[text] = part if sums[text] is None else sums[text] + part
+        waiting.clear()
+        owners.clear()
+
+    for i, text in enumerate(texts):
+        words = text.split() if text else []  # of bytes, at the blanks that \s names
+        sums.append(None)
+        counts.append(len(words))
+        if words:
+            waiting.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+            owners.append(np.full(len(words), i))
+            held += len(words)
+        if held >= WORDS:
+            add()
+            held = 0
+    if held:
+        add()
+    return [None if s is None else np.packbits(2 * s > n).tobytes().hex() for s, n in zip(sums, counts, strict=True)]
+
+
+def with_simhash(rows: DataFrame, text: str) -> DataFrame:
+    """rows without text but with digest, its SHA-256, and hash, the 64-bit SimHash over the words of the whole text.
 
     A bit is set where more than half of a text's words, repeated ones each time, have it set in
-    their hashes, the first 64 bits of the words' MD5. Texts without a word have no row. Two
-    counters share a sum, 32 bits each, which a text would need 2**31 words to overflow.
+    their hashes, the first 64 bits of the words' MD5. Texts without a word have no hash. Rows are
+    dealt over all tasks first, whatever files they come from; words never leave the task.
     """
-    texts = rows.select(F.sha2(text, 256).alias("digest"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    first = texts.groupBy("digest").agg(F.min("text").alias("text"))
-    words = first.select("digest", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''")
-    part = lambda at: F.conv(F.substring(F.md5("word"), at, 8), 16, 10).cast("long")
-    hashed = words.select("digest", F.shiftleft(part(1), 32).bitwiseOR(part(9)).alias("w"))
-    counted = hashed.groupBy("digest").agg(
-        F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("w", i).bitwiseAND((1 << 32) + 1)).alias(f"s{i}") for i in range(32))
-    )
-    sums = counted.select("digest", "n", F.array(*(f"s{i}" for i in range(32))).alias("s"))  # an array keeps the generated code small
-    bit = "if(2 * {0} > n, shiftleft(1L, i), 0L)"
-    half = lambda count: F.lpad(F.lower(F.hex(F.expr(f"aggregate(sequence(0, 31), 0L, (a, i) -> a | {bit.format(count)})"))), 8, "0")
-    return sums.select("digest", F.concat(half("shiftright(s[i], 32)"), half(f"(s[i] & {(1 << 32) - 1}L)")).alias("hash"))
+    dealt = rows.withColumn("__row", F.monotonically_increasing_id()).repartition("__row")
+    plain = dealt.select(*(c for c in rows.columns if c != text), F.sha2(text, 256).alias("digest"), F.lower(text).cast("binary").alias("hash"))
+    fields = [f for f in plain.schema.fields if f.name != "hash"]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHashes()
+        for batch in batches:
+            at = batch.schema.get_field_index("hash")
+            found = pa.array(_simhashes((v.as_py() for v in batch.column(at)), known), pa.string())
+            yield batch.set_column(at, "hash", found)
+
+    return plain.mapInArrow(hashed, StructType([*fields, StructField("hash", StringType())]))
+
+
+def simhash(rows: DataFrame, text: str) -> DataFrame:
+    """(digest, hash) of each distinct text that has a word; see with_simhash()."""
+    return with_simhash(rows.select(text), text).where("hash is not null").select("digest", "hash").distinct()
 
 
 def first_partition_wins(rows: DataFrame, digest: str, partition: str, rank: Mapping[str, int]) -> DataFrame:

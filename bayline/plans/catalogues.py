@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bayline.functions import hashing, text
 from bayline.operators import dedupe, sampling
+from bayline.operators.spool import written
 from bayline.plans.registry import Registry
 from bayline.sources.tables import table
 
@@ -183,9 +184,8 @@ UNION ALL SELECT a.a, b.a, CAST({NEAR} AS INTEGER) FROM least a JOIN least b ON
 
 
 def with_hash(rows: DataFrame, text_column: str) -> DataFrame:
-    """rows with digest and hash, the SimHash of their whole texts; null for those without a word."""
-    hashed = rows.withColumn("digest", F.sha2(text_column, 256))
-    return hashed.join(dedupe.simhash(rows, text_column), "digest", "left")
+    """rows without the text, with digest and hash, the SimHash of their whole texts; null for those without a word. Written once, as every plan reads them several times."""
+    return written(dedupe.with_simhash(rows, text_column))
 
 
 @_R.add("hamming_band_pairs", classes_sql("pages", "page_id", "html", 3))
@@ -214,7 +214,7 @@ FROM s LEFT JOIN x ON x.id = s.id LEFT JOIN y ON y.id = s.id
 def quarantine_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each source is kept when holdout goes before validation before training, and what it conflicts with."""
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    rows = sources(spark, sf_dir).drop("digest").join(with_hash(texts, "text").drop("text"), "id")
+    rows = sources(spark, sf_dir).drop("digest").join(with_hash(texts, "text"), "id")
     found = dedupe.quarantine(rows, "id", "digest", "hash", "partition", ("test", "validation", "train"))
     return found.select("id", "partition", "kept", "conflict_id", "conflict_partition")
 

@@ -273,3 +273,39 @@ def test_smoother_grid_equals_single_settings(spark):
         for d in ("d0", "d1"):
             assert all(found[d, k][c] == counts.get((d, c), 0) for c in ("tp", "fp", "tn", "fn"))
         assert sum(found[d, k].transition_error for d in ("d0", "d1")) == off
+
+
+def test_simhash_of_texts_against_a_plain_sum(spark, monkeypatch):
+    """Long and short texts, odd blanks and letters, nulls; words are summed a few at a time, rows keep their columns and no text is read twice."""
+    import hashlib
+    import random
+    import re
+
+    from bayline.operators import dedupe
+    from bayline.plans.catalogues import with_hash
+
+    rng = random.Random(3)
+    words = ["a", "Bb", "Été", "İx", "c d", "e f", "x\x1cy", "zz", "0"]
+    texts = [None, "", " \t\n", "one", "one one", " Two\x0bwords\x0c", *("".join(rng.choice(words) + rng.choice([" ", "\n", "  ", "\r"]) for _ in range(n)) for n in (3, 254, 255, 256, 700, 70000))] * 2
+
+    def plain(text):
+        found = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text or "") if w]
+        sums = [0] * 64
+        for w in found:
+            h = int(hashlib.md5(w.encode()).hexdigest()[:16], 16)
+            sums = [s + (h >> i & 1) for i, s in enumerate(sums)]
+        return f"{sum(1 << i for i, s in enumerate(sums) if 2 * s > len(found)):016x}" if found else None
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    lower = {r.id: r.low for r in df.select("id", F.lower("text").alias("low")).collect()}
+    expected = {i: (None if t is None else hashlib.sha256(t.encode()).hexdigest(), plain(lower[i])) for i, t in enumerate(texts)}
+    hashed = with_hash(df, "text")
+    assert {r.id: (r.digest, r.hash) for r in hashed.collect()} == expected and hashed.columns == ["id", "digest", "hash"]
+    assert {tuple(r) for r in dedupe.simhash(df, "text").collect()} == {v for v in expected.values() if v[1]}
+    plan = dedupe.hamming_classes(hashed, "id", "hash")._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan and "split" not in plan  # texts were read once before, for each step again
+    known = dedupe._WordHashes()
+    monkeypatch.setattr(dedupe, "WORDS", 100)
+    monkeypatch.setattr(dedupe, "KNOWN", 3)
+    assert dedupe._simhashes([None if t is None else lower[i].encode() for i, t in enumerate(texts)], known) == [expected[i][1] for i in range(len(texts))]
+    assert len(known) <= 3
