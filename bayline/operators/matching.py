@@ -7,6 +7,8 @@ functions, one frame at a time.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -267,32 +269,72 @@ def calibrate(detections: DataFrame, camera: str, frame_no: str, at: float = 0.4
     box overlaps it most, the earlier of equals, by at least at; a track takes one detection of a
     frame, besides the one that opened it. What finds no track opens one. A track survives with
     max(2, share of the frames) detections. A camera with fewer than least_slots survivors has no
-    layout and returns no row; slots are numbered by falling support.
+    layout and returns no row; slots are numbered by falling support. The cameras of a batch are
+    followed together, a detection of each at a time.
     """
 
     def consensus(group: pa.Table) -> pa.Table:
-        frames, scores, edges = group[frame_no].to_numpy(), group["score"].to_numpy(), _boxes(group)
-        order = np.lexsort((scores, *edges.T[::-1], group["box_id"].to_numpy(), frames))
-        frames, scores, edges = frames[order], scores[order], edges[order]
-        # a track's running sums: edges, score, detections; and the frame that joined it last
-        sums, joined, n = np.zeros((len(frames), 6)), np.full(len(frames), -1), 0
-        step = np.concatenate([[0], np.cumsum(np.diff(frames) != 0)]) if len(frames) else frames
-        for box, score, now in zip(edges, scores, step, strict=True):
-            overlap = iou_matrix(box[None], sums[:n, :4] / sums[:n, 5:])[0].round(9)  # equal overlaps stay equal
-            overlap[joined[:n] == now] = -1
-            k = int(overlap.argmax()) if n else -1
-            if n and overlap[k] >= max(at, 1e-12):
-                joined[k] = now
-            else:
-                k, n = n, n + 1
-            sums[k] += [*box, score, 1]
-        total = int(step[-1]) + 1 if len(step) else 0
-        kept = np.flatnonzero(sums[:n, 5] >= max(2, round(share * total)))
-        kept = kept[np.argsort(-sums[kept, 5], kind="stable")] if len(kept) >= least_slots else kept[:0]
-        seen = sums[kept, 5]
-        box = pa.StructArray.from_arrays([pa.array(sums[kept, i] / seen) for i in range(4)], list(EDGES))
-        columns = [np.full(len(kept), group[camera][0].as_py(), np.int64), np.arange(1, len(kept) + 1), seen.astype(np.int64), np.full(len(kept), total, np.int64), sums[kept, 4] / seen]
+        keys, frames, scores, edges = group[camera].to_numpy(), group[frame_no].to_numpy(), group["score"].to_numpy(), _boxes(group)
+        order = np.lexsort((scores, *edges.T[::-1], group["box_id"].to_numpy(), frames, keys))
+        keys, frames, scores, edges = keys[order], frames[order], scores[order], edges[order]
+        begins = np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0])) if len(keys) else np.empty(0, np.int64)
+        out = [(np.empty(0, np.int64), np.empty((0, 6)), 0)]
+        for c, sums, total in _tracks(frames, scores, edges, begins, at):
+            kept = np.flatnonzero(sums[:, 5] >= max(2, round(share * total)))
+            if len(kept) >= least_slots:
+                kept = kept[np.argsort(-sums[kept, 5], kind="stable")]
+                out.append((np.full(len(kept), keys[begins[c]]), sums[kept], total))
+        names, kept = np.concatenate([c for c, _, _ in out]), np.concatenate([s for _, s, _ in out])
+        numbers, totals = np.concatenate([np.arange(1, len(c) + 1) for c, _, _ in out]), np.concatenate([np.full(len(c), t) for c, _, t in out])
+        seen = kept[:, 5]
+        box = pa.StructArray.from_arrays([pa.array(kept[:, i] / seen) for i in range(4)], list(EDGES))
+        columns = [names, numbers, seen.astype(np.int64), totals, kept[:, 4] / seen]
         return pa.table([*map(pa.array, columns), box], names=[camera, "slot_id", "frames_seen", "frames", "confidence", "box"])
 
-    rows = detections.select(F.col(camera).cast("long"), F.col(frame_no).cast("long"), F.col("box_id").cast("long"), F.col("score").cast("double"), "box")
-    return rows.groupBy(camera).applyInArrow(consensus, f"{camera} long, slot_id long, frames_seen long, frames long, confidence double, box struct<x1:double,y1:double,x2:double,y2:double>")
+    rows = detections.select(F.floor(F.col(camera).cast("long") / CAMERAS).alias("batch"), F.col(camera).cast("long"), F.col(frame_no).cast("long"), F.col("box_id").cast("long"), F.col("score").cast("double"), "box")
+    return rows.groupBy("batch").applyInArrow(consensus, f"{camera} long, slot_id long, frames_seen long, frames long, confidence double, box struct<x1:double,y1:double,x2:double,y2:double>")
+
+
+#: Cameras, numbered one after another, that are handed to Python together, and detections of those that are followed together.
+CAMERAS, FOLLOWED = 64, 1 << 17
+
+
+def _tracks(frames: np.ndarray, scores: np.ndarray, edges: np.ndarray, begins: np.ndarray, at: float) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(camera, sums of its tracks, number of its frames); a camera's detections stand in order from its place in begins on.
+
+    Cameras go in lockstep, each by one detection a step, the longest first, so that those at work
+    stand in front. A track's sums are of edges, score and detections.
+    """
+    many = np.diff(begins, append=len(frames))
+    turns = np.concatenate([[False], np.diff(frames) != 0])[: len(frames)]
+    turns[begins] = False
+    step = np.cumsum(turns)
+    by = np.argsort(-many, kind="stable")
+    while len(by):
+        here, by = np.split(by, [max(1, FOLLOWED // int(many[by[0]]))])
+        first, count = begins[here], many[here]
+        sums, joined, n = np.zeros((len(here), 16, 6)), np.full((len(here), 16), -1), np.zeros(len(here), np.int64)
+        for t in range(int(count[0])):
+            busy = int(np.searchsorted(-count, -t))  # cameras with more than t detections
+            g, rows, widest = np.arange(busy), first[:busy] + t, int(n[:busy].max())
+            box, now = edges[rows], step[rows]
+            k, hit = n[:busy].copy(), np.zeros(busy, bool)
+            if widest:
+                held = sums[:busy, :widest]
+                mean = held[..., :4] / np.maximum(held[..., 5:], 1)
+                sides = np.maximum(np.minimum(box[:, None, 2:], mean[..., 2:]) - np.maximum(box[:, None, :2], mean[..., :2]), 0)
+                common = sides[..., 0] * sides[..., 1]
+                size = lambda x: np.maximum(x[..., 2] - x[..., 0], 0) * np.maximum(x[..., 3] - x[..., 1], 0)
+                union = size(box)[:, None] + size(mean) - common
+                overlap = np.divide(common, union, out=np.zeros_like(common), where=union > 0).round(9)  # equal overlaps stay equal
+                overlap[(joined[:busy, :widest] == now[:, None]) | (np.arange(widest) >= n[:busy, None])] = -1
+                best = overlap.argmax(axis=1)
+                hit = overlap[g, best] >= max(at, 1e-12)
+                k[hit] = best[hit]
+                joined[g[hit], best[hit]] = now[hit]
+            n[:busy] += ~hit
+            if int(n.max()) > sums.shape[1]:
+                sums, joined = np.concatenate([sums, np.zeros_like(sums)], axis=1), np.concatenate([joined, np.full_like(joined, -1)], axis=1)
+            sums[g, k] += np.column_stack([box, scores[rows], np.ones(busy)])
+        for i, c in enumerate(here.tolist()):
+            yield c, sums[i, : n[i]], int(step[first[i] + count[i] - 1] - step[first[i]]) + 1

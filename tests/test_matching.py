@@ -120,3 +120,42 @@ def test_polygon_suppression_measures_kept_ones_only(spark, monkeypatch):
         assert all(abs(max(m, 0.0) - near[(*key[i], key[j][1])]) < 1e-9 for m, (i, j) in zip(measured.tolist(), pairs, strict=True))
     plan = matching.suppress_polygons(df, "frame", 0.2, 2)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan  # the overlaps of all pairs were a join before
+
+
+def test_calibration_follows_cameras_together(spark, monkeypatch):
+    """Cameras of different length in lockstep against a walk of each alone, all at once and a few at a time."""
+    import numpy as np
+
+    rng, rows = random.Random(9), []
+    for camera in [*range(20), 700]:
+        for no in range(rng.randint(1, 6)):
+            for i in range(rng.randint(1, 12)):
+                x, y = rng.randint(0, 5) * 4.0 + rng.random(), rng.randint(0, 1) * 4.0
+                rows.append((camera, no * 2, i, rng.random(), x, y, x + 4, y + 4))
+    rows.sort()
+
+    def plain(found):
+        tracks, step, last = [], -1, None
+        for _, no, _, score, *box in found:
+            step, last = step + (no != last), no
+            overlaps = [0 if t[1] == step else matching.iou_matrix(np.array([box]), np.array([[e / t[0][5] for e in t[0][:4]]]))[0, 0].round(9) for t in tracks]
+            best = max(range(len(tracks)), key=lambda i: overlaps[i], default=None)
+            if best is None or overlaps[best] < 0.45:
+                tracks.append([[*box, score, 1], -1])
+            else:
+                tracks[best] = [[a + b for a, b in zip(tracks[best][0], [*box, score, 1], strict=True)], step]
+        kept = sorted((t[0] for t in tracks if t[0][5] >= max(2, round(0.6 * (step + 1)))), key=lambda s: -s[5])
+        return [(n + 1, s[5], step + 1, *(round(v / s[5], 9) for v in s[:5])) for n, s in enumerate(kept)] if len(kept) >= 4 else []
+
+    expected = {(c, *s) for c in {r[0] for r in rows} for s in plain([r for r in rows if r[0] == c])}
+    df = spark.createDataFrame(rows, "camera long, no long, box_id long, score double, x1 double, y1 double, x2 double, y2 double")
+    df = df.select("camera", "no", "box_id", "score", boxes.box(*(F.col(c) for c in matching.EDGES)).alias("box"))
+    found = matching.calibrate(df, "camera", "no")
+    assert {(r.camera, r.slot_id, r.frames_seen, r.frames, *(round(r.box[e], 9) for e in matching.EDGES), round(r.confidence, 9)) for r in found.collect()} == expected and len(expected) > 8
+    assert "[batch" in found._jdf.queryExecution().analyzed().toString()  # one camera to a call before
+    columns = [np.array(c) for c in zip(*rows, strict=True)]
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(columns[0]) != 0]))
+    tracks = lambda: {c: (s.tolist(), n) for c, s, n in matching._tracks(columns[1], columns[3], np.stack(columns[4:], axis=1), begins, 0.45)}
+    together = tracks()
+    monkeypatch.setattr(matching, "FOLLOWED", 30)
+    assert tracks() == together and len(together) == 21
