@@ -17,6 +17,8 @@ from bayline.functions.numbers import sigmoid
 
 #: Points between the bracket's ends that one pass of the temperature looks at.
 POINTS = 15
+#: A fold that no row is in: the fit outside it is that of all rows.
+WHOLE = -(1 << 31)
 
 
 @dataclass(frozen=True)
@@ -95,10 +97,15 @@ def out_of_fold(rows: DataFrame, features: list[str], label: str, fold: str | No
 
 def margin_fit(rows: DataFrame, features: list[str], label: str, penalty: float = 1.0, weight: str | None = None, tolerance: float = 1e-9, most: int = 50) -> Fit:
     """A linear support-vector fit with the squared hinge loss, by Newton steps over the rows inside the margin."""
-    prepared = _prepared(rows, features, label, weight, None)
+    return margins_out_of_fold(rows, features, label, None, [0], penalty, weight, tolerance, most)[0]
+
+
+def margins_out_of_fold(rows: DataFrame, features: list[str], label: str, fold: str | None, folds: list[int], penalty: float = 1.0, weight: str | None = None, tolerance: float = 1e-9, most: int = 50) -> dict[int, Fit]:
+    """For each fold the margin fit to the rows outside it; all folds share each pass."""
+    prepared = _prepared(rows, features, label, weight, fold)
     side = lambda y: 2 * y - 1
     short = lambda z, y: F.greatest(1 - side(y) * z, F.lit(0.0))
-    return _newton(prepared, features, [0], penalty, tolerance, most, lambda z, y: -2 * side(y) * short(z, y), lambda z, y: F.when(side(y) * z < 1, 2.0).otherwise(0.0))[0]
+    return _newton(prepared, features, folds, penalty, tolerance, most, lambda z, y: -2 * side(y) * short(z, y), lambda z, y: F.when(side(y) * z < 1, 2.0).otherwise(0.0))
 
 
 def balanced_weights(rows: DataFrame, label: str, name: str = "weight") -> DataFrame:
@@ -114,15 +121,15 @@ def balanced_weights(rows: DataFrame, label: str, name: str = "weight") -> DataF
 def calibrated_margin_fit(rows: DataFrame, features: list[str], label: str, fold: str, folds: list[int], penalty: float = 1.0) -> tuple[Fit, Fit]:
     """(margin fit, sigmoid of its margins): a balanced support-vector fit whose margins are turned into probabilities.
 
-    The sigmoid is fitted to margins of rows that their fold's fit has not seen.
+    The sigmoid is fitted to margins of rows that their fold's fit has not seen. The folds' fits and
+    that of all rows share each pass. Rows without a fold train every fit and are no fold's unseen rows.
     """
     weighted = balanced_weights(rows, label, "__weight")
-    unseen = None
+    found = margins_out_of_fold(weighted, features, label, fold, [*folds, WHOLE], penalty, "__weight")
+    margin = F.lit(None).cast("double")
     for k in folds:
-        held = margin_fit(weighted.where(F.col(fold) != k), features, label, penalty, "__weight")
-        part = weighted.where(F.col(fold) == k).select(held.margin().alias("margin"), F.col(label))
-        unseen = part if unseen is None else unseen.unionByName(part)
-    return margin_fit(weighted, features, label, penalty, "__weight"), logistic_fit(unseen, ["margin"], label, penalty=0.0)
+        margin = F.when(F.col(fold) == k, found[k].margin()).otherwise(margin)
+    return found[WHOLE], logistic_fit(weighted.select(margin.alias("margin"), F.col(label)), ["margin"], label, penalty=0.0)
 
 
 def nested_samples(rows: DataFrame, key: str, shares: list[float], seed: int = 0) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bayline.functions import boxes, polygons, rasters
 from bayline.operators import areas, fits, matching, running
+from bayline.operators.spool import written
 from bayline.plans.observations import OBS, observations
 from bayline.plans.registry import Registry
 from bayline.plans.scenes import _COMMON, _quads, _QUADS
@@ -183,7 +184,7 @@ def layout_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_R.add("margin_learning_curve")
 def margin_learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy of calibrated margins, fitted to growing nested samples of three folds of slots, on the fourth."""
-    rows = observations(spark, sf_dir).select("slot", "p", "truth", (F.length("camera") % 3).alias("kind"), (F.col("slot") % 4).cast("int").alias("fold"))
+    rows = written(observations(spark, sf_dir).select("slot", "p", "truth", (F.length("camera") % 3).alias("kind"), (F.col("slot") % 4).cast("int").alias("fold")))  # read in every pass
     train, held = rows.where("fold < 3"), rows.where("fold = 3")
     out = None
     for share in (0.25, 0.5, 1.0):

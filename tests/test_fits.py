@@ -139,3 +139,24 @@ def test_joined_pairs_grow_with_the_rows(spark):
     df = spark.createDataFrame([(f"{rng.getrandbits(64):016x}",) for _ in range(3000)], "h string")
     keyed = dedupe._keyed(df, "h", 3)
     assert keyed.groupBy("band", "value").count().where("count > 1").agg(F.coalesce(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.lit(0))).first()[0] < 300
+
+
+def test_folds_of_calibrated_margins_share_each_pass(spark, monkeypatch):
+    """The same fits as fold by fold, in about as many passes as the slowest of them takes."""
+    rng = random.Random(4)
+    rows = [(x := rng.gauss(0, 1), rng.gauss(0, 1), x + rng.gauss(0, 1) > 0, i % 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, label boolean, fold int")
+    passes, sums = [], fits._sums
+    monkeypatch.setattr(fits, "_sums", lambda r, models, *rest: passes.append(len(models)) or sums(r, models, *rest))
+    margin, sigmoid = fits.calibrated_margin_fit(df, ["a", "b"], "label", "fold", [0, 1, 2])
+    shared = len(passes)
+    weighted = fits.balanced_weights(df, "label")
+    alone = [fits.margin_fit(weighted.where(f"fold <> {k}"), ["a", "b"], "label", weight="weight") for k in range(4)]
+    assert max(abs(x - y) for x, y in zip(margin.weights, alone[3].weights, strict=True)) < 1e-9
+    unseen = None
+    for k in range(3):
+        part = weighted.where(f"fold = {k}").select(alone[k].margin().alias("margin"), "label")
+        unseen = part if unseen is None else unseen.unionByName(part)
+    plain = fits.logistic_fit(unseen, ["margin"], "label", penalty=0.0)
+    assert abs(sigmoid.intercept - plain.intercept) < 1e-7 and abs(sigmoid.weights[0] - plain.weights[0]) < 1e-7
+    assert shared == max(f.steps for f in alone) + sigmoid.steps and passes[0] == 4
