@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, pairwise
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,31 +39,31 @@ def hamming_hex64(a: Column, b: Column) -> Column:
     return F.when(fine, bits).otherwise(F.lit(64)).cast("int")
 
 
-def hash_keys(h: Column, most: int) -> Column:
-    """Keys of a 64-bit hash in hex, array of (band, value), of which hashes at most most bits apart share one.
+def bits64(h: Column) -> Column:
+    """A 16-digit hexadecimal hash as the long of the same bits."""
+    half = lambda at: F.conv(F.substring(h, at, 8), 16, 10).cast("long")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
 
-    The 64 bits are cut into 2 * most blocks and every choice of most blocks is a key of about 32
-    bits: most differing bits touch at most as many blocks, so most blocks are left untouched. With
-    most = 0 the hash itself is the one key.
+
+def masked_keys(bits: Column, most: int, blocks: int | None = None) -> Column:
+    """Keys of a 64-bit hash, given as a long, array of (band, value), of which hashes at most most bits apart share one.
+
+    The 64 bits are cut into blocks and every choice of all but most of them, with zeros for the
+    others, is a key: most differing bits touch at most as many blocks, so the rest is left
+    untouched. Without a number there are 2 * most blocks, and keys of about 32 bits. With most = 0
+    the hash itself is the one key.
     """
-    if most == 0:
-        return F.array(F.struct(F.lit(0).alias("band"), F.conv(h, 16, 10).alias("value")))
-    edges = [round(64 * i / (2 * most)) for i in range(2 * most + 1)]
-    halves = [F.conv(F.substring(h, at, 8), 16, 10).cast("long") for at in (1, 9)]
-
-    def bits(a: int, b: int) -> list[tuple[Column, int]]:
-        """The bits from a to b, counted from the left, as (value, width) of what lies in either half."""
-        return [(F.shiftright(halves[k], 32 * k + 32 - y).bitwiseAND((1 << (y - x)) - 1), y - x) for k in (0, 1) if (x := max(a, 32 * k)) < (y := min(b, 32 * k + 32))]
-
-    def joined(blocks: tuple[int, ...]) -> Column:
-        value = F.lit(0).cast("long")
-        for i in blocks:
-            for part, width in bits(edges[i], edges[i + 1]):
-                value = F.shiftleft(value, width).bitwiseOR(part)
-        return value
-
-    chosen = combinations(range(2 * most), most)
-    return F.array(*(F.struct(F.lit(i).alias("band"), joined(c).alias("value")) for i, c in enumerate(chosen)))
+    blocks = blocks or 2 * most or 1
+    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
+    parts = [(1 << 64 - a) - (1 << 64 - b) for a, b in pairwise(edges)]  # counted from the left
+    masks = [sum(kept) for kept in combinations(parts, blocks - most)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return F.array(*(F.struct(F.lit(i).alias("band"), bits.bitwiseAND(F.lit(m).cast("long")).alias("value")) for i, m in enumerate(signed)))
+
+
+def hash_keys(h: Column, most: int, blocks: int | None = None) -> Column:
+    """masked_keys() of a hash in hex."""
+    return masked_keys(bits64(h), most, blocks)
 
 
 def partition_70_15_15(key: Column, seed: str | int) -> Column:

@@ -34,7 +34,7 @@ def verify_catalogue(scenarios: DataFrame, slots: DataFrame, required: list[str]
     exact = scenarios.join(first, "digest").where(F.col("id") > F.col("first")).select(subject, F.lit("exact_duplicate").alias("reason"))
     least = scenarios.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.min("id").alias("least"))
     near = near_hashes(least, "hash", 1)
-    beside = near.select(F.col("x").alias("hash"), F.col("y").alias("other")).union(near.select("y", "x"))
+    beside = near.select(F.inline(F.array(*(F.struct(F.col(a).alias("hash"), F.col(b).alias("other")) for a, b in (("x", "y"), ("y", "x"))))))
     other = beside.join(least.select(F.col("hash").alias("other"), F.col("least").alias("of_other")), "other").groupBy("hash").agg(F.min("of_other").alias("of_other"))
     reach = least.join(other, "hash", "left").select("hash", F.least("least", "of_other").alias("first"))
     close = scenarios.join(reach, "hash").where(F.col("id") > F.col("first")).select(subject, F.lit("near_duplicate").alias("reason"))

@@ -141,6 +141,19 @@ def test_joined_pairs_grow_with_the_rows(spark):
     assert keyed.groupBy("band", "value").count().where("count > 1").agg(F.coalesce(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.lit(0))).first()[0] < 300
 
 
+def test_hashes_that_share_a_half_do_not_all_meet(spark):
+    """Texts of common words have hashes with equal halves; keys for one bit had just these halves, so all pairs of them met."""
+    rng = random.Random(6)
+    hashes = [f"{7 << 32 | rng.getrandbits(32):016x}" for _ in range(600)]
+    hashes += [f"{int(h, 16) ^ 1 << rng.randrange(64):016x}" for h in hashes[:100]]
+    df = spark.createDataFrame([(h,) for h in [*hashes, "F" * 16, "f" * 15 + "e"]], "h string")
+    assert dedupe._keyed(df, "h", 1).groupBy("band", "value").count().agg(F.max("count")).first()[0] <= 16
+    pairs = lambda most: {(a, b, d) for a in hashes for b in hashes if a < b and (d := (int(a, 16) ^ int(b, 16)).bit_count()) <= most}
+    assert {tuple(r) for r in dedupe.near_hashes(df, "h", 1).collect()} == pairs(1) | {("F" * 16, "f" * 15 + "e", 1)}
+    near = dedupe.hashes_near(df.limit(600), df.where("h like 'F%'").union(spark.createDataFrame([(hashes[0],)], "h string")), "h", 3).collect()
+    assert {r.h for r in near} == {h for h in hashes[:600] if (int(h, 16) ^ int(hashes[0], 16)).bit_count() <= 3}
+
+
 def test_folds_of_calibrated_margins_share_each_pass(spark, monkeypatch):
     """The same fits as fold by fold, in about as many passes as the slowest of them takes."""
     rng = random.Random(4)

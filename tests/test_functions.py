@@ -1,6 +1,7 @@
 """Column functions on worked examples."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +49,27 @@ def test_validity(spark, points, reason):
     assert one(spark, polygons.validity(pairs(*points))) == reason
 
 
+def test_quads_that_are_clearly_sound_need_no_lambda(spark):
+    """Before, every polygon went through nested lambdas, which Spark does not compile."""
+    rng = random.Random(4)
+    near = lambda p, by: [[min(1.2, max(-0.2, v + rng.uniform(-by, by))) for v in q] for q in p]
+    square = lambda x, y, w, h: [[x, y], [x + w, y], [x + w, y + h], [x, y + h]]
+    rows = [near(square(rng.random() / 2, rng.random() / 2, w := rng.choice([0.5, 0.1, 1e-2, 4e-3, 1e-5]), w * rng.choice([1, 0.1, 1e-3])), w * rng.choice([0, 0.1, 1, 3])) for _ in range(1500)]
+    rows += [rng.sample(p, 4) for p in rows[:500]] + [p[::-1] for p in rows[:500]] + [[[rng.random(), rng.random()] for _ in range(n)] for n in (0, 3, 4, 5) for _ in range(50)]
+    good = square(0.1, 0.1, 0.3, 0.2)
+    odd = [None, [None, *good[1:]], [[0.1], *good[1:]], [[0.1, 0.1, 0.1], *good[1:]], [[None, 0.1], *good[1:]], [[math.nan, 0.1], *good[1:]], [[0.1, -math.inf], *good[1:]], [[-0.1, 0.1], *good[1:]], [*good[:3], [0.1, 1.1]], [*good, good[0]], [good[0]] * 4]
+    df = spark.createDataFrame([(p,) for p in [good, *rows, *odd]], "p array<array<double>>")
+    p = F.col("p")
+    found = df.select("p", F.coalesce(polygons._clearly_sound(p), F.lit(False)).alias("clear"), polygons._reason(p).alias("reason"), polygons.validity(p).alias("validity")).collect()
+    assert all(r.validity == r.reason for r in found)
+    assert not any(r.clear and r.reason for r in found) and not any(r.clear for r in found[-len(odd) :])
+    turns = lambda p: [(b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]) for a, b, c in (((p * 2)[i : i + 3]) for i in range(4))]
+    wide = lambda p: all(0 <= v <= 1 for q in p for v in q) and (min(turns(p)) > 2e-5 or max(turns(p)) < -2e-5)
+    assert all(r.clear == wide(r.p) for r in found[: -len(odd)] if len(r.p) == 4)
+    assert found[0].clear and sum(r.reason is None for r in found) > sum(r.clear for r in found) > 400
+    assert "lambda" not in df.select(polygons._clearly_sound(p))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_self_intersection(spark):
     assert one(spark, polygons.self_intersects(quad((0, 0), (1, 1), (1, 0), (0, 1))))
     assert not one(spark, polygons.self_intersects(quad((0, 0), (1, 0), (1, 1), (0, 1))))

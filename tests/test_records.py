@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bayline.functions import boxes, numbers, polygons, text
-from bayline.operators import layouts, matching, sampling
+from bayline.operators import layouts, matching, sampling, verification
 from bayline.sources import annotations
 
 
@@ -78,3 +78,25 @@ def test_polygon_suppression_limits_and_ties(spark):
     rows = [(1, 1, 0.9, square(0, 0)), (1, 2, 0.9, square(0.1, 0)), (1, 3, 0.5, square(3, 3)), (1, 4, 0.4, square(6, 6)), (1, 5, 0.3, square(9, 9)), (2, 1, 0.1, square(0, 0))]
     df = spark.createDataFrame(rows, "frame long, box_id long, score double, polygon array<struct<x:double,y:double>>")
     assert sorted((r.frame, r.box_id) for r in matching.suppress_polygons(df, "frame", 0.5, 3).collect()) == [(1, 1), (1, 3), (1, 4), (2, 1)]
+
+
+def test_faults_of_a_catalogue_against_plain_rules(spark):
+    """Near copies of lesser ids, slots of every shape, and what is missing."""
+    rng = random.Random(12)
+    bits = [3 << 40 | rng.getrandbits(12) for _ in range(60)]
+    rows = [(i, f"d{i % 7 % 3}", i % 4, i % 2, None if i % 11 == 0 else f"{i - i % 13 % 2:064x}", None if i % 17 == 0 else f"{bits[i]:016x}") for i in range(60)]
+    square = [[0.1, 0.1], [0.4, 0.1], [0.4, 0.3], [0.1, 0.3]]
+    shapes = [(square, False), (square[::-1], False), ([square[i] for i in (0, 2, 1, 3)], False), (None, True), (square[:2], True), ([*square[:3], [0.1, 1.5]], True), ([*square[:3], [0.1]], True), ([[0.1, 0.1], [0.1001, 0.1], [0.1001, 0.1001], [0.1, 0.1001]], True)]
+    slots = [(i, rng.random() < 0.5, *rng.choice(shapes[:3] if i % 3 else shapes)) for i in range(5, 60) for _ in range(i % 4 + 1)]
+    scenarios = spark.createDataFrame(rows, "id long, dataset string, total long, occupied long, digest string, hash string")
+    found = verification.verify_catalogue(scenarios, spark.createDataFrame([s[:3] for s in slots], "id long, occupied boolean, pairs array<array<double>>"), ["d0", "d9"], 20).collect()
+    expected = [("d9", "missing_dataset")] + [(d, "below_minimum") for d in ("d0", "d1", "d2") if sum(r[1] == d for r in rows) < 20]
+    for i, _, total, occupied, digest, hashed in rows:
+        own = [s for s in slots if s[0] == i]
+        reasons = {
+            "no_slots": not own, "slot_total_mismatch": own and len(own) != total, "occupied_total_mismatch": own and sum(s[1] for s in own) != occupied, "invalid_polygon": any(s[3] for s in own),
+            "missing_source_hash": digest is None, "missing_perceptual_hash": hashed is None, "exact_duplicate": digest and any(r[4] == digest for r in rows[:i]),
+            "near_duplicate": hashed and any(r[5] and (int(r[5], 16) ^ bits[i]).bit_count() <= 1 for r in rows[:i]),
+        }
+        expected += [(str(i), reason) for reason, holds in reasons.items() if holds]
+    assert sorted(map(tuple, found)) == sorted(expected) and {"near_duplicate", "invalid_polygon", "exact_duplicate"} <= {r for _, r in expected}
